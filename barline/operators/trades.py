@@ -27,10 +27,13 @@ def rule_signal(bars: DataFrame, rules: Sequence[tuple[str, int, float]]) -> Dat
             close = F.col("close")
             if kind == "momentum":
                 fires, value = close >= mean * (1 + threshold), F.when(mean > 0, close / mean - 1)
-            elif kind in ("mean_reversion", "breakdown"):
+            elif kind == "mean_reversion":
                 fires, value = close <= mean * (1 - threshold), F.when(mean > 0, (mean - close) / mean)
             elif kind == "breakout":
                 fires, value = close >= top, F.when(top > 0, close / top - 1)
+            elif kind == "breakdown_exit":
+                low = F.min("close").over(w.rowsBetween(-(n - 1), -1))
+                fires, value = close > low, F.lit(None).cast("double")
             else:
                 raise ValueError(f"unknown signal type {kind}")
             out.append(

@@ -124,7 +124,7 @@ view(
     "ticks",
     "",
     """SELECT 'U' || user_id AS symbol, CASE WHEN event_type = 'error' THEN 'quote' ELSE 'bar' END AS event_type,
-  value AS price, (props::JSON->>'k')::DOUBLE AS volume, ts AS event_ts, event_id FROM events""",
+  value AS price, (props::JSON->>'k')::DOUBLE AS volume, ts AS event_ts, ts + INTERVAL 1 SECOND AS received_ts, event_id FROM events""",
 )
 
 
@@ -140,6 +140,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("price"),
         _k().cast("double").alias("volume"),
         F.col("ts").alias("event_ts"),
+        (F.col("ts") + F.expr("INTERVAL 1 SECOND")).alias("received_ts"),
         "event_id",
     )
 

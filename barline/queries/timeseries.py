@@ -180,17 +180,18 @@ SELECT symbol, ts, signal_type, CASE WHEN pos < 10 THEN 0
     WHEN signal_type = 'momentum' AND close >= avg10 * (1 + 0.005::DOUBLE) THEN 1
     WHEN signal_type = 'mean_reversion' AND close <= avg10 * (1 - 0.005::DOUBLE) THEN 1
     WHEN signal_type = 'breakout' AND close >= top9 THEN 1
-    WHEN signal_type = 'breakdown' AND close <= avg10 * (1 - 0.005::DOUBLE) THEN 1 ELSE 0 END AS signal,
+    WHEN signal_type = 'breakdown_exit' AND close > low9 THEN 1 ELSE 0 END AS signal,
   round(CASE WHEN pos < 10 THEN NULL WHEN signal_type = 'momentum' THEN close / avg10 - 1
-    WHEN signal_type IN ('mean_reversion', 'breakdown') THEN (avg10 - close) / avg10 ELSE close / top9 - 1 END, 6) AS indicator
+    WHEN signal_type = 'mean_reversion' THEN (avg10 - close) / avg10 WHEN signal_type = 'breakout' THEN close / top9 - 1 END, 6) AS indicator
 FROM (SELECT *, avg(close) OVER (PARTITION BY symbol ORDER BY pos ROWS 9 PRECEDING) AS avg10,
-   max(close) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING) AS top9 FROM bars)
-  CROSS JOIN (VALUES ('momentum'), ('mean_reversion'), ('breakout'), ('breakdown')) t(signal_type)""",
+   max(close) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING) AS top9,
+   min(close) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING) AS low9 FROM bars)
+  CROSS JOIN (VALUES ('momentum'), ('mean_reversion'), ('breakout'), ('breakdown_exit')) t(signal_type)""",
 )
 def rule_signals(spark, d):
     from barline.operators.trades import rule_signal
 
-    rules = [(s, 10, 0.005) for s in ("momentum", "mean_reversion", "breakout", "breakdown")]
+    rules = [(s, 10, 0.005) for s in ("momentum", "mean_reversion", "breakout", "breakdown_exit")]
     out = rule_signal(fx.bars(spark, d), rules)
     return out.select("symbol", "ts", "signal_type", "signal", F.round("indicator", 6).alias("indicator"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -43,3 +44,9 @@ def cut(df):
     """Write an intermediate table to the checkpoint folder once, so that later steps read it instead of redoing it."""
     checkpoint_ready(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder next to the checkpoints, i.e. one every executor can reach."""
+    checkpoint_ready(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
