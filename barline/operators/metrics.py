@@ -215,3 +215,13 @@ def equity_change(snapshots: DataFrame, now: Column, keys: Sequence[str]) -> Dat
         *keys, "current", change(F.coalesce("week_ago", "start")).alias("week_change"), change(F.col("start")).alias("total_change"),
         (F.when(F.col("day_start") > 0, (F.col("day_start") - F.col("current")) / F.col("day_start") * 10000)).alias("day_loss_bps"),
     )
+
+
+def slice_rows(df: DataFrame, slices: dict[str, tuple[str, str]], ts: str = "ts") -> DataFrame:
+    """Rows tagged with every named date range they fall into; the ranges are literals, so there is no range join."""
+    known = F.array(
+        *[F.struct(F.lit(n).alias("slice"), F.lit(a).cast("date").alias("a"), F.lit(b).cast("date").alias("b")) for n, (a, b) in slices.items()]
+    )
+    day = F.to_date(F.col(ts))
+    hits = F.filter(known, lambda s: (s["a"] <= day) & (day <= s["b"]))
+    return df.select("*", F.explode(hits).alias("_s")).select(*df.columns, "_s.slice")

@@ -50,8 +50,12 @@ def majority_session(pre: Column, intra: Column, post: Column) -> Column:
     return F.when(leaders == 1, name).otherwise("mixed")
 
 
+# Fixed value: every character that counts as white space in Unicode.
+SPACES = r"[\t\n\x{0B}\f\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
 def _squeeze(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    return F.trim(F.regexp_replace(x, SPACES, " "))
 
 
 def first_k(df: DataFrame, keys: list[str], order: list[str], k: int, salts: int = 16) -> DataFrame:
@@ -139,23 +143,89 @@ STRENGTHS = (("low", "medium", "high"), "low")
 RELATIVES = (("outperform", "underperform", "inline"), "inline")
 
 
-def parse_completions(df: DataFrame, text: str = "completion") -> DataFrame:
-    """Direction, strength and relative label from the outermost braces of the text; defaults when broken."""
-    schema = "direction STRING, strength STRING, relative_to_spy STRING"
-    parsed = F.from_json(F.regexp_extract(F.col(text), r"(?s)\{.*\}", 0), schema)
+def _first_object(text: Column, ddl: str) -> Column:
+    """The JSON between the outermost braces as a struct; null unless it is exactly one valid object."""
+    raw = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    items = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), f"array<struct<{ddl}>>")
+    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
+
+
+def _one_of(value: Column, spec) -> Column:
+    clean = F.lower(F.trim(value))
+    return F.when(clean.isin(*spec[0]), clean).otherwise(spec[1])
 
-    def one_of(field: str, spec) -> Column:
-        value = F.lower(F.trim(parsed[field]))
-        return F.when(value.isin(*spec[0]), value).otherwise(spec[1])
 
+def parse_completions(df: DataFrame, text: str = "completion") -> DataFrame:
+    """Direction, strength and relative label from the outermost braces of the text; defaults when broken."""
+    parsed = _first_object(F.col(text), "direction:string,strength:string,relative_to_spy:string")
     return df.select(
         *df.columns,
-        one_of("direction", DIRECTIONS).alias("direction"),
-        one_of("strength", STRENGTHS).alias("strength"),
-        one_of("relative_to_spy", RELATIVES).alias("relative"),
+        _one_of(parsed["direction"], DIRECTIONS).alias("direction"),
+        _one_of(parsed["strength"], STRENGTHS).alias("strength"),
+        _one_of(parsed["relative_to_spy"], RELATIVES).alias("relative"),
+    )
+
+
+def parse_sentiment(df: DataFrame, text: str = "answer") -> DataFrame:
+    """Label and signed score from a JSON answer with label and confidence, else from its first word."""
+    body = F.trim(F.col(text))
+    items = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<struct<label:string,confidence:double>>")
+    parsed = F.when(body.startswith("{") & (F.size(items) == 1), F.get(items, F.lit(0)))
+    word = F.lower(F.regexp_replace(F.regexp_extract(body, r"^(\S+)", 1), r"^[.,:;\"']+|[.,:;\"']+$", ""))
+    label = _one_of(F.when(parsed.isNotNull(), F.coalesce(parsed["label"], F.lit("neutral"))).otherwise(word), DIRECTIONS)
+    sure = F.when(parsed.isNotNull(), F.coalesce(parsed["confidence"], F.lit(0.0))).otherwise(1.0)
+    bounded = clip(sure, F.lit(0.0), F.lit(1.0))
+    score = F.when(label == "bullish", bounded).when(label == "bearish", -bounded).otherwise(0.0)
+    return df.select(*df.columns, label.alias("label"), F.round(score, 6).alias("score"))
+
+
+def calibrate(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Entry and exit thresholds from the 65th and 35th order statistic of the non-zero scores."""
+    from barline.plans.ranks import quantiles
+
+    real = scores.where(F.abs("score") > 1e-9)
+    found = quantiles(real, keys, "score", {"_e": 0.65, "_x": 0.35}, order_stat=True)
+    entry = F.greatest(F.lit(0.03), F.col("_e"))
+    out = scores.select(*keys).distinct().join(found, keys, "left")
+    return out.select(
+        *keys,
+        F.coalesce(entry, F.lit(0.05)).alias("entry_threshold"),
+        F.when(F.col("_x").isNull(), 0.02).otherwise(F.least(entry - 1e-6, F.greatest(F.lit(0.0), F.col("_x")))).alias("exit_threshold"),
+    )
+
+
+def staleness(sources: DataFrame, seen: DataFrame, now: Column, limit_s: int = 1800, key: str = "symbol") -> DataFrame:
+    """Age of the newest score per source; stale when older than the limit or never seen."""
+    newest = seen.groupBy(key).agg(F.max("ts").alias("last_ts"))
+    age = F.unix_seconds(now) - F.unix_seconds("last_ts")
+    return sources.join(newest, key, "left").select(
+        key, "last_ts", age.alias("age_s"), (F.col("last_ts").isNull() | (age > limit_s)).alias("stale")
     )
 
 
+def news_coverage(bundles: DataFrame, scores: DataFrame) -> DataFrame:
+    """Articles, news days and days per label for each symbol."""
+    news = bundles.groupBy("symbol").agg(F.sum("articles").alias("articles"), F.count("*").alias("news_days"))
+    tone = scores.groupBy("symbol").agg(
+        *[F.count_if(F.col("label") == x).alias(f"{x}_days") for x in ("bullish", "bearish", "neutral")]
+    )
+    return news.join(tone, "symbol", "full_outer")
+
+
+# Currency pairs and the symbols whose news stand in for them.
+NEWS_PROXIES = {
+    "EURUSD": ["FXE", "UUP"], "USDJPY": ["FXY", "UUP"], "GBPUSD": ["FXB", "UUP"], "AUDUSD": ["FXA", "UUP"],
+    "USDCAD": ["FXC", "UUP"], "USDCHF": ["FXF", "UUP"], "EURJPY": ["FXE", "FXY"],
+}
+
+
+def news_symbols(df: DataFrame, proxies: dict[str, list[str]] = NEWS_PROXIES, column: str = "symbol") -> DataFrame:
+    """One row per symbol to read news for: the proxies of a pair, or the symbol itself."""
+    table = F.create_map(*[x for k, v in proxies.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
+    names = F.coalesce(F.try_element_at(table, F.col(column)), F.array(F.col(column)))
+    return df.withColumn("news_symbol", F.explode(names))
+
+
 def lagged_sentiment(days: DataFrame, k: int, weak: float, share: float) -> DataFrame:
     """Mean score of the previous ``k`` days (today excluded) and a flag for weak or neutral stretches."""
 

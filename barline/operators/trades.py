@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from barline.functions.scalar import hash_unit
 from barline.plans.blocks import BLOCK, in_blocks, running
 from barline.plans.chain import reachable
 from barline.session import checkpoint_ready
@@ -298,3 +299,29 @@ def fill_costs(orders: DataFrame, a: dict[str, float]) -> DataFrame:
 def whole_cost(a: dict[str, float]) -> float:
     """Round-trip cost in bps without participation limits."""
     return math.fsum([a["spread_bps"], 2 * a["impact_bps"], a["buy_fee_bps"], a["sell_fee_bps"]])
+
+
+def net_trades(fills: DataFrame, a: dict[str, float]) -> DataFrame:
+    """Net return per trade (symbol, entry_pos) from its buy and sell fills, when participation does not bind."""
+    paid = F.col("fill_price") * (1 + a["buy_fee_bps"] / 10000.0)
+    got = F.col("fill_price") * (1 - a["sell_fee_bps"] / 10000.0 - a["sec_per_million"] / 1000000.0) - a["taf_per_share"]
+    both = fills.groupBy("symbol", "entry_pos").agg(
+        F.max(F.when(F.col("side") == "buy", paid)).alias("_paid"), F.max(F.when(F.col("side") == "sell", got)).alias("_got")
+    )
+    return both.select("symbol", "entry_pos", (F.col("_got") / F.col("_paid") - 1).alias("trade_ret")).where("trade_ret IS NOT NULL")
+
+
+def random_entries(rows: DataFrame, ret: str, rate: float, seeds: int) -> DataFrame:
+    """Control: enter at random with the given rate; spread of the mean return over the seeds.
+
+    The draw of a row is a hash of (seed, symbol, pos), so it does not depend on partitioning or retries.
+    """
+    drawn = rows.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    entered = drawn.where(hash_unit(F.col("seed"), F.col("symbol"), F.col("pos")) < rate)
+    per_seed = entered.groupBy("seed").agg(F.avg(ret).alias("r"), F.count("*").alias("n"))
+    spread = per_seed.agg(
+        F.avg("r").alias("mean_return"), F.stddev_pop("r").alias("std_return"), F.avg("n").alias("mean_entries"),
+        F.sort_array(F.collect_list("r")).alias("_r"),  # one number per seed
+    )
+    low, high = max(0, int(0.05 * seeds) - 1), min(seeds - 1, int(0.95 * seeds))
+    return spread.select("mean_return", "std_return", "mean_entries", F.get("_r", F.lit(low)).alias("p05"), F.get("_r", F.lit(high)).alias("p95"))
