@@ -131,19 +131,23 @@ def factor_corr(pairs: DataFrame, min_days: int = 30, keys: Sequence[str] = ("a"
     )
 
 
-def accept(scores: DataFrame, min_ic: float = 0.02, min_icir: float = 0.5, max_turnover: float = 0.6) -> DataFrame:
+# Acceptance limits of a factor.
+MIN_IC, MIN_ICIR, MAX_TURNOVER, MAX_CORR = 0.02, 0.25, 0.45, 0.70
+
+
+def accept(scores: DataFrame, min_ic: float = MIN_IC, min_icir: float = MIN_ICIR, max_turnover: float = MAX_TURNOVER) -> DataFrame:
     """Factors strong enough in either direction and stable enough."""
     return scores.where(
         (F.abs("rank_ic") >= min_ic) & (F.abs("icir") >= min_icir) & (F.col("turnover") <= max_turnover)
     )
 
 
-def drop_correlated(scores: DataFrame, corr: DataFrame, limit: float = 0.7) -> list[str]:
-    """Names kept when walking from the best |IC| down and skipping those correlated with a kept one.
+def drop_correlated(scores: DataFrame, corr: DataFrame, limit: float = MAX_CORR) -> list[str]:
+    """Names kept when walking from the largest |ICIR| down and skipping those correlated with a kept one.
 
     Both inputs have one row per factor or factor pair, i.e. they are bounded by the number of expressions.
     """
-    ranked = [r["factor"] for r in scores.orderBy(F.desc(F.abs("rank_ic")), "factor").collect()]
+    ranked = [r["factor"] for r in scores.orderBy(F.desc(F.abs("icir")), "factor").collect()]
     linked = {frozenset((r["a"], r["b"])) for r in corr.where(F.abs("corr") > limit).collect()}
     kept: list[str] = []
     for name in ranked:

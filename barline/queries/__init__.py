@@ -1,4 +1,4 @@
-from barline.queries import crosssection, fixtures, labelling, reports, research, tables, text, timeseries, trading  # noqa: F401
+from barline.queries import crosssection, fixtures, labelling, learning, reports, research, streams, tables, text, timeseries, trading  # noqa: F401
 from barline.queries.registry import QUERIES, oracle
 
 __all__ = ["QUERIES", "oracle"]
