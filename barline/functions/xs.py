@@ -160,10 +160,10 @@ def deciles(df: DataFrame, x: str, y: str, buckets: int = 10) -> DataFrame:
     """Mean of ``y`` per quantile bucket of ``x`` (equal edges merged), with a check that the means rise."""
     pair = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     names = {f"_e{i}": i / buckets for i in range(buckets + 1)}
-    edges = quantiles(pair, [], x, names).select(F.array_distinct(F.array(*names)).alias("_edges"))  # one row
+    edges = quantiles(pair, [], x, names).select(F.array_distinct(F.array(*names)).alias("_edges"))
     below = F.size(F.filter("_edges", lambda e: e < F.col(x))) - 1
     means = (
-        pair.crossJoin(F.broadcast(edges))
+        pair.withColumn("_edges", edges.scalar())
         .groupBy(F.greatest(below, F.lit(0)).alias("bucket"))
         .agg(F.avg(y).alias("mean"), F.count("*").alias("n"))
     )
@@ -171,8 +171,6 @@ def deciles(df: DataFrame, x: str, y: str, buckets: int = 10) -> DataFrame:
     pairs = F.zip_with(
         F.slice("_m", 1, F.size("_m") - 1), F.slice("_m", F.lit(2), F.size("_m") - 1), lambda a, b: a["mean"] <= b["mean"]
     )
-    rising = table.select(
-        F.forall(pairs, lambda ok: ok).alias("monotone"),
-        (F.element_at("_m", -1)["mean"] - F.element_at("_m", 1)["mean"]).alias("top_minus_bottom"),
-    )
-    return means.crossJoin(F.broadcast(rising))
+    rising = table.select(F.forall(pairs, lambda ok: ok))
+    spread = table.select(F.element_at("_m", -1)["mean"] - F.element_at("_m", 1)["mean"])
+    return means.withColumn("monotone", rising.scalar()).withColumn("top_minus_bottom", spread.scalar())

@@ -54,8 +54,7 @@ def topn_book(scores: DataFrame, returns: DataFrame, cal: DataFrame, n: int, eve
     ``scores`` (symbol, ts, x), ``returns`` (symbol, ts, ret), ``cal`` (ts, ci). One row per session with the gross
     return, the turnover of that session's rebalance and the net return. No rebalance on the last session.
     """
-    last = F.broadcast(cal.agg(F.max("ci").alias("_last")))  # exactly one row
-    book_days = cal.crossJoin(last).where((F.col("ci") % every == 0) & (F.col("ci") < F.col("_last")))
+    book_days = cal.where((F.col("ci") % every == 0) & (F.col("ci") < cal.agg(F.max("ci")).scalar()))
     ranked = scores.where(F.col("x").isNotNull()).join(book_days.select("ts", "ci"), "ts")
     # Two-step top-n: per salt first, so a session with very many symbols is cut down in parallel.
     salted = Window.partitionBy("ci", F.pmod(F.xxhash64("symbol"), F.lit(16))).orderBy(F.desc("x"), "symbol")
@@ -94,12 +93,10 @@ def topn_book(scores: DataFrame, returns: DataFrame, cal: DataFrame, n: int, eve
 
 def event_sleeve(events: DataFrame, returns: DataFrame, cal: DataFrame, hold: int, bps: float) -> DataFrame:
     """Hold each event name for ``hold`` sessions after its event, equal weights among the names held."""
-    last = F.broadcast(cal.agg(F.max("ci").alias("_last")))  # exactly one row
     starts = events.join(cal.select("ts", "ci"), "ts")
     active = (
         starts.withColumn("ci", F.explode(F.sequence(F.col("ci") + 1, F.col("ci") + hold)))
-        .crossJoin(last)
-        .where(F.col("ci") <= F.col("_last"))
+        .where(F.col("ci") <= cal.agg(F.max("ci")).scalar())
         .select("symbol", "ci")
         .distinct()
     )

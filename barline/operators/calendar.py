@@ -27,10 +27,10 @@ def align_calendar(bars: DataFrame, bucket, start=None, end=None) -> DataFrame:
         days = days.where(F.col("ts") <= F.lit(end).cast("timestamp"))
         bars = bars.where(F.col("ts") <= F.lit(end).cast("timestamp"))
     cal = number_rows(days, [], ["ts"], bucket(F.col("ts")), pos="ci")
-    top = F.broadcast(cal.agg(F.max("ci").alias("_top")))  # exactly one row
     values = [c for c in bars.columns if c not in ("symbol", "ts", "pos")]
     placed = bars.join(cal, "ts").drop("pos")
-    placed = number_rows(placed, ["symbol"], ["ts"], bucket(F.col("ts"))).crossJoin(top)
+    placed = number_rows(placed, ["symbol"], ["ts"], bucket(F.col("ts")))
+    placed = placed.withColumn("_top", cal.agg(F.max("ci")).scalar())
 
     def fill(rows: DataFrame, w) -> DataFrame:
         until = F.coalesce(F.lead("ci").over(w) - 1, F.col("_top"))

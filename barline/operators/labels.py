@@ -15,13 +15,13 @@ from barline.plans.ranks import quantiles
 
 def period_of(cal: DataFrame, ci: str = "ci", train: float = 0.6, validation: float = 0.2, name: str = "period") -> DataFrame:
     """Chronological split of a numbered calendar: the first 60 % of days train, then 20 %, then the rest."""
-    size = F.broadcast(cal.agg(F.count("*").alias("_n")))  # exactly one row
+    days = cal.withColumn("_n", cal.agg(F.count("*")).scalar())
     label = (
         F.when(F.col(ci) < F.floor(F.lit(train) * F.col("_n")), "train")
         .when(F.col(ci) < F.floor(F.lit(train + validation) * F.col("_n")), "validation")
         .otherwise("test")
     )
-    return cal.crossJoin(size).withColumn(name, label).drop("_n")
+    return days.withColumn(name, label).drop("_n")
 
 
 def embargo(splits: DataFrame, k: int, ci: str = "ci", name: str = "period") -> DataFrame:
@@ -227,8 +227,7 @@ def walk_forward(rows: DataFrame, train: int, step: int, pos: str = "pos") -> Da
 
 def tile_windows(cal: DataFrame, n: int, recent: int = 252, ci: str = "ci") -> DataFrame:
     """Complete non-overlapping windows of ``n`` days, the last ``recent`` days and the full span."""
-    size = F.broadcast(cal.agg(F.count("*").alias("_n")))  # exactly one row
-    days = cal.crossJoin(size)
+    days = cal.withColumn("_n", cal.agg(F.count("*")).scalar())
     tile = F.floor(F.col(ci) / n)
     names = F.array(
         F.when(tile < F.floor(F.col("_n") / n), F.concat(F.lit("w"), F.lpad((tile + 1).cast("string"), 2, "0"))),

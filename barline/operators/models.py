@@ -27,15 +27,15 @@ def classifier(name: str, n_features: int, n_classes: int = 2, seed: int = 42):
     if name == "gradient_boosting":
         return GBTClassifier(maxDepth=3, maxIter=150, stepSize=0.05, minInstancesPerNode=20, seed=seed, **common)
     if name == "mlp":
-        return MultilayerPerceptronClassifier(layers=[n_features, 32, 16, n_classes], maxIter=200, seed=seed, **common)
+        return MultilayerPerceptronClassifier(layers=[n_features, 32, 16, n_classes], maxIter=60, seed=seed, **common)
     raise ValueError(f"unknown model {name}")
 
 
 def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Weight rows so that every class counts the same; the class table has one row per class."""
     sizes = df.groupBy(label).agg(F.count("*").alias("_c"))
-    totals = sizes.agg(F.sum("_c").alias("_all"), F.count("*").alias("_k"))
-    weights = sizes.crossJoin(F.broadcast(totals)).select(label, (F.col("_all") / (F.col("_k") * F.col("_c"))).alias("weight"))
+    rows, classes = sizes.agg(F.sum("_c")).scalar(), sizes.agg(F.count("*")).scalar()
+    weights = sizes.select(label, (rows / (classes * F.col("_c"))).alias("weight"))
     return df.join(F.broadcast(weights), label)
 
 
@@ -77,7 +77,7 @@ def fit_meta(train: DataFrame, features: Sequence[str], label: str = "label", se
     """Meta-model on a feature map laid out in name order, missing features = 0."""
     rows = assemble(train, features)
     net = MultilayerPerceptronClassifier(
-        layers=[len(features), 64, 32, 2], maxIter=200, seed=seed, featuresCol="features", labelCol=label, probabilityCol="probability"
+        layers=[len(features), 64, 32, 2], maxIter=60, seed=seed, featuresCol="features", labelCol=label, probabilityCol="probability"
     )
     return fit_scaled(rows, net)
 

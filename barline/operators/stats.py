@@ -28,15 +28,14 @@ def bootstrap_ci(
     known = cut(number_rows(events.where(F.col(value).isNotNull()), keys, order, bucket, pos="_i"))
     sizes = known.groupBy(*keys).agg(F.count("*").alias("_n"))
     seed_col = seed if isinstance(seed, Column) else F.lit(seed)
-    draws = (
-        known.join(sizes, keys) if keys else known.crossJoin(F.broadcast(sizes))
-    ).select(*keys, "_n", seed_col.alias("_seed"), "_i", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_rep"))
+    counted = known.join(sizes, keys) if keys else known.withColumn("_n", sizes.scalar())
+    draws = counted.select(*keys, "_n", seed_col.alias("_seed"), "_i", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_rep"))
     picked = draws.select(*keys, "_rep", F.floor(hash_unit(F.col("_seed"), F.col("_rep"), F.col("_i")) * F.col("_n")).alias("_i"))
     means = picked.join(known.select(*keys, "_i", F.col(value).alias("_v")), [*keys, "_i"]).groupBy(*keys, "_rep").agg(F.avg("_v").alias("_m"))
     edges = means.groupBy(*keys).agg(  # ``reps`` numbers per key
         F.percentile("_m", F.lit(alpha / 2)).alias("ci_low"), F.percentile("_m", F.lit(1 - alpha / 2)).alias("ci_high")
     )
-    joined = sizes.join(edges, keys, "left") if keys else sizes.crossJoin(edges)
+    joined = sizes.join(edges, keys, "left") if keys else edges.withColumn("_n", sizes.scalar())
     enough = F.col("_n") >= 3
     return joined.select(*keys, F.when(enough, F.col("ci_low")).alias("ci_low"), F.when(enough, F.col("ci_high")).alias("ci_high"))
 

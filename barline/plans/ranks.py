@@ -36,7 +36,7 @@ def value_positions(df: DataFrame, keys: Sequence[str], x: str, ranges: int = RA
         splits = distinct.groupBy(*keys).agg(sketch)
         cut = distinct.join(splits, keys)
     else:
-        cut = distinct.crossJoin(F.broadcast(distinct.agg(sketch)))  # the right side is exactly one row
+        cut = distinct.withColumn("_cuts", distinct.agg(sketch).scalar())
     cut = cut.withColumn("_rng", F.size(F.filter("_cuts", lambda c: c < F.col(x)))).drop("_cuts")
     sizes = cut.groupBy(*keys, "_rng").agg(F.sum("cnt").alias("_size"))
     per_key = Window.partitionBy(*keys)

@@ -201,13 +201,11 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One article per event. Its text is a whole document: first line as headline, the rest as summary."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     numbered = number_rows(docs, [], ["doc_id"], F.floor(F.col("doc_id") / 4096), pos="di")
-    size = F.broadcast(docs.agg(F.count("*").alias("nd")))  # exactly one row
     word = F.get(F.array(*[F.lit(" " + w) for w in HEADLINE_WORDS]), (_k() % 9).cast("int"))
     events = (
         table(spark, sf_dir, "events")
         .select("event_id", "ts", "user_id", _k().alias("k"), F.coalesce(word, F.lit("")).alias("word"))
-        .crossJoin(size)
-        .withColumn("di", F.col("event_id") % F.col("nd"))
+        .withColumn("di", F.col("event_id") % docs.agg(F.count("*")).scalar())
     )
     cut = F.instr("text", "\n")
     return events.join(numbered, "di").select(

@@ -39,8 +39,7 @@ def fused_model(spark, d):
         "vec_id", "embedding", (F.col("label") % 3).cast("double").alias("label"), (F.col("label") % 4).alias("sector"),
         F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"),
     )
-    edge = rows.agg((F.max("vec_id") * 0.7).alias("edge"))  # one row
-    rows = cut(rows.crossJoin(F.broadcast(edge)))
+    rows = cut(rows.withColumn("edge", rows.agg(F.max("vec_id") * 0.7).scalar()))
     out = models.fit_fused(rows.where("vec_id <= edge").drop("edge"), rows.where("vec_id > edge").drop("edge"), "embedding", ["norm"])
     return out.select("vec_id", "label", "sector", "direction", F.round("confidence", 4).alias("confidence"), "strength")
 

@@ -231,8 +231,7 @@ SELECT symbol, round(cur, 6) AS current, round(CASE WHEN coalesce(week, first) >
   round(CASE WHEN first > 0 THEN cur / first - 1 ELSE 0 END, 6) AS total_change, round(CASE WHEN day > 0 THEN (day - cur) / day * 10000 END, 4) AS day_loss_bps FROM c""")
 def equity_change(spark, d):
     events = fx.table(spark, d, "events")
-    now = events.agg(F.max("ts").alias("now"))  # one row
-    snaps = events.crossJoin(F.broadcast(now)).select(
+    snaps = events.withColumn("now", events.agg(F.max("ts")).scalar()).select(
         F.concat(F.lit("U"), F.col("user_id")).alias("symbol"), F.col("ts").alias("created_at"), F.col("event_id").alias("snapshot_id"),
         F.col("value").alias("equity"), "now",
     )

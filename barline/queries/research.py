@@ -291,13 +291,19 @@ def gate_checks(spark, d):
     per = metrics.return_metrics(windows, ["variant", "win"]).where("days = 126").groupBy("variant").agg(
         F.avg("sharpe").alias("mean_sharpe"), F.avg((F.col("total_return") > 0).cast("double")).alias("profitable_fraction")
     )
-    base = full.where("variant = 'slope_00'").select(F.col("sharpe").alias("base_sharpe"), F.col("max_drawdown").alias("base_max_drawdown"))  # one row
-    table = full.join(per, "variant").crossJoin(F.broadcast(base))
+    base = full.where("variant = 'slope_00'").select(F.col("sharpe").alias("base_sharpe"), F.col("max_drawdown").alias("base_max_drawdown"))
+    table = full.join(per, "variant").withColumns({c: base.select(c).scalar() for c in base.columns})
     out = gates.gate(table, gates.sleeve_checks(0.5), ["beats_baseline_sharpe_full_history"])
     return out.select("variant", F.array_join("failed_checks", ",").alias("failed"), "status")
 
 
-@query("lag_sensitivity")
+def _full_sql(source: str) -> str:
+    return f"""SELECT variant, product(1 + net) - 1 AS t, CASE WHEN stddev_pop(net) > 0 THEN avg(net) / stddev_pop(net) * sqrt(252) ELSE 0 END AS s, min(dd) AS d FROM (
+  SELECT *, eq / max(eq) OVER (PARTITION BY variant ORDER BY sp) - 1 AS dd FROM (SELECT *, product(1 + net) OVER (PARTITION BY variant ORDER BY sp) AS eq FROM {source})) GROUP BY variant"""
+
+
+@query("lag_sensitivity", "sleeve_out sleeve_out1", f"""WITH a AS ({_full_sql('sleeve_out')}), b AS ({_full_sql('sleeve_out1')})
+SELECT a.variant, round(a.t, 6) AS total_return_settled, round(a.s, 6) AS sharpe_settled, round(a.d, 6) AS max_drawdown_settled, round(b.t, 6) AS total_return_lag1, round(b.s, 6) AS sharpe_lag1, round(b.d, 6) AS max_drawdown_lag1 FROM a JOIN b USING (variant)""")
 def lag_sensitivity(spark, d):
     """Sleeve metrics with a settled signal (two closes old) against the latest one."""
     def scored(lag):

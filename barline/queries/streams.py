@@ -58,9 +58,8 @@ SELECT symbol, last_seen, coalesce((SELECT max(event_ts) FROM ticks) - last_seen
 def stale_sources(spark, d):
     """Users without a quote in the last day of the data."""
     ticks = fx.ticks(spark, d)
-    now = ticks.agg(F.max("event_ts").alias("now"))  # one row
     last = ticks.where("event_type = 'quote'")
-    sources = ticks.select("symbol").distinct().crossJoin(F.broadcast(now))
+    sources = ticks.select("symbol").distinct().withColumn("now", ticks.agg(F.max("event_ts")).scalar())
     return st.stale_sources(last, sources, F.col("now"), 86400)
 
 
@@ -103,13 +102,12 @@ def intraday_decisions(spark, d):
     """One decision per user at the end of the data, from its newest prediction, score and prices."""
     at = F.struct("event_ts", "event_id")
     ticks = fx.ticks(spark, d)
-    now = ticks.agg(F.to_date(F.max("event_ts")).alias("today"))  # one row
     price = ticks.groupBy("symbol").agg(
         F.max_by("price", at).alias("price"), F.min_by("price", at).alias("entry"), F.max("price").alias("high"), F.count("*").alias("n"), F.to_date(F.max("event_ts")).alias("last_day")
     )
     pred = fx.preds(spark, d).groupBy("symbol").agg(F.max_by("direction", "ts").alias("direction"), F.max_by("strength", "ts").alias("strength"))
     score = fx.scores(spark, d).groupBy("symbol").agg(F.max_by("label", "day").alias("label"), F.max_by("score", "day").alias("score"), F.max("day").alias("day"))
-    rows = price.join(pred, "symbol", "left").join(score, "symbol", "left").crossJoin(F.broadcast(now)).select(
+    rows = price.join(pred, "symbol", "left").join(score, "symbol", "left").withColumn("today", ticks.agg(F.to_date(F.max("event_ts"))).scalar()).select(
         "symbol", F.when(F.col("n") % 3 == 0, 1.0).otherwise(0.0).alias("qty"),
         ((F.col("direction") == "bullish") & F.col("strength").isin("medium", "high")).alias("model_long"), "label", "score",
         (F.col("day").isNull() | (F.date_diff("today", "day") > 2)).alias("stale"),

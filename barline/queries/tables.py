@@ -46,14 +46,14 @@ def tail_bars(spark, d):
     return books.tail_bars(fx.bars(spark, d), cal_ops.window_bars("1m")).select("symbol", "ts", F.round("close", 6).alias("close"))
 
 
-@query("index_csv")
+@query("index_csv", "", "SELECT 'orders' AS name, o_orderdate AS ts, arg_max(o_totalprice, o_orderkey) AS value FROM orders GROUP BY o_orderdate")
 def index_csv(spark, d):
     """Every order as a CSV line with one of three date formats; read back through the CSV reader."""
     day = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(
         F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "MM/dd/yyyy")
     ).otherwise(F.date_format("o_orderdate", "dd-MMM-yyyy"))
     rows = fx.table(spark, d, "orders").select(day.alias("DATE"), F.col("o_orderkey").alias("OPEN"), F.col("o_totalprice").alias("CLOSE"))
-    return readers.parse_index(rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns]), "orders")
+    return readers.parse_index(rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns]), "orders", F.col("OPEN").cast("bigint"))
 
 
 @query("rates_to_bars", "", """
@@ -92,7 +92,7 @@ def page_dates(spark, d):
     return readers.dates_from_pages(pages, r"monetary(\d{8})a")
 
 
-@query("jsonl_read")
+@query("jsonl_read", "", "SELECT conv_id, turn, role FROM conversations")
 def jsonl_read(spark, d):
     """Conversations as JSON lines, one line per conversation with its objects run together."""
     rows = fx.table(spark, d, "conversations").select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role")).alias("o"))
@@ -373,10 +373,11 @@ def vol_panel(spark, d):
     return panel(spark, d).select("ts", *r6("vix", "vvix"))
 
 
-@query("examples_json")
+@query("examples_json", "", "SELECT md5(text) AS prompt_md5, lang AS completion, length(text) AS n_chars FROM documents")
 def examples_json(spark, d):
     """Write prompt / completion examples of every document to JSON lines and read them back."""
     docs = fx.table(spark, d, "documents").select(F.col("text").alias("prompt"), F.col("lang").alias("completion"))
     path = scratch_path(spark, "examples")
     sinks.export_examples(docs, path)
-    return readers.read_jsonl(spark, path, "prompt string, completion string").drop("_corrupt")
+    back = readers.read_jsonl(spark, path, "prompt string, completion string")
+    return back.select(F.md5("prompt").alias("prompt_md5"), "completion", F.length("prompt").cast("bigint").alias("n_chars"))

@@ -161,11 +161,9 @@ WITH s AS (SELECT 'U' || user_id AS symbol, max(ts) FILTER (event_type = 'purcha
 SELECT symbol, last_ts, (floor(epoch(now)) - floor(epoch(last_ts)))::BIGINT AS age_s, last_ts IS NULL OR floor(epoch(now)) - floor(epoch(last_ts)) > 1800 AS stale FROM s, n""")
 def staleness(spark, d):
     events = fx.table(spark, d, "events").withColumn("symbol", F.concat(F.lit("U"), F.col("user_id")))
-    now = events.agg(F.max("ts").alias("now"))  # one row
-    users = events.select("symbol").distinct().crossJoin(F.broadcast(now))
+    users = events.select("symbol").distinct().withColumn("now", events.agg(F.max("ts")).scalar())
     seen = events.where("event_type = 'purchase'")
-    newest = users.join(seen.groupBy("symbol").agg(F.max("ts").alias("_l")), "symbol", "left").drop("_l")
-    return news.staleness(newest.select("symbol", "now"), seen, F.col("now"))
+    return news.staleness(users, seen, F.col("now"))
 
 
 @query("news_coverage", "eff scores", """

@@ -83,19 +83,22 @@ def sleeve_panel(spark, d):
 
 def run_variants(spark, d, lag=2, bps=3.0):
     rows = cut(sleeve_panel(spark, d))
-    last = F.broadcast(rows.agg(F.max("pos").alias("last_pos")))  # one row
-    grid = with_params(rows.crossJoin(last), VARIANTS)
+    grid = with_params(rows.withColumn("last_pos", rows.agg(F.max("pos")).scalar()), VARIANTS)
     return sleeves.weights_sleeve(grid, ["variant"], lag, bps)
 
-
-_LAG2 = "lag({0}) OVER v"
-view("sleeve_out", "sleeve_in variants", """
+def _sleeve_sql(lag: int) -> str:
+    at = (lambda c: f"lag({c}, {lag - 1}) OVER v") if lag > 1 else (lambda c: c)
+    return f"""
 SELECT variant, ts, sp, turnover, sw * coalesce(short_ret, 0) + lw * coalesce(long_ret, 0) + greatest(0, 1 - sw - lw) * coalesce(cash_ret, 0) - turnover * 0.0003::DOUBLE AS net FROM (
   SELECT *, CASE WHEN sp < last THEN abs(tsw - sw) + abs(tlw - lw) ELSE 0 END AS turnover FROM (
     SELECT *, coalesce(lag(tsw) OVER v, 0) AS sw, coalesce(lag(tlw) OVER v, 0) AS lw FROM (
       SELECT *, CASE WHEN ls > slope_min AND (NOT vrp_gate OR lv > 0) THEN 1.0::DOUBLE ELSE 0 END AS tsw, CASE WHEN ls <= slope_min AND long_leg AND ls < 0 AND lt > 0 THEN 1.0::DOUBLE ELSE 0 END AS tlw FROM (
-        SELECT *, lag(slope) OVER v AS ls, lag(vrp) OVER v AS lv, lag(trend) OVER v AS lt, max(sp) OVER () AS last FROM sleeve_in CROSS JOIN variants WINDOW v AS (PARTITION BY variant ORDER BY sp)))
-    WINDOW v AS (PARTITION BY variant ORDER BY sp)))""")
+        SELECT *, {at('slope')} AS ls, {at('vrp')} AS lv, {at('trend')} AS lt, max(sp) OVER () AS last FROM sleeve_in CROSS JOIN variants WINDOW v AS (PARTITION BY variant ORDER BY sp)))
+    WINDOW v AS (PARTITION BY variant ORDER BY sp)))"""
+
+
+view("sleeve_out", "sleeve_in variants", _sleeve_sql(2))
+view("sleeve_out1", "sleeve_in variants", _sleeve_sql(1))
 
 
 @query("weights_sleeve", "sleeve_out", "SELECT variant, ts, round(turnover, 6) AS turnover, round(net, 6) AS net FROM sleeve_out")

@@ -39,12 +39,15 @@ def read_bars(spark: SparkSession, path: str, symbols: Sequence[str] = (), start
 INDEX_DATES = ["yyyy-MM-dd", "MM/dd/yyyy", "M/d/yyyy", "dd-MMM-yyyy"]
 
 
-def parse_index(rows: DataFrame, name: str) -> DataFrame:
-    """First column is the date, CLOSE or else the last column the value; last of duplicate dates wins."""
+def parse_index(rows: DataFrame, name: str, order: Column | None = None) -> DataFrame:
+    """First column is the date, CLOSE or else the last column the value; last of duplicate dates wins.
+
+    Lines of one file keep their order; pass ``order`` when the rows come from several files.
+    """
     date, value = rows.columns[0], next((c for c in rows.columns if c.strip().upper() == "CLOSE"), rows.columns[-1])
     day = F.coalesce(*[F.try_to_timestamp(F.trim(F.col(f"`{date}`")), F.lit(f)) for f in INDEX_DATES])
     number = F.col(f"`{value}`").try_cast("double")
-    parsed = rows.select(day.alias("ts"), number.alias("value"), F.monotonically_increasing_id().alias("_line"))
+    parsed = rows.select(day.alias("ts"), number.alias("value"), (F.monotonically_increasing_id() if order is None else order).alias("_line"))
     parsed = parsed.where(F.col("ts").isNotNull() & F.col("value").isNotNull())
     return latest_per(parsed, ["ts"], ["_line"]).select(F.lit(name).alias("name"), "ts", "value")
 
@@ -86,7 +89,9 @@ def dates_from_pages(pages: DataFrame, pattern: str, expected: int = 8, html: st
 
 def split_json_lines(lines: DataFrame, ddl: str, column: str = "value") -> DataFrame:
     """Objects of JSON lines that may hold several objects per line or broken text (kept in ``_corrupt``)."""
-    parts = F.split(F.regexp_replace(F.trim(F.col(column)), r"\}\s*\{", "}\u0001{"), "\u0001")
+    # A boundary is "}{" followed by a key. Inside a string the quote of such a key would be escaped.
+    boundary = r"\}\s*(?=\{\s*\"(?:[^\"\\]|\\.)*\"\s*:)"
+    parts = F.split(F.regexp_replace(F.trim(F.col(column)), boundary, "}\u0001"), "\u0001")
     objects = lines.where(F.trim(F.col(column)) != "").select(F.explode(parts).alias("_o"))
     parsed = F.from_json("_o", ddl + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     return objects.select(parsed.alias("r")).select("r.*")
