@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from barline.functions.scalar import clip, corr_of
-from barline.plans.blocks import number_rows
+from barline.plans.blocks import in_blocks, number_rows
 from barline.plans.ranks import average_rank, average_ranks, quantiles
 from barline.session import cut
 
@@ -55,7 +55,7 @@ def rank_ensemble(df: DataFrame, signs: dict[str, float], name: str = "ensemble"
 def _rank_pairs(long: DataFrame, y: str, keys: Sequence[str]) -> DataFrame:
     """Ranks of ``x`` and ``y`` within (keys, ts), over the rows that have both."""
     valid = long.where(F.col("x").isNotNull() & F.col(y).isNotNull())
-    return average_ranks(valid, [*keys, "ts"], {"_rx": "x", "_ry": y}, pct=False)
+    return average_ranks(valid, [*keys, "ts"], {"_rx": "x", "_ry": y}, pct=False, cheap=True)
 
 
 def _daily_corr(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -64,21 +64,22 @@ def _daily_corr(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def ic_series(long: DataFrame, fwd: str, keys: Sequence[str], min_symbols: int) -> DataFrame:
     """Rank correlation of ``x`` with the forward return per (keys, ts), over times with enough symbols."""
-    return _daily_corr(_rank_pairs(long, fwd, keys), keys).where(F.col("n") >= min_symbols)
+    return _daily_corr(_rank_pairs(cut(long), fwd, keys), keys).where(F.col("n") >= min_symbols)
 
 
 def _rank_turnover(ranked: DataFrame, cal: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean absolute change of the percentile rank between consecutive times, averaged per time first."""
     keys = list(keys)
-    sizes = ranked.groupBy(*keys, "ts").agg(F.count("*").alias("_n"))
-    placed = (
-        ranked.join(sizes, [*keys, "ts"]).join(cal, "ts").select(*keys, "symbol", "ci", (F.col("_rx") / F.col("_n")).alias("_p"))
-    )
-    before = placed.select(*keys, "symbol", (F.col("ci") + 1).alias("ci"), F.col("_p").alias("_q"))
-    moved = placed.join(before, [*keys, "symbol", "ci"]).groupBy(*keys, "ci").agg(
-        F.avg(F.abs(F.col("_p") - F.col("_q"))).alias("_t")
-    )
-    return moved.groupBy(*keys).agg(F.avg("_t").alias("turnover"))
+    size = F.count("*").over(Window.partitionBy(*keys, "ts"))
+    placed = ranked.select(*keys, "symbol", "ts", (F.col("_rx") / size).alias("_p")).join(cal, "ts")
+
+    def change(rows: DataFrame, w) -> DataFrame:
+        follows = F.lag("ci").over(w) == F.col("ci") - 1
+        return rows.withColumn("_move", F.when(follows, F.abs(F.col("_p") - F.lag("_p").over(w))))
+
+    moved = in_blocks(placed, change, back=1, keys=[*keys, "symbol"], pos="ci")
+    daily = moved.groupBy(*keys, "ci").agg(F.avg("_move").alias("_t"))
+    return daily.groupBy(*keys).agg(F.avg("_t").alias("turnover"))
 
 
 def factor_ic(
@@ -125,7 +126,7 @@ def factor_ic(
 def factor_corr(pairs: DataFrame, min_days: int = 30, keys: Sequence[str] = ("a", "b")) -> DataFrame:
     """Mean per-time rank correlation of two factors; ``pairs`` has (keys, symbol, ts, x, y)."""
     keys = list(keys)
-    daily = _daily_corr(_rank_pairs(pairs, "y", keys), keys).withColumnRenamed("ic", "c")
+    daily = _daily_corr(_rank_pairs(cut(pairs), "y", keys), keys).withColumnRenamed("ic", "c")
     return daily.groupBy(*keys).agg(
         F.when(F.count("*") < min_days, 0.0).otherwise(F.coalesce(F.avg("c"), F.lit(0.0))).alias("corr")
     )

@@ -74,10 +74,15 @@ def average_ranks(
     pct: bool = True,
     ranges: int = RANGES,
     group_rows: int = GROUP_ROWS,
+    cheap: bool = False,
 ) -> DataFrame:
-    """Like :func:`average_rank` for several columns of one table: ``names`` maps result column to input column."""
+    """Like :func:`average_rank` for several columns of one table: ``names`` maps result column to input column.
+
+    The table is read more than once, so it is written out first unless the caller knows that it is ``cheap``
+    to read again (a filter or projection of a table already written).
+    """
     keys = list(keys)
-    df = cut(df)
+    df = df if cheap else cut(df)
     if largest_group(df, keys) <= group_rows:
         columns = []
         for name, x in names.items():
