@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from barline.functions.scalar import clip, corr_of
 from barline.plans.blocks import in_blocks, number_rows
@@ -55,7 +55,7 @@ def rank_ensemble(df: DataFrame, signs: dict[str, float], name: str = "ensemble"
 def _rank_pairs(long: DataFrame, y: str, keys: Sequence[str]) -> DataFrame:
     """Ranks of ``x`` and ``y`` within (keys, ts), over the rows that have both."""
     valid = long.where(F.col("x").isNotNull() & F.col(y).isNotNull())
-    return average_ranks(valid, [*keys, "ts"], {"_rx": "x", "_ry": y}, pct=False, cheap=True)
+    return average_ranks(valid, [*keys, "ts"], {"_rx": "x", "_ry": y}, pct=False, cheap=True, size="_size")
 
 
 def _daily_corr(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -70,8 +70,7 @@ def ic_series(long: DataFrame, fwd: str, keys: Sequence[str], min_symbols: int)
 def _rank_turnover(ranked: DataFrame, cal: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean absolute change of the percentile rank between consecutive times, averaged per time first."""
     keys = list(keys)
-    size = F.count("*").over(Window.partitionBy(*keys, "ts"))
-    placed = ranked.select(*keys, "symbol", "ts", (F.col("_rx") / size).alias("_p")).join(cal, "ts")
+    placed = ranked.select(*keys, "symbol", "ts", (F.col("_rx") / F.col("_size")).alias("_p")).join(cal, "ts")
 
     def change(rows: DataFrame, w) -> DataFrame:
         follows = F.lag("ci").over(w) == F.col("ci") - 1

@@ -28,7 +28,7 @@ def embargo(splits: DataFrame, k: int, ci: str = "ci", name: str = "period") ->
     """Mark the last ``k`` days of train and validation as embargoed."""
     ends = splits.groupBy(name).agg(F.max(ci).alias("_end"))  # three rows
     near = (F.col(name) != "test") & (F.col(ci) > F.col("_end") - k)
-    return splits.join(F.broadcast(ends), name).select(
+    return splits.join(ends, name).select(
         *[F.when(near, "embargo").otherwise(F.col(c)).alias(c) if c == name else F.col(c) for c in splits.columns]
     )
 

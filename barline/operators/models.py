@@ -36,7 +36,7 @@ def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     sizes = df.groupBy(label).agg(F.count("*").alias("_c"))
     rows, classes = sizes.agg(F.sum("_c")).scalar(), sizes.agg(F.count("*")).scalar()
     weights = sizes.select(label, (rows / (classes * F.col("_c"))).alias("weight"))
-    return df.join(F.broadcast(weights), label)
+    return df.join(weights, label)
 
 
 def assemble(df: DataFrame, features: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:

@@ -75,11 +75,13 @@ def average_ranks(
     ranges: int = RANGES,
     group_rows: int = GROUP_ROWS,
     cheap: bool = False,
+    size: str | None = None,
 ) -> DataFrame:
     """Like :func:`average_rank` for several columns of one table: ``names`` maps result column to input column.
 
     The table is read more than once, so it is written out first unless the caller knows that it is ``cheap``
-    to read again (a filter or projection of a table already written).
+    to read again (a filter or projection of a table already written). ``size`` adds the number of non-null
+    values of the first column in the group.
     """
     keys = list(keys)
     df = df if cheap else cut(df)
@@ -91,15 +93,18 @@ def average_ranks(
             rank = F.rank().over(known.orderBy(x)) + (ties - 1) / 2
             rank = rank / F.count("*").over(known) if pct else rank
             columns.append(F.when(F.col(x).isNotNull(), rank).alias(name))
+        if size:
+            columns.append(F.count(next(iter(names.values()))).over(Window.partitionBy(*keys)).alias(size))
         return df.select(*df.columns, *columns)
     out = df
     for name, x in names.items():
         rank = F.col("below") + (F.col("cnt") + 1) / 2
         positions = value_positions(df, keys, x, ranges).select(
-            *keys, x, (rank / F.col("total") if pct else rank).alias(name)
+            *keys, x, (rank / F.col("total") if pct else rank).alias(name), F.col("total").alias(f"_size_{name}")
         )
         out = out.join(positions, [*keys, x], "left")
-    return out.select(*df.columns, *names)
+    sizes = [F.col(f"_size_{next(iter(names))}").alias(size)] if size else []
+    return out.select(*df.columns, *names, *sizes)
 
 
 def quantiles(

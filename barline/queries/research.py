@@ -14,7 +14,7 @@ from barline.queries import fixtures as fx
 from barline.queries.crosssection import returns as bar_returns
 from barline.queries.registry import query, view
 from barline.queries.tables import index_returns, month_end_events, r6
-from barline.queries.timeseries import panel
+from barline.queries.timeseries import panel, week_and_prefix
 from barline.queries.trading import run_variants
 from barline.session import cut
 
@@ -149,7 +149,7 @@ n AS (SELECT *, row_number() OVER (ORDER BY ts, symbol) - 1 AS seq FROM g WHERE
 q AS (SELECT *, CASE WHEN seq >= 200 THEN quantile_cont(gap, 0.9) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS threshold FROM n)
 SELECT symbol, ts, round(gap, 6) AS gap, round(fwd5, 6) AS fwd_5 FROM q WHERE gap >= threshold""")
 def gap_drift_events(spark, d):
-    out = events.gap_drift(fx.bars(spark, d), time_bucket("ts", fx.WEEK), horizons=(5,))
+    out = events.gap_drift(fx.bars(spark, d), week_and_prefix(), horizons=(5,))
     return out.select("symbol", "ts", *r6("gap", "fwd_5"))
 
 

@@ -19,8 +19,9 @@ def r6(*cols):
     return [F.round(c, 6).alias(c) for c in cols]
 
 
-def hours(col):
-    return time_bucket(col, 4096 * 3600)
+def minutes(col):
+    """Bucket of event-level data; short, because one symbol may have very many events."""
+    return time_bucket(col, 60)
 
 
 # ---- sources
@@ -94,9 +95,10 @@ def page_dates(spark, d):
 
 @query("jsonl_read", "", "SELECT conv_id, turn, role FROM conversations")
 def jsonl_read(spark, d):
-    """Conversations as JSON lines, one line per conversation with its objects run together."""
+    """Conversations as JSON lines, up to eight turns run together on a line."""
     rows = fx.table(spark, d, "conversations").select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role")).alias("o"))
-    lines = rows.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list("o")), " ").alias("value"))
+    # At most eight turns per line, so a very long conversation becomes many lines.
+    lines = rows.groupBy("conv_id", F.floor(F.col("turn") / 8)).agg(F.array_join(F.sort_array(F.collect_list("o")), " ").alias("value"))
     return readers.split_json_lines(lines, "conv_id bigint, turn bigint, role string").drop("_corrupt")
 
 
@@ -276,7 +278,7 @@ def next_bar(spark, d):
     stamps = fx.table(spark, d, "events").select(
         F.col("event_id").alias("article_id"), F.concat(F.lit("U"), F.col("user_id")).alias("symbol"), F.col("ts").alias("created_at")
     )
-    out = joins.next_bar(stamps, cal_ops.regular_hours(fx.bars_h(spark, d)), hours)
+    out = joins.next_bar(stamps, cal_ops.regular_hours(fx.bars_h(spark, d)), minutes)
     return out.select("article_id", "bar_ts")
 
 
@@ -298,7 +300,7 @@ def asof_pred(spark, d):
     """Predictions exist in regular hours only; every bar sees the latest one."""
     hourly = cut(fx.bars_h(spark, d))
     preds = fx.preds_of(cal_ops.regular_hours(hourly))
-    out = joins.asof_backward(hourly.select("symbol", "ts"), preds, ["direction", "strength"], hours)
+    out = joins.asof_backward(hourly.select("symbol", "ts"), preds, ["direction", "strength"], lambda c: time_bucket(c, 4096 * 3600))
     return out.select("symbol", "ts", "matched_ts", "direction", "strength")
 
 

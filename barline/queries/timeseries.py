@@ -271,12 +271,19 @@ def expanding_q90(spark, d):
 
 def gap_events(spark, d) -> DataFrame:
     """Opening gaps of all symbols in one global order."""
-    from barline.plans.blocks import number_rows, time_bucket
+    from barline.plans.blocks import number_rows
 
     gaps = in_blocks(
         fx.bars(spark, d), lambda r, w: r.withColumn("gap", F.col("open") / F.lag("close").over(w) - 1), back=1
     ).where(F.col("gap").isNotNull())
-    return number_rows(gaps, [], ["ts", "symbol"], time_bucket("ts", fx.WEEK), pos="seq")
+    return number_rows(gaps, [], ["ts", "symbol"], week_and_prefix(), pos="seq")
+
+
+def week_and_prefix():
+    """Bucket for the global order (ts, symbol): weeks are cut further by the first letters of the symbol."""
+    from barline.plans.blocks import time_bucket
+
+    return F.struct(time_bucket("ts", fx.WEEK).alias("w"), F.substring("symbol", 1, 4).alias("s"))
 
 
 @query(

@@ -215,6 +215,21 @@ def tick_sessions(ticks: DataFrame, gap: str = "1 hour") -> DataFrame:
     ).select("symbol", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "ticks", "high", "low")
 
 
+def sessions_batch(ticks: DataFrame, gap_s: int, bucket: Column) -> DataFrame:
+    """Batch twin of :func:`tick_sessions` that does not bring all ticks of a symbol together."""
+    rows = number_rows(ticks, ["symbol"], ["event_ts", "event_id"], bucket)
+
+    def starts(r: DataFrame, w) -> DataFrame:
+        near = F.unix_micros("event_ts") - F.unix_micros(F.lag("event_ts").over(w)) < gap_s * 1_000_000
+        return r.withColumn("_new", F.when(near, 0).otherwise(1))
+
+    marked = running(in_blocks(rows, starts, back=1), {"_sid": ("sum", F.col("_new"))})
+    end = F.max("event_ts") + F.make_dt_interval(secs=F.lit(gap_s))
+    return marked.groupBy("symbol", "_sid").agg(
+        F.min("event_ts").alias("start"), end.alias("end"), F.count("*").alias("ticks"), F.max("price").alias("high"), F.min("price").alias("low")
+    ).drop("_sid")
+
+
 # ---- R05: fan-out
 
 

@@ -66,7 +66,7 @@ def test_bars_drop_late_and_repeated_ticks(spark, tmp_path):
     src = tmp_path / "src"
     src.mkdir()
     minute = lambda m, p, i: ("a", "bar", p, 1.0, T0 + dt.timedelta(minutes=m), i)
-    batches = [[minute(0, 1.0, 1), minute(0, 1.0, 1), minute(1, 2.0, 2)], [minute(30, 3.0, 3)], [minute(2, 99.0, 4), minute(31, 4.0, 5)], [minute(90, 5.0, 6)]]
+    batches = [[minute(0, 1.0, 1), minute(0, 1.0, 1), minute(1, 2.0, 2)], [minute(30, 3.0, 3)], [minute(32, 3.5, 7)], [minute(2, 99.0, 4), minute(31, 4.0, 5)], [minute(90, 5.0, 6)]]
     for n, part in enumerate(batches):
         lines = spark.createDataFrame(part, SCHEMA).select(F.to_json(F.struct("*")).alias("v")).toPandas()["v"]
         (src / f"{n}.json").write_text("\n".join(lines))
@@ -74,7 +74,7 @@ def test_bars_drop_late_and_repeated_ticks(spark, tmp_path):
     clean = st.clean_ticks(stream(spark, src), "5 minutes")
     st.run_to_end(st.tick_bars(clean, "10 minutes"), str(tmp_path / "out"), str(tmp_path / "state"))
     got = {r["ts"].minute: (r["open"], r["close"], r["volume"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {0: (1.0, 2.0, 2.0), 30: (3.0, 4.0, 2.0)}
+    assert got == {0: (1.0, 2.0, 2.0), 30: (3.0, 3.5, 3.0)}
 
 
 def test_fan_out(spark, rows, files, tmp_path):

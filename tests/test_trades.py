@@ -1,5 +1,7 @@
 """Exit labelling and chaining against a bar-by-bar walk over random bars."""
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -92,7 +94,7 @@ def test_sweep_equals_single_runs(spark):
 
 
 def test_close_mode_tests_closes_only(spark):
-    rows = [("a", i, pd.Timestamp("2024-01-01") + pd.Timedelta(days=i), c, c, c * 0.5, c, 1) for i, c in enumerate([100.0, 101.0, 99.5, 98.0, 97.0])]
+    rows = [("a", i, dt.datetime(2024, 1, 1) + dt.timedelta(days=i), c, c, c * 0.5, c, 1) for i, c in enumerate([100.0, 101.0, 99.5, 98.0, 97.0])]
     bars = spark.createDataFrame(rows, "symbol string, pos long, ts timestamp, open double, high double, low double, close double, signal int")
     first = label_exits(bars, exit_params(0.05, 0.02), mode="close").where("entry_pos = 0").first()
     assert (first["exit_pos"], first["exit_price"], first["reason"]) == (3, 98.0, "risk_exit")
