@@ -86,6 +86,8 @@ def average_ranks(
     keys = list(keys)
     df = df if cheap else cut(df)
     if largest_group(df, keys) <= group_rows:
+        # One shuffle on the keys serves every window below: they all cluster by the keys and more.
+        df = df.repartition(*keys) if keys else df
         columns = []
         for name, x in names.items():
             known = Window.partitionBy(*keys, F.col(x).isNull())
