@@ -105,7 +105,8 @@ def factor_values(spark, d, names=None):
         rows = with_returns(rows, w).withColumn("fwd5", ts.forward_return("close", 5, w))
         return factors.with_factors(rows, w, names)
 
-    return in_blocks(fx.bars(spark, d), add, back=factors.REACH, fwd=5)
+    # The bars are written once: the many windows then start from a short plan.
+    return in_blocks(cut(fx.bars(spark, d)), add, back=factors.REACH, fwd=5)
 
 
 @query("rank_ensemble", "ens", "SELECT symbol, ts, round(x, 6) AS ensemble FROM ens")
