@@ -39,7 +39,8 @@ def state_session(spark: SparkSession) -> SparkSession:
     """A session of its own for the stream, so that the caller's settings stay as they are."""
     session = spark.newSession()
     for key, value in (
-        ("spark.sql.streaming.stateStore.providerClass", ROCKSDB), ("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true"),
+        ("spark.sql.streaming.stateStore.providerClass", ROCKSDB), ("spark.sql.streaming.stateStore.unloadOnCommit", "true"),
+        ("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true"),
         ("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256"), ("spark.sql.session.timeZone", "UTC"),
         ("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")),
     ):
