@@ -225,8 +225,8 @@ def subset_keys(own: np.ndarray, sizes: list[int]) -> np.ndarray:
     scrambled = mixed(own + np.uint64(1))
     total, found = scrambled.sum(dtype=np.uint64), []
     for c in sizes:
-        out = [total - scrambled[list(gone)].sum(dtype=np.uint64) for gone in combinations(range(len(own)), len(own) - c)]
-        found.append(mixed(np.array(out, np.uint64) * np.uint64(2 * c + 1)))
+        gone = np.array(list(combinations(range(len(own)), len(own) - c)), np.int64)
+        found.append(mixed((total - scrambled[gone].sum(axis=1, dtype=np.uint64)) * np.uint64(2 * c + 1)))
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
@@ -253,7 +253,8 @@ def signatures(docs: DataFrame, rule: Rule, frequent: np.ndarray, light: int) ->
                         as_larger, as_smaller = rule.prefix(n)
                         often = low[(own >> np.uint64(42)).astype(np.int64)]
                         if often.any():
-                            often[often] = np.isin(own[often], frequent)
+                            some = own[often]
+                            often[often] = frequent[np.minimum(np.searchsorted(frequent, some), len(frequent) - 1)] == some
                         order = own[~often]
                         if len(order) < as_larger:
                             order = np.concatenate((order, own[often]))

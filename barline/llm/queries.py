@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barline.llm import licences, secret_scan
 from barline.llm.common import documents
 from barline.llm.exact_dedup import exact_dedup
 from barline.llm.language import held_out, language_id
 from barline.llm.mixing import mix
 from barline.llm.ngram_join import Rule, ngram_join
 from barline.llm.packing import pack
+from barline.llm.personal import personal_data
 from barline.llm.shards import shard_by_bytes
 from barline.llm.topk import top_k, whole_numbers
 
@@ -120,3 +122,30 @@ QUERIES = {
     "op9_sharding": op9_sharding, "op10_exact_dedup": op10_exact_dedup,
 }
 SQL = {"op2_topk": OP2, "op8_mixing": OP8, "op10_exact_dedup": OP10}
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every text."""
+    return personal_data(documents(spark, sf_dir))
+
+
+QUERIES["op5_personal_data"] = op5_personal_data
+
+
+#: Where a document would lie in a source tree.
+PATH = "concat_ws('/', source, CAST(doc_id DIV 1000 AS STRING), CAST(doc_id DIV 50 AS STRING), concat(CAST(doc_id AS STRING), '.txt'))"
+#: Labelled findings: the tables hold no reviews, so that an assignment to a secret's name stands for one; a quarter of the findings has no label.
+REVIEWED = r"""CASE WHEN pmod(h, 4) <> 0 THEN lead RLIKE '(?i)(token|secret|key|password|passwd|credential)s?\\s*[=:]\\s*["\']?$' END"""
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate string of the documents, and whether the forest takes it for a secret."""
+    return secret_scan.scan(documents(spark, sf_dir), REVIEWED, PATH)
+
+
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, its own or that of the nearest directory."""
+    return licences.scan(documents(spark, sf_dir), PATH)
+
+
+QUERIES |= {"op1_secrets": op1_secrets, "op6_licences": op6_licences}

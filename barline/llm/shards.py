@@ -25,9 +25,12 @@ RANGES = 2048
 
 
 def splitters(keyed: DataFrame, sample: int, shards: int) -> np.ndarray:
-    """Sorted (k, d) keys of a size-weighted sample. A text that few sampled rows have is split from others but not inside."""
-    weight = -F.log(unit("k", "d")) / F.col("size")
-    rows = keyed.select("k", "d", weight.alias("w")).orderBy("w", "k", "d").limit(sample).collect()
+    """Sorted (k, d) keys of a size-weighted sample. A text that few sampled rows have is split from others but not inside.
+
+    A row is drawn with a chance that follows its size, so that about ``sample`` rows are drawn of any number.
+    """
+    total = keyed.agg(F.sum("size")).first()[0] or 1
+    rows = keyed.where(unit("k", "d") < F.col("size") * (sample / total)).select("k", "d").collect()
     pairs = sorted((r.k, r.d) for r in rows)
     counts: dict[int, int] = {}
     for k, _ in pairs:
