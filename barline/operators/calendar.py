@@ -105,12 +105,17 @@ def reaction_day(announced: Column, close_hour: int = 16) -> Column:
     return F.when(F.hour(announced) >= close_hour, F.date_add(F.to_date(announced), 1)).otherwise(F.to_date(announced))
 
 
+def on_calendar(date: Column, cal: DataFrame) -> Column:
+    """The date to look up in the map of ``cal``: a date before the first trading day looks that day up, however early it is."""
+    return F.greatest(date, cal.agg(F.min("day")).scalar())
+
+
 def next_trading_day_map(cal: DataFrame) -> DataFrame:
-    """Dense map: every calendar date up to the last trading day -> first trading day on or after it."""
+    """Dense map from the first to the last trading day: calendar date -> first trading day on or after it."""
     seen = running(
         cal, {"_prev": ("last", F.col("day"))}, keys=[], pos="ci", inclusive=False
     )
-    first = F.coalesce(F.date_add("_prev", 1), F.date_sub("day", 366))
+    first = F.coalesce(F.date_add("_prev", 1), F.col("day"))
     return seen.select(F.explode(F.sequence(first, F.col("day"))).alias("date"), F.col("day").alias("trading_day"))
 
 

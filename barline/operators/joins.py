@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barline.operators.calendar import next_trading_day_map
+from barline.operators.calendar import next_trading_day_map, on_calendar
 from barline.plans.asof import asof
 
 
@@ -29,8 +29,8 @@ def asof_backward(bars: DataFrame, preds: DataFrame, values: Sequence[str], buck
 
 def snap_events(events: DataFrame, cal: DataFrame, day: str = "day") -> DataFrame:
     """Move event dates to the first trading day on or after them; events past the calendar are dropped."""
-    days = next_trading_day_map(cal).withColumnRenamed("date", day)
-    return events.join(days, day)
+    days = next_trading_day_map(cal).withColumnRenamed("date", "_date")
+    return events.withColumn("_date", on_calendar(F.to_date(day), cal)).join(days, "_date").drop("_date")
 
 
 def outer_series(frames: dict[str, DataFrame]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barline.functions.scalar import clip
-from barline.operators.calendar import local_time, next_trading_day_map, session_label
+from barline.operators.calendar import local_time, next_trading_day_map, on_calendar, session_label
 from barline.plans.blocks import in_blocks
 
 # Ordered keyword groups; the first group with a keyword contained in the text gives the type.
@@ -22,14 +22,14 @@ EVENT_KEYWORDS = [
 
 
 def effective_day(articles: DataFrame, cal: DataFrame, close_hour: int = 16, zone: str | None = None) -> DataFrame:
-    """Trading day an article counts for: its own if before the close, else the next; dropped past the last.
+    """Trading day an article counts for: its own if before the close, else the next; the first for all earlier ones, dropped past the last.
 
     After shifting late articles by one day this is an equi-join on a dense date map, not a range join.
     """
     local = local_time("created_at", zone) if zone else local_time("created_at")
     shifted = F.when(F.hour(local) >= close_hour, F.date_add(F.to_date(local), 1)).otherwise(F.to_date(local))
     days = next_trading_day_map(cal)
-    return articles.withColumn("date", shifted).join(days, "date").drop("date")
+    return articles.withColumn("date", on_calendar(shifted, cal)).join(days, "date").drop("date")
 
 
 def event_type(text: Column) -> Column:

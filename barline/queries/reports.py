@@ -12,7 +12,7 @@ from barline.plans.blocks import in_blocks
 from barline.plans.ranks import quantiles
 from barline.queries import fixtures as fx
 from barline.queries.registry import query, view
-from barline.queries.tables import r6
+from barline.queries.tables import r6, r12
 from barline.queries.timeseries import momentum_signal
 from barline.session import cut
 
@@ -90,14 +90,14 @@ def trade_metrics(spark, d):
 
 
 @query("window_aggs", "runs", """
-SELECT strategy, cost_profile, count(*) AS windows, round(avg(total_return), 6) AS mean_total_return, round(median(total_return), 6) AS median_total_return, round(avg(sharpe), 4) AS mean_sharpe,
-  round(min(max_drawdown), 6) AS worst_max_drawdown, round(avg(CASE WHEN total_return > 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS profitable_fraction
+SELECT strategy, cost_profile, count(*) AS windows, round(avg(total_return), 12) AS mean_total_return, round(median(total_return), 12) AS median_total_return, round(avg(sharpe), 12) AS mean_sharpe,
+  round(min(max_drawdown), 12) AS worst_max_drawdown, round(avg(CASE WHEN total_return > 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS profitable_fraction
 FROM runs WHERE NOT starts_with(window_name, 'full') GROUP BY 1, 2""")
 def window_aggs(spark, d):
     out = metrics.window_aggregates(fx.runs(spark, d), ["strategy", "cost_profile"])
     return out.select(
-        "strategy", "cost_profile", "windows", *r6("mean_total_return", "median_total_return", "worst_max_drawdown"),
-        F.round("mean_sharpe", 4).alias("mean_sharpe"), F.round("profitable_fraction", 4).alias("profitable_fraction"),
+        "strategy", "cost_profile", "windows", *r12("mean_total_return", "median_total_return", "worst_max_drawdown"),
+        F.round("mean_sharpe", 12).alias("mean_sharpe"), F.round("profitable_fraction", 4).alias("profitable_fraction"),
     )
 
 
@@ -109,53 +109,53 @@ FROM latest GROUP BY 1, 2, 3""")
 _BOARD = ("avg_total_return", "avg_max_drawdown", "avg_win_rate", "avg_score", "composite_score", "best_window_return", "worst_window_return")
 
 
-@query("leaderboard", "board", "SELECT market, symbol, strategy, windows, profitable_windows, " + ", ".join(f"round({c}, 6) AS {c}" for c in _BOARD) + " FROM board")
+@query("leaderboard", "board", "SELECT market, symbol, strategy, windows, profitable_windows, " + ", ".join(f"round({c}, 12) AS {c}" for c in _BOARD) + " FROM board")
 def leaderboard(spark, d):
     out = metrics.leaderboard(fx.runs(spark, d)).orderBy(F.desc("composite_score"), "market", "symbol", "strategy")
-    return out.select("market", "symbol", "strategy", "windows", "profitable_windows", *r6(*_BOARD))
+    return out.select("market", "symbol", "strategy", "windows", "profitable_windows", *r12(*_BOARD))
 
 
 _PARAMS = ["strategy", "window_name", "market", "cost_profile"]
 
 
 @query("param_marginals", "runs", " UNION ALL ".join(
-    f"SELECT '{p}' AS param, {p} AS value, round(avg(total_return), 6) AS avg_total_return, round(avg(max_drawdown), 6) AS avg_max_drawdown, round(avg(score), 6) AS avg_score, count(*) AS runs FROM runs GROUP BY {p}"
+    f"SELECT '{p}' AS param, {p} AS value, round(avg(total_return), 12) AS avg_total_return, round(avg(max_drawdown), 12) AS avg_max_drawdown, round(avg(score), 12) AS avg_score, count(*) AS runs FROM runs GROUP BY {p}"
     for p in _PARAMS))
 def param_marginals(spark, d):
     out = metrics.param_marginals(fx.runs(spark, d), _PARAMS)
-    return out.select("param", "value", *r6("avg_total_return", "avg_max_drawdown", "avg_score"), "runs")
+    return out.select("param", "value", *r12("avg_total_return", "avg_max_drawdown", "avg_score"), "runs")
 
 
 @query("best_variant", "runs", """
-SELECT symbol, strategy, round(avg_score, 6) AS avg_score, round(avg_total_return, 6) AS avg_total_return FROM (
+SELECT symbol, strategy, round(avg_score, 12) AS avg_score, round(avg_total_return, 12) AS avg_total_return FROM (
   SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(avg_score, 12) DESC, strategy DESC) AS r FROM (
     SELECT symbol, strategy, avg(score) AS avg_score, avg(total_return) AS avg_total_return FROM runs GROUP BY 1, 2)) WHERE r = 1""")
 def best_variant(spark, d):
     means = fx.runs(spark, d).groupBy("symbol", "strategy").agg(F.avg("score").alias("avg_score"), F.avg("total_return").alias("avg_total_return"))
     out = metrics.best_per(means, ["symbol"], [F.round("avg_score", 12), "strategy"])
-    return out.select("symbol", "strategy", *r6("avg_score", "avg_total_return"))
+    return out.select("symbol", "strategy", *r12("avg_score", "avg_total_return"))
 
 
 @query("report_score", "board", """
-WITH s AS (SELECT *, round(avg_total_return + avg_max_drawdown * 0.5 + profitable_windows / nw * 0.1 + least(1 + avg_win_rate, 3) * 0.02, 6) AS report_score FROM board)
+WITH s AS (SELECT *, round(avg_total_return + avg_max_drawdown * 0.5 + profitable_windows / nw * 0.1 + least(1 + avg_win_rate, 3) * 0.02, 12) AS report_score FROM board)
 SELECT market, symbol, strategy, report_score FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY report_score DESC, symbol DESC, strategy DESC) AS r FROM s) WHERE r = 1""")
 def report_score(spark, d):
     """Report score per leaderboard row and the leader of each branch (here: market)."""
     board = metrics.leaderboard(fx.runs(spark, d)).withColumns(
         {"total_windows": F.size(F.split("windows", ",")), "avg_profit_factor": 1 + F.col("avg_win_rate")}
     )
-    scored = metrics.report_score(board).withColumn("report_score", F.round("report_score", 6))
+    scored = metrics.report_score(board).withColumn("report_score", F.round("report_score", 12))
     return metrics.best_per(scored, ["market"], ["report_score", "symbol", "strategy"]).select("market", "symbol", "strategy", "report_score")
 
 
 @query("compare_means", "runs", """
 WITH s AS (SELECT symbol, avg(total_return) FILTER (cost_profile = 'F') AS a, avg(total_return) FILTER (cost_profile = 'O') AS b FROM runs GROUP BY symbol)
-SELECT round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg(a) - avg(b), 6) AS delta, count(*) FILTER (a > b) AS a_wins, count(*) AS n FROM s""")
+SELECT round(avg(a), 12) AS mean_a, round(avg(b), 12) AS mean_b, round(avg(a) - avg(b), 12) AS delta, count(*) FILTER (a > b) AS a_wins, count(*) AS n FROM s""")
 def compare_means(spark, d):
     side = lambda p: F.avg(F.when(F.col("cost_profile") == p, F.col("total_return")))
     rows = fx.runs(spark, d).groupBy("symbol").agg(side("F").alias("a"), side("O").alias("b"))
     out = metrics.compare_means(rows, "a", "b")
-    return out.select(*r6("mean_a", "mean_b", "delta"), "a_wins", "n")
+    return out.select(*r12("mean_a", "mean_b", "delta"), "a_wins", "n")
 
 
 @query("nearest_group", "runs", """

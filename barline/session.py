@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,10 +35,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; set a local one only where none is named."""
-    if spark.sparkContext.getCheckpointDir() is None:
+    """Use the shared folder named in spark.checkpoint.dir. Where none is named, a local one does for a local master only: executors do not share it."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="barline-ckpt-"))
+        if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="barline-ckpt-"))
 
 
 def cut(df):

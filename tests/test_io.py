@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barline import schemas
-from barline.operators import news
+from barline.operators import joins, news
 from barline.operators.calendar import session_label
 from barline.sources import readers, sinks
 
@@ -56,6 +56,16 @@ def test_sinks(spark, tmp_path):
     assert sinks.count_ticks(spark, path) == 2 and sinks.count_ticks(spark, str(tmp_path / "none")) == 0
 
 
+def test_dates_before_the_calendar_go_to_its_first_day(spark):
+    day = dt.date
+    cal = spark.createDataFrame([(day(2024, 1, 2), 0), (day(2024, 1, 4), 1)], "day date, ci long").checkpoint()
+    rows = spark.createDataFrame([("old", dt.datetime(2021, 6, 1, 12)), ("late", dt.datetime(2024, 1, 2, 22)), ("past", dt.datetime(2024, 1, 5, 12))], "article_id string, created_at timestamp").checkpoint()
+    got = {r["article_id"]: r["trading_day"] for r in news.effective_day(rows, cal).collect()}
+    assert got == {"old": day(2024, 1, 2), "late": day(2024, 1, 4)}
+    events = spark.createDataFrame([(day(2020, 5, 5),), (day(2024, 1, 3),), (day(2024, 1, 9),)], "day date").checkpoint()
+    assert sorted((r["day"], r["trading_day"]) for r in joins.snap_events(events, cal).collect()) == [(day(2020, 5, 5), day(2024, 1, 2)), (day(2024, 1, 3), day(2024, 1, 4))]
+
+
 def test_effective_day_edges(spark):
     """Before and at the close, weekend, holiday, past the last day, both sides of the clock change (times in UTC)."""
     cal = spark.createDataFrame(
