@@ -116,16 +116,10 @@ def quantiles(
     qs: dict[str, float],
     ranges: int = RANGES,
     order_stat: bool = False,
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Exact quantiles per key: linear interpolation, or the order statistic at ``floor(q * (n - 1))``."""
+    """Exact quantiles per key: linear interpolation, or the order statistic at ``floor(q * (n - 1))``; one plan for groups of any size."""
     keys = list(keys)
     known = cut(df.where(F.col(x).isNotNull()).select(*keys, x))
-    if not order_stat and largest_group(known, keys) <= group_rows:
-        grouped = known.groupBy(*keys) if keys else known.groupBy()
-        return grouped.agg(
-            *[F.percentile(x, F.lit(q)).alias(n) for n, q in qs.items()], F.count("*").alias("n_values")
-        )
     positions = value_positions(known, keys, x, ranges)
     last = F.col("below") + F.col("cnt") - 1
     aggs = []
@@ -137,8 +131,9 @@ def quantiles(
             aggs.append(at_low.alias(name))
             continue
         at_high = F.max(F.when((F.col("below") <= high) & (high <= last), F.col(x)))
-        share = F.max(spot - low)
-        aggs.append((at_low + (at_high - at_low) * share).alias(name))
+        at, below, above = F.max(spot), F.max(low), F.max(high)
+        between = (above - at) * at_low + (at - below) * at_high
+        aggs.append(F.when(below == above, at_low).otherwise(between).alias(name))
     grouped = positions.groupBy(*keys) if keys else positions.groupBy()
     return grouped.agg(*aggs, F.max("total").alias("n_values"))
 

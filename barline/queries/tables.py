@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from barline.functions import ts
@@ -350,17 +352,19 @@ def event_windows(spark, d):
     return out.select("symbol", "event_ts", "offset", F.round("ret", 6).alias("ret"))
 
 
-GRID = [{"stop_loss": s, "trail": t} for s in (0.04, 0.05, 0.06) for t in (0.01, 0.015, 0.02)]
+GRID_VALUES = {
+    "stop_loss": (0.04, 0.05, 0.06), "trail": (0.01, 0.015, 0.02), "time_stop": (10, 20, 30), "cooldown": (1, 2), "same_day": (False, True), "break_even": (False, True), "profit_lock": (False, True),
+}
+GRID = [dict(zip(GRID_VALUES, values)) for values in itertools.product(*GRID_VALUES.values())]
+_SQL_GRID = ", ".join(f"(SELECT unnest([{', '.join(map(str, v))}]){'::DOUBLE' if isinstance(v[0], float) else ''} AS {k})" for k, v in GRID_VALUES.items())
 
 
-@query("param_grid", "bars", """
-SELECT symbol, stop_loss, trail, round(min(close * (1 - stop_loss)), 6) AS lowest_stop, count(*) AS bars FROM bars
-CROSS JOIN (SELECT unnest([0.04, 0.05, 0.06])::DOUBLE AS stop_loss) CROSS JOIN (SELECT unnest([0.01, 0.015, 0.02])::DOUBLE AS trail) GROUP BY 1, 2, 3""")
+@query("param_grid", "bars", f"""
+SELECT symbol, {', '.join(GRID_VALUES)}, round(low * (1 - stop_loss), 6) AS lowest_stop, bars FROM (SELECT symbol, min(close) AS low, count(*) AS bars FROM bars GROUP BY symbol), {_SQL_GRID}""")
 def param_grid(spark, d):
-    out = joins.with_params(fx.bars(spark, d).select("symbol", "close"), GRID)
-    return out.groupBy("symbol", "stop_loss", "trail").agg(
-        F.round(F.min(F.col("close") * (1 - F.col("stop_loss"))), 6).alias("lowest_stop"), F.count("*").alias("bars")
-    )
+    """All 432 settings of the rule grid for every symbol, with the lowest stop price that a setting can have."""
+    lows = fx.bars(spark, d).groupBy("symbol").agg(F.min("close").alias("low"), F.count("*").alias("bars"))
+    return joins.with_params(lows, GRID).select("symbol", *GRID_VALUES, F.round(F.col("low") * (1 - F.col("stop_loss")), 6).alias("lowest_stop"), "bars")
 
 
 @query("rule_delta", "runs", """

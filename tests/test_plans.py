@@ -102,10 +102,10 @@ def test_ranks_and_quantiles(df, frame, group_rows):
     got = wide(average_rank(df, ["symbol"], "x", "r", ranges=4, group_rows=group_rows), "r")
     want = frame.sort_values(["symbol", "pos"]).groupby("symbol")["x"].rank(pct=True).to_numpy()
     np.testing.assert_allclose(got["r"].astype(float), want)
-    q = quantiles(df, ["symbol"], "y", {"a": 0.1, "b": 0.5, "c": 0.99}, ranges=4, group_rows=group_rows).toPandas().set_index("symbol").sort_index()
+    q = quantiles(df, ["symbol"], "y", {"a": 0.1, "b": 0.5, "c": 0.99}, ranges=4).toPandas().set_index("symbol").sort_index()
     for name, level in (("a", 0.1), ("b", 0.5), ("c", 0.99)):
         np.testing.assert_allclose(q[name], frame.groupby("symbol")["y"].quantile(level).to_numpy())
-    whole = quantiles(df, [], "y", {"m": 0.3}, ranges=4, group_rows=group_rows).first()["m"]
+    whole = quantiles(df, [], "y", {"m": 0.3}, ranges=4).first()["m"]
     assert whole == pytest.approx(frame["y"].quantile(0.3))
 
 
