@@ -29,6 +29,10 @@ CHUNK, COUNTERS, FREQUENT = 2 << 20, 50_000, 65_536
 #: Shingles whose hash ends so are counted exactly, for the mean length of a list.
 COUNTED = np.uint64(255)
 LARGEST_LIGHT = 64
+#: Bits of the sketch that goes with every entry of a list; pairs that it rules out are not written.
+SHORT = 1024
+#: Pairs of a list that are looked at together.
+PAIRS = 100_000
 _MUL = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BYTES[65:91] = _BYTES[97:123]  # A-Z as a-z
@@ -205,11 +209,21 @@ def light_limit(rule: Rule, mean_list: float) -> int:
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """Odd sketch: two bits or more for each shingle, each the parity of the shingles that fall on it."""
-    bits = 1 << min(17, max(6, int(2 * len(own)).bit_length()))
+    """Odd sketch: two bits or more for each shingle (SHORT at least), each the parity of the shingles that fall on it."""
+    bits = 1 << min(17, max(SHORT.bit_length() - 1, int(2 * len(own)).bit_length()))
     return np.packbits((np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def short_sketch(long: bytes) -> bytes:
+    """A sketch folded to SHORT bits."""
+    return np.bitwise_xor.reduce(np.frombuffer(long, np.uint8).reshape(-1, SHORT // 8), axis=0).tobytes()
+
+
+def near_by_sketch(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, rule: Rule) -> np.ndarray:
+    """Whether short sketches (row, word) leave room for a link of sets of these sizes."""
+    return np.bitwise_count(a ^ b).sum(axis=1) <= n_a + n_b - 2 * rule.overlap(n_a, n_b)
+
+
 def sketch_distance(a: bytes, b: bytes) -> int:
     """At most the symmetric difference of the sets. A longer sketch folds to a shorter one."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -230,7 +244,7 @@ def subset_keys(own: np.ndarray, sizes: list[int]) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
-SIGNED = "doc_id long, n long, k1 long, k2 long, lists array<long>, subsets array<long>, sketch binary"
+SIGNED = "doc_id long, n long, k1 long, k2 long, lists array<long>, subsets array<long>, sketch binary, short binary"
 
 
 def signatures(docs: DataFrame, rule: Rule, frequent: np.ndarray, light: int) -> DataFrame:
@@ -243,11 +257,11 @@ def signatures(docs: DataFrame, rule: Rule, frequent: np.ndarray, light: int) ->
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
-                rows: list[list] = [[] for _ in range(6)]
+                rows: list[list] = [[] for _ in range(7)]
                 for own in sets_of(piece.column(1), rule.words):
                     n, key = len(own), xxhash.xxh3_128_digest(own.tobytes())
                     k1, k2 = np.frombuffer(key, np.int64)
-                    lists = subsets = small = None
+                    lists = subsets = small = short = None
                     if n and key not in seen:
                         seen.add(key)
                         as_larger, as_smaller = rule.prefix(n)
@@ -262,10 +276,11 @@ def signatures(docs: DataFrame, rule: Rule, frequent: np.ndarray, light: int) ->
                         if n <= light:
                             subsets = subset_keys(own, rule.subset_sizes(n, light)).view(np.int64)
                         small = sketch(own)
-                    for column, value in zip(rows, (n, int(k1), int(k2), lists, subsets, small)):
+                        short = short_sketch(small)
+                    for column, value in zip(rows, (n, int(k1), int(k2), lists, subsets, small, short)):
                         column.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-                yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(c, k) for c, k in zip(rows, kinds))], ["doc_id", "n", "k1", "k2", "lists", "subsets", "sketch"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(c, k) for c, k in zip(rows, kinds))], ["doc_id", "n", "k1", "k2", "lists", "subsets", "sketch", "short"])
 
     return docs.mapInArrow(sign, SIGNED)
 
@@ -276,7 +291,7 @@ def by_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = {name: batch.column(i).to_numpy() for i, name in enumerate(batch.schema.names)}
+        rows = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(batch.schema.names)}
         cut = int(np.searchsorted(rows["key"], rows["key"][-1]))
         if waiting and rows["key"][0] != waiting[-1]["key"][-1]:
             yield {name: np.concatenate([w[name] for w in waiting]) for name in rows}
@@ -344,33 +359,44 @@ def neighbours(shared: DataFrame, rule: Rule) -> DataFrame:
     return shared.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(pair, "a long, b long").distinct()
 
 
-def across(shared: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
-    """a, b: all pairs of rows of a list that lie in different components, as far as sizes and places in the order allow a link."""
+def across(shared: DataFrame, labels: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """a, b: all pairs of rows of a list that lie in different components, as far as sizes, places in the order and short sketches allow a link."""
     rows = keep(shared.join(labels, "doc_id", "left").select("key", "n", "doc_id", "pos", F.coalesce("label", "doc_id").alias("label")), "ngram-labelled")
+    sketches = classes.groupBy("doc_id").agg(F.when(F.count(F.lit(1)) == 1, F.first("short")).alias("short"))
     several = rows.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2").select("key")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in by_runs(batches):
-            key, n, doc, pos, label = (run[c] for c in ("key", "n", "doc_id", "pos", "label"))
+            key, n, doc, pos, label, bits, known = (run[c] for c in ("key", "n", "doc_id", "pos", "label", "short", "known"))
+            bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(key), -1)
             n, pos = n.astype(np.int64), pos.astype(np.int64)
             lo = np.zeros(len(key), np.int64)  # the first row of the list whose size allows a link
             heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             for a, b in zip(heads, [*heads[1:], len(key)]):
                 lo[a:b] = a + np.searchsorted(n[a:b], rule.partner(n[a:b]), "left")
             smaller = pos < n - rule.overlap(n, n) + 1
-            for step in range(0, len(key), 512):
-                j = np.arange(step, min(step + 512, len(key)))
+            upto = np.cumsum(np.arange(len(key)) - lo)
+            step = 0
+            while step < len(key):
+                done = upto[step - 1] if step else 0
+                to = max(step + 1, int(np.searchsorted(upto, done + PAIRS, "right")))
+                j = np.arange(step, to)
                 width = j - lo[j]
-                if not width.any():
-                    continue
                 right = np.repeat(j, width)
                 left = np.arange(len(right)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(lo[j], width)
+                step = to
                 ok = smaller[left] & (label[left] != label[right])
                 left, right = left[ok], right[ok]
                 ok = 1 + np.minimum(n[left] - 1 - pos[left], n[right] - 1 - pos[right]) >= rule.overlap(n[left], n[right])
-                yield paired(doc[left[ok]], doc[right[ok]])
+                left, right = left[ok], right[ok]
+                ok = near_by_sketch(bits[left], bits[right], n[left], n[right], rule) | ~known[left] | ~known[right]
+                if ok.any():
+                    yield paired(doc[left[ok]], doc[right[ok]])
 
-    return rows.join(several, "key", "left_semi").repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(pair, "a long, b long").distinct()
+    rows = rows.join(several, "key", "left_semi").join(sketches, "doc_id", "left")
+    none = F.lit(bytes(SHORT // 8))
+    rows = rows.select("key", "n", "doc_id", "pos", "label", F.coalesce("short", none).alias("short"), F.col("short").isNotNull().alias("known"))
+    return rows.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(pair, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
@@ -437,7 +463,7 @@ def ngram_join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     light = light_limit(rule, squares or 1.0)
     signed = keep(signatures(docs, rule, frequent, light), "ngram-signed")
     ids = F.min("doc_id").alias("doc_id")
-    payload = F.first(F.when(F.col("sketch").isNotNull(), F.struct("lists", "subsets", "sketch")), ignorenulls=True).alias("s")
+    payload = F.first(F.when(F.col("sketch").isNotNull(), F.struct("lists", "subsets", "sketch", "short")), ignorenulls=True).alias("s")
     classes = signed.where("n > 0").groupBy("k1", "k2", "n").agg(ids, payload).where("doc_id IS NOT NULL")
     classes = keep(classes.select("k1", "k2", "n", "doc_id", "s.*"), "ngram-classes")
     lists = classes.select("n", "doc_id", F.posexplode("lists").alias("pos", "key"))
@@ -447,7 +473,7 @@ def ngram_join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     near = keep(neighbours(shared, rule), "ngram-near")
     links = keep(verified(near, classes, docs, rule), "ngram-links")
     labels = components(links)
-    far = keep(across(shared, labels, rule).join(near, ["a", "b"], "left_anti"), "ngram-far")
+    far = keep(across(shared, labels, classes, rule).join(near, ["a", "b"], "left_anti"), "ngram-far")
     links = links.unionByName(verified(far, classes, docs, rule))
     labels = components(links)
     of_class = classes.select("k1", "k2", "doc_id").join(labels, "doc_id", "left").select("k1", "k2", F.coalesce("label", "doc_id").alias("component"))
