@@ -176,7 +176,7 @@ def test_mix_of_odd_documents(spark):
 def test_top_k_of_odd_vectors(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(400)]
-    vectors += [(400, None), (401, [1.0, None, 0, 0, 0, 0]), (402, [float("nan")] * 6), (403, []), (500, vectors[7][1]), (501, vectors[7][1]), (7, vectors[7][1]), (600, [0.0] * 6), (None, vectors[7][1]), (700, [1.0, 2.0]), (800, [float("-inf")] * 6)]
+    vectors += [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (403, []), (500, vectors[7][1]), (501, vectors[7][1]), (7, vectors[7][1]), (600, [0.0] * 6), (None, vectors[7][1]), (700, [1.0, 2.0]), (800, [float("-inf")] * 6)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").select("vec_id", whole_numbers("embedding").alias("q"), F.lit(1).alias("score"), F.lit(2).alias("block"))
     out = top_k(df, df.where("vec_id % 100 = 0"), k=5, rows=64, query_rows=3).collect()
     usable = {i: [math.floor(1024 * x) for x in v] for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
