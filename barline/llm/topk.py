@@ -33,7 +33,7 @@ def slices_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     padded = np.zeros((-(-rows // 64) * 64, values.shape[1]), np.uint32)
     padded[:rows] = shifted
     planes = ((padded.T[:, None, :] >> np.arange(bits, dtype=np.uint32)[None, :, None]) & 1).astype(np.uint8)
-    return np.packbits(planes, axis=-1, bitorder="little").view(np.uint64), low, rows
+    return np.ascontiguousarray(np.packbits(planes, axis=-1, bitorder="little")).view(np.uint64), low, rows
 
 
 def add_shifted(total: np.ndarray, term: np.ndarray, shift: int) -> None:
