@@ -20,6 +20,8 @@ from barline.llm.common import unit
 #: Bound of the fitting sample: about SAMPLE texts for each language, none longer than LONGEST code points; DICTIONARY bytes of them are used.
 SAMPLE, LONGEST, DICTIONARY = 240, 20_000, 64 << 10
 BLOCK = 8 << 10
+#: Texts of fewer bytes are encoded so many times over.
+SHORT, REPEATS = 64, 4
 #: A text is rejected when the best language saves less than this share of the runner-up's bytes.
 MARGIN = 0.003
 #: Margin at which the score is one half.
@@ -69,6 +71,8 @@ class Coder:
 
     def sizes(self, text: str) -> list[int]:
         data = distinct_words(text)
+        if len(data) < SHORT:  # so little would be stored as it is; repeats cost the same with every dictionary
+            data = (data + b" ") * REPEATS
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
         return [sum(len(coder.compress(b)) for b in blocks) for coder in self.coders]
 
