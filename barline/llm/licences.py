@@ -82,7 +82,8 @@ def scan(docs: DataFrame, path: str, templates: dict[str, list[str]] | None = No
     inside = texts.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("inside"))
     best = cosine.join(inside, "id").withColumn("cosine", F.col("cosine") / F.col("inside")).groupBy("id").agg(F.min_by(F.struct("template", "cosine"), F.struct(-F.round("cosine", 9), "template")).alias("b"))
     best = best.select("id", F.regexp_replace("b.template", ":[0-9]+$", "").alias("own"), F.round("b.cosine", 6).alias("cosine"))
-    judged = rows.withColumn("id", F.when(F.col("lines") != "", F.sha2(F.col("lines").cast("binary"), 256))).join(best, "id", "left")
+    judged = rows.where("lines <> ''").withColumn("id", F.sha2(F.col("lines").cast("binary"), 256)).join(best, "id", "left").drop("id")
+    judged = judged.unionByName(rows.where("lines = ''").withColumns({"own": F.lit(None).cast("string"), "cosine": F.lit(None).cast("double")}))  # most documents: they meet nothing
     judged = keep(judged.select("doc_id", "path", F.when(F.col("cosine") >= threshold, F.col("own")).alias("own"), "cosine"), "licence-own")
     parent = F.regexp_replace(F.regexp_replace("path", "[^/]*$", ""), "^/+|/+$", "")
     named = F.upper(F.regexp_extract("path", "([^/]*)$", 1)).rlike("^(LICEN[SC]E|COPYING)")
