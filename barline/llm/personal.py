@@ -42,7 +42,7 @@ LOOSE = {
 #: Texts without this cannot hold a match.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 LOOSE_NEEDS = {"email": r"(?:\(dot\)|\[dot\]| dot )", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]", "phone": r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"}
-PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 #: Gazetteer: top-level domains, calling codes, first digits of card issuers, and words before a span that speak for or against it.
 DOMAINS = "com|org|net|edu|gov|io|de|fr|es|it|nl|uk|us|eu|ch|at|be|info|biz|dev|example"
