@@ -6,11 +6,11 @@ the documents of the next stage. All but the last return the columns of the docu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm.common import keep
-from barline.llm.exact_dedup import exact_dedup
+from barline.llm.common import keep, whole_text
+from barline.llm.exact_dedup import exact_dedup, normalised, sha256
 from barline.llm.language import language_id
 from barline.llm.mixing import mix
 from barline.llm.ngram_join import Rule, ngram_join
@@ -26,21 +26,31 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id(docs).where("NOT rejected").select(*docs.columns)
 
 
-def kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids. Rows that share an id (to have none is one) are one document, of which one row stays."""
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("_key")
-    return docs.withColumn("_key", key).join(ids.select(key), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text. Rows that share an id, or have none, are told apart by their texts."""
+    chosen = exact_dedup(docs).where("kept").select(row_key(F.col("text_sha256"))).distinct()
+    order = F.struct(F.char_length(whole_text("text")), F.col("text"))
+    rows = docs.groupBy(row_key(sha256(normalised("text")))).agg(F.max_by(F.struct(*docs.columns), order).alias("_row"))  # rows of one id and text: the longest
+    return rows.join(chosen, "_key", "left_semi").select("_row.*")
 
 
-def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
-    return kept(docs, exact_dedup(docs).where("kept"))
+def row_key(digest: Column) -> Column:
+    """The id, empty where there is none, and the digest of the text."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest).alias("_key")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one with the smallest id."""
-    joined = ngram_join(docs, Rule(words=5, percent=80))
-    return kept(docs, joined.where("component_id IS NULL OR component_id = doc_id"))
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one with the smallest id.
+
+    Every row is a document of its own under a number that is written with it, so that rows without an id take part as well and rows that share
+    one are linked by their own texts only. Rows without an id come last, by a hash of the text.
+    """
+    rows = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows", spark)
+    joined = ngram_join(rows.select(F.col("_row").alias("doc_id"), "text"), Rule(words=5, percent=80)).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "_row")
+    named = rows.select("_row", "doc_id", F.xxhash64("text").alias("h")).join(joined, "_row")
+    first = named.groupBy("component_id").agg(F.min(order).alias("first")).select("first._row")
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
