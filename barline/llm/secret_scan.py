@@ -1,9 +1,9 @@
 """Secret scan: a random forest takes the false positives from candidate strings.
 
 Candidates are long runs of key characters with a digit or mixed case. Their features are length, character transitions (how usual each character
-is after the one before it, counted over the words of all documents), dictionary coverage (how much of the letters are words that the documents
-use), and how often labelled findings with the same path and the same neighbouring word were secrets. The forest learns from labelled findings and
-scores every candidate. All of it is DataFrame work.
+is after the one before it, counted over all documents as they are written), dictionary coverage (how much of the letters are words that the
+documents use), and how often labelled findings in the same directory and with the same neighbouring words were secrets, counted over all of them.
+The forest learns from a sample of the labelled findings and scores every candidate. All of it is DataFrame work.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ LABELLED = 20_000
 #: Occurrences from which a word is in the dictionary; shortest letter run that is looked up.
 COMMON, LETTERS = 5, 3
 TREES, DEPTH, SEED = 30, 6, 11
-FEATURES = ["length", "digits", "upper", "distinct", "transition", "coverage", "path_rate", "before_rate", "after_rate"]
+#: Parts of the texts. The rates of a labelled finding come from the other parts.
+FOLDS = 10
+FEATURES = ["length", "digits", "upper", "distinct", "transition", "coverage", "dir_rate", "before_rate", "after_rate"]
 #: Keyed strings: what may stand between a name and its value, and runs of key characters. Runs are possessive and texts take linear time.
 RUN = r"[A-Za-z0-9_+/=~-]{16,}+"
 GAP = r"(?:[^A-Za-z0-9_+/=~-]++|[A-Za-z0-9_+/=~-]{1,15}+(?![A-Za-z0-9_+/=~-]))*+"
@@ -53,23 +55,29 @@ def findings(docs: DataFrame, path: str) -> DataFrame:
     return rows.select("doc_id", "h", "nth", "path", "candidate", before.alias("before"), after.alias("after"), "lead", "follow").dropDuplicates(["doc_id", "h", "nth"])
 
 
-def words(docs: DataFrame) -> DataFrame:
+def written_runs(docs: DataFrame) -> DataFrame:
+    """run, n: runs of letters, digits and key signs of all texts, as they are written, counted."""
+    runs = F.regexp_extract_all(whole_text("text"), F.lit(r"[\p{L}\p{N}_+/=~-]++"), F.lit(0))
+    return docs.select(F.explode(runs).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+
+
+def words(written: DataFrame) -> DataFrame:
     """word, n: lower-case letter runs of all texts, counted."""
-    runs = F.regexp_extract_all(F.lower(whole_text("text")), F.lit(rf"\p{{L}}{{{LETTERS},}}+"), F.lit(0))
-    return docs.select(F.explode(runs).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    runs = F.regexp_extract_all(F.lower("run"), F.lit(rf"\p{{L}}{{{LETTERS},}}+"), F.lit(0))
+    return written.select("n", F.explode(runs).alias("word")).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def transition_table(vocabulary: DataFrame) -> DataFrame:
+def transition_table(written: DataFrame) -> DataFrame:
     """pair, surprise: minus the logarithm of a symbol's chance after the one before it; at most 32 * 31 rows."""
-    pairs = vocabulary.where(F.char_length("word") <= 40).select("n", F.explode(transitions("word")).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = written.select("n", F.explode(transitions("run")).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n"))
     first = pairs.groupBy(F.substring("pair", 1, 1).alias("first")).agg(F.sum("n").alias("total"))
     return pairs.withColumn("first", F.substring("pair", 1, 1)).join(F.broadcast(first), "first").select("pair", (-F.log((F.col("n") + 0.5) / (F.col("total") + 16))).alias("surprise"))
 
 
-def measured(found: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def measured(found: DataFrame, written: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """The findings with length, digits, upper, distinct, transition and coverage."""
     key = ["doc_id", "h", "nth"]
-    table = keep(transition_table(vocabulary), "secret-transitions")
+    table = keep(transition_table(written), "secret-transitions")
     unseen = 12.0
     pairs = found.select("candidate").distinct().select("candidate", F.explode(transitions("candidate")).alias("pair"))
     surprise = pairs.join(F.broadcast(table), "pair", "left").groupBy("candidate").agg(F.avg(F.coalesce("surprise", F.lit(unseen))).alias("transition"))
@@ -86,27 +94,40 @@ def measured(found: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
+def rated(rows: DataFrame, column: str, rate: float) -> DataFrame:
+    """``rows`` with ``<column>_rate``: how often labelled findings with this value were secrets, drawn to the mean ``rate``.
+
+    All labelled findings count. For a labelled row those of its own tenth of the texts are left out, and so its own label and those of copies of its
+    text; without the single label only, rows of one value would differ by their labels alone, and a tree could read these off.
+    """
+    part = F.when(F.col("label").isNotNull(), F.pmod(F.xxhash64("h"), F.lit(FOLDS))).otherwise(-1 - F.pmod(F.xxhash64("h", "nth"), F.lit(FOLDS)))
+    rows = rows.withColumn("part", part)
+    counts = keep(rows.where("label IS NOT NULL").groupBy(column, "part").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("s")), "secret-counts")
+    total = counts.groupBy(column).agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
+    others = counts.join(total, column).select(column, "part", (F.col("all_n") - F.col("n")).alias("n"), (F.col("all_s") - F.col("s")).alias("s"))
+    whole = total.select(column, F.explode(F.sequence(F.lit(-FOLDS).cast("long"), F.lit(-1).cast("long"))).alias("part"), F.col("all_n").alias("n"), F.col("all_s").alias("s"))
+    rates = keep(others.unionByName(whole).select(column, "part", ((F.col("s") + 5 * rate) / (F.col("n") + 5)).alias(f"{column}_rate")), "secret-rates")
+    return rows.join(rates, [column, "part"], "left").withColumn(f"{column}_rate", F.coalesce(f"{column}_rate", F.lit(rate))).drop("part")
+
+
 def scan(docs: DataFrame, labelled: str, path: str = "''", threshold: float = 0.5, limit: int = LABELLED) -> DataFrame:
     """Return doc_id, nth, path, length, candidate_sha256, score, secret: one row for each candidate of ``docs`` (doc_id, text, columns of ``path``).
 
     ``labelled`` is SQL over a finding (path, candidate, lead, follow, before, after) for its label: true, false, or null where it has none; in use,
-    a look-up of reviewed findings. ``path`` is SQL for a document's path. At most about ``limit`` labelled findings are learned from. A text that is
-    null, empty or without candidates gives no rows, as do no documents. Rows that repeat a doc_id and text are one document. If all labels are
+    a look-up of reviewed findings. ``path`` is SQL for a document's path. The forest is fitted on at most about ``limit`` labelled findings, while
+    rates are counted over all of them. A text that is null, empty or without candidates gives no rows, as do no documents. Rows that repeat a doc_id and text are one document. If all labels are
     alike or there are none, every score is their mean (0 if there are none).
     """
     found = keep(findings(docs, path), "secret-findings")
-    vocabulary = keep(words(docs.select("text")), "secret-words")
-    rows = keep(measured(found, vocabulary).withColumn("label", F.expr(labelled).cast("double")), "secret-measured")
+    written = keep(written_runs(docs.select("text")), "secret-runs")
+    vocabulary = keep(words(written), "secret-words")
+    rows = measured(found, written, vocabulary).withColumn("label", F.expr(labelled).cast("double"))
+    name = F.substring_index("path", "/", -1)
+    rows = keep(rows.withColumn("dir", F.left("path", F.char_length("path") - F.char_length(name))), "secret-measured")
     stats = rows.agg(F.count("label").alias("n"), F.avg("label").alias("rate")).first()
     rate = stats.rate or 0.0
-    train = keep(rows.where(F.col("label").isNotNull() & (unit("h", "nth") <= limit / max(1, stats.n))), "secret-labelled")
-
-    def rates(column: str) -> DataFrame:
-        """How often labelled findings with this value were secrets, drawn to the mean; at most one row for each finding learned from."""
-        return train.groupBy(column).agg(((F.sum("label") + 5 * rate) / (F.count(F.lit(1)) + 5)).alias(f"{column}_rate"))
-
-    for column in ("path", "before", "after"):
-        rows = rows.join(rates(column), column, "left").withColumn(f"{column}_rate", F.coalesce(f"{column}_rate", F.lit(rate)))
+    for column in ("dir", "before", "after"):
+        rows = rated(rows, column, rate)
     rows = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(keep(rows, "secret-features"))
     if 0 < rate < 1:
         own = rows.where(F.col("label").isNotNull() & (unit("h", "nth") <= limit / max(1, stats.n))).select("x", "label")
