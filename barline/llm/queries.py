@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.llm import licences, secret_scan
+from barline.llm.alignment import align
 from barline.llm.common import documents
 from barline.llm.exact_dedup import exact_dedup
 from barline.llm.language import held_out, language_id
@@ -15,9 +16,12 @@ from barline.llm.ngram_join import Rule, ngram_join
 from barline.llm.packing import pack
 from barline.llm.personal import personal_data
 from barline.llm.shards import shard_by_bytes
+from barline.llm.substring import dedup_substrings
 from barline.llm.topk import top_k, whole_numbers
+from barline.llm.whitening import whiten
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -149,3 +153,21 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op1_secrets": op1_secrets, "op6_licences": op6_licences}
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the byte-level and the piece tokenizer over every text, with corpus counts."""
+    return align(documents(spark, sf_dir), TOKENIZER, PIECES, RANKS)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the 32 leading components of their covariance, whitened."""
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and digest of every text without stretches of twenty words that start earlier."""
+    return dedup_substrings(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES |= {"op11_alignment": op11_alignment, "op12_whitening": op12_whitening, "op13_substring_dedup": op13_substring_dedup}
