@@ -28,8 +28,8 @@ from barline.llm.common import keep
 from barline.llm.packing import LATIN
 
 SPACE = "▁"
-#: Links of a chunk, bytes of the texts that are aligned together, words whose ids a worker remembers, and their length.
-CHUNK_LINKS, BATCH_BYTES, KNOWN, LONG_WORD = 4_000_000, 1 << 19, 1 << 17, 64
+#: Links of a chunk, bytes of the texts that are aligned together, characters of the words whose ids a worker remembers.
+CHUNK_LINKS, BATCH_BYTES, KNOWN = 4_000_000, 1 << 19, 3 << 20
 ENCODED = "chunk long, kind int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, at array<int>, times array<int>"
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -69,7 +69,8 @@ class Tokenizers:
         self.divisible = not any(re.search(f"[^{SPACE}]{SPACE}", t) for t in names)
         self.a_size, self.b_size = (np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes))
         n, m = len(self.a_bytes), len(self.b_bytes)
-        self.known = lru_cache(KNOWN)(self.word)  # a word is treated alike wherever it stands
+        self.known: dict[str, tuple[bytes, bytes, bool]] = {}  # a word is treated alike wherever it stands
+        self.size = 0
         # As written in a digest: A inside a group and at its end, B inside a group, at its end and at the end of a text.
         self.words = [f"{i}{end}" for size, own in ((n, ",|"), (m, (",", ";", ""))) for end in own for i in range(size)]
 
@@ -78,22 +79,44 @@ class Tokenizers:
             return self.quick.encode_to_numpy(part, disallowed_special=()).astype("<i4")
         return np.array(self.whole.encode(part, add_special_tokens=False).ids, "<i4")
 
-    def word(self, word: str) -> tuple[bytes, bytes, bool]:
-        """Ids by A of a space and the word, by B of the word, to which the model adds the space, and whether both give back these bytes."""
-        spaced = " " + word
-        a, b = self.a_ids(spaced), np.array(self.pieces.encode(word), "<i4")
-        same = b"".join(map(self.a_bytes.__getitem__, a.tolist())) == spaced.encode() == b"".join(map(self.b_bytes.__getitem__, b.tolist()))
-        return a.tobytes(), b.tobytes(), same
-
-    def both(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of A and B; None where there is no text, or a tokenization does not give back the bytes of the space and the text."""
-        if not text:
-            return None
-        words = WORD_EDGE.split(text) if self.divisible else [text]
-        found = [self.known(w) if len(w) < LONG_WORD else self.word(w) for w in words]
-        if not all([x[2] for x in found]):
-            return None
-        return np.frombuffer(b"".join([x[0] for x in found]), "<i4"), np.frombuffer(b"".join([x[1] for x in found]), "<i4")
+    def learn(self, words: list[str]) -> None:
+        """Remember for each word the ids by A of a space and the word, by B of the word, to which the model adds the space, and whether both give back these bytes."""
+        if not words:
+            return
+        whole = " " + " ".join(words)
+        raw = whole.encode()
+        a, b = self.a_ids(whole), np.array(self.pieces.encode(whole[1:]), "<i4")
+        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw == b"".join(map(self.b_bytes.__getitem__, b.tolist())):
+            ends = np.cumsum([len(w.encode()) + 1 for w in words])
+            a_at, b_at = (4 * np.searchsorted(np.cumsum(size[ids]), ends, "right") for size, ids in ((self.a_size, a), (self.b_size, b)))
+            a_raw, b_raw, s, t = a.tobytes(), b.tobytes(), 0, 0
+            for word, i, j in zip(words, a_at.tolist(), b_at.tolist()):
+                self.known[word] = a_raw[s:i], b_raw[t:j], True
+                s, t = i, j
+        elif len(words) == 1:
+            self.known[words[0]] = a.tobytes(), b.tobytes(), False
+        else:
+            self.learn(words[: len(words) // 2])
+            self.learn(words[len(words) // 2 :])
+
+    def both(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of A and B of each text; None where there is no text, or a tokenization does not give back the bytes of the space and the text."""
+        split = [(WORD_EDGE.split(t) if self.divisible else [t]) if t else None for t in texts]
+        fresh = {w for words in split if words for w in words if w not in self.known}
+        # Spaces at an edge would run together with the space between two words.
+        alone = [w for w in fresh if not self.divisible or w[0].isspace() or w[-1] == " "]
+        self.learn([*fresh.difference(alone)])
+        for w in alone:
+            self.learn([w])
+        out = []
+        for words in split:
+            found = [self.known[w] for w in words] if words else []
+            use = found and all([x[2] for x in found])
+            out.append(tuple(np.frombuffer(b"".join([x[i] for x in found]), "<i4") for i in (0, 1)) if use else None)
+        self.size += sum(map(len, fresh))
+        if self.size > KNOWN:
+            self.known, self.size = {}, 0
+        return out
 
 
 #: One space between a character that is no space and one that is no white space. Neither tokenizer has a token that crosses it.
@@ -147,7 +170,7 @@ class Aligned:
     """A batch of texts: counts, digests and links of each."""
 
     def __init__(self, own: Tokenizers, texts: list[str | None]):
-        both = [own.both(t) for t in texts]
+        both = own.both(texts)
         use = [x for x in both if x]
         self.used = np.array([x is not None for x in both], bool)
         zero = np.zeros(len(texts), np.int64)

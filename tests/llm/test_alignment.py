@@ -62,7 +62,7 @@ def rows_of(df):
 
 HARD = [
     (60, " a  b "), (61, "▁ space sign"), (62, "<|endoftext|> <s> </s> <unk> <0x41>"), (63, "x\n y\n  z\n \ty   q　w"), (64, "don't  stop 's it's 12,5 € 3.14"), (65, "日本語テキスト" * 40), (66, " "), (67, "a" * 500),
-    (68, "ends with space "), (69, "two  "), (70, "\u0000\u001f\u0085 x"), (71, "ﬁ ½ Ⅷ é é"), (72, "🙂🙂 ok"),
+    (68, "ends with space "), (69, "two  "), (70, "\u0000\u001f\u0085 x"), (71, "ﬁ ½ Ⅷ é é"), (72, "🙂🙂 ok"), (73, "runs on \n "), (74, "and on\n\n"), (75, "ok  "),
 ]
 
 
