@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,10 @@ BATCH_WORDS, PIECE = 1 << 20, 1 << 18
 #: Fixed multipliers of the hashes, from a seeded generator: odd 64-bit numbers.
 ODD = np.random.default_rng(20).integers(1, 1 << 63, 2 * WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
-AT = "none boolean, doc long, tie long"
+#: The place of a document in the order: rows without an id last, rows of one id by a hash of their texts.
+AT, KEY = "none boolean, doc long, tie long", ["none", "doc", "tie"]
+#: The same for joins, the part that differs most in front.
+BY = ["tie", "doc", "none"]
 FACTORS = "array<struct<start:long,length:long,source_id:long,source_start:long>>"
 
 
@@ -61,12 +65,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def anchors(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place of each anchor, and the first window and the number of windows whose anchor it is; ``grams``: hashes of all shingles of a document."""
+    """Place of each anchor, and the first window and the number of windows whose anchor it is; ``grams``: hashes of all shingles of a document.
+
+    The least shingle of a window is the one with the least upper bits of its hash, of equal ones the first.
+    """
     reach = WINDOW - GRAM + 1
     if len(grams) < reach:
         return (np.zeros(0, np.int64),) * 3
-    view = np.lib.stride_tricks.sliding_window_view(grams, reach)
-    at = np.concatenate([view[i : i + 65536].argmin(axis=1) + np.arange(i, min(i + 65536, len(view))) for i in range(0, len(view), 65536)])
+    low = np.uint64(max(20, len(grams).bit_length()))
+    places_ = np.uint64((1 << int(low)) - 1)
+    least, width = (grams & ~places_) | np.arange(len(grams), dtype=np.uint64), 1
+    while width < reach:  # minima of runs twice as long
+        step = min(width, reach - width)
+        least, width = np.minimum(least[: len(least) - step], least[step:]), width + step
+    at = (least & places_).astype(np.int64)
     start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     return at[start], start, np.diff(np.concatenate([start, [len(at)]]))
 
@@ -80,19 +92,18 @@ def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """at: the document's place in the order (rows without an id last, rows of one id by their texts), its id, and the text."""
+    """none, doc, tie: the document's place in the order; text."""
     text = whole_text("text")
-    at = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).cast("long").alias("doc"), F.xxhash64(text).alias("tie"))
-    return docs.select(at.alias("at"), text.alias("text"))
+    return docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"))
 
 
 def surveyed(rows: DataFrame) -> DataFrame:
-    """at, number of words, digest of all words, and hashes of the anchors of each document."""
+    """Place, number of words, digest of all words, and hashes of the anchors of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, digests, found = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(3):
                 digest, parts = hashlib.sha256(), []
                 for words in words_of(text.as_py()):
                     if words:
@@ -105,63 +116,63 @@ def surveyed(rows: DataFrame) -> DataFrame:
                 found.append(grams[anchors(grams)[0]])
             sizes = np.array([len(x) for x in found], np.int64)
             grams = lists(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64), sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), grams], ["at", "n_words", "sha256", "grams"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(digests, pa.string()), grams], [*KEY, "n_words", "sha256", "grams"])
 
-    return rows.mapInArrow(run, f"at struct<{AT}>, n_words long, sha256 string, grams array<long>")
+    return rows.mapInArrow(run, f"{AT}, n_words long, sha256 string, grams array<long>")
 
 
 def contexts(rows: DataFrame) -> DataFrame:
-    """Distinct contexts of a batch around the shingles in ``grams`` (at, text, grams): gram, context, at and start of the first, its windows, and spans that repeat one of the batch.
+    """Contexts around the shingles in ``grams`` (none, doc, tie, text, grams), distinct in a batch: gram, context, place and start of the first, number of windows, their hashes.
 
-    Rows with ``at2`` are such repeats: at, start and number of windows, at2 and start2 of the source.
+    Rows with ``start2`` are copies inside a batch: place, start, number of windows, and place and start of the source.
     """
-    names = ["gram", "context", "at", "start", "n", "windows", "at2", "start2"]
+    names = ["gram", "context", *KEY, "start", "n", "windows", *(f"{c}2" for c in KEY), "start2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_type, parts, ats, size = None, [], [], 0
+        parts, ats, size = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal parts, ats, size
             sizes = np.array([len(p[0]) for p in parts])
             gram, context, start, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
             windows, upto = np.concatenate([p[4] for p in parts]), np.cumsum(n)
-            # Documents in their order, so that the first of equal contexts is the earliest.
-            keys = [(x["none"], x["doc"], x["tie"]) for x in ats]
-            ranks = {key: i for i, key in enumerate(sorted(set(keys)))}
-            rank = np.array([ranks[key] for key in keys])
+            none, id_, tie = (np.array(x) for x in zip(*ats))
+            place = np.lexsort((tie, id_, none))
+            rank = np.empty(len(ats), np.int64)  # equal places, i.e. a repeated row, have one rank
+            rank[place] = np.cumsum(np.concatenate([[0], (none[place][1:] != none[place][:-1]) | (id_[place][1:] != id_[place][:-1]) | (tie[place][1:] != tie[place][:-1])]))
             doc = np.repeat(np.arange(len(ats)), sizes)
             by = np.lexsort((start, rank[doc], context, gram))
-            new = np.concatenate([[True], (gram[by][1:] != gram[by][:-1]) | (context[by][1:] != context[by][:-1])])
-            source = by[new][np.cumsum(new) - 1]
-            whole = pa.array(ats, at_type)
+            new = np.concatenate([[True], (gram[by][1:] != gram[by][:-1]) | (context[by][1:] != context[by][:-1])]) if len(by) else np.zeros(0, bool)
+            source = by[new][np.cumsum(new) - 1] if len(by) else by
+
+            def key(k: np.ndarray) -> list[pa.Array]:
+                return [pa.array(x[doc[k]]) for x in (none, id_, tie)] + [pa.array(start[k])]
+
             kept = np.sort(by[new])
             for i in range(0, len(kept), 8192):
                 k = kept[i : i + 8192]
-                flat = np.repeat(upto[k] - n[k], n[k]) + np.arange(n[k].sum()) - np.repeat(np.cumsum(n[k]) - n[k], n[k])
+                flat = np.repeat(upto[k] - np.cumsum(n[k]), n[k]) + np.arange(n[k].sum())
                 m = len(k)
-                yield pa.RecordBatch.from_arrays([signed(gram[k]), signed(context[k]), whole.take(pa.array(doc[k])), pa.array(start[k]), pa.array(n[k]), lists(windows[flat].view(np.int64), n[k]), pa.nulls(m, at_type), pa.nulls(m, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([signed(gram[k]), signed(context[k]), *key(k), pa.array(n[k]), lists(windows[flat].view(np.int64), n[k]), *[pa.nulls(m, t) for t in (pa.bool_(), pa.int64(), pa.int64(), pa.int64())]], names)
             again, src = by[~new], source[~new]
-            # The same row twice is one document: it does not start earlier than itself.
-            other = (rank[doc[again]] != rank[doc[src]]) | (start[again] != start[src])
+            other = (rank[doc[again]] != rank[doc[src]]) | (start[again] != start[src])  # a row does not start earlier than itself
             again, src = again[other], src[other]
             for i in range(0, len(again), 65536):
                 k, j = again[i : i + 65536], src[i : i + 65536]
                 m = len(k)
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), whole.take(pa.array(doc[k])), pa.array(start[k]), pa.array(n[k]), pa.nulls(m, pa.list_(pa.int64())), whole.take(pa.array(doc[j])), pa.array(start[j])], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), *key(k), pa.array(n[k]), pa.nulls(m, pa.list_(pa.int64())), *key(j)], names)
             parts, ats, size = [], [], 0
 
         for batch in batches:
-            at_type = batch.column(0).type
-            for at, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for *at, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4)):
                 own = numbers_of(text.as_py())
                 grams = sequences(own, GRAM)
                 place, start, n = anchors(grams)
                 use = np.isin(grams[place].view(np.int64), wanted.values.to_numpy())
                 place, start, n = place[use], start[use], n[use]
-                windows = sequences(own, WINDOW, WINDOW)
-                flat = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                own_windows = windows[flat]
                 first = np.cumsum(n) - n
+                flat = np.repeat(start - first, n) + np.arange(n.sum())
+                own_windows = sequences(own, WINDOW, WINDOW)[flat]
                 # A context is told by its windows and where the anchor lies in them.
                 powers = ODD[np.arange(len(flat)) - np.repeat(first, n)]
                 total = np.add.reduceat(mixed(own_windows) * powers, first) if len(first) else np.zeros(0, np.uint64)
@@ -174,48 +185,58 @@ def contexts(rows: DataFrame) -> DataFrame:
         if parts:
             yield from flush()
 
-    return rows.mapInArrow(run, f"gram long, context long, at struct<{AT}>, start long, n long, windows array<long>, at2 struct<{AT}>, start2 long")
+    return rows.mapInArrow(run, f"gram long, context long, {AT}, start long, n long, windows array<long>, none2 boolean, doc2 long, tie2 long, start2 long")
+
 
+def factors(doc: np.ndarray, start: np.ndarray, n: np.ndarray, source: np.ndarray, source_start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy parse of the documents of a batch: copied stretches, each as long as its source goes on.
 
-def factors(starts: list[dict]) -> list[list]:
-    """Greedy parse: copied stretches [start, end, source, shift], each as long as its source goes on. ``starts``: start, n, at2, start2."""
-    found: list[list] = []
-    for span in sorted(starts, key=lambda x: x["start"]):
-        shift, end = span["start2"] - span["start"], span["start"] + span["n"] + WINDOW - 1
-        if found and found[-1][2:] == [span["at2"], shift] and span["start"] <= found[-1][1]:
-            found[-1][1] = max(found[-1][1], end)
-        else:
-            found.append([span["start"], end, span["at2"], shift])
-    return found
+    Takes for each copied run of windows its document, first window, number of windows, and the source; returns the runs in order, the first run of
+    each factor, and where the factors end.
+    """
+    order = np.lexsort((start, doc))
+    doc, start, source, shift, end = doc[order], start[order], source[order], (source_start - start)[order], (start + n)[order] + WINDOW - 1
+    goes_on = (doc[1:] == doc[:-1]) & (source[1:] == source[:-1]) & (shift[1:] == shift[:-1]) & (start[1:] <= end[:-1])
+    first = np.flatnonzero(np.concatenate([[True], ~goes_on])) if len(doc) else np.zeros(0, np.int64)
+    return order, first, np.maximum.reduceat(end, first) if len(first) else first
 
 
 def without_copies(rows: DataFrame) -> DataFrame:
-    """Counts, digest and factors of each document, given its copied spans (at, text, spans)."""
+    """Counts, digest and factors of each document, given its copied spans (none, doc, tie, text, spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text, spans in zip(batch.column(1), batch.column(2)):
-                parse = factors(spans.as_py())
-                change = np.zeros(max(end for _, end, _, _ in parse) + 1, np.int64)
-                for start, end, _, _ in parse:
-                    change[start] += 1
-                    change[end] -= 1
-                gone = (np.cumsum(change) > 0).tolist()
-                digest, n, kept = hashlib.sha256(), 0, 0
+            spans = batch.column(4)
+            sizes = np.diff(spans.offsets.to_numpy())
+            span = {f.name: c for f, c in zip(spans.values.type, spans.flatten().flatten())}
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            start, n, source_start, tie2 = (span[c].to_numpy(zero_copy_only=False) for c in ("start", "n", "start2", "tie2"))
+            order, first, end = factors(doc, start, n, tie2, source_start)
+            at = order[first]
+            own, begin = doc[at], start[at]
+            source_id = pa.array(span["doc2"].to_numpy(zero_copy_only=False)[at], mask=span["none2"].to_numpy(zero_copy_only=False)[at])
+            edge = np.searchsorted(own, np.arange(len(sizes) + 1))
+            counts: list[list] = [[], [], []]
+            for i, text in enumerate(batch.column(3)):
+                a, b = edge[i], edge[i + 1]
+                change = np.zeros(int(end[a:b].max()) + 1, np.int64)
+                np.add.at(change, begin[a:b], 1)
+                np.add.at(change, end[a:b], -1)
+                left = np.cumsum(change) == 0
+                digest, total, kept = hashlib.sha256(), 0, 0
                 for words in words_of(text.as_py()):
-                    mask = gone[n : n + len(words)]
-                    left = [w for w, drop in zip(words, mask) if not drop] + words[len(mask) :]
-                    if left:
-                        digest.update((b" " if kept else b"") + b" ".join(left))
-                    n, kept = n + len(words), kept + len(left)
-                values = (n, n - kept, digest.hexdigest(), [{"start": s, "length": e - s, "source_id": None if d["none"] else d["doc"], "source_start": s + shift} for s, e, d, shift in parse])
-                for column, value in zip(out, values):
+                    mask = left[total : total + len(words)].tolist()
+                    rest = [*compress(words, mask), *words[len(mask) :]]
+                    if rest:
+                        digest.update((b" " if kept else b"") + b" ".join(rest))
+                    total, kept = total + len(words), kept + len(rest)
+                for column, value in zip(counts, (total, total - kept, digest.hexdigest())):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], kind)], ["at", "n_words", "n_removed", "kept_sha256", "factors"])
+            parse = pa.StructArray.from_arrays([pa.array(begin), pa.array(end - begin), source_id, pa.array(source_start[at])], ["start", "length", "source_id", "source_start"])
+            lists_ = pa.ListArray.from_arrays(edge.astype(np.int32), parse)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts[0], pa.int64()), pa.array(counts[1], pa.int64()), pa.array(counts[2], pa.string()), lists_], [*KEY, "n_words", "n_removed", "kept_sha256", "factors"])
 
-    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "source_id", "source_start")]))
-    return rows.mapInArrow(run, f"at struct<{AT}>, n_words long, n_removed long, kept_sha256 string, factors {FACTORS}")
+    return rows.mapInArrow(run, f"{AT}, n_words long, n_removed long, kept_sha256 string, factors {FACTORS}")
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
@@ -229,26 +250,25 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     rows = places(docs)
     survey = keep(surveyed(rows), "substring-survey", docs.sparkSession)
     repeated = survey.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    wanted = survey.select("at", F.explode(F.array_distinct("grams")).alias("gram")).join(repeated, "gram").groupBy("at").agg(F.collect_set("gram").alias("grams"))
-    found = keep(contexts(rows.join(wanted, "at").select("at", "text", "grams")), "substring-contexts")
+    wanted = survey.select(*KEY, F.explode(F.array_distinct("grams")).alias("gram")).join(repeated, "gram").groupBy(*KEY).agg(F.collect_set("gram").alias("grams"))
+    found = keep(contexts(rows.join(wanted, BY).select(*KEY, "text", "grams")), "substring-contexts")
 
-    place = F.struct("at", "start")
-    index = found.where("at2 IS NULL")
+    place, source = F.struct(*KEY, "start"), [*(F.col(f"first.{c}").alias(f"{c}2") for c in KEY), F.col("first.start").alias("start2")]
+    index = found.where("start2 IS NULL")
     first = index.groupBy("gram", "context").agg(F.min(place).alias("first"))
     shared = first.groupBy("gram").agg((F.count(F.lit(1)) > 1).alias("shared"))  # shingles in several contexts
     judged = index.join(first, ["gram", "context"]).join(shared, "gram").withColumn("copied", F.col("first") != place)
-    judged = keep(judged.where("copied OR shared").select("gram", "at", "start", "n", "first", "copied", F.when(~F.col("copied"), F.col("windows")).alias("windows")), "substring-judged")
-    whole = judged.where("copied").select("at", "start", "n", F.col("first.at").alias("at2"), F.col("first.start").alias("start2"))
-    edges = judged.where("NOT copied").select("gram", "at", "start", F.posexplode("windows").alias("i", "window"))
-    edges = edges.select("gram", "window", "at", (F.col("start") + F.col("i")).alias("start"))
+    judged = keep(judged.where("copied OR shared").select("gram", *KEY, "start", "n", "first", "copied", F.when(~F.col("copied"), F.col("windows")).alias("windows")), "substring-judged")
+    whole = judged.where("copied").select(*KEY, "start", "n", *source)
+    edges = judged.where("NOT copied").select("gram", *KEY, "start", F.posexplode("windows").alias("i", "window"))
+    edges = edges.select("gram", "window", *KEY, (F.col("start") + F.col("i")).alias("start"))
     earliest = edges.groupBy("gram", "window").agg(F.min(place).alias("first"))
-    single = edges.join(earliest, ["gram", "window"]).where(F.col("first") != place)
-    single = single.select("at", "start", F.lit(1).cast("long").alias("n"), F.col("first.at").alias("at2"), F.col("first.start").alias("start2"))
-    again = found.where("at2 IS NOT NULL").select("at", "start", "n", "at2", "start2")
-    spans = again.unionByName(whole).unionByName(single).groupBy("at").agg(F.collect_set(F.struct("start", "n", "at2", "start2")).alias("spans"))
+    single = edges.join(earliest, ["window", "gram"]).where(F.col("first") != place).select(*KEY, "start", F.lit(1).cast("long").alias("n"), *source)
+    again = found.where("start2 IS NOT NULL").select(*whole.columns)
+    spans = again.unionByName(whole).unionByName(single).groupBy(*KEY).agg(F.collect_set(F.struct(*whole.columns[3:])).alias("spans"))
     spans = keep(spans, "substring-spans")
 
-    cut = without_copies(rows.join(spans, "at").select("at", "text", "spans"))
-    clean = survey.join(spans.select("at"), "at", "left_anti").select("at", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256"), F.lit(None).cast(FACTORS).alias("factors"))
-    doc_id = F.when(~F.col("at.none"), F.col("at.doc")).alias("doc_id")
+    cut = without_copies(rows.join(spans, BY).select(*KEY, "text", "spans"))
+    clean = survey.join(spans.select(*KEY), BY, "left_anti").select(*KEY, "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256"), F.lit(None).cast(FACTORS).alias("factors"))
+    doc_id = F.when(~F.col("none"), F.col("doc")).alias("doc_id")
     return cut.unionByName(clean).select(doc_id, "n_words", "n_removed", "kept_sha256", F.coalesce("factors", F.array().cast(FACTORS)).alias("factors"))
