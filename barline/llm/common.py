@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,12 @@ def whole_text(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def neighbours(items: Column, pair: Callable[[Column, Column], Column]) -> Column:
+    """``pair`` of each item of an array and the next one; ``items`` must be a column or bound, else it is worked out twice."""
+    rest = F.greatest(F.lit(0), F.size(items) - 1)
+    return F.zip_with(F.slice(items, F.lit(1), rest), F.slice(items, F.lit(2), rest), pair)
+
+
 def unit(*cols: str | Column) -> Column:
     """A fixed number in (0, 1) for each row, drawn from its columns."""
     return ((F.xxhash64(*cols).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") + 0.5) / float(1 << 52)

@@ -41,7 +41,7 @@ def state_session(spark: SparkSession) -> SparkSession:
     for key, value in (
         ("spark.sql.streaming.stateStore.providerClass", ROCKSDB), ("spark.sql.streaming.stateStore.unloadOnCommit", "true"),
         ("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true"),
-        ("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256"), ("spark.sql.session.timeZone", "UTC"),
+        ("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "64"), ("spark.sql.session.timeZone", "UTC"),
         ("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")),
     ):
         session.conf.set(key, value)

@@ -46,7 +46,7 @@ def fit_dictionaries(labelled: DataFrame, sample: int = SAMPLE, size: int = DICT
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])
-    rows = labelled.withColumn("u", unit(F.coalesce("doc_id", F.lit(0)), F.lit(7))).where(F.col("u") <= share[F.col("lang")]).select("lang", "u", "text").collect()
+    rows = labelled.withColumn("u", unit(F.coalesce("doc_id", F.lit(0)), F.xxhash64("text"), F.lit(7))).where(F.col("u") <= share[F.col("lang")]).select("lang", "u", "text").collect()
     out: dict[str, bytes] = {lang: b"" for lang in sorted(counts, key=lambda x: (-counts[x], x))}
     for lang, _, text in sorted(rows):
         if len(out[lang]) < size:
@@ -78,7 +78,7 @@ class Coder:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and margin; ``und`` and 0 for a text that is null or has no letter. Ties go to the more frequent language."""
-        if text is None or not self.langs or not (LETTERS.search(text) or any(map(str.isalpha, text))):
+        if text is None or not self.langs or not any(map(str.isalpha, text)):
             return "und", 0.0
         sizes = self.sizes(text)
         best = min(range(len(sizes)), key=sizes.__getitem__)

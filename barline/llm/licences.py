@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import keep, whole_text
+from barline.llm.common import keep, neighbours, whole_text
 
 #: Cosine from which a template is a document's licence.
 THRESHOLD = 0.5
@@ -57,8 +57,7 @@ TAG = r"(?i)SPDX-License-Identifier:[ \t]*([^\r\n]*)"
 def terms(text: Column) -> Column:
     """Distinct lower-case terms: words and version numbers, and pairs of them."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:[.][0-9]+)*+"), F.lit(0))
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+    return F.element_at(F.transform(F.array(words), lambda own: F.concat(own, neighbours(own, lambda a, b: F.concat_ws(" ", a, b)))), 1)  # the words are bound once
 
 
 def licence_lines(text: Column) -> Column:

@@ -51,14 +51,14 @@ def mix(docs: DataFrame, levels: dict[str, str], weights: list[str], share: floa
 
     ``share`` is the total budget as a share of all tokens (words between white space). A null value of a level is the node ''. A leaf without
     tokens gives all its rows, in epoch 0: they cost nothing. Rows without words go with the prefix they lie in. A leaf's prefix ends before the
-    first row that would exceed its budget. Rows that are equal in doc_id and text are in the order together. No rows give no rows.
+    first row that would exceed its budget. Rows that are equal in doc_id and text are in the order together; rows without an id are told apart by their texts. No rows give no rows.
     """
     spark = docs.sparkSession
     columns = ["doc_id"] if columns is None else columns
     names = list(levels)
     tokens = F.regexp_count(whole_text("text"), F.lit(WORDS)).cast("long")
     own = [F.coalesce(F.expr(c).cast("string"), F.lit("")).alias(f"_{n}") for n, c in levels.items()]
-    rows = keep(docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").alias("_id"), *own, tokens.alias("_tokens")), "mix-rows")
+    rows = keep(docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").alias("_id"), F.md5(whole_text("text").cast("binary")).alias("_digest"), *own, tokens.alias("_tokens")), "mix-rows")
     rows = rows.withColumnsRenamed({f"_{n}": n for n in names}).withColumnRenamed("_tokens", "tokens")
     leaves = rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, levels: dict[str, str], weights: list[str], share: floa
     leaves = leaves.select(*names, whole.alias("_whole"), F.greatest(F.lit(0), F.floor(F.col("budget") - whole * F.col("tokens") + F.lit(1e-6))).cast("long").alias("_rest"), F.col("tokens").alias("_leaf"))
     rows = rows.join(leaves, names)
     full = rows.where("_whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_whole") - 1)))
-    part = rows.where("_rest > 0 AND _leaf > 0").withColumn("epoch", F.col("_whole")).withColumn("_order", seeded_order(seed, F.col("epoch"), "_id"))
+    part = rows.where("_rest > 0 AND _leaf > 0").withColumn("epoch", F.col("_whole")).withColumn("_order", seeded_order(seed, F.col("epoch"), "_id", "_digest"))
     part = part.withColumn("_bucket", F.substring("_order", 1, DIGITS))
     sums = part.groupBy(*names, "_bucket").agg(F.sum("tokens").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*names).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from barline.llm.common import keep
 
 #: Bytes of text that are hashed at once; counters of frequent shingles for each task; most frequent shingles that are put last in the order.
-CHUNK, COUNTERS, FREQUENT = 2 << 20, 50_000, 65_536
+CHUNK, COUNTERS, FREQUENT = 256 << 10, 50_000, 65_536
 #: Shingles whose hash ends so are counted exactly, for the mean length of a list.
 COUNTED = np.uint64(255)
 LARGEST_LIGHT = 64

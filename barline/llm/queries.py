@@ -92,14 +92,14 @@ n{i} AS (SELECT {by}, least(room::DOUBLE, coalesce(w * arg_min(lev, (room / w, {
 OP8 = rf"""
 WITH r AS (
   SELECT doc_id, CASE WHEN regexp_matches(source, '[0-3]$') THEN 'web' WHEN regexp_matches(source, '[4-6]$') THEN 'books' ELSE 'forum' END AS domain,
-    coalesce(lang, '') AS language, coalesce(source, '') AS origin, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens FROM documents),
+    coalesce(lang, '') AS language, coalesce(source, '') AS origin, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens, md5(coalesce(text, '')) AS digest FROM documents),
 leaves AS (SELECT domain, language, origin, sum(tokens) AS tokens FROM r GROUP BY ALL),
 {",".join(_level(i) for i in range(3)).strip()},
 b AS (SELECT *, CASE WHEN tokens > 0 THEN CAST(floor(given / tokens + 1e-9) AS INTEGER) ELSE 1 END AS whole FROM leaves JOIN n2 USING (domain, language, origin)),
 c AS (SELECT domain, language, origin, tokens AS leaf, whole, greatest(0, CAST(floor(given - whole * tokens + 1e-6) AS BIGINT)) AS rest FROM b),
 parts AS (
   SELECT doc_id, domain, language, origin, whole AS epoch, tokens, rest,
-    sum(tokens) OVER (PARTITION BY domain, language, origin ORDER BY md5(concat_ws(':', '17', whole, coalesce(CAST(doc_id AS VARCHAR), ''))), tokens RANGE UNBOUNDED PRECEDING) AS upto
+    sum(tokens) OVER (PARTITION BY domain, language, origin ORDER BY md5(concat_ws(':', '17', whole, coalesce(CAST(doc_id AS VARCHAR), ''), digest)), tokens RANGE UNBOUNDED PRECEDING) AS upto
   FROM r JOIN c USING (domain, language, origin) WHERE rest > 0 AND leaf > 0)
 SELECT doc_id, domain, language, origin, CAST(unnest(range(whole)) AS INTEGER) AS epoch, tokens FROM r JOIN c USING (domain, language, origin)
 UNION ALL SELECT doc_id, domain, language, origin, epoch, tokens FROM parts WHERE upto <= rest"""

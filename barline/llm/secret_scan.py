@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import keep, unit, whole_text
+from barline.llm.common import keep, neighbours, unit, whole_text
 
 #: Bound of the labelled findings that the forest is fitted on, by a seeded sample.
 LABELLED = 20_000
@@ -31,13 +31,13 @@ GAP = r"(?:[^A-Za-z0-9_+/=~-]++|[A-Za-z0-9_+/=~-]{1,15}+(?![A-Za-z0-9_+/=~-]))*+
 
 def symbol(c: Column) -> Column:
     """Lower-case letters as they are; other letters, digits and signs as one symbol each."""
-    return F.when(c.rlike("[a-z]"), c).when(c.rlike("[A-Z]"), F.lit("A")).when(c.rlike("[0-9]"), F.lit("0")).when(c.rlike(r"\p{L}"), F.lit("é")).otherwise(F.lit("-"))
+    return F.when(c.between("a", "z"), c).when(c.between("A", "Z"), F.lit("A")).when(c.between("0", "9"), F.lit("0")).when(c.rlike(r"\p{L}"), F.lit("é")).otherwise(F.lit("-"))
 
 
 def transitions(word: str) -> Column:
     """Pairs of neighbouring symbols of a word, with ^ in front, each pair a string of two."""
     chars = F.concat(F.array(F.lit("^")), F.transform(F.filter(F.split(word, ""), lambda c: c != ""), symbol))
-    return F.transform(F.sequence(F.lit(1), F.size(chars) - 1), lambda i: F.concat(F.element_at(chars, i), F.element_at(chars, i + 1)))
+    return F.element_at(F.transform(F.array(chars), lambda own: neighbours(own, lambda a, b: F.concat(a, b))), 1)  # the symbols are bound once
 
 
 def findings(docs: DataFrame, path: str) -> DataFrame:

@@ -28,11 +28,12 @@ def slices_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Bitmaps (component, bit, word) of the values (row, component) less each component's least one, those least ones, and the number of rows."""
     rows = len(values)
     low = values.min(axis=0)
-    shifted = ((values - low) >> LOW_BITS).astype(np.uint32)
+    shifted = ((values - low) >> LOW_BITS).astype(np.uint64)
     bits = max(1, int(shifted.max(initial=0)).bit_length())
-    padded = np.zeros((-(-rows // 64) * 64, values.shape[1]), np.uint32)
+    wide = np.uint32 if bits <= 32 else np.uint64
+    padded = np.zeros((-(-rows // 64) * 64, values.shape[1]), wide)
     padded[:rows] = shifted
-    planes = ((padded.T[:, None, :] >> np.arange(bits, dtype=np.uint32)[None, :, None]) & 1).astype(np.uint8)
+    planes = ((padded.T[:, None, :] >> np.arange(bits, dtype=wide)[None, :, None]) & 1).astype(np.uint8)
     return np.ascontiguousarray(np.packbits(planes, axis=-1, bitorder="little")).view(np.uint64), low, rows
 
 
@@ -95,6 +96,13 @@ def at_least_kth(total: np.ndarray, live: np.ndarray, k: int, slack: np.ndarray)
     return np.where(few, live, more | same)
 
 
+def exact_scores(values: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products as longs."""
+    if values.size and int(np.abs(values).max()) * int(np.abs(query).max()) * len(query) >= 1 << 63:
+        values, query = values.astype(object), query.astype(object)
+    return (values @ query).astype(np.int64)  # raises where a Python integer is beyond a long
+
+
 class Block:
     """An index block: ids and exact numbers of its rows, and the slices over them."""
 
@@ -113,7 +121,7 @@ class Block:
         for q, own in enumerate(ids):
             rows = np.flatnonzero(np.unpackbits(found[q].view(np.uint8), bitorder="little"))
             rows = rows[self.ids[rows] != own]
-            scores = self.values[rows] @ queries[q]
+            scores = exact_scores(self.values[rows], queries[q])
             if len(rows) > k:
                 best = np.lexsort((self.ids[rows], -scores))[:k]
                 rows, scores = rows[best], scores[best]
@@ -132,7 +140,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, rows: int = ROWS,
 
     Both have vec_id and q, an array of whole numbers, or null for rows that take no part; other columns are ignored. Ties go to the smaller vec_id;
     rows with the query's own vec_id are not among its results; rows with a null vec_id or of another length than the query take no part. Rows that
-    are equal in vec_id and q are one row. A query with fewer than k candidates has as many ranks. Empty tables give no rows.
+    are equal in vec_id and q are one row; different vectors of one vec_id are rows of their own, and as queries share one list. A query with fewer
+    than k candidates has as many ranks. Components lie within 2^61; a score beyond a long is an error. Empty tables give no rows.
     """
     spark = vectors.sparkSession
     usable = F.col("vec_id").isNotNull() & F.col("q").isNotNull()
@@ -153,7 +162,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, rows: int = ROWS,
                     table = pa.Table.from_batches([batch])
                     block, part, width = (table.column(c)[0].as_py() for c in ("block", "part", "width"))
                     ids = table.column("vec_id").to_numpy().astype(np.int64).tobytes()
-                    data = table.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
+                    data = table.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes()
                     yield pa.RecordBatch.from_pydict({"block": [block], "kind": [kind], "part": [part], "ids": [ids], "data": [data], "width": [width]}, schema=OUT)
 
         def whole(table: pa.Table) -> pa.Table:
@@ -172,7 +181,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, rows: int = ROWS,
         key = block = None
         for batch in batches:
             for r in batch.to_pylist():
-                ids, values = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["data"], np.int32).reshape(-1, r["width"]).astype(np.int64)
+                ids, values = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["data"], np.int64).reshape(-1, r["width"])
                 if r["kind"] == 0:
                     key, block = (r["width"], r["block"]), Block(ids, values)
                 elif key == (r["width"], r["block"]):  # else the block has no rows

@@ -1,6 +1,7 @@
 """Row-wise and grouping operators on odd documents and against brute force."""
 
 import math
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -173,6 +174,35 @@ def test_mix_of_odd_documents(spark):
     assert mix(no_docs(spark), {"tongue": "lang"}, ["1.0D"]).count() == 0
 
 
+def test_rows_without_an_id_are_mixed_by_their_texts(spark):
+    rows = [(None, f"{i} b c d e f g h i {i}") for i in range(1000)]
+    out = mix(spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")), {"tongue": "lang"}, ["1.0D"], share=0.5, epochs=1, columns=["doc_id", "text"]).collect()
+    assert len(out) == 500 and len({r.text for r in out}) == 500
+
+
+def test_numbers_are_no_letters(spark):
+    rows = [(1, "½ 12"), (2, "²"), (3, "Ⅷ 3"), (4, "the ½ of it and all the rest of the words")]
+    learn = spark.createDataFrame([(i, "the rest of all the words and it", "en") for i in range(40)] + [(None, f"das ist ein Satz mit Wort {i}", "de") for i in range(40)], "doc_id long, text string, lang string")
+    out = {r.doc_id: (r.lang_pred, r.score) for r in language_id(spark.createDataFrame(rows, "doc_id long, text string"), learn).collect()}
+    assert all(out[i] == ("und", 0.0) for i in (1, 2, 3)) and out[4][0] == "en"
+
+
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1.0, 0.0]), (1, [3e6, 0.0]), (2, [-3e6, 1.0]), (3, [2e6, 5.0]), (4, [1.5, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("vec_id", whole_numbers("embedding").alias("q"))
+    out = top_k(df, df.where("vec_id = 0"), k=4).collect()
+    assert [(r.vec_id, r.score) for r in sorted(out, key=lambda r: r["rank"])] == [(1, 3145728000000), (3, 2097152000000), (4, 1536 * 1024), (2, -3145728000000)]
+
+
+def test_long_passages_and_runs_take_linear_time(spark):
+    text = "Licensed under the Apache License, Version 2.0. " + " ".join(f"word{i}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text + "\nkey = " + "aB3" * 7_000, "a/x")], "doc_id long, text string, at string")
+    start = time.monotonic()
+    assert licences.terms(F.col("text")) is not None and docs.select(F.size(licences.terms(F.col("text")))).first()[0] > 40_000
+    assert docs.select(F.size(secret_scan.transitions("text"))).first()[0] == len(docs.first().text)
+    assert time.monotonic() - start < 30
+
+
 def test_top_k_of_odd_vectors(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(400)]
