@@ -58,18 +58,24 @@ def mix(docs: DataFrame, levels: dict[str, str], weights: list[str], share: floa
     names = list(levels)
     tokens = F.regexp_count(whole_text("text"), F.lit(WORDS)).cast("long")
     own = [F.coalesce(F.expr(c).cast("string"), F.lit("")).alias(f"_{n}") for n, c in levels.items()]
-    rows = keep(docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").alias("_id"), F.md5(whole_text("text").cast("binary")).alias("_digest"), *own, tokens.alias("_tokens")), "mix-rows")
-    rows = rows.withColumnsRenamed({f"_{n}": n for n in names}).withColumnRenamed("_tokens", "tokens")
-    leaves = rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
+    renamed = {f"_{n}": n for n in [*names, "tokens"]}
+    counted = [F.col("doc_id").alias("_id"), F.md5(whole_text("text").cast("binary")).alias("_digest"), *own, tokens.alias("_tokens")]
+    narrow = keep(docs.select(*counted), "mix-rows").withColumnsRenamed(renamed)
+    # Wide rows are read again and not written: they may hold the texts.
+    rows = narrow.withColumn("_row", F.struct(F.col("_id").alias("doc_id"))) if columns == ["doc_id"] else docs.select(F.struct(*columns).alias("_row"), *counted).withColumnsRenamed(renamed)
+    leaves = narrow.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     leaves = keep(leaf_budgets(leaves, names, weights, total * share, epochs), "mix-budgets")
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens") + F.lit(1e-9))).otherwise(F.lit(1)).cast("int")
     leaves = leaves.select(*names, whole.alias("_whole"), F.greatest(F.lit(0), F.floor(F.col("budget") - whole * F.col("tokens") + F.lit(1e-6))).cast("long").alias("_rest"), F.col("tokens").alias("_leaf"))
-    rows = rows.join(leaves, names)
-    full = rows.where("_whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_whole") - 1)))
-    part = rows.where("_rest > 0 AND _leaf > 0").withColumn("epoch", F.col("_whole")).withColumn("_order", seeded_order(seed, F.col("epoch"), "_id", "_digest"))
-    part = part.withColumn("_bucket", F.substring("_order", 1, DIGITS))
-    sums = part.groupBy(*names, "_bucket").agg(F.sum("tokens").alias("_n"))
+    full = rows.join(leaves, names).where("_whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_whole") - 1)))
+
+    def in_order(own: DataFrame) -> DataFrame:
+        own = own.join(leaves, names).where("_rest > 0 AND _leaf > 0").withColumn("epoch", F.col("_whole"))
+        return own.withColumn("_order", seeded_order(seed, F.col("epoch"), "_id", "_digest")).withColumn("_bucket", F.substring("_order", 1, DIGITS))
+
+    part = in_order(rows)
+    sums = in_order(narrow).groupBy(*names, "_bucket").agg(F.sum("tokens").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*names).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select(*names, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
     inside = F.sum("tokens").over(Window.partitionBy(*names, "_bucket").orderBy("_order", "tokens").rangeBetween(Window.unboundedPreceding, Window.currentRow))
