@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barline.functions.scalar import clip, corr_of
 from barline.plans.blocks import in_blocks, number_rows
 from barline.plans.ranks import average_rank, average_ranks, quantiles
-from barline.session import cut
+from barline.session import written
 
 PERIODS = 252.0
 EPS = 1e-12  # a correlation this small is zero up to rounding
@@ -41,51 +43,53 @@ def to_long(df: DataFrame, factors: Sequence[str], keep: Sequence[str]) -> DataF
 
 def rank_ensemble(df: DataFrame, signs: dict[str, float], name: str = "ensemble") -> DataFrame:
     """Mean of the signed percentile ranks of several factors; null unless every factor has a value."""
-    long = to_long(df, list(signs), ["symbol", "ts"])
-    ranked = average_rank(long, ["factor", "ts"], "x", "r")
-    sign = F.lit(None)
-    for factor, s in signs.items():
-        sign = F.when(F.col("factor") == factor, F.lit(float(s))).otherwise(sign)
-    grouped = ranked.groupBy("symbol", "ts").agg(
-        F.sum(F.col("r") * sign).alias("_s"), F.count("r").alias("_n")
-    )
-    return grouped.select("symbol", "ts", F.when(F.col("_n") == len(signs), F.col("_s") / len(signs)).alias(name))
+    ranked = average_ranks(df.select("symbol", "ts", *signs), ["ts"], {f"_r{i}": f for i, f in enumerate(signs)})
+    total = sum((F.col(f"_r{i}") * float(s) for i, s in enumerate(signs.values())), F.lit(0.0))  # null as soon as one is
+    return ranked.select("symbol", "ts", (total / len(signs)).alias(name))
+
 
+def ranked_with(df: DataFrame, factors: Sequence[str], fwd: str, keys: Sequence[str] = ("ts",)) -> DataFrame:
+    """symbol, keys and for factor i: _x{i}, _y{i}, the ranks of the factor and of ``fwd`` over the rows that have both, and _n{i}, their number.
 
-def _rank_pairs(long: DataFrame, y: str, keys: Sequence[str]) -> DataFrame:
-    """Ranks of ``x`` and ``y`` within (keys, ts), over the rows that have both."""
-    valid = long.where(F.col("x").isNotNull() & F.col(y).isNotNull())
-    return average_ranks(valid, [*keys, "ts"], {"_rx": "x", "_ry": y}, pct=False, cheap=True, size="_size")
+    All factors are ranked wide: one shuffle of the rows on the keys serves them all.
+    """
+    both = [F.col(f).isNotNull() & F.col(fwd).isNotNull() for f in factors]
+    pairs = [c for i, (f, ok) in enumerate(zip(factors, both)) for c in (F.when(ok, F.col(f)).alias(f"_f{i}"), F.when(ok, F.col(fwd)).alias(f"_g{i}"))]
+    names = {f"_{r}{i}": f"_{v}{i}" for i in range(len(factors)) for r, v in (("x", "f"), ("y", "g"))}
+    ranked = average_ranks(df.select("symbol", *keys, *pairs), list(keys), names, pct=False, sizes={f"_n{i}": f"_f{i}" for i in range(len(factors))})
+    return ranked.drop(*names.values())
 
 
-def _daily_corr(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return ranked.groupBy(*keys, "ts").agg(corr_of(F.col("_rx"), F.col("_ry")).alias("ic"), F.count("*").alias("n"))
+def _by_factor(wide: DataFrame, keys: Sequence[str], factors: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """One row per (keys, factor) from a wide table: ``columns`` maps names to the prefixes of the factors' columns."""
+    item = F.array(*[F.struct(F.lit(f).alias("factor"), *[F.col(f"{p}{i}").alias(n) for n, p in columns.items()]) for i, f in enumerate(factors)])
+    return wide.select(*keys, F.explode(item).alias("_i")).select(*keys, "_i.*")
 
 
-def ic_series(long: DataFrame, fwd: str, keys: Sequence[str], min_symbols: int) -> DataFrame:
-    """Rank correlation of ``x`` with the forward return per (keys, ts), over times with enough symbols."""
-    return _daily_corr(_rank_pairs(cut(long), fwd, keys), keys).where(F.col("n") >= min_symbols)
+def ic_series(ranked: DataFrame, factors: Sequence[str], min_symbols: int, keys: Sequence[str] = ("ts",)) -> DataFrame:
+    """factor, keys, ic, n: rank correlation with the forward return at each time with enough symbols; from :func:`ranked_with`."""
+    long = _by_factor(ranked, keys, factors, {"x": "_x", "y": "_y"}).where("x IS NOT NULL")
+    return long.groupBy("factor", *keys).agg(corr_of(F.col("x"), F.col("y")).alias("ic"), F.count("*").alias("n")).where(F.col("n") >= min_symbols)
 
 
-def _rank_turnover(ranked: DataFrame, cal: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean absolute change of the percentile rank between consecutive times, averaged per time first."""
-    keys = list(keys)
-    placed = ranked.select(*keys, "symbol", "ts", (F.col("_rx") / F.col("_size")).alias("_p")).join(cal, "ts")
+def rank_turnover(ranked: DataFrame, cal: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """factor, turnover: mean absolute change of the percentile rank between consecutive times, averaged per time first."""
+    shares = [(F.col(f"_x{i}") / F.col(f"_n{i}")).alias(f"_p{i}") for i in range(len(factors))]
+    placed = ranked.select("symbol", "ts", *shares).join(cal, "ts")
 
     def change(rows: DataFrame, w) -> DataFrame:
         follows = F.lag("ci").over(w) == F.col("ci") - 1
-        return rows.withColumn("_move", F.when(follows, F.abs(F.col("_p") - F.lag("_p").over(w))))
+        return rows.select("ci", "_blk", *[F.when(follows, F.abs(F.col(f"_p{i}") - F.lag(f"_p{i}").over(w))).alias(f"_m{i}") for i in range(len(factors))])
 
-    moved = in_blocks(placed, change, back=1, keys=[*keys, "symbol"], pos="ci")
-    daily = moved.groupBy(*keys, "ci").agg(F.avg("_move").alias("_t"))
-    return daily.groupBy(*keys).agg(F.avg("_t").alias("turnover"))
+    moved = in_blocks(placed, change, back=1, pos="ci")
+    daily = moved.groupBy("ci").agg(*[F.avg(f"_m{i}").alias(f"_t{i}") for i in range(len(factors))])
+    return _by_factor(daily.agg(*[F.avg(f"_t{i}").alias(f"_t{i}") for i in range(len(factors))]), [], factors, {"turnover": "_t"})
 
 
 def factor_ic(
-    long: DataFrame,
+    df: DataFrame,
+    factors: Sequence[str],
     fwd: str,
-    bucket,
-    keys: Sequence[str] = ("factor",),
     min_symbols: int = 20,
     min_days: int = 60,
     min_coverage: float = 0.5,
@@ -94,16 +98,16 @@ def factor_ic(
 ) -> DataFrame:
     """Score factors by their daily rank correlation with the forward return.
 
-    ``long`` has (keys, symbol, ts, x, fwd). Returns rank_ic, icir (annualised, population std), ic_positive,
-    turnover, coverage and days; factors with too few days or too little coverage are dropped.
+    ``df`` has symbol, ts, ``fwd`` and a column for each factor. Returns factor, rank_ic, icir (annualised, population std), ic_positive, turnover,
+    coverage and days; factors with too few days or too little coverage are dropped. The rows stay wide: they are shuffled once for all ranks and
+    once for all turnovers.
     """
-    keys = list(keys)
-    long = cut(long)
-    ranked = cut(_rank_pairs(long, fwd, keys))
-    series = _daily_corr(ranked, keys).where(F.col("n") >= min_symbols)
-    cal = number_rows(long.select("ts").distinct(), [], ["ts"], bucket(F.col("ts")), pos="ci")
+    df = written(df.select("symbol", "ts", fwd, *factors), "factors")
+    ranked = written(ranked_with(df, factors, fwd), "factor-ranks")
+    series = ic_series(ranked, factors, min_symbols)
+    cal = number_rows(df.select("ts").distinct(), [], ["ts"], pos="ci")
     ic = F.col("ic") * direction
-    scores = series.groupBy(*keys).agg(
+    scores = series.groupBy("factor").agg(
         F.avg(ic).alias("rank_ic"),
         F.stddev_pop("ic").alias("_sd"),
         F.avg(F.when(ic.isNotNull(), (ic > EPS).cast("double"))).alias("ic_positive"),
@@ -111,24 +115,69 @@ def factor_ic(
         F.count("*").alias("_usable"),
         F.avg("n").alias("_n"),
     )
-    # Distinct (keys, symbol) pairs first, so counting symbols never gathers the rows of one factor.
-    size = long.select(*keys, "symbol").distinct().groupBy(*keys).agg(F.count("*").alias("_symbols"))
-    out = scores.join(size, keys).join(_rank_turnover(ranked, cal, keys), keys, "left")
+    symbols = df.select("symbol").distinct().agg(F.count("*")).scalar()
+    out = scores.join(rank_turnover(ranked, cal, factors), "factor", "left")
     icir = F.when(F.col("_sd") > 0, F.col("rank_ic") / F.col("_sd") * math.sqrt(periods)).otherwise(0.0)
     return (
-        out.withColumn("coverage", F.col("_n") / F.greatest(F.col("_symbols"), F.lit(1)))
+        out.withColumn("coverage", F.col("_n") / F.greatest(symbols, F.lit(1)))
         .where((F.col("_usable") >= min_days) & (F.col("days") >= min_days) & (F.col("coverage") >= min_coverage))
-        .select(*keys, "rank_ic", icir.alias("icir"), "ic_positive", F.coalesce("turnover", F.lit(1.0)).alias("turnover"), "coverage", "days")
+        .select("factor", "rank_ic", icir.alias("icir"), "ic_positive", F.coalesce("turnover", F.lit(1.0)).alias("turnover"), "coverage", "days")
     )
 
 
-def factor_corr(pairs: DataFrame, min_days: int = 30, keys: Sequence[str] = ("a", "b")) -> DataFrame:
-    """Mean per-time rank correlation of two factors; ``pairs`` has (keys, symbol, ts, x, y)."""
-    keys = list(keys)
-    daily = _daily_corr(_rank_pairs(cut(pairs), "y", keys), keys).withColumnRenamed("ic", "c")
-    return daily.groupBy(*keys).agg(
-        F.when(F.count("*") < min_days, 0.0).otherwise(F.coalesce(F.avg("c"), F.lit(0.0))).alias("corr")
-    )
+def factor_corr(df: DataFrame, factors: Sequence[str], min_days: int = 30) -> DataFrame:
+    """a, b, corr: mean per-time rank correlation of every pair of factors, each pair ranked over the rows that have both.
+
+    One pass ranks every factor over its own rows and adds up, for each time, the products of all ranks (a Gram matrix). Where both factors of a
+    pair have values on the same rows, its correlation follows from these sums; the other (time, pair)s are ranked again on their common rows.
+    """
+    df = written(df.select("symbol", "ts", *factors), "factors")
+    size = len(factors)
+    ranked = average_ranks(df, ["ts"], {f"_x{i}": f for i, f in enumerate(factors)}, pct=False, cheap=True)
+    sums = ranked.select("ts", F.array(*[F.col(f"_x{i}") for i in range(size)]).alias("x")).mapInArrow(lambda batches: _gram(batches, size), "ts timestamp, s array<double>")
+    # Partial sums of a time: one row for each batch that holds some of its rows.
+    total = sums.select("ts", F.posexplode("s").alias("i", "v")).groupBy("ts", "i").agg(F.sum("v").alias("v"))
+    total = total.groupBy("ts").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("s")).select("ts", F.transform("s", lambda x: x["v"]).alias("s"))
+    at = lambda kind, i, j: F.col("s")[kind * size * size + i * size + j]
+    pairs = [(i, j) for i in range(size) for j in range(i + 1, size)]
+
+    def daily(i: int, j: int) -> Column:
+        n, sx, sy = at(0, i, j), at(1, i, j), at(1, j, i)
+        vx, vy = at(2, i, j) - sx * sx / n, at(2, j, i) - sy * sy / n
+        same = (n == at(0, i, i)) & (n == at(0, j, j))
+        c = F.when((vx > 1e-9) & (vy > 1e-9), (at(3, i, j) - sx * sy / n) / F.sqrt(vx * vy))
+        return F.when(n > 0, F.struct(F.lit(factors[i]).alias("a"), F.lit(factors[j]).alias("b"), same.alias("same"), F.when(same, c).alias("c")))
+
+    found = total.select("ts", F.explode(F.filter(F.array(*[daily(i, j) for i, j in pairs]), lambda x: x.isNotNull())).alias("p")).select("ts", "p.*")
+    found = written(found, "factor-pairs")
+    again = found.where(~F.col("same")).groupBy("ts").agg(F.collect_list(F.struct("a", "b")).alias("p"))  # at most all pairs of factors
+    value = lambda name: F.coalesce(*[F.when(F.col(name) == f, F.col(f)) for f in factors])
+    rows = df.join(again, "ts").select("symbol", "ts", F.explode("p").alias("p"), *factors).withColumns({"a": F.col("p.a"), "b": F.col("p.b")})
+    rows = rows.select("symbol", "ts", "a", "b", value("a").alias("x"), value("b").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    rows = average_ranks(rows, ["a", "b", "ts"], {"_rx": "x", "_ry": "y"}, pct=False)
+    rows = rows.groupBy("a", "b", "ts").agg(corr_of(F.col("_rx"), F.col("_ry")).alias("c"))
+    every = found.where("same").select("a", "b", "c").unionByName(rows.select("a", "b", "c"))
+    return every.groupBy("a", "b").agg(F.when(F.count("*") < min_days, 0.0).otherwise(F.coalesce(F.avg("c"), F.lit(0.0))).alias("corr"))
+
+
+def _gram(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """For each time of a batch: counts, sums, sums of squares and of products of the ranks (nulls left out), each a matrix over pairs of factors."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+        known = ~np.isnan(values)
+        x, m = np.where(known, values, 0.0), known.astype(np.float64)
+        times, code = np.unique(batch.column(0).cast(pa.int64()).to_numpy(), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        edges = np.searchsorted(code[order], np.arange(len(times) + 1))
+        out = []
+        for a, b in zip(edges, edges[1:]):
+            own = order[a:b]
+            p, q = x[own], m[own]
+            out.append(np.concatenate([(q.T @ q).ravel(), (p.T @ q).ravel(), ((p * p).T @ q).ravel(), (p.T @ p).ravel()]))
+        first = pa.array(times, pa.int64()).cast(batch.schema.field(0).type)
+        yield pa.RecordBatch.from_arrays([first, pa.array([o.tolist() for o in out], pa.list_(pa.float64()))], ["ts", "s"])
 
 
 # Acceptance limits of a factor.
@@ -142,12 +191,21 @@ def accept(scores: DataFrame, min_ic: float = MIN_IC, min_icir: float = MIN_ICIR
     )
 
 
-def drop_correlated(scores: DataFrame, corr: DataFrame, limit: float = MAX_CORR) -> list[str]:
-    """Names kept when walking from the largest |ICIR| down and skipping those correlated with a kept one.
+def accepted_factors(scores: DataFrame, corr: DataFrame, limit: float = MAX_CORR, **limits: float) -> DataFrame:
+    """factor, place, strong, accepted: factors in falling |ICIR|, whether they pass :func:`accept`, and whether the walk keeps them.
 
-    Both inputs have one row per factor or factor pair, i.e. they are bounded by the number of expressions.
+    The walk takes each strong factor that is not correlated beyond ``limit`` with one it has taken. Its tables have a row per factor or pair of factors.
     """
-    ranked = [r["factor"] for r in scores.orderBy(F.desc(F.abs("icir")), "factor").collect()]
+    order = [F.desc(F.abs(F.round("icir", 6))), F.asc("factor")]
+    strong = accept(scores, **limits).select("factor", F.lit(True).alias("strong"))
+    ranked = scores.join(strong, "factor", "left").select("factor", F.row_number().over(Window.orderBy(*order)).alias("place"), F.coalesce("strong", F.lit(False)).alias("strong"))
+    ranked = written(ranked, "factor-places")
+    kept = drop_correlated([r["factor"] for r in ranked.where("strong").orderBy("place").collect()], corr, limit)
+    return ranked.withColumn("accepted", F.col("factor").isin(kept))
+
+
+def drop_correlated(ranked: Sequence[str], corr: DataFrame, limit: float = MAX_CORR) -> list[str]:
+    """Names kept when walking along ``ranked`` and skipping those correlated with a kept one; ``corr`` has one row per pair of factors."""
     linked = {frozenset((r["a"], r["b"])) for r in corr.where(F.abs("corr") > limit).collect()}
     kept: list[str] = []
     for name in ranked:

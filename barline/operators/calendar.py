@@ -13,7 +13,7 @@ def local_time(ts: str | Column, zone: str = NEW_YORK) -> Column:
     return F.from_utc_timestamp(F.col(ts) if isinstance(ts, str) else ts, zone)
 
 
-def align_calendar(bars: DataFrame, bucket, start=None, end=None) -> DataFrame:
+def align_calendar(bars: DataFrame, start=None, end=None) -> DataFrame:
     """One row per (symbol, calendar time): missing bars appear with null prices.
 
     Each bar fills the gap up to the next bar of its symbol, so no cross join is needed: the first bar also
@@ -26,10 +26,10 @@ def align_calendar(bars: DataFrame, bucket, start=None, end=None) -> DataFrame:
     if end is not None:
         days = days.where(F.col("ts") <= F.lit(end).cast("timestamp"))
         bars = bars.where(F.col("ts") <= F.lit(end).cast("timestamp"))
-    cal = number_rows(days, [], ["ts"], bucket(F.col("ts")), pos="ci")
+    cal = number_rows(days, [], ["ts"], pos="ci")
     values = [c for c in bars.columns if c not in ("symbol", "ts", "pos")]
     placed = bars.join(cal, "ts").drop("pos")
-    placed = number_rows(placed, ["symbol"], ["ts"], bucket(F.col("ts")))
+    placed = number_rows(placed, ["symbol"], ["ts"])
     placed = placed.withColumn("_top", cal.agg(F.max("ci")).scalar())
 
     def fill(rows: DataFrame, w) -> DataFrame:

@@ -69,7 +69,7 @@ def overnight_intraday(rows: DataFrame, keys: list[str], periods: float = 252.0)
     return table.withColumn("overnight_share", F.when(both != 0, F.col("overnight_total") / both))
 
 
-def gap_drift(bars: DataFrame, bucket: Column, horizons=(5, 20), q: float = 0.9, min_n: int = 200, announced: DataFrame | None = None) -> DataFrame:
+def gap_drift(bars: DataFrame, horizons=(5, 20), q: float = 0.9, min_n: int = 200, announced: DataFrame | None = None) -> DataFrame:
     """Forward returns after gaps in the top decile of all earlier gaps (expanding, prior events only).
 
     ``announced`` (symbol, ts) restricts the gaps to reaction days; without it every gap counts as an event.
@@ -82,7 +82,7 @@ def gap_drift(bars: DataFrame, bucket: Column, horizons=(5, 20), q: float = 0.9,
     rows = in_blocks(bars, add, back=1, fwd=max(horizons)).where("gap IS NOT NULL")
     if announced is not None:
         rows = rows.join(announced.select("symbol", "ts"), ["symbol", "ts"], "left_semi")
-    events = number_rows(rows, [], ["ts", "symbol"], bucket, pos="seq")
+    events = number_rows(rows, [], ["ts", "symbol"], pos="seq")
     judged = expanding_quantile(events, "gap", q, pos="seq", min_n=min_n)
     return judged.where(F.col("threshold").isNotNull() & (F.col("gap") >= F.col("threshold")))
 

@@ -16,15 +16,15 @@ def attach(df: DataFrame, other: DataFrame, keys: Sequence[str], defaults: dict[
     return joined.select(*df.columns, *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in defaults.items()])
 
 
-def next_bar(articles: DataFrame, bars: DataFrame, bucket_of, ts: str = "created_at") -> DataFrame:
+def next_bar(articles: DataFrame, bars: DataFrame, ts: str = "created_at") -> DataFrame:
     """First bar at or after each article; articles after the last bar are dropped."""
-    found = asof(articles, bars.select("symbol", "ts"), ["symbol"], ts, "ts", [], bucket_of, "forward")
+    found = asof(articles, bars.select("symbol", "ts"), ["symbol"], ts, "ts", [], "forward")
     return found.where(F.col("matched_ts").isNotNull()).withColumnRenamed("matched_ts", "bar_ts")
 
 
-def asof_backward(bars: DataFrame, preds: DataFrame, values: Sequence[str], bucket_of) -> DataFrame:
+def asof_backward(bars: DataFrame, preds: DataFrame, values: Sequence[str]) -> DataFrame:
     """Latest prediction at or before each bar."""
-    return asof(bars, preds, ["symbol"], "ts", "ts", values, bucket_of, "backward")
+    return asof(bars, preds, ["symbol"], "ts", "ts", values, "backward")
 
 
 def snap_events(events: DataFrame, cal: DataFrame, day: str = "day") -> DataFrame:

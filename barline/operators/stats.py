@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barline.functions import ts
@@ -16,33 +17,82 @@ from barline.plans.ranks import average_ranks
 from barline.session import cut
 
 
+# How many of 2^32 equally likely numbers stand for a Poisson(1) weight of at most 0, 1, 2, ...: cumulative chances, rounded.
+POISSON = np.array([round(4294967296 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(11)])
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    """32-bit numbers from others, each bit depending on all: shifts, exclusive ors and products that stay below 2^63, as any engine has them."""
+    x = x ^ (x >> 16)
+    x = (x * 569420461) & 0xFFFFFFFF
+    x = x ^ (x >> 15)
+    x = (x * 1935289751) & 0xFFFFFFFF
+    return x ^ (x >> 15)
+
+
+def resample_numbers(seed: np.ndarray, item: np.ndarray, reps: np.ndarray) -> np.ndarray:
+    """A number below 2^32 for each (row, resample)."""
+    first = _scrambled((item + seed * 48271 + 1) & 0xFFFFFFFF)
+    return _scrambled((first[:, None] + reps[None, :] * 630360016) & 0xFFFFFFFF)
+
+
+def resampled_sums(rows: DataFrame, keys: Sequence[str], reps: int) -> DataFrame:
+    """keys, num, den: for each resample the weighted sum of ``_v`` and the sum of the weights, as arrays; a row for each key and batch of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = np.arange(reps, dtype=np.int64)
+        for batch in batches:
+            seed, item, value = (batch.column(len(keys) + i).to_numpy() for i in range(3))
+            own = pa.Table.from_batches([batch]).select(range(len(keys)))
+            code = np.zeros(len(item), np.int64)
+            for i in range(len(keys)):
+                code = code * (len(item) + 1) + own.column(i).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+                code = np.unique(code, return_inverse=True)[1]
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0])) if len(order) else order
+            sums: list[list] = [[], []]
+            for a, b in zip(starts, [*starts[1:], len(order)]):
+                num, den = np.zeros(reps), np.zeros(reps, np.int64)
+                for i in range(a, b, 64):
+                    k = order[i : min(b, i + 64)]
+                    weight = np.searchsorted(POISSON, resample_numbers(seed[k], item[k], every), side="right")
+                    num += value[k] @ weight
+                    den += weight.sum(axis=0)
+                sums[0].append(num.tolist())
+                sums[1].append(den.tolist())
+            names = own.take(pa.array(order[starts])).columns
+            yield from pa.Table.from_arrays([*names, pa.array(sums[0], pa.list_(pa.float64())), pa.array(sums[1], pa.list_(pa.int64()))], [*keys, "num", "den"]).to_batches()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
+    return rows.select(*keys, "_seed", "_i", "_v").mapInArrow(run, f"{schema}{', ' if schema else ''}num array<double>, den array<long>")
+
+
 def bootstrap_ci(
-    events: DataFrame, keys: Sequence[str], value: str, bucket: Column, order: Sequence[str], reps: int = 10_000, alpha: float = 0.05, seed: Column | int = 7
+    events: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], reps: int = 10_000, alpha: float = 0.05, seed: Column | int = 7
 ) -> DataFrame:
     """Percentile interval of the mean over ``reps`` resamples per key; null below three values.
 
-    Every event row makes one draw per resample, so the draws are made where the rows are. The drawn index is
-    a hash of (seed, resample, draw), hence the same after a retry; values come back through an equi-join.
+    A resample gives every row a Poisson(1) weight, the number of times it would be drawn, from a hash of (seed, resample, position of the row in its
+    key), hence the same after a retry. The weights are drawn and summed where the rows are: no join, and only a weighted sum for each key and
+    resample is shuffled. A resample in which all weights are zero has no mean and does not count.
     """
     keys = list(keys)
-    known = cut(number_rows(events.where(F.col(value).isNotNull()), keys, order, bucket, pos="_i"))
-    sizes = known.groupBy(*keys).agg(F.count("*").alias("_n"))
     seed_col = seed if isinstance(seed, Column) else F.lit(seed)
-    counted = known.join(sizes, keys) if keys else known.withColumn("_n", sizes.scalar())
-    draws = counted.select(*keys, "_n", seed_col.alias("_seed"), "_i", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_rep"))
-    picked = draws.select(*keys, "_rep", F.floor(hash_unit(F.col("_seed"), F.col("_rep"), F.col("_i")) * F.col("_n")).alias("_i"))
-    means = picked.join(known.select(*keys, "_i", F.col(value).alias("_v")), [*keys, "_i"]).groupBy(*keys, "_rep").agg(F.avg("_v").alias("_m"))
+    known = number_rows(events.where(F.col(value).isNotNull()).select(*keys, *order, F.col(value).cast("double").alias("_v"), seed_col.cast("bigint").alias("_seed")), keys, order, pos="_i")
+    sums = resampled_sums(known, keys, reps).select(*keys, F.posexplode(F.arrays_zip("num", "den")).alias("_rep", "_s"))
+    means = sums.groupBy(*keys, "_rep").agg((F.sum("_s.num") / F.when(F.sum("_s.den") > 0, F.sum("_s.den"))).alias("_m"))
     edges = means.groupBy(*keys).agg(  # ``reps`` numbers per key
         F.percentile("_m", F.lit(alpha / 2)).alias("ci_low"), F.percentile("_m", F.lit(1 - alpha / 2)).alias("ci_high")
     )
+    sizes = known.groupBy(*keys).agg(F.count("*").alias("_n"))
     joined = sizes.join(edges, keys, "left") if keys else edges.withColumn("_n", sizes.scalar())
     enough = F.col("_n") >= 3
     return joined.select(*keys, F.when(enough, F.col("ci_low")).alias("ci_low"), F.when(enough, F.col("ci_high")).alias("ci_high"))
 
 
-def effect_pieces(events: DataFrame, name: str, order: Sequence[str], bucket: Column, split: float = 0.7) -> DataFrame:
+def effect_pieces(events: DataFrame, name: str, order: Sequence[str], split: float = 0.7) -> DataFrame:
     """Event rows tagged with their pieces: full, and early or late by position in time."""
-    numbered = cut(number_rows(events, [name], order, bucket, pos="_p"))
+    numbered = cut(number_rows(events, [name], order, pos="_p"))
     sizes = numbered.groupBy(name).agg(F.count("*").alias("n_events"))
     early, late = f"early_{int(split * 100)}pct", f"late_{int((1 - split) * 100)}pct"
     side = F.when(F.col("_p") < F.floor(F.col("n_events") * F.lit(split)), early).otherwise(late)
@@ -55,18 +105,18 @@ def piece_seed(seed: int = 7) -> Column:
 
 
 def effect_test(
-    events: DataFrame, name: str, value: str, order: Sequence[str], bucket: Column, cost: float, split: float = 0.7, reps: int = 10_000
+    events: DataFrame, name: str, value: str, order: Sequence[str], cost: float, split: float = 0.7, reps: int = 10_000
 ) -> DataFrame:
     """Is the mean event return non-zero with the same sign early and late, and at least twice the cost?
 
     One row per effect; effects with fewer than ten events are not testable.
     """
     known = events.where(F.col(value).isNotNull())
-    pieces = cut(effect_pieces(known, name, order, bucket, split))
+    pieces = cut(effect_pieces(known, name, order, split))
     stats = pieces.groupBy(name, "piece").agg(
         F.count("*").alias("n"), F.avg(value).alias("mean"), F.avg((F.col(value) > 0).cast("double")).alias("positive"), F.max("n_events").alias("n_events")
     )
-    ci = bootstrap_ci(pieces, [name, "piece"], value, bucket, order, reps, seed=piece_seed())
+    ci = bootstrap_ci(pieces, [name, "piece"], value, order, reps, seed=piece_seed())
     rows = stats.join(ci, [name, "piece"]).withColumn(
         "excludes_zero", F.coalesce((F.col("ci_low") > 0) | (F.col("ci_high") < 0), F.lit(False))
     )

@@ -3,7 +3,7 @@
 A plain ``Window.partitionBy(symbol)`` sends every row of a symbol to one task. Here a series is cut into
 blocks, and three plans cover everything the package needs:
 
-``number_rows``  exact position of each row in its series, from block counts and a rank inside the block;
+``number_rows``  exact position of each row in its series, from sampled ranges of the order and their measured rows;
 ``in_blocks``    windows of bounded reach: each block also receives the few rows before and after it;
 ``running``      unbounded running aggregates: running value inside the block, combined with the carry of
                  the earlier blocks, which comes from one summary row per block.
@@ -17,36 +17,40 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barline.session import written
+
 BLOCK = 4096
+#: Rows of a range, and the most ranges; a range is sorted on disk where it does not fit in memory.
+RANGE_ROWS, MOST_RANGES = 1 << 17, 20_000
 
 
 def _names(df: DataFrame, *extra: str) -> list[str]:
     return [c for c in df.columns if c not in extra]
 
 
-def time_bucket(ts: str | Column, seconds: int) -> Column:
-    """Fixed-width time bucket; pick the width so that a bucket holds at most a few thousand rows."""
-    col = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(F.unix_seconds(col.cast("timestamp")) / F.lit(seconds))
+def ranged(df: DataFrame, by: Sequence[str], rows: int = RANGE_ROWS) -> DataFrame:
+    """The rows written in ranges of ``by``, in order; ``_at`` rises along the order and holds the number of the range above its 33rd bit.
 
+    The borders of the ranges come from a sample that Spark draws from the rows themselves, more of it where more rows are, and the number of ranges
+    from the measured rows. A key with a third of all rows has a third of the ranges, and one with few rows shares a range with others.
+    """
+    df = written(df, "to-range")
+    parts = max(1, min(MOST_RANGES, -(-df.count() // rows)))
+    return written(df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "ranged")
 
-def number_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    bucket: Column,
-    pos: str = "pos",
-) -> DataFrame:
-    """Add the 0-based position of each row in its series. ``bucket`` must not decrease along ``order``."""
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], pos: str = "pos", rows: int = RANGE_ROWS) -> DataFrame:
+    """Add the 0-based position of each row in its series.
+
+    Rows lie in ranges of (keys, order); a row's position is its place in its range, less that of the first row of its key there, plus the rows of
+    the key in earlier ranges. The carry has one row for each key and range that meet.
+    """
     keys = list(keys)
-    rows = df.withColumn("_bkt", bucket)
-    counts = rows.groupBy(*keys, "_bkt").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_bkt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*keys, "_bkt").orderBy(*order)
-    ranked = rows.withColumn("_rn", F.row_number().over(inside))
-    joined = ranked.join(offsets, [*keys, "_bkt"])
-    return joined.select(*df.columns, (F.col("_off") + F.col("_rn") - 1).cast("long").alias(pos))
+    placed = ranged(df, [*keys, *order], rows).withColumn("_rng", F.shiftrightunsigned("_at", 33))
+    met = placed.groupBy(*keys, "_rng").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
+    carry = met.select(*keys, "_rng", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off"))
+    return placed.join(carry, [*keys, "_rng"]).select(*df.columns, (F.col("_at") + F.col("_off")).cast("long").alias(pos))
 
 
 def in_blocks(

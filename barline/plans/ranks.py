@@ -1,112 +1,129 @@
 """Exact ranks and quantiles inside groups that may be too big for one task.
 
-Group sizes are measured first. While the largest group fits a task comfortably a plain window (ranks) or Spark's
-exact ``percentile`` (quantiles) does the work in one shuffle. Beyond that the split plan is used:
-
-rows are first reduced to distinct (key, value) pairs with a count. Per-key split points from a mergeable
-sketch cut the values of a key into ranges; equal values always share a range, so the result does not depend on
-how good the splits are. Ranks inside a range plus the number of rows in the lower ranges give exact ranks.
+Rows are reduced to distinct (key, value) pairs with a count and dealt out in ranges of (key, value) whose number follows the measured rows, so that
+a large group has as many ranges as it needs and small groups share one. Ranks inside a range plus the rows of the key in lower ranges are exact
+ranks, whatever the borders. Ranks of several columns of a table are found together: every key is ranked wide, in one shuffle of the rows, but for
+the keys whose own rows are too many for a task, which go by ranges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from barline.session import cut
-
-RANGES = 64
-GROUP_ROWS = 1_000_000
+from barline.plans.blocks import RANGE_ROWS, ranged
+from barline.session import written
 
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the biggest group; counts are combined map-side, one number reaches the driver."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")) if keys else df.agg(F.count("*").alias("_n"))
-    return counts.agg(F.max("_n")).first()[0] or 0
+#: Rows of one key that a task ranks in a window; keys with more go by ranges.
+KEY_ROWS = 1 << 20
 
 
-def value_positions(df: DataFrame, keys: Sequence[str], x: str, ranges: int = RANGES) -> DataFrame:
+def value_positions(df: DataFrame, keys: Sequence[str], x: str, rows: int = RANGE_ROWS) -> DataFrame:
     """One row per (keys, value): ``cnt`` copies, ``below`` rows strictly less, ``total`` rows of the key."""
     keys = list(keys)
     distinct = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("cnt"))
-    cuts = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    sketch = F.percentile_approx(F.col(x), cuts, F.lit(4 * ranges)).alias("_cuts")
-    if keys:
-        splits = distinct.groupBy(*keys).agg(sketch)
-        cut = distinct.join(splits, keys)
-    else:
-        cut = distinct.withColumn("_cuts", distinct.agg(sketch).scalar())
-    cut = cut.withColumn("_rng", F.size(F.filter("_cuts", lambda c: c < F.col(x)))).drop("_cuts")
-    sizes = cut.groupBy(*keys, "_rng").agg(F.sum("cnt").alias("_size"))
+    placed = ranged(distinct, [*keys, x], rows).withColumn("_rng", F.shiftrightunsigned("_at", 33))
+    sizes = placed.groupBy(*keys, "_rng").agg(F.sum("cnt").alias("_size"))
     per_key = Window.partitionBy(*keys)
     lower = per_key.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *keys,
-        "_rng",
-        F.coalesce(F.sum("_size").over(lower), F.lit(0)).alias("_off"),
-        F.sum("_size").over(per_key).alias("total"),
-    )
-    inside = Window.partitionBy(*keys, "_rng").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    counted = cut.withColumn("_lower", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
-    return counted.join(offsets, [*keys, "_rng"]).select(
-        *keys, x, "cnt", (F.col("_off") + F.col("_lower")).alias("below"), "total"
-    )
+    offsets = sizes.select(*keys, "_rng", F.coalesce(F.sum("_size").over(lower), F.lit(0)).alias("_off"), F.sum("_size").over(per_key).alias("total"))
+    inside = Window.partitionBy(*keys, "_rng").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    counted = placed.withColumn("_lower", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
+    return counted.join(offsets, [*keys, "_rng"]).select(*keys, x, "cnt", (F.col("_off") + F.col("_lower")).alias("below"), "total")
 
 
-def average_rank(
-    df: DataFrame,
-    keys: Sequence[str],
-    x: str,
-    name: str,
-    pct: bool = True,
-    ranges: int = RANGES,
-    group_rows: int = GROUP_ROWS,
-) -> DataFrame:
+def average_rank(df: DataFrame, keys: Sequence[str], x: str, name: str, pct: bool = True, rows: int = RANGE_ROWS, key_rows: int = KEY_ROWS) -> DataFrame:
     """Tie-averaged rank of ``x`` within ``keys`` (as a share of the group when ``pct``); null stays null."""
-    return average_ranks(df, keys, {name: x}, pct, ranges, group_rows)
+    return average_ranks(df, keys, {name: x}, pct, rows, key_rows)
 
 
 def average_ranks(
-    df: DataFrame,
-    keys: Sequence[str],
-    names: dict[str, str],
-    pct: bool = True,
-    ranges: int = RANGES,
-    group_rows: int = GROUP_ROWS,
-    cheap: bool = False,
-    size: str | None = None,
+    df: DataFrame, keys: Sequence[str], names: dict[str, str], pct: bool = True, rows: int = RANGE_ROWS, key_rows: int = KEY_ROWS, cheap: bool = False, sizes: dict[str, str] | None = None
 ) -> DataFrame:
     """Like :func:`average_rank` for several columns of one table: ``names`` maps result column to input column.
 
-    The table is read more than once, so it is written out first unless the caller knows that it is ``cheap``
-    to read again (a filter or projection of a table already written). ``size`` adds the number of non-null
-    values of the first column in the group.
+    The table is read more than once, so it is written out first unless the caller knows that it is ``cheap`` to read again (a filter or projection
+    of a table already written). ``sizes`` maps further result columns to input columns whose non-null values in the group are counted.
     """
-    keys = list(keys)
-    df = df if cheap else cut(df)
-    if largest_group(df, keys) <= group_rows:
-        # One shuffle on the keys serves every window below: they all cluster by the keys and more.
-        df = df.repartition(*keys) if keys else df
-        columns = []
-        for name, x in names.items():
-            known = Window.partitionBy(*keys, F.col(x).isNull())
-            ties = F.count("*").over(Window.partitionBy(*keys, F.col(x).isNull(), x))
-            rank = F.rank().over(known.orderBy(x)) + (ties - 1) / 2
-            rank = rank / F.count("*").over(known) if pct else rank
-            columns.append(F.when(F.col(x).isNotNull(), rank).alias(name))
-        if size:
-            columns.append(F.count(next(iter(names.values()))).over(Window.partitionBy(*keys)).alias(size))
-        return df.select(*df.columns, *columns)
-    out = df
+    keys, sizes = list(keys), sizes or {}
+    df = df if cheap else written(df, "to-rank")
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")) if keys else df.agg(F.count("*").alias("_n"))
+    large = counts.where(F.col("_n") > key_rows).select(*keys)  # few: each stands for more than key_rows rows
+    some = not large.isEmpty()
+    if not some:
+        return _wide_ranks(df, keys, names, pct, sizes)
+    split = df.join(large, keys, "left_semi") if keys else df
+    out, counted = split, {}
     for name, x in names.items():
         rank = F.col("below") + (F.col("cnt") + 1) / 2
-        positions = value_positions(df, keys, x, ranges).select(
-            *keys, x, (rank / F.col("total") if pct else rank).alias(name), F.col("total").alias(f"_size_{name}")
-        )
-        out = out.join(positions, [*keys, x], "left")
-    sizes = [F.col(f"_size_{next(iter(names))}").alias(size)] if size else []
-    return out.select(*df.columns, *names, *sizes)
+        positions = value_positions(split, keys, x, rows)
+        out = out.join(positions.select(*keys, x, (rank / F.col("total") if pct else rank).alias(name)), [*keys, x], "left")
+    for name, x in sizes.items():
+        counted[name] = split.groupBy(*keys).agg(F.count(x).alias(name)) if keys else split.agg(F.count(x).alias(name))
+        out = out.join(counted[name], keys) if keys else out.withColumn(name, counted[name].scalar())
+    out = out.select(*df.columns, *names, *sizes)
+    return out.unionByName(_wide_ranks(df.join(large, keys, "left_anti"), keys, names, pct, sizes)) if keys else out
+
+
+def _wide_ranks(df: DataFrame, keys: list[str], names: dict[str, str], pct: bool, sizes: dict[str, str]) -> DataFrame:
+    """All columns in one shuffle on the keys. A task holds the rows of one key at a time, and all of its columns are ranked in arrays."""
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys) if keys else df.repartition(1)
+    columns = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            group = _groups(pa.Table.from_batches([batch]), keys)
+            if group[0] != group[-1]:  # every key but the last one is complete
+                table = pa.Table.from_batches(waiting)
+                edge = table.num_rows - int((group == group[-1]).sum())
+                yield from _ranked(table.slice(0, edge), keys, names, pct, sizes)
+                waiting = table.slice(edge).to_batches()
+        if waiting:
+            yield from _ranked(pa.Table.from_batches(waiting), keys, names, pct, sizes)
+
+    schema = df.select(*columns, *[F.lit(None).cast("double").alias(n) for n in names], *[F.lit(None).cast("long").alias(n) for n in sizes]).schema
+    return dealt.mapInArrow(run, schema)
+
+
+def _groups(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """A number for each row that rises where a key begins; rows of one key lie together."""
+    changed = np.zeros(table.num_rows, bool)
+    for key in keys:
+        codes = table.column(key).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        changed[1:] |= codes[1:] != codes[:-1]
+    return np.cumsum(changed)
+
+
+def _ranked(table: pa.Table, keys: list[str], names: dict[str, str], pct: bool, sizes: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """The rows with tie-averaged ranks within their keys; all rows of a key are there."""
+    group = _groups(table, keys)
+    known, out = {}, list(table.columns)
+    for x in {*names.values(), *sizes.values()}:
+        known[x] = table.column(x).is_valid().combine_chunks().to_numpy(zero_copy_only=False)
+    count = {x: np.bincount(group, weights=ok, minlength=group[-1] + 1 if len(group) else 0) for x, ok in known.items()}
+    for x in names.values():
+        rows = np.flatnonzero(known[x])
+        value = table.column(x).combine_chunks().to_numpy(zero_copy_only=False)[rows]
+        order = np.lexsort((value, group[rows]))
+        own, value = group[rows][order], value[order]
+        same = (value[1:] == value[:-1]) | ((value[1:] != value[1:]) & (value[:-1] != value[:-1]))  # a NaN ties with a NaN
+        first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | ~same])) if len(own) else np.zeros(0, np.int64)
+        ties = np.diff(np.concatenate([first, [len(own)]]))
+        begin = np.cumsum(count[x]) - count[x]
+        rank = np.empty(len(own))
+        rank[order] = np.repeat(first + (ties + 1) / 2, ties) - begin[own]
+        filled = np.zeros(len(group))
+        filled[rows] = rank / count[x][group[rows]] if pct else rank
+        out.append(pa.array(filled, mask=~known[x]))
+    out += [pa.array(count[x][group].astype(np.int64)) for x in sizes.values()]
+    yield from pa.Table.from_arrays(out, [*table.column_names, *names, *sizes]).to_batches(max_chunksize=10_000)
 
 
 def quantiles(
@@ -114,13 +131,12 @@ def quantiles(
     keys: Sequence[str],
     x: str,
     qs: dict[str, float],
-    ranges: int = RANGES,
+    rows: int = RANGE_ROWS,
     order_stat: bool = False,
 ) -> DataFrame:
     """Exact quantiles per key: linear interpolation, or the order statistic at ``floor(q * (n - 1))``; one plan for groups of any size."""
     keys = list(keys)
-    known = cut(df.where(F.col(x).isNotNull()).select(*keys, x))
-    positions = value_positions(known, keys, x, ranges)
+    positions = value_positions(df.select(*keys, x), keys, x, rows)
     last = F.col("below") + F.col("cnt") - 1
     aggs = []
     for name, q in qs.items():

@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 from barline.functions import factors, ts, xs
 from barline.functions.scalar import log_, safe_div
 from barline.operators import books
-from barline.plans.blocks import in_blocks, number_rows, time_bucket
+from barline.plans.blocks import in_blocks, number_rows
 from barline.queries import fixtures as fx
+from barline.plans.ranks import average_ranks
 from barline.queries.registry import query, view
-from barline.session import cut
+from barline.session import cut, written
 from barline.queries.timeseries import _DECAY, _frame, _full, with_returns
 
 
-def week_bucket(col):
-    return time_bucket(col, 1024 * fx.WEEK)
-
-
 def returns(spark, d):
     """Bars with ret, vwap and the forward returns over 1 and 5 bars."""
 
@@ -119,7 +116,7 @@ view("wcal", "bars", "SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS ci FROM
 
 
 def week_calendar(bars):
-    return number_rows(bars.select("ts").distinct(), [], ["ts"], week_bucket(F.col("ts")), pos="ci")
+    return number_rows(bars.select("ts").distinct(), [], ["ts"], pos="ci")
 
 
 @query("topn_book", "bars_r ens wcal", """
@@ -200,9 +197,15 @@ SELECT symbol, ts, factor, round({_avg_rank('x', 'factor, ts')} / count(*) OVER
 FROM (SELECT symbol, ts, factor, round(x, 9) AS x FROM fac_long WHERE x IS NOT NULL)""")
 def factor_library(spark, d):
     """Percentile rank per week of every library factor (values rounded so that ties are the same everywhere)."""
-    long = xs.to_long(factor_values(spark, d), list(factors.LIBRARY), ["symbol", "ts"]).where(F.col("x").isNotNull())
-    out = xs.cs_rank(long.withColumn("x", F.round("x", 9)), "x", "value", keys=("factor", "ts"))
-    return out.select("symbol", "ts", "factor", F.round("value", 4).alias("value"))
+    names = list(factors.LIBRARY)
+    ranked = average_ranks(rounded_values(spark, d, names), ["ts"], {f"r_{n}": n for n in names})
+    values = [F.struct(F.lit(n).alias("factor"), F.col(f"r_{n}").alias("value")) for n in names]
+    return ranked.select("symbol", "ts", F.explode(F.array(*values)).alias("v")).where("v.value IS NOT NULL").select("symbol", "ts", "v.factor", F.round("v.value", 4).alias("value"))
+
+
+def rounded_values(spark, d, names):
+    """Factor columns, rounded so that ties are the same everywhere."""
+    return factor_values(spark, d, names).select("symbol", "ts", "fwd5", *[F.round(n, 9).alias(n) for n in names])
 
 
 def _ic_sql(source: str, keys: str, min_symbols: int, min_days: int, coverage: float) -> str:
@@ -234,8 +237,7 @@ view("one_long", "fac", "SELECT symbol, ts, fwd5, 'reversal_5' AS factor, round(
 @query("factor_ic", "one_long", "WITH " + _ic_sql("one_long", "factor", 5, 60, 0.3).lstrip() + f" SELECT factor, {_SCORE_SQL}, days FROM o")
 def factor_ic(spark, d):
     """Flagship: weekly rank IC of a five-bar reversal factor against the five-bar forward return."""
-    long = xs.to_long(factor_values(spark, d, ["reversal_5"]), ["reversal_5"], ["symbol", "ts", "fwd5"])
-    out = xs.factor_ic(long.withColumn("x", F.round("x", 9)), "fwd5", week_bucket, min_symbols=5, min_coverage=0.3)
+    out = xs.factor_ic(rounded_values(spark, d, ["reversal_5"]), ["reversal_5"], "fwd5", min_symbols=5, min_coverage=0.3)
     return _rounded(out, "factor")
 
 
@@ -245,27 +247,44 @@ view("all_long", "fac_long", "SELECT symbol, ts, fwd5, factor, round(x, 9) AS x
 @query("factor_table", "all_long", "WITH " + _ic_sql("all_long", "factor", 5, 60, 0.3).lstrip() + f" SELECT factor, {_SCORE_SQL}, days FROM o")
 def factor_table(spark, d):
     """Scores of the whole library in one plan."""
-    long = xs.to_long(factor_values(spark, d), list(factors.LIBRARY), ["symbol", "ts", "fwd5"])
-    out = xs.factor_ic(long.withColumn("x", F.round("x", 9)), "fwd5", week_bucket, min_symbols=5, min_coverage=0.3)
-    return _rounded(out, "factor")
+    return _rounded(library_scores(spark, d), "factor")
+
 
+def library_scores(spark, d):
+    names = list(factors.LIBRARY)
+    return xs.factor_ic(rounded_values(spark, d, names), names, "fwd5", min_symbols=5, min_coverage=0.3)
 
-_PAIRS = [("reversal_5", "momentum_20"), ("reversal_5", "vwap_gap"), ("momentum_20", "mean_return_20")]
-view("pairs", "fac", " UNION ALL ".join(
-    f"SELECT symbol, ts, '{a}' AS a, '{b}' AS b, round({a}, 9) AS x, round({b}, 9) AS y FROM fac" for a, b in _PAIRS))
 
+_ALL_PAIRS = [(a, b) for i, a in enumerate(factors.LIBRARY) for b in list(factors.LIBRARY)[i + 1 :]]
+view("pairs", "fac", "SELECT symbol, ts, p.a AS a, p.b AS b, round(p.x, 9) AS x, round(p.y, 9) AS y FROM (SELECT symbol, ts, unnest(["
+    + ", ".join(f"{{'a': '{a}', 'b': '{b}', 'x': {a}, 'y': {b}}}" for a, b in _ALL_PAIRS) + "]) AS p FROM fac)")
+_CORR_SQL = f"""
+pr AS (SELECT a, b, ts, {_avg_rank('x', 'a, b, ts')} AS rx, {_avg_rank('y', 'a, b, ts')} AS ry FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL),
+pc AS (SELECT a, b, ts, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN corr(rx, ry) END AS c FROM pr GROUP BY a, b, ts),
+fc AS (SELECT a, b, round(CASE WHEN count(*) < 30 THEN 0 ELSE coalesce(avg(c), 0) END, 6) AS corr FROM pc GROUP BY a, b)"""
 
-@query("factor_corr", "pairs", f"""
-WITH r AS (SELECT a, b, ts, {_avg_rank('x', 'a, b, ts')} AS rx, {_avg_rank('y', 'a, b, ts')} AS ry FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL),
-c AS (SELECT a, b, ts, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN corr(rx, ry) END AS c FROM r GROUP BY a, b, ts)
-SELECT a, b, round(CASE WHEN count(*) < 30 THEN 0 ELSE coalesce(avg(c), 0) END, 6) AS corr FROM c GROUP BY a, b""")
+
+@query("factor_corr", "pairs", "WITH " + _CORR_SQL.lstrip() + " SELECT a, b, corr FROM fc")
 def factor_corr(spark, d):
-    values = factor_values(spark, d, sorted({n for p in _PAIRS for n in p}))
-    item = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(a, 9).alias("x"), F.round(b, 9).alias("y")) for a, b in _PAIRS
-    ])
-    pairs = values.select("symbol", "ts", F.explode(item).alias("p")).select("symbol", "ts", "p.*")
-    return xs.factor_corr(pairs).select("a", "b", F.round("corr", 6).alias("corr"))
+    """Every pair of the library's factors."""
+    names = list(factors.LIBRARY)
+    return xs.factor_corr(rounded_values(spark, d, names), names).select("a", "b", F.round("corr", 6).alias("corr"))
+
+
+#: Limits of the acceptance query; looser than the defaults, which no factor of made-up prices passes.
+ACCEPT = {"min_ic": 0.005, "min_icir": 0.1, "max_turnover": 0.45}
+
+
+@query("accepted_factors", "all_long pairs", "WITH " + _ic_sql("all_long", "factor", 5, 60, 0.3).lstrip() + "," + _CORR_SQL + f""",
+q AS (SELECT factor, row_number() OVER (ORDER BY abs(round(icir, 6)) DESC, factor) AS place, abs(rank_ic) >= {ACCEPT['min_ic']} AND abs(icir) >= {ACCEPT['min_icir']} AND turnover <= {ACCEPT['max_turnover']} AS strong FROM o),
+l AS (SELECT q.*, coalesce((SELECT list(CASE WHEN a = factor THEN b ELSE a END) FROM fc WHERE abs(corr) > 0.7 AND (a = factor OR b = factor)), []) AS linked FROM q),
+w AS (SELECT 0::BIGINT AS place, []::VARCHAR[] AS kept UNION ALL SELECT l.place, CASE WHEN l.strong AND NOT list_has_any(w.kept, l.linked) THEN list_append(w.kept, l.factor) ELSE w.kept END FROM w JOIN l ON l.place = w.place + 1)
+SELECT factor, place::INTEGER AS place, strong, list_contains((SELECT kept FROM w ORDER BY place DESC LIMIT 1), factor) AS accepted FROM q""", recursive=True)
+def accepted_factors(spark, d):
+    """Greedy choice of strong factors that are not correlated with a stronger one."""
+    names = list(factors.LIBRARY)
+    corr = xs.factor_corr(rounded_values(spark, d, names), names).withColumn("corr", F.round("corr", 6))
+    return xs.accepted_factors(library_scores(spark, d), corr, **ACCEPT)
 
 
 view("period_long", "all_long wcal", """
@@ -282,10 +301,10 @@ def ic_decay(spark, d):
     """How much of the validation IC is left in the test period, over the whole library."""
     from barline.operators.labels import period_of
 
-    values = cut(factor_values(spark, d))
-    long = xs.to_long(values, list(factors.LIBRARY), ["symbol", "ts", "fwd5"]).withColumn("x", F.round("x", 9))
-    staged = long.join(period_of(week_calendar(values), "ci").select("ts", "period"), "ts")
-    series = xs.ic_series(staged, "fwd5", ["factor", "period"], 5)
+    names = list(factors.LIBRARY)
+    values = written(rounded_values(spark, d, names), "factors")
+    series = xs.ic_series(xs.ranked_with(values, names, "fwd5"), names, 5)
+    series = series.join(period_of(week_calendar(values), "ci").select("ts", "period"), "ts")
     scored = series.groupBy("factor", "period").agg(F.avg("ic").alias("rank_ic"), F.count("ic").alias("days")).where("days >= 20")
     wide = scored.groupBy("factor").agg(
         F.max(F.when(F.col("period") == "validation", F.col("rank_ic"))).alias("v"),

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barline.plans.blocks import number_rows, time_bucket
+from barline.plans.blocks import number_rows
 from barline.queries.registry import view
 
 DAY = 86400
@@ -66,7 +66,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         _px().alias("px"),
     )
     out = _ohlc(lines, _line_order(), F.sum("l_quantity"))
-    return number_rows(out, ["symbol"], ["ts"], time_bucket("ts", 1024 * WEEK))
+    return number_rows(out, ["symbol"], ["ts"])
 
 
 view(
@@ -98,7 +98,7 @@ def idx(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.col("r_name").alias("symbol"), F.date_trunc("day", "l_shipdate").alias("ts"), "*", _px().alias("px"))
     )
     out = _ohlc(lines, _line_order(), F.sum("l_quantity"))
-    return number_rows(out, ["symbol"], ["ts"], time_bucket("ts", 4096 * DAY))
+    return number_rows(out, ["symbol"], ["ts"])
 
 
 view(
@@ -117,7 +117,7 @@ def cal(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.to_date("o_orderdate").alias("day"))
         .distinct()
     )
-    return number_rows(days, [], ["day"], F.floor(F.unix_date("day") / 4096), pos="ci")
+    return number_rows(days, [], ["day"], pos="ci")
 
 
 view(
@@ -180,7 +180,7 @@ def bars_h(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.min_by("k", order).alias("k"),
         )
     )
-    return number_rows(out, ["symbol"], ["ts"], time_bucket("ts", 4096 * 3600))
+    return number_rows(out, ["symbol"], ["ts"])
 
 
 _WORDS_SQL = " ".join(f"WHEN {i} THEN ' {w}'" for i, w in enumerate(HEADLINE_WORDS))
@@ -200,7 +200,7 @@ FROM events JOIN (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS di, count
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One article per event. Its text is a whole document: first line as headline, the rest as summary."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    numbered = number_rows(docs, [], ["doc_id"], F.floor(F.col("doc_id") / 4096), pos="di")
+    numbered = number_rows(docs, [], ["doc_id"], pos="di")
     word = F.get(F.array(*[F.lit(" " + w) for w in HEADLINE_WORDS]), (_k() % 9).cast("int"))
     events = (
         table(spark, sf_dir, "events")

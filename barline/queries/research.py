@@ -9,17 +9,15 @@ from barline.operators import events, gates, metrics, stats
 from barline.operators.joins import event_windows
 from barline.operators.labels import direction
 from barline.operators.sleeves import is_long
-from barline.plans.blocks import in_blocks, time_bucket
+from barline.plans.blocks import in_blocks
 from barline.queries import fixtures as fx
 from barline.queries.crosssection import returns as bar_returns
 from barline.queries.registry import query, view
 from barline.queries.tables import index_returns, month_end_events, r6
-from barline.queries.timeseries import panel, week_and_prefix
+from barline.queries.timeseries import panel
 from barline.queries.trading import run_variants
 from barline.session import cut
 
-DAYS = 4096 * fx.DAY
-_UNIT = "('0x' || substr(md5({0}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 
 
 def idx_calendar(returns):
@@ -37,17 +35,26 @@ def turn_events(spark, d):
 
 
 def _boot(source: str, keys: str, seed: str, reps: int) -> str:
-    on = " AND ".join(f"d.{k.strip()} = v.{k.strip()}" for k in keys.split(","))
-    cols = ", ".join(f"d.{k.strip()}" for k in keys.split(","))
-    return f"""bn AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY {keys}) AS bn FROM {source}),
-bd AS (SELECT {keys}, rep, floor({_UNIT.format(f"{seed} || '|' || rep || '|' || i")} * bn)::BIGINT AS i FROM bn, (SELECT unnest(range({reps})) AS rep)),
-bm AS (SELECT {cols}, rep, avg(v.value) AS m FROM bd d JOIN bn v ON {on} AND d.i = v.i GROUP BY {cols}, rep),
-ci AS (SELECT {keys}, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM bm GROUP BY {keys})"""
-
-
-@query("bootstrap_ci", "tom_ev", "WITH " + _boot("tom_ev", "symbol", "7", 100) + " SELECT symbol, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ci")
+    weight = " + ".join(f"(u >= {edge})::INTEGER" for edge in stats.POISSON)
+    mask, x, steps = 0xFFFFFFFF, f"(i + {seed} * 48271 + 1) & {0xFFFFFFFF}", []
+    for n in range(2):  # each step shifts and multiplies; between the two rounds comes the resample
+        if n:
+            x = f"(x + rep * 630360016) & {mask}"
+        for expr in (x, f"xor(x, x >> 16) * 569420461 & {mask}", f"xor(x, x >> 15) * 1935289751 & {mask}", "xor(x, x >> 15)"):
+            steps.append(f"h{len(steps) + 1} AS (SELECT {keys}, value, rep, i, {expr} AS x FROM {f'h{len(steps)}' if steps else 'br'})")
+    return f"""bn AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ts) - 1 AS i FROM {source} WHERE value IS NOT NULL),
+br AS (SELECT {keys}, value, i, rep FROM bn, (SELECT unnest(range({reps})) AS rep)),
+{", ".join(steps)},
+b4 AS (SELECT {keys}, value, rep, {weight.replace("u >=", "x >=")} AS w FROM h{len(steps)}),
+bm AS (SELECT {keys}, rep, sum(w * value) / nullif(sum(w), 0)::DOUBLE AS m FROM b4 GROUP BY {keys}, rep),
+nb AS (SELECT {keys}, count(*) AS bn FROM bn GROUP BY {keys}),
+ci AS (SELECT {keys}, CASE WHEN any_value(bn) >= 3 THEN quantile_cont(m, 0.025) END AS ci_low, CASE WHEN any_value(bn) >= 3 THEN quantile_cont(m, 0.975) END AS ci_high
+  FROM bm JOIN nb USING ({keys}) GROUP BY {keys})"""
+
+
+@query("bootstrap_ci", "tom_ev", "WITH " + _boot("tom_ev", "symbol", "7", 10_000) + " SELECT symbol, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ci")
 def bootstrap_ci(spark, d):
-    out = stats.bootstrap_ci(turn_events(spark, d), ["symbol"], "value", time_bucket("ts", DAYS), ["ts"], reps=100)
+    out = stats.bootstrap_ci(turn_events(spark, d), ["symbol"], "value", ["ts"])
     return out.select("symbol", *r6("ci_low", "ci_high"))
 
 
@@ -72,7 +79,7 @@ def battery(spark, d):
     from barline.plans.blocks import number_rows
 
     r = cut(index_returns(spark, d))
-    days = cut(number_rows(idx_calendar(r), [], ["day"], F.floor(F.unix_date("day") / 4096), pos="ci"))
+    days = cut(number_rows(idx_calendar(r), [], ["day"], pos="ci"))
     dates = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), F.to_date("o_orderdate").alias("day"))
     told = fx.table(spark, d, "pages").select("page_id").join(dates, "page_id").select("day").distinct()
     parts = [
@@ -95,7 +102,7 @@ view("bat", "battery", "SELECT symbol || '_' || name AS name, ts, value FROM bat
 
 @query("effect_test", "bat", "WITH n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts) - 1 AS p, count(*) OVER (PARTITION BY name) AS n FROM bat),\n"
     "pc AS (SELECT name, ts, value, n, 'full' AS piece FROM n UNION ALL SELECT name, ts, value, n, CASE WHEN p < floor(n * 0.7::DOUBLE) THEN 'early' ELSE 'late' END FROM n),\n"
-    "ps AS (SELECT name, piece, ts, value, CASE piece WHEN 'full' THEN 7 WHEN 'early' THEN 8 ELSE 9 END AS seed FROM pc),\n" + _boot("ps", "name, piece, seed", "seed", 60) + """,
+    "ps AS (SELECT name, piece, ts, value, CASE piece WHEN 'full' THEN 7 WHEN 'early' THEN 8 ELSE 9 END AS seed FROM pc),\n" + _boot("ps", "name, piece, seed", "seed", 10_000) + """,
 s AS (SELECT pc.name, pc.piece, max(n) AS n, avg(value) AS mean, avg(CASE WHEN value > 0 THEN 1.0::DOUBLE ELSE 0 END) AS positive, any_value(ci_low) AS lo, any_value(ci_high) AS hi FROM pc JOIN ci USING (name, piece) GROUP BY 1, 2),
 w AS (SELECT name, max(n) AS n, max(mean) FILTER (piece = 'full') AS mean, max(mean) FILTER (piece = 'early') AS em, max(mean) FILTER (piece = 'late') AS lm, max(lo) FILTER (piece = 'full') AS lo, max(hi) FILTER (piece = 'full') AS hi, max(positive) FILTER (piece = 'full') AS positive,
   bool_or(lo > 0 OR hi < 0) FILTER (piece = 'early') AS e, bool_or(lo > 0 OR hi < 0) FILTER (piece = 'late') AS l FROM s GROUP BY name),
@@ -104,7 +111,7 @@ SELECT name, n, round(mean, 6) AS mean, round(em, 6) AS early_mean, round(lm, 6)
   CASE WHEN n < 10 THEN 'fewer than 10 events; not testable' WHEN NOT confirmed THEN 'failed split-sample confirmation' WHEN NOT pays THEN 'effect smaller than 2x round-trip cost' END AS drop_reason FROM v""")
 def effect_test(spark, d):
     rows = battery(spark, d).select(F.concat_ws("_", "symbol", "name").alias("name"), "ts", "value")
-    out = stats.effect_test(cut(rows), "name", "value", ["ts"], time_bucket("ts", DAYS), cost=0.0001, reps=60)
+    out = stats.effect_test(cut(rows), "name", "value", ["ts"], cost=0.0001)
     return out.select("name", "n", *r6("mean", "early_mean", "late_mean", "ci_low", "ci_high", "positive"), "confirmed", "exceeds_cost", "verdict", "drop_reason")
 
 
@@ -149,7 +156,7 @@ n AS (SELECT *, row_number() OVER (ORDER BY ts, symbol) - 1 AS seq FROM g WHERE
 q AS (SELECT *, CASE WHEN seq >= 200 THEN quantile_cont(gap, 0.9) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS threshold FROM n)
 SELECT symbol, ts, round(gap, 6) AS gap, round(fwd5, 6) AS fwd_5 FROM q WHERE gap >= threshold""")
 def gap_drift_events(spark, d):
-    out = events.gap_drift(fx.bars(spark, d), week_and_prefix(), horizons=(5,))
+    out = events.gap_drift(fx.bars(spark, d), horizons=(5,))
     return out.select("symbol", "ts", *r6("gap", "fwd_5"))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barline.operators import calendar as cal_ops
-from barline.plans.blocks import time_bucket
 from barline.queries import fixtures as fx
 from barline.queries.registry import query, view
 from barline.session import cut, scratch_path
@@ -29,10 +28,6 @@ def _run(spark, stream, name):
     return spark.read.parquet(f"{path}/out")
 
 
-def minute_bucket(col="event_ts"):
-    return time_bucket(col, 60)
-
-
 _MOVES = """
 SELECT symbol, event_ts, event_id, round(prev, 6) AS prev_price, round(price, 6) AS price, side FROM (
   SELECT *, CASE WHEN prev > 0 AND price >= prev * (1 + 0.5::DOUBLE) THEN 'buy' WHEN prev > 0 AND price <= prev * (1 - 0.5::DOUBLE) THEN 'sell' END AS side FROM (
@@ -41,7 +36,7 @@ SELECT symbol, event_ts, event_id, round(prev, 6) AS prev_price, round(price, 6)
 
 @query("price_moves", "ticks", _MOVES)
 def price_moves(spark, d):
-    out = st.price_moves(fx.ticks(spark, d), 5000, minute_bucket())
+    out = st.price_moves(fx.ticks(spark, d), 5000)
     return out.select("symbol", "event_ts", "event_id", F.round("prev_price", 6).alias("prev_price"), F.round("price", 6).alias("price"), "side")
 
 
@@ -80,7 +75,7 @@ def _stop_columns(df):
 
 @query("stream_stops", "ticks entries", _STOPS)
 def stream_stops(spark, d):
-    return _stop_columns(st.stops_batch(fx.ticks(spark, d), positions(spark, d), 0.5, 0.8, minute_bucket()))
+    return _stop_columns(st.stops_batch(fx.ticks(spark, d), positions(spark, d), 0.5, 0.8))
 
 
 @query("stop_stream", "ticks entries", _STOPS)
@@ -141,7 +136,7 @@ WITH g AS (SELECT *, CASE WHEN event_ts - lag(event_ts) OVER (PARTITION BY symbo
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY event_ts, event_id) AS sid FROM g)
 SELECT symbol, min(event_ts) AS start, max(event_ts) + INTERVAL 1 HOUR AS "end", count(*) AS ticks, round(max(price), 6) AS high, round(min(price), 6) AS low FROM s GROUP BY symbol, sid""")
 def tick_sessions(spark, d):
-    return st.sessions_batch(fx.ticks(spark, d), 3600, minute_bucket()).select("symbol", "start", "end", "ticks", F.round("high", 6).alias("high"), F.round("low", 6).alias("low"))
+    return st.sessions_batch(fx.ticks(spark, d), 3600).select("symbol", "start", "end", "ticks", F.round("high", 6).alias("high"), F.round("low", 6).alias("low"))
 
 
 @query("stream_fanout", "ticks", "SELECT symbol, event_id, round(price, 6) AS price FROM ticks")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from barline.functions import ts
 from barline.operators import books, calendar as cal_ops, joins
 from barline.operators.news import effective_day
-from barline.plans.blocks import in_blocks, number_rows, time_bucket
+from barline.plans.blocks import in_blocks, number_rows
 from barline.queries import fixtures as fx
 from barline.queries.registry import query, view
 from barline.queries.timeseries import panel
@@ -26,11 +26,6 @@ def r12(*cols):
     return [F.round(c, 12).alias(c) for c in cols]
 
 
-def minutes(col):
-    """Bucket of event-level data; short, because one symbol may have very many events."""
-    return time_bucket(col, 60)
-
-
 # ---- sources
 
 
@@ -148,7 +143,7 @@ def tick_count(spark, d):
 SELECT s.symbol, c.ts, c.ci, round(b.close, 6) AS close FROM (SELECT DISTINCT symbol FROM bars) s CROSS JOIN wcal c
 LEFT JOIN bars b ON b.symbol = s.symbol AND b.ts = c.ts""")
 def aligned(spark, d):
-    out = cal_ops.align_calendar(cut(fx.bars(spark, d)), lambda c: time_bucket(c, 1024 * fx.WEEK))
+    out = cal_ops.align_calendar(cut(fx.bars(spark, d)))
     return out.select("symbol", "ts", "ci", F.round("close", 6).alias("close"))
 
 
@@ -251,7 +246,7 @@ view("ecal", "", "SELECT day, row_number() OVER (ORDER BY day) - 1 AS ci FROM (S
 
 def event_calendar(spark, d):
     days = fx.table(spark, d, "events").where(F.dayofweek("ts").between(2, 6)).select(F.to_date("ts").alias("day")).distinct()
-    return number_rows(days, [], ["day"], F.floor(F.unix_date("day") / 4096), pos="ci")
+    return number_rows(days, [], ["day"], pos="ci")
 
 
 view("eff", "ecal", """
@@ -285,7 +280,7 @@ def next_bar(spark, d):
     stamps = fx.table(spark, d, "events").select(
         F.col("event_id").alias("article_id"), F.concat(F.lit("U"), F.col("user_id")).alias("symbol"), F.col("ts").alias("created_at")
     )
-    out = joins.next_bar(stamps, cal_ops.regular_hours(fx.bars_h(spark, d)), minutes)
+    out = joins.next_bar(stamps, cal_ops.regular_hours(fx.bars_h(spark, d)))
     return out.select("article_id", "bar_ts")
 
 
@@ -307,7 +302,7 @@ def asof_pred(spark, d):
     """Predictions exist in regular hours only; every bar sees the latest one."""
     hourly = cut(fx.bars_h(spark, d))
     preds = fx.preds_of(cal_ops.regular_hours(hourly))
-    out = joins.asof_backward(hourly.select("symbol", "ts"), preds, ["direction", "strength"], lambda c: time_bucket(c, 4096 * 3600))
+    out = joins.asof_backward(hourly.select("symbol", "ts"), preds, ["direction", "strength"])
     return out.select("symbol", "ts", "matched_ts", "direction", "strength")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barline.operators import calendar as cal_ops, joins, news
 from barline.queries import fixtures as fx
 from barline.queries.registry import query, view
-from barline.queries.tables import event_calendar, minutes, r6
+from barline.queries.tables import event_calendar, r6
 from barline.session import cut
 
 _SP = news.SPACES.replace("'", "''")
@@ -48,7 +48,7 @@ s AS (SELECT a.symbol, bar_ts, a.article_id, row_number() OVER (PARTITION BY a.s
 SELECT symbol, bar_ts, count(*)::INTEGER AS headline_count, md5(string_agg(r || '. ' || line, chr(10) ORDER BY r)) AS text_md5 FROM s WHERE r <= 5 GROUP BY 1, 2""")
 def bar_bundles(spark, d):
     """The same per regular-hours bar of the user."""
-    placed = joins.next_bar(fx.articles(spark, d), cal_ops.regular_hours(fx.bars_h(spark, d)), minutes)
+    placed = joins.next_bar(fx.articles(spark, d), cal_ops.regular_hours(fx.bars_h(spark, d)))
     out = news.bundle_news(placed, ["symbol", "bar_ts"], day="bar_ts")
     return out.select("symbol", "bar_ts", "headline_count", F.md5("text").alias("text_md5"))
 

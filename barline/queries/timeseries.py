@@ -109,12 +109,12 @@ view(
 
 def panel(spark, d) -> DataFrame:
     """Several named series side by side, one row per day (an outer join by construction)."""
-    from barline.plans.blocks import number_rows, time_bucket
+    from barline.plans.blocks import number_rows
 
     wide = fx.idx(spark, d).groupBy("ts").agg(
         *[F.max(F.when(F.col("symbol") == s, F.col("close"))).alias(c) for s, c in PANEL.items()]
     )
-    return number_rows(wide, [], ["ts"], time_bucket("ts", 4096 * fx.DAY))
+    return number_rows(wide, [], ["ts"])
 
 
 @query(
@@ -276,14 +276,7 @@ def gap_events(spark, d) -> DataFrame:
     gaps = in_blocks(
         fx.bars(spark, d), lambda r, w: r.withColumn("gap", F.col("open") / F.lag("close").over(w) - 1), back=1
     ).where(F.col("gap").isNotNull())
-    return number_rows(gaps, [], ["ts", "symbol"], week_and_prefix(), pos="seq")
-
-
-def week_and_prefix():
-    """Bucket for the global order (ts, symbol): weeks are cut further by the first letters of the symbol."""
-    from barline.plans.blocks import time_bucket
-
-    return F.struct(time_bucket("ts", fx.WEEK).alias("w"), F.substring("symbol", 1, 4).alias("s"))
+    return number_rows(gaps, [], ["ts", "symbol"], pos="seq")
 
 
 @query(
@@ -324,7 +317,7 @@ def sentiment_days(spark, d) -> DataFrame:
         F.coalesce("score", F.lit(0.0)).alias("score"),
         F.coalesce("label", F.lit("neutral")).alias("label"),
     )
-    return number_rows(both, ["symbol"], ["day"], F.floor(F.unix_date("day") / 4096))
+    return number_rows(both, ["symbol"], ["day"])
 
 
 @query(

@@ -8,9 +8,9 @@ from barline.functions import ts
 from barline.functions.scalar import hash_unit, whole_shares
 from barline.operators import books, calendar as cal_ops, metrics, sleeves, trades as tr
 from barline.operators.joins import with_params
-from barline.plans.blocks import in_blocks, number_rows, time_bucket
+from barline.plans.blocks import in_blocks, number_rows
 from barline.queries import fixtures as fx
-from barline.queries.crosssection import week_bucket, week_calendar
+from barline.queries.crosssection import week_calendar
 from barline.queries.registry import query, view
 from barline.queries.reports import _METRICS_SQL, book_trades, metric_columns
 from barline.queries.tables import index_returns, r6
@@ -78,7 +78,7 @@ def sleeve_panel(spark, d):
 
     rows = in_blocks(panel(spark, d), add, back=22, keys=[]).where("slope IS NOT NULL AND vrp IS NOT NULL AND short_ret IS NOT NULL")
     rows = rows.select("ts", "slope", "vrp", "trend", "short_ret", "long_ret", "cash_ret")
-    return number_rows(rows, [], ["ts"], time_bucket("ts", 4096 * fx.DAY))
+    return number_rows(rows, [], ["ts"])
 
 
 def run_variants(spark, d, lag=2, bps=3.0):

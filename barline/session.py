@@ -50,6 +50,13 @@ def cut(df):
     return df.checkpoint()
 
 
+def written(df, name: str = "step"):
+    """Like :func:`cut`, but as columns: a later step reads only those it needs."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder next to the checkpoints, i.e. one every executor can reach."""
     checkpoint_ready(spark)

@@ -69,9 +69,9 @@ def price_move_intents(stream: DataFrame, threshold_bps: float) -> DataFrame:
     return bars.groupBy("symbol").transformWithStateInPandas(_LastPrice(threshold_bps), MOVES, "append", "none")
 
 
-def price_moves(ticks: DataFrame, threshold_bps: float, bucket: Column) -> DataFrame:
+def price_moves(ticks: DataFrame, threshold_bps: float) -> DataFrame:
     """Batch twin of :func:`price_move_intents`."""
-    bars = number_rows(ticks.where("event_type = 'bar'"), ["symbol"], ["event_ts", "event_id"], bucket)
+    bars = number_rows(ticks.where("event_type = 'bar'"), ["symbol"], ["event_ts", "event_id"])
     rows = in_blocks(bars, lambda r, w: r.withColumn("prev_price", F.lag("price").over(w)), back=1)
     limit = threshold_bps / 10_000
     known = F.col("prev_price") > 0
@@ -165,10 +165,10 @@ def stream_stops(stream: DataFrame, positions: DataFrame, stop_loss: float, trai
     return held.groupBy("symbol").transformWithStateInPandas(_HighWater(stop_loss, trailing), STOPS, "append", "none")
 
 
-def stops_batch(ticks: DataFrame, positions: DataFrame, stop_loss: float, trailing: float, bucket: Column) -> DataFrame:
+def stops_batch(ticks: DataFrame, positions: DataFrame, stop_loss: float, trailing: float) -> DataFrame:
     """Batch twin of :func:`stream_stops`."""
     held = ticks.select("symbol", "event_ts", "event_id", "price").join(positions.select("symbol", "avg_entry"), "symbol")
-    rows = running(number_rows(held, ["symbol"], ["event_ts", "event_id"], bucket), {"_top": ("max", F.col("price"))})
+    rows = running(number_rows(held, ["symbol"], ["event_ts", "event_id"]), {"_top": ("max", F.col("price"))})
     high = F.greatest("_top", "avg_entry")
     reason = F.when(F.col("price") <= F.col("avg_entry") * (1 - stop_loss), "stop_loss").when(F.col("price") <= high * (1 - trailing), "trailing_stop")
     return rows.select("symbol", "event_ts", "event_id", "price", high.alias("high_water"), reason.alias("reason"))
@@ -215,9 +215,9 @@ def tick_sessions(ticks: DataFrame, gap: str = "1 hour") -> DataFrame:
     ).select("symbol", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "ticks", "high", "low")
 
 
-def sessions_batch(ticks: DataFrame, gap_s: int, bucket: Column) -> DataFrame:
+def sessions_batch(ticks: DataFrame, gap_s: int) -> DataFrame:
     """Batch twin of :func:`tick_sessions` that does not bring all ticks of a symbol together."""
-    rows = number_rows(ticks, ["symbol"], ["event_ts", "event_id"], bucket)
+    rows = number_rows(ticks, ["symbol"], ["event_ts", "event_id"])
 
     def starts(r: DataFrame, w) -> DataFrame:
         near = F.unix_micros("event_ts") - F.unix_micros(F.lag("event_ts").over(w)) < gap_s * 1_000_000

@@ -34,10 +34,23 @@ def wide(df, *cols):
 
 
 def test_number_rows(df, frame):
-    got = wide(number_rows(df.drop("pos").join(df.select("symbol", "y", F.col("pos").alias("p")), ["symbol", "y"]), ["symbol"], ["p"], F.floor(F.col("p") / 9), pos="pos"), "p")
+    got = wide(number_rows(df.drop("pos").join(df.select("symbol", "y", F.col("pos").alias("p")), ["symbol", "y"]), ["symbol"], ["p"], rows=9), "p")
     assert (got["pos"] == got["p"]).all() and len(got) == len(frame)
 
 
+def test_numbers_in_one_global_order(spark):
+    """Many rows of one time, one key with a third of the rows, times of two orders in a week."""
+    rng = np.random.default_rng(8)
+    keys = np.where(rng.random(900) < 0.34, "hot", [f"k{i % 200}" for i in range(900)])
+    rows = pd.DataFrame({"symbol": keys, "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 3, 900) * 36, unit="h"), "n": range(900)})
+    df = spark.createDataFrame(rows).repartition(5)
+    got = number_rows(df, [], ["ts", "symbol", "n"], pos="seq", rows=50).toPandas().sort_values("seq")
+    assert got["seq"].tolist() == list(range(900)) and got["n"].tolist() == rows.sort_values(["ts", "symbol", "n"])["n"].tolist()
+    own = number_rows(df, ["symbol"], ["ts", "n"], rows=50).toPandas().sort_values(["symbol", "ts", "n"])
+    assert own["pos"].tolist() == own.groupby("symbol").cumcount().tolist()
+    assert number_rows(df.limit(0), ["symbol"], ["ts"]).count() == 0
+
+
 @pytest.mark.parametrize("block", [2, 5, 64])
 def test_rolling_equals_pandas(df, frame, block):
     fns = {
@@ -96,16 +109,16 @@ def test_islands(spark):
     assert got == [1, 1, 2, 2, 3, 4, 5, 5, 5, 6]
 
 
-@pytest.mark.parametrize("group_rows", [10, 10_000])
-def test_ranks_and_quantiles(df, frame, group_rows):
+@pytest.mark.parametrize("key_rows", [10, 10_000])
+def test_ranks_and_quantiles(df, frame, key_rows):
     """The plan that splits large groups and the plain one give the same, pandas-equal, values."""
-    got = wide(average_rank(df, ["symbol"], "x", "r", ranges=4, group_rows=group_rows), "r")
+    got = wide(average_rank(df, ["symbol"], "x", "r", rows=7, key_rows=key_rows), "r")
     want = frame.sort_values(["symbol", "pos"]).groupby("symbol")["x"].rank(pct=True).to_numpy()
     np.testing.assert_allclose(got["r"].astype(float), want)
-    q = quantiles(df, ["symbol"], "y", {"a": 0.1, "b": 0.5, "c": 0.99}, ranges=4).toPandas().set_index("symbol").sort_index()
+    q = quantiles(df, ["symbol"], "y", {"a": 0.1, "b": 0.5, "c": 0.99}, rows=7).toPandas().set_index("symbol").sort_index()
     for name, level in (("a", 0.1), ("b", 0.5), ("c", 0.99)):
         np.testing.assert_allclose(q[name], frame.groupby("symbol")["y"].quantile(level).to_numpy())
-    whole = quantiles(df, [], "y", {"m": 0.3}, ranges=4).first()["m"]
+    whole = quantiles(df, [], "y", {"m": 0.3}, rows=7).first()["m"]
     assert whole == pytest.approx(frame["y"].quantile(0.3))
 
 
@@ -130,7 +143,7 @@ def test_asof(spark, direction, equal):
     left = pd.DataFrame({"k": rng.choice(["a", "b"], 60), "t": rng.integers(0, 50, 60), "i": range(60)})
     right = pd.DataFrame({"k": rng.choice(["a", "b"], 25), "u": rng.integers(0, 50, 25)}).drop_duplicates()
     right["v"] = range(len(right))
-    got = asof(spark.createDataFrame(left), spark.createDataFrame(right), ["k"], "t", "u", ["v"], lambda c: F.floor(c / 7), direction, equal)
+    got = asof(spark.createDataFrame(left), spark.createDataFrame(right), ["k"], "t", "u", ["v"], direction, equal)
     got = got.toPandas().sort_values("i")["v"].astype(float).to_numpy()
     want = pd.merge_asof(
         left.sort_values("t"), right.sort_values("u"), left_on="t", right_on="u", by="k", direction=direction, allow_exact_matches=equal

@@ -6,7 +6,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from barline.plans.blocks import time_bucket
 from barline.streaming import ticks as st
 
 SCHEMA = "symbol string, event_type string, price double, volume double, event_ts timestamp, event_id long"
@@ -43,7 +42,7 @@ def test_price_moves_stream_equals_batch(spark, rows, files, tmp_path):
     st.use_rocksdb(spark)
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
     st.run_to_end(st.price_move_intents(stream(spark, files), 100), out, state)
-    batch = st.price_moves(spark.createDataFrame(rows, SCHEMA), 100, time_bucket("event_ts", 600))
+    batch = st.price_moves(spark.createDataFrame(rows, SCHEMA), 100)
     got, want = spark.read.parquet(out).select(*batch.columns).collect(), batch.collect()
     assert sorted(got) == sorted(want) and len(want) > 20
     # A restart from the checkpoint finds nothing new and repeats nothing.
@@ -55,7 +54,7 @@ def test_stops_stream_equals_batch(spark, rows, files, tmp_path):
     st.use_rocksdb(spark)
     held = spark.createDataFrame([("a", 100.0), ("b", 99.0)], "symbol string, avg_entry double")
     st.run_to_end(st.stream_stops(stream(spark, files), held, 0.02, 0.03), str(tmp_path / "out"), str(tmp_path / "state"))
-    batch = st.stops_batch(spark.createDataFrame(rows, SCHEMA), held, 0.02, 0.03, time_bucket("event_ts", 600))
+    batch = st.stops_batch(spark.createDataFrame(rows, SCHEMA), held, 0.02, 0.03)
     got = spark.read.parquet(str(tmp_path / "out")).select(*batch.columns).collect()
     assert sorted(got, key=str) == sorted(batch.collect(), key=str)
 
