@@ -261,7 +261,7 @@ view("pairs", "fac", "SELECT symbol, ts, p.a AS a, p.b AS b, round(p.x, 9) AS x,
 _CORR_SQL = f"""
 pr AS (SELECT a, b, ts, {_avg_rank('x', 'a, b, ts')} AS rx, {_avg_rank('y', 'a, b, ts')} AS ry FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL),
 pc AS (SELECT a, b, ts, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN corr(rx, ry) END AS c FROM pr GROUP BY a, b, ts),
-fc AS (SELECT a, b, round(CASE WHEN count(*) < 30 THEN 0 ELSE coalesce(avg(c), 0) END, 6) AS corr FROM pc GROUP BY a, b)"""
+fc AS MATERIALIZED (SELECT a, b, round(CASE WHEN count(*) < 30 THEN 0 ELSE coalesce(avg(c), 0) END, 6) AS corr FROM pc GROUP BY a, b)"""
 
 
 @query("factor_corr", "pairs", "WITH " + _CORR_SQL.lstrip() + " SELECT a, b, corr FROM fc")
@@ -276,8 +276,8 @@ ACCEPT = {"min_ic": 0.005, "min_icir": 0.1, "max_turnover": 0.45}
 
 
 @query("accepted_factors", "all_long pairs", "WITH " + _ic_sql("all_long", "factor", 5, 60, 0.3).lstrip() + "," + _CORR_SQL + f""",
-q AS (SELECT factor, row_number() OVER (ORDER BY abs(round(icir, 6)) DESC, factor) AS place, abs(rank_ic) >= {ACCEPT['min_ic']} AND abs(icir) >= {ACCEPT['min_icir']} AND turnover <= {ACCEPT['max_turnover']} AS strong FROM o),
-l AS (SELECT q.*, coalesce((SELECT list(CASE WHEN a = factor THEN b ELSE a END) FROM fc WHERE abs(corr) > 0.7 AND (a = factor OR b = factor)), []) AS linked FROM q),
+q AS MATERIALIZED (SELECT factor, row_number() OVER (ORDER BY abs(round(icir, 6)) DESC, factor) AS place, abs(rank_ic) >= {ACCEPT['min_ic']} AND abs(icir) >= {ACCEPT['min_icir']} AND turnover <= {ACCEPT['max_turnover']} AS strong FROM o),
+l AS MATERIALIZED (SELECT q.*, coalesce((SELECT list(CASE WHEN a = factor THEN b ELSE a END) FROM fc WHERE abs(corr) > 0.7 AND (a = factor OR b = factor)), []) AS linked FROM q),
 w AS (SELECT 0::BIGINT AS place, []::VARCHAR[] AS kept UNION ALL SELECT l.place, CASE WHEN l.strong AND NOT list_has_any(w.kept, l.linked) THEN list_append(w.kept, l.factor) ELSE w.kept END FROM w JOIN l ON l.place = w.place + 1)
 SELECT factor, place::INTEGER AS place, strong, list_contains((SELECT kept FROM w ORDER BY place DESC LIMIT 1), factor) AS accepted FROM q""", recursive=True)
 def accepted_factors(spark, d):
