@@ -125,7 +125,25 @@ def car_profile(spark, d):
     return out.select("symbol", "offset", F.round("mean_ret", 6).alias("mean_ret"), "events", F.round("car", 6).alias("car"))
 
 
-@query("sharpe_hurdle")
+def _horner(x: str, coefficients) -> str:
+    out = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def _normal_quantile_sql(p: str) -> str:
+    """The rational approximation of the normal quantile in SQL."""
+    q, low, high = f"({p} - 0.5::DOUBLE)", f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))"
+    tail = lambda z: f"{_horner(z, stats._C)} / {_horner(z, [*stats._D, 1.0])}"
+    middle = f"{_horner(f'({q} * {q})', stats._A)} * {q} / {_horner(f'({q} * {q})', [*stats._B, 1.0])}"
+    return f"CASE WHEN {p} < 0.02425 THEN {tail(low)} WHEN {p} > 0.97575 THEN -{tail(high)} ELSE {middle} END"
+
+
+@query("sharpe_hurdle", "runs", f"""
+WITH p AS (SELECT market, symbol, strategy, count(*) AS n FROM runs GROUP BY ALL),
+s AS (SELECT market, count(*) AS trials, sum(n)::BIGINT AS observations, sqrt(252.0::DOUBLE / greatest(1, sum(n))) AS error, 1 - 1 / greatest(2, count(*))::DOUBLE AS a, 1 - 1 / (greatest(2, count(*)) * exp(1.0::DOUBLE)) AS b FROM p GROUP BY market)
+SELECT market, trials, observations, round(error, 4) AS sharpe_error, round(((1 - 0.5772156649::DOUBLE) * ({_normal_quantile_sql('a')}) + 0.5772156649::DOUBLE * ({_normal_quantile_sql('b')})) * error, 4) AS expected_best FROM s""")
 def sharpe_hurdle(spark, d):
     """Hurdle per market: trials are its (symbol, strategy) pairs, observations its runs."""
     runs = fx.runs(spark, d)
