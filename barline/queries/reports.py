@@ -273,7 +273,11 @@ def union_runs(spark, d):
 
 
 @query("common_keys", "bars idx", """
-SELECT date_trunc('week', ts)::TIMESTAMP AS ts FROM idx WHERE symbol = 'ASIA' INTERSECT SELECT ts FROM bars WHERE symbol = 'S1'""")
+SELECT symbol, date_trunc('week', ts)::TIMESTAMP AS ts FROM idx
+INTERSECT SELECT r_name, ts FROM bars JOIN supplier ON symbol = 'S' || s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def common(spark, d):
-    a = fx.idx(spark, d).where("symbol = 'ASIA'").select(F.date_trunc("week", "ts").alias("ts"))
-    return common_keys(a, fx.bars(spark, d).where("symbol = 'S1'"), ["ts"])
+    """Weeks of every region in which its index and a bar of one of its suppliers exist."""
+    index = fx.idx(spark, d).select("symbol", F.date_trunc("week", "ts").alias("ts"))
+    regions = fx.suppliers(spark, d).select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("supplier"), "r_name")
+    weeks = fx.bars(spark, d).join(regions, F.col("symbol") == F.col("supplier")).select(F.col("r_name").alias("symbol"), "ts")
+    return common_keys(index, weeks, ["symbol", "ts"])

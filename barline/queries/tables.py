@@ -95,13 +95,13 @@ def page_dates(spark, d):
     return readers.dates_from_pages(pages, r"monetary(\d{8})a")
 
 
-@query("jsonl_read", "", "SELECT conv_id, turn, role FROM conversations")
+@query("jsonl_read", "", "SELECT conv_id, turn, role, text FROM conversations")
 def jsonl_read(spark, d):
     """Conversations as JSON lines, up to eight turns run together on a line."""
-    rows = fx.table(spark, d, "conversations").select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role")).alias("o"))
+    rows = fx.table(spark, d, "conversations").select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("o"))
     # At most eight turns per line, so a very long conversation becomes many lines.
     lines = rows.groupBy("conv_id", F.floor(F.col("turn") / 8)).agg(F.array_join(F.sort_array(F.collect_list("o")), " ").alias("value"))
-    return readers.split_json_lines(lines, "conv_id bigint, turn bigint, role string").drop("_corrupt")
+    return readers.split_json_lines(lines, "conv_id bigint, turn bigint, role string, text string").drop("_corrupt")
 
 
 @query("scores_latest", "", """
