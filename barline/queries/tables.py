@@ -306,14 +306,16 @@ def asof_pred(spark, d):
     return out.select("symbol", "ts", "matched_ts", "direction", "strength")
 
 
-@query("outer_series", "panel", "SELECT ts, round(vix, 6) AS vix, round(vix9d, 6) AS vix9d, round(vix3m, 6) AS vix3m FROM panel WHERE coalesce(vix, vix9d, vix3m) IS NOT NULL")
+_REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+_SERIES = {r: r.lower().replace(" ", "_") for r in _REGIONS}
+
+
+@query("outer_series", "idx", "SELECT ts, " + ", ".join(f"round(max(close) FILTER (symbol = '{r}'), 6) AS {n}" for r, n in _SERIES.items()) + " FROM idx GROUP BY ts")
 def outer_series(spark, d):
-    daily = fx.idx(spark, d)
-    parts = {
-        name: daily.where(F.col("symbol") == region).select("ts", F.col("close").alias("value"))
-        for region, name in (("AFRICA", "vix"), ("AMERICA", "vix9d"), ("ASIA", "vix3m"))
-    }
-    return joins.outer_series(parts).select("ts", *r6("vix", "vix9d", "vix3m"))
+    """Daily closes of all regions side by side."""
+    daily = cut(fx.idx(spark, d))
+    parts = {name: daily.where(F.col("symbol") == region).select("ts", F.col("close").alias("value")) for region, name in _SERIES.items()}
+    return joins.outer_series(parts).select("ts", *r6(*_SERIES.values()))
 
 
 @query("missing_scores", "bars_h scores", """
