@@ -124,11 +124,11 @@ def bars_1h(spark, d):
 
 @query("stream_bars", "ticks", _BARS_1H)
 def stream_bars(spark, d):
-    """Hourly bars through the stream; the table ends, so bars that the watermark has not passed by then are finished from it."""
-    stream = st.clean_ticks(tick_stream(spark, d), "1 hour")
-    final = _run(spark, st.tick_bars(stream, "1 hour"), "bars")
-    rest = st.tick_bars(fx.ticks(spark, d), "1 hour").join(final.select("symbol", "ts"), ["symbol", "ts"], "left_anti")
-    return final.unionByName(rest).select("symbol", "ts", *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")], "volume")
+    """Hourly bars through the stream alone: partial bars of every micro-batch in a store, merged when read."""
+    st.use_rocksdb(spark)
+    path = scratch_path(spark, "bars")
+    st.write_bars(st.clean_ticks(tick_stream(spark, d), "1 hour"), f"{path}/store", f"{path}/state", "1 hour").awaitTermination()
+    return st.read_bars(spark, f"{path}/store").select("symbol", "ts", *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")], "volume")
 
 
 @query("tick_sessions", "ticks", """

@@ -208,6 +208,40 @@ def tick_bars(ticks: DataFrame, width: str = "1 minute") -> DataFrame:
     return bars.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
+def partial_bars(ticks: DataFrame, width: str = "1 minute") -> DataFrame:
+    """One row for each symbol and window of a set of ticks that can be merged with rows of other sets: prices with the place they stood at."""
+    at = F.struct("event_ts", "event_id", "price")
+    grouped = ticks.where("event_type = 'bar'").groupBy("symbol", F.window("event_ts", width).alias("w"))
+    rows = grouped.agg(F.min(at).alias("first"), F.max(at).alias("last"), F.max("price").alias("high"), F.min("price").alias("low"), F.sum("volume").alias("volume"))
+    return rows.select("symbol", F.col("w.start").alias("ts"), "first", "last", "high", "low", "volume")
+
+
+def merged_bars(parts: DataFrame) -> DataFrame:
+    """Partial rows of the same symbol and window as one; merging is associative, so that it also compacts a store."""
+    return parts.groupBy("symbol", "ts").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume"))
+
+
+def write_bars(stream: DataFrame, store: str, checkpoint: str, width: str = "1 minute", interval: str | None = None):
+    """Keep bars of a stream of ticks in ``store``: every micro-batch adds its partial bars under its batch id.
+
+    A batch that is run again overwrites its own folder, so that a restart counts no tick twice. A tick that comes after its bar was first written
+    corrects the bar; the only ticks left out are those that the stream itself drops (:func:`clean_ticks`). No bar waits for a watermark.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        partial_bars(batch, width).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def read_bars(spark, store: str) -> DataFrame:
+    """The bars of a store as they stand now: symbol, ts, open, high, low, close, volume."""
+    bars = merged_bars(spark.read.parquet(store))
+    return bars.select("symbol", "ts", F.col("first.price").alias("open"), "high", "low", F.col("last.price").alias("close"), "volume")
+
+
 def tick_sessions(ticks: DataFrame, gap: str = "1 hour") -> DataFrame:
     """Bursts of activity: ticks of a symbol closer together than ``gap``."""
     return ticks.groupBy("symbol", F.session_window("event_ts", gap).alias("s")).agg(
