@@ -4,6 +4,10 @@ Candidates are the matches of the base patterns, valid or not, and of looser one
 with its check, a gazetteer, the words in front, and the shape. Votes are counted by pattern of votes, which bounds what the driver sees;
 expectation-maximisation estimates how reliable each labeler is for each kind; a logistic regression over votes and features learns from the
 posteriors and scores all candidates. Valid base matches stay whatever the score; others are added when it is high. All of it is DataFrame work.
+
+A labeler that says nothing has no part in the likelihood: the base pattern cannot match a loose form, so its silence there is no vote against it.
+Reliabilities are learnt on the base matches, valid or not; loose candidates are judged by them at even odds, and weigh as much as the base ones of
+their kind in the classifier, since base matches outnumber them by a factor that says nothing about them.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ VOTES = ["v_pattern", "v_gazetteer", "v_context", "v_shape"]
 FEATURES = ["size", "digits", "groups"]
 #: Score from which a candidate that is not a valid base match is added.
 THRESHOLD = 0.9
+#: Before any vote is counted a labeler is taken to be right in RIGHT of RIGHT + WRONG cases.
+RIGHT, WRONG = 9.0, 1.0
 
 _LOCAL, _HOST = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 #: For each base kind: what cannot begin a match, taken in whole runs, and the match. Quantifiers are possessive, so that long texts take linear time.
@@ -84,11 +90,11 @@ def located(rows: DataFrame) -> DataFrame:
     speaks = F.coalesce(*[F.when(F.col("kind") == k, tail.rlike(rf"\b(?:{w})\b[^\n]{{0,12}}$")) for k, w in FOR.items()])
     gazetteer = F.coalesce(
         F.when(F.col("kind") == "email", F.when(F.lower("match").rlike(rf"(?:\.|dot.? ?)(?:{DOMAINS})$"), 1).otherwise(-1)), F.when(F.col("kind") == "phone", F.when(F.col("match").rlike("^" + CALLING), 1).when(F.col("match").startswith("+"), -1).otherwise(0)),
-        F.when(F.col("kind") == "card", F.when(digits.rlike(ISSUERS), 1).otherwise(-1)), F.when(F.col("match").rlike(r"^(?:0|127|22[4-9]|2[3-9][0-9])\."), -1).otherwise(1),
+        F.when(F.col("kind") == "card", F.when(digits.rlike(ISSUERS), 1).otherwise(-1)), F.when(F.col("match").rlike(r"^(?:0|127|22[4-9]|2[3-9][0-9])\.") | (F.col("match").contains(":") & ~F.col("match").rlike("^(?:[23][0-9A-Fa-f]{3}|[Ff][CcDd][0-9A-Fa-f]{2}|[Ff][Ee]80):")), -1).otherwise(1),
     )
     shape = F.coalesce(
         F.when(F.col("kind") == "email", F.when(size.between(6, 64), 1).otherwise(-1)), F.when(F.col("kind") == "phone", F.when(n.between(9, 13), 1).otherwise(-1)),
-        F.when(F.col("kind") == "card", F.when(F.col("match").rlike(r"^(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[0-9]{3}([ -]?)[0-9]{6}\2[0-9]{5})$"), 1).otherwise(-1)), F.when(size.between(7, 15), 1).otherwise(0),
+        F.when(F.col("kind") == "card", F.when(F.col("match").rlike(r"^(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[0-9]{3}([ -]?)[0-9]{6}\2[0-9]{5})$"), 1).otherwise(-1)), F.when(F.col("match").contains(":"), F.when(F.col("match").rlike("[A-Fa-f]"), 1).otherwise(0)).when(size.between(7, 15), 1).otherwise(0),
     )
     pattern = F.when(F.col("base") & ok, 1).when(F.col("base"), -1).otherwise(0)
     context = F.when(speaks, 1).when(tail.rlike(rf"\b(?:{AGAINST})\b[^\n]{{0,12}}$"), -1).otherwise(0)
@@ -100,41 +106,51 @@ def located(rows: DataFrame) -> DataFrame:
 
 
 def reliabilities(counts: dict[tuple, int], rounds: int = 60) -> tuple[dict[tuple, float], dict[str, list[dict[int, tuple[float, float]]]]]:
-    """Posterior of each (kind, votes..), and for each kind and labeler the chances of each vote given no and yes, by expectation-maximisation."""
+    """Posterior of each (kind, votes..), and for each kind and labeler the chances of a vote (given that there is one) under no and yes.
+
+    Learnt on the candidates on which the pattern speaks (base matches), with their own share of true ones. The others are judged by what was learnt,
+    at even odds, so that a hundred times as many base matches do not carry a loose span that its own votes do not.
+    """
     posterior = {key: 1 / (1 + math.exp(-1.5 * sum(key[1:]))) for key in counts}
     chances: dict[str, list[dict[int, tuple[float, float]]]] = {}
     for _ in range(rounds):
         for kind in {key[0] for key in counts}:
-            own = {key: n for key, n in counts.items() if key[0] == kind}
-            yes = sum(n * posterior[key] for key, n in own.items())
-            no = sum(own.values()) - yes
-            chances[kind] = [
-                {v: ((0.5 + sum(n * (1 - posterior[k]) for k, n in own.items() if k[1 + i] == v)) / (no + 1.5), (0.5 + sum(n * posterior[k] for k, n in own.items() if k[1 + i] == v)) / (yes + 1.5)) for v in (-1, 0, 1)}
-                for i in range(len(VOTES))
-            ]
-            odds = math.log((yes + 1) / (no + 1))
+            own = [key for key in counts if key[0] == kind]
+            seen = [(key, counts[key], posterior[key]) for key in own if key[1]]
+            chances[kind] = [vote_chances([(key[1 + i], n, p) for key, n, p in seen if key[1 + i]]) for i in range(len(VOTES))]
+            odds = math.log((sum(n * p for _, n, p in seen) + 1) / (sum(n * (1 - p) for _, n, p in seen) + 1))
             for key in own:
-                x = odds + sum(math.log(c[v][1] / c[v][0]) for c, v in zip(chances[kind], key[1:]))
+                x = (odds if key[1] else 0.0) + sum(math.log(c[v][1] / c[v][0]) for c, v in zip(chances[kind], key[1:]) if v)
                 posterior[key] = 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
     return posterior, chances
 
 
+def vote_chances(cast: list[tuple[int, int, float]]) -> dict[int, tuple[float, float]]:
+    """Chance of a vote for (1) and against (-1) under no and yes, from (vote, rows, posterior) of the votes that a labeler cast."""
+    yes, no = sum(n * p for _, n, p in cast), sum(n * (1 - p) for _, n, p in cast)
+    up_yes, up_no = sum(n * p for v, n, p in cast if v == 1), sum(n * (1 - p) for v, n, p in cast if v == 1)
+    up = ((up_no + WRONG) / (no + RIGHT + WRONG), (up_yes + RIGHT) / (yes + RIGHT + WRONG))
+    return {1: up, -1: (1 - up[0], 1 - up[1])}
+
+
 def scored(spans: DataFrame) -> DataFrame:
-    """``score`` for each combination of kind, votes and features that occurs; there is a bounded number of them."""
+    """``score`` for each combination of kind, base, votes and features that occurs; there is a bounded number of them."""
     spark = spans.sparkSession
-    keys = ["kind", *VOTES, *FEATURES]
+    keys = ["kind", "base", *VOTES, *FEATURES]
     combos = keep(spans.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "pii-combinations")
     counts = {tuple(r[:-1]): r.n for r in combos.groupBy("kind", *VOTES).agg(F.sum("n").alias("n")).collect()}  # at most 4 * 3^4
     posterior, _ = reliabilities(counts)
     if not counts:
         return combos.withColumn("score", F.lit(0.0)).drop("n")
     table = spark.createDataFrame([(*key, p) for key, p in posterior.items()], "kind string, " + ", ".join(f"{v} int" for v in VOTES) + ", p double")
-    flags = [F.when(F.col("kind") == k, 1.0).otherwise(0.0).alias(f"is_{k}") for k in KINDS] + [F.when(F.col(v) == s, 1.0).otherwise(0.0).alias(f"{v}_{s + 1}") for v in VOTES for s in (-1, 1)]
-    rows = combos.join(F.broadcast(table), ["kind", *VOTES]).select("*", *flags)
-    names = [f"is_{k}" for k in KINDS] + [f"{v}_{s + 1}" for v in VOTES for s in (-1, 1)] + FEATURES
-    rows = VectorAssembler(inputCols=names, outputCol="x").transform(rows)
-    train = rows.select("x", F.explode(F.array(F.struct(F.lit(1.0).alias("y"), (F.col("n") * F.col("p")).alias("w")), F.struct(F.lit(0.0).alias("y"), (F.col("n") * (1 - F.col("p"))).alias("w")))).alias("t")).select("x", "t.y", "t.w")
-    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=60, regParam=1e-4).fit(train)
+    weight = F.col("n") / F.sum("n").over(Window.partitionBy("kind", "base"))
+    rows = combos.withColumn("w", weight).join(F.broadcast(table), ["kind", *VOTES])
+    names = [f"is_{k}" for k in KINDS] + [f"{k}_{v}" for k in KINDS for v in VOTES] + FEATURES
+    flags = [F.when(F.col("kind") == k, 1.0).otherwise(0.0).alias(f"is_{k}") for k in KINDS]
+    flags += [F.when(F.col("kind") == k, F.col(v).cast("double")).otherwise(0.0).alias(f"{k}_{v}") for k in KINDS for v in VOTES]
+    rows = VectorAssembler(inputCols=names, outputCol="x").transform(rows.select("*", *flags))
+    train = rows.select("x", F.explode(F.array(F.struct(F.lit(1.0).alias("y"), (F.col("w") * F.col("p")).alias("w")), F.struct(F.lit(0.0).alias("y"), (F.col("w") * (1 - F.col("p"))).alias("w")))).alias("t")).select("x", "t.y", "t.w")
+    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=100, regParam=1e-4).fit(train)
     return model.transform(rows).select(*keys, vector_to_array("probability")[1].alias("score"))
 
 
@@ -158,7 +174,7 @@ def personal_data(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = keep(candidates(docs), "pii-candidates")
     spans = keep(located(rows), "pii-spans")
     model = scored(spans)
-    judged = spans.join(F.broadcast(model), ["kind", *VOTES, *FEATURES])  # at most 4 * 3^4 * 8 * 5 * 5 rows
+    judged = spans.join(F.broadcast(model), ["kind", "base", *VOTES, *FEATURES])  # at most 4 * 2 * 3^4 * 8 * 5 * 5 rows
     chosen = judged.where(F.col("valid") | (~F.col("base") & (F.col("score") >= threshold)))
     order = Window.partitionBy("doc_id", "h").orderBy("start", F.desc("valid"), "kind")
     behind = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
