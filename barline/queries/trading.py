@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barline.functions import ts
 from barline.functions.scalar import hash_unit, whole_shares
-from barline.operators import books, calendar as cal_ops, metrics, sleeves, trades as tr
+from barline.operators import books, calendar as cal_ops, metrics, sleeves, sweeps, trades as tr
 from barline.operators.joins import with_params
 from barline.plans.blocks import in_blocks, number_rows
 from barline.queries import fixtures as fx
@@ -188,19 +188,57 @@ def net_trades(spark, d):
     return metrics.trade_metrics(out, ["symbol"]).select("symbol", "trades", *r6("win_rate", "total_return"))
 
 
-@query("threshold_sweep")
+# The rule grid; a break-even stop is set after a close 3 % above the entry. With these values a trail is always closer than the
+# stop loss and the break-even stop, so that these two never decide an exit; tests/test_sweeps.py has values with which each one does.
+SWEEP = {
+    "stop_loss": (0.04, 0.05, 0.06), "trail": (0.01, 0.015, 0.02), "time_stop": (10, 20, 30), "break_even": (False, True),
+    "cooldown": (1, 2), "strict_entry": (False, True), "weak_block": (False, True),
+}
+EVEN_AT, STRICT, WEAK_MOVE = 0.03, 0.02, 0.05
+_VALUES = lambda names: ", ".join(f"(SELECT unnest([{', '.join(map(str, SWEEP[n]))}]){'::DOUBLE' if isinstance(SWEEP[n][0], float) else ''} AS {n})" for n in names)
+
+
+def sweep_bars(spark, d):
+    """Momentum signals with a stricter entry threshold, and with two weak moves among the last three bars marked."""
+    def marks(r, w):
+        strict = (F.col("pos") >= 10) & (F.col("close") >= F.avg("close").over(w.rowsBetween(-9, 0)) * (1 + STRICT))
+        weak = (F.abs(F.col("close") / F.lag("close").over(w) - 1) < WEAK_MOVE).cast("int")
+        return r.withColumns({"strict": strict, "_weak": weak}).withColumn("weak", F.coalesce(F.sum("_weak").over(w.rowsBetween(-2, 0)), F.lit(0)) >= 2).drop("_weak")
+
+    return in_blocks(momentum_signal(spark, d), marks, back=9)
+
+
+@query("threshold_sweep", "sig", f"""
+WITH b AS MATERIALIZED (SELECT symbol, pos, low, high, close, signal, pos >= 10 AND close >= avg(close) OVER (PARTITION BY symbol ORDER BY pos ROWS 9 PRECEDING) * (1 + {STRICT}::DOUBLE) AS strict,
+    sum(CASE WHEN abs(close / prev - 1) < {WEAK_MOVE}::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY pos ROWS 2 PRECEDING) >= 2 AS weak FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY pos) AS prev FROM sig)),
+p AS (SELECT e.symbol, e.pos AS ep, e.close AS entry, n.pos, n.low, n.close, n.signal, greatest(e.high, e.close, coalesce(max(greatest(n.high, n.close)) OVER before, 0)) AS prior,
+    coalesce(bool_or(n.close >= e.close * (1 + {EVEN_AT}::DOUBLE)) OVER before, false) AS risen
+  FROM b e JOIN b n ON n.symbol = e.symbol AND n.pos BETWEEN e.pos + 1 AND e.pos + {max(SWEEP['time_stop'])} WHERE e.signal = 1
+  WINDOW before AS (PARTITION BY e.symbol, e.pos ORDER BY n.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT p.*, x.*, greatest(CASE WHEN break_even AND risen THEN entry ELSE entry * (1 - stop_loss) END, prior * (1 - trail)) AS stop FROM p, (SELECT * FROM {_VALUES(["stop_loss", "trail", "time_stop", "break_even"])}) x WHERE pos <= ep + time_stop),
+h AS MATERIALIZED (SELECT symbol, ep, stop_loss, trail, time_stop, break_even, min(pos) AS xp, arg_min(CASE WHEN low <= stop THEN stop ELSE close END, pos) / any_value(entry) - 1 AS r
+  FROM s WHERE low <= stop OR signal = 0 OR pos = ep + time_stop GROUP BY ALL),
+f AS MATERIALIZED (SELECT symbol, pos, strict_entry, weak_block, min(CASE WHEN signal = 1 AND (strict OR NOT strict_entry) AND NOT (weak AND weak_block) THEN pos END) OVER (PARTITION BY symbol, strict_entry, weak_block ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS np
+  FROM b, {_VALUES(["strict_entry", "weak_block"])}),
+ch AS (SELECT symbol, strict_entry, weak_block, stop_loss, trail, time_stop, break_even, cooldown, min(np) AS ep FROM f, {_VALUES(["stop_loss", "trail", "time_stop", "break_even", "cooldown"])} GROUP BY ALL HAVING min(np) IS NOT NULL
+  UNION ALL SELECT c.symbol, c.strict_entry, c.weak_block, c.stop_loss, c.trail, c.time_stop, c.break_even, c.cooldown, f.np
+  FROM ch c JOIN h USING (symbol, ep, stop_loss, trail, time_stop, break_even) JOIN f ON f.symbol = c.symbol AND f.strict_entry = c.strict_entry AND f.weak_block = c.weak_block AND f.pos = h.xp + c.cooldown + 1 WHERE f.np IS NOT NULL),
+m AS (SELECT symbol, {', '.join(SWEEP)}, count(*) AS trades, avg(CASE WHEN r > 0 THEN 1.0::DOUBLE ELSE 0 END) AS win_rate, product(1 + r) - 1 AS total_return,
+    CASE WHEN count(*) FILTER (r < 0) > 0 THEN coalesce(sum(r) FILTER (r > 0), 0) / abs(sum(r) FILTER (r < 0)) ELSE count(*) FILTER (r > 0) END AS factor
+  FROM ch JOIN h USING (symbol, ep, stop_loss, trail, time_stop, break_even) GROUP BY ALL)
+SELECT symbol, {', '.join(SWEEP)}, trades, round(win_rate, 6) AS win_rate, round(total_return, 6) AS total_return, round(factor, 6) AS profit_factor, round(total_return + win_rate * 0.1::DOUBLE + least(factor, 3) * 0.02::DOUBLE, 6) AS score FROM m""", recursive=True)
 def threshold_sweep(spark, d):
-    """Nine exit settings side by side in one plan: labels, chains, metrics, best by score (first listed wins ties)."""
-    grid = [dict(tr.exit_params(s, t, time_stop=n), pid=i) for i, (s, t, n) in enumerate(
-        (s, t, n) for s in (0.03, 0.05) for t in (0.01, 0.02) for n in (10, 20))]
-    rows = cut(with_params(momentum_signal(spark, d), grid))
-    names = [k for k in grid[0] if k != "pid"]
-    labels = cut(tr.label_exits(rows, names, keys=["symbol", "pid"]))
-    taken = tr.chain_trades(labels, keys=["symbol", "pid"]).withColumn("trade_ret", F.col("exit_price") / F.col("entry_price") - 1)
-    scored = metrics.trade_metrics(taken, ["symbol", "pid"])
+    """All 432 settings of the rule grid on every candidate of every symbol: trades, win rate, return, profit factor and score of each."""
+    bars = cut(sweep_bars(spark, d))
+    asks = {2 * a + w: (F.col("strict") | F.lit(not a)) & ~(F.col("weak") & F.lit(bool(w))) for a in (0, 1) for w in (0, 1)}
+    passages = sweeps.first_passages(bars, SWEEP, EVEN_AT).join(bars.select("symbol", F.col("pos").alias("entry_pos"), "strict", "weak"), ["symbol", "entry_pos"])
+    exits = sweeps.combined_exits(cut(passages), SWEEP, ["symbol", "entry_pos", "entry_price", "strict", "weak"])
+    taken = sweeps.sweep_trades(exits, cut(sweeps.next_candidates(bars, asks)), asks, SWEEP["cooldown"])
+    scored = metrics.trade_metrics(taken.withColumn("trade_ret", F.col("exit_price") / F.col("entry_price") - 1), ["symbol", "eid", "cooldown", "fid"])
+    names = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in s.items()]) for s in sweeps.settings(SWEEP, sweeps.EXIT_PARAMS)])
     score = metrics.composite_score(F.col("total_return"), F.lit(0.0), F.col("win_rate"), F.col("profit_factor"))
-    best = metrics.best_per(scored.withColumn("score", F.round(score, 9)), ["symbol"], ["score", -F.col("pid")])
-    return best.select("symbol", "pid", "trades", *r6("win_rate", "total_return", "score"))
+    out = scored.withColumns({"s": names[F.col("eid")], "strict_entry": F.col("fid") >= 2, "weak_block": F.col("fid") % 2 == 1, "score": score})
+    return out.select("symbol", "s.*", "cooldown", "strict_entry", "weak_block", "trades", *r6("win_rate", "total_return", "profit_factor", "score"))
 
 
 @query("random_entries", "bars_r", """
