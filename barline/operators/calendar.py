@@ -105,6 +105,18 @@ def reaction_day(announced: Column, close_hour: int = 16) -> Column:
     return F.when(F.hour(announced) >= close_hour, F.date_add(F.to_date(announced), 1)).otherwise(F.to_date(announced))
 
 
+def reaction_trading_day(announced: DataFrame, cal: DataFrame, ts: str = "ts", close_hour: int = 16) -> DataFrame:
+    """:func:`reaction_day` moved on to the first trading day from there on, as ``reaction``; null behind the last one and without a time."""
+    dated = announced.withColumn("_date", F.when(F.col(ts).isNotNull(), on_calendar(reaction_day(F.col(ts), close_hour), cal)))
+    days = next_trading_day_map(cal).select(F.col("date").alias("_date"), F.col("trading_day").alias("reaction"))
+    return dated.join(days, "_date", "left").drop("_date")
+
+
+def scale_volume(bars: DataFrame, scale: float) -> DataFrame:
+    """Bars with their volume times ``scale``, a missing one as zero; a scale of 1 leaves the bars as they are."""
+    return bars if scale == 1.0 else bars.withColumn("volume", F.coalesce("volume", F.lit(0.0)) * scale)
+
+
 def on_calendar(date: Column, cal: DataFrame) -> Column:
     """The date to look up in the map of ``cal``: a date before the first trading day looks that day up, however early it is."""
     return F.greatest(date, cal.agg(F.min("day")).scalar())

@@ -77,6 +77,7 @@ def delta(a: DataFrame, b: DataFrame, keys: Sequence[str], metrics: Sequence[str
 
 
 def restrict(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose key occurs in ``keys``, each once however often it occurs there."""
     return df.join(keys.select(*on), list(on), "left_semi")
 
 
@@ -84,5 +85,10 @@ def common_keys(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
     return a.select(*on).intersect(b.select(*on))
 
 
+def only_in(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Distinct keys of ``a`` that ``b`` lacks; null is a key value like any other."""
+    return a.select(*on).subtract(b.select(*on))
+
+
 def date_of(ts: str) -> Column:
     return F.to_date(F.col(ts))

@@ -128,6 +128,8 @@ def leaderboard(runs: DataFrame) -> DataFrame:
         F.avg("total_return").alias("avg_total_return"),
         F.avg("max_drawdown").alias("avg_max_drawdown"),
         F.avg("win_rate").alias("avg_win_rate"),
+        F.avg(F.coalesce("profit_factor", F.lit(0.0))).alias("avg_profit_factor"),
+        F.avg(F.coalesce("annualized_return", F.lit(0.0))).alias("avg_annualized_return"),
         F.avg("score").alias("avg_score"),
         (F.avg("score") + profit / F.count("*") * 0.1).alias("composite_score"),
         F.max("total_return").alias("best_window_return"),

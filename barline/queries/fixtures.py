@@ -281,6 +281,7 @@ SELECT o_orderkey AS run_id, c_mktsegment AS market, n_name AS symbol, o_orderpr
   'y' || year(o_orderdate) AS window_name, o_orderdate AS created_at,
   o_totalprice / 250000.0::DOUBLE - 1.0::DOUBLE AS total_return, -((o_orderkey * 7 % 97) / 100.0::DOUBLE) AS max_drawdown,
   (o_custkey * 13 % 89) / 40.0::DOUBLE - 1.0::DOUBLE AS sharpe, (o_orderkey % 23)::INTEGER AS trades, (o_orderkey * 3 % 101) / 100.0::DOUBLE AS win_rate,
+  (o_orderkey * 11 % 83) / 20.0::DOUBLE AS profit_factor, CASE WHEN o_orderkey % 29 > 0 THEN (o_totalprice / 250000.0::DOUBLE - 1.0::DOUBLE) * 1.5::DOUBLE END AS annualized_return,
   o_orderstatus AS cost_profile, o_totalprice / 250000.0::DOUBLE - 1.0::DOUBLE + (o_orderkey * 3 % 101) / 1000.0::DOUBLE AS score
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
 )
@@ -305,6 +306,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("o_custkey") * 13 % 89) / 40.0 - 1.0).alias("sharpe"),
         (F.col("o_orderkey") % 23).cast("int").alias("trades"),
         ((F.col("o_orderkey") * 3 % 101) / 100.0).alias("win_rate"),
+        ((F.col("o_orderkey") * 11 % 83) / 20.0).alias("profit_factor"),
+        F.when(F.col("o_orderkey") % 29 > 0, gain * 1.5).alias("annualized_return"),
         F.col("o_orderstatus").alias("cost_profile"),
         (gain + (F.col("o_orderkey") * 3 % 101) / 1000.0).alias("score"),
     )

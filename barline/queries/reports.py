@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barline.functions import ts
 from barline.operators import books, metrics, sleeves
-from barline.operators.joins import common_keys
+from barline.operators.joins import common_keys, only_in, restrict
 from barline.operators.news import first_k
 from barline.plans.blocks import in_blocks
 from barline.plans.ranks import quantiles
@@ -104,9 +104,9 @@ def window_aggs(spark, d):
 view("latest", "runs", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market, symbol, strategy, window_name ORDER BY created_at DESC, run_id DESC) AS lr FROM runs) WHERE lr = 1")
 view("board", "latest", """
 SELECT market, symbol, strategy, string_agg(DISTINCT window_name, ',' ORDER BY window_name) AS windows, count(*) AS nw, count(*) FILTER (total_return > 0) AS profitable_windows, avg(total_return) AS avg_total_return, avg(max_drawdown) AS avg_max_drawdown,
-  avg(win_rate) AS avg_win_rate, avg(score) AS avg_score, avg(score) + count(*) FILTER (total_return > 0) / count(*) * 0.1 AS composite_score, max(total_return) AS best_window_return, min(total_return) AS worst_window_return
+  avg(win_rate) AS avg_win_rate, avg(coalesce(profit_factor, 0)) AS avg_profit_factor, avg(coalesce(annualized_return, 0)) AS avg_annualized_return, avg(score) AS avg_score, avg(score) + count(*) FILTER (total_return > 0) / count(*) * 0.1 AS composite_score, max(total_return) AS best_window_return, min(total_return) AS worst_window_return
 FROM latest GROUP BY 1, 2, 3""")
-_BOARD = ("avg_total_return", "avg_max_drawdown", "avg_win_rate", "avg_score", "composite_score", "best_window_return", "worst_window_return")
+_BOARD = ("avg_total_return", "avg_max_drawdown", "avg_win_rate", "avg_profit_factor", "avg_annualized_return", "avg_score", "composite_score", "best_window_return", "worst_window_return")
 
 
 @query("leaderboard", "board", "SELECT market, symbol, strategy, windows, profitable_windows, " + ", ".join(f"round({c}, 12) AS {c}" for c in _BOARD) + " FROM board")
@@ -137,13 +137,11 @@ def best_variant(spark, d):
 
 
 @query("report_score", "board", """
-WITH s AS (SELECT *, round(avg_total_return + avg_max_drawdown * 0.5 + profitable_windows / nw * 0.1 + least(1 + avg_win_rate, 3) * 0.02, 12) AS report_score FROM board)
+WITH s AS (SELECT *, round(avg_total_return + avg_max_drawdown * 0.5 + profitable_windows / nw * 0.1 + least(avg_profit_factor, 3) * 0.02, 12) AS report_score FROM board)
 SELECT market, symbol, strategy, report_score FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY report_score DESC, symbol DESC, strategy DESC) AS r FROM s) WHERE r = 1""")
 def report_score(spark, d):
     """Report score per leaderboard row and the leader of each branch (here: market)."""
-    board = metrics.leaderboard(fx.runs(spark, d)).withColumns(
-        {"total_windows": F.size(F.split("windows", ",")), "avg_profit_factor": 1 + F.col("avg_win_rate")}
-    )
+    board = metrics.leaderboard(fx.runs(spark, d)).withColumn("total_windows", F.size(F.split("windows", ",")))
     scored = metrics.report_score(board).withColumn("report_score", F.round("report_score", 12))
     return metrics.best_per(scored, ["market"], ["report_score", "symbol", "strategy"]).select("market", "symbol", "strategy", "report_score")
 
@@ -281,3 +279,21 @@ def common(spark, d):
     regions = fx.suppliers(spark, d).select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("supplier"), "r_name")
     weeks = fx.bars(spark, d).join(regions, F.col("symbol") == F.col("supplier")).select(F.col("r_name").alias("symbol"), "ts")
     return common_keys(index, weeks, ["symbol", "ts"])
+
+
+@query("new_keys", "bars idx", """
+SELECT 'S' || s_suppkey AS symbol, date_trunc('week', i.ts)::TIMESTAMP AS ts FROM idx i JOIN region ON i.symbol = r_name JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey
+EXCEPT SELECT symbol, ts FROM bars""")
+def new_keys(spark, d):
+    """Weeks in which the index of a supplier's region has a value and the supplier has no bar."""
+    weeks = fx.idx(spark, d).select(F.col("symbol").alias("r_name"), F.date_trunc("week", "ts").alias("ts")).distinct()
+    due = fx.suppliers(spark, d).select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("symbol"), "r_name").join(weeks, "r_name")
+    return only_in(due, fx.bars(spark, d), ["symbol", "ts"])
+
+
+@query("restricted_runs", "runs", "SELECT run_id, symbol, strategy, round(score, 6) AS score FROM runs WHERE (symbol, strategy) IN (SELECT symbol, strategy FROM runs GROUP BY 1, 2 HAVING sum(trades) % 2 = 0)")
+def restricted_runs(spark, d):
+    """Runs of the (symbol, strategy) pairs that hold an even number of trades."""
+    runs = fx.runs(spark, d)
+    even = runs.groupBy("symbol", "strategy").agg(F.sum("trades").alias("n")).where("n % 2 = 0")
+    return restrict(runs, even, ["symbol", "strategy"]).select("run_id", "symbol", "strategy", F.round("score", 6).alias("score"))

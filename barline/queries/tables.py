@@ -223,6 +223,21 @@ def reaction_day(spark, d):
     return fx.table(spark, d, "events").select("event_id", cal_ops.reaction_day(F.col("ts")).alias("reaction"))
 
 
+@query("reaction_day_snap", "cal", """
+SELECT e.event_id, c.day AS reaction FROM (SELECT event_id, CASE WHEN hour(ts) >= 16 THEN ts::DATE + 1 ELSE ts::DATE END AS d FROM events) e ASOF LEFT JOIN cal c ON e.d <= c.day""")
+def reaction_day_snap(spark, d):
+    """The reaction day moved on to a trading day."""
+    events = fx.table(spark, d, "events").select("event_id", "ts")
+    return cal_ops.reaction_trading_day(events, fx.cal(spark, d)).select("event_id", "reaction")
+
+
+@query("scaled_volume", "bars", "SELECT symbol, ts, round(coalesce(volume, 0) * 0.25::DOUBLE, 6) AS volume, round(close * coalesce(volume, 0) * 0.25::DOUBLE, 4) AS dollar_volume FROM bars")
+def scaled_volume(spark, d):
+    """Bars as a quarter of the market would see them."""
+    rows = cal_ops.scale_volume(fx.bars(spark, d), 0.25)
+    return rows.select("symbol", "ts", F.round("volume", 6).alias("volume"), F.round(F.col("close") * F.col("volume"), 4).alias("dollar_volume"))
+
+
 @query("periods", "bars_h", """
 SELECT symbol, round(greatest(252.0::DOUBLE, 252.0::DOUBLE * count(*) / count(DISTINCT ts::DATE)), 6) AS periods FROM bars_h GROUP BY symbol""")
 def periods(spark, d):
