@@ -100,6 +100,19 @@ def test_bar_store_equals_batch(spark, rows, files, tmp_path):
     assert bars_of(st.read_bars(spark, compact)) == want
 
 
+def test_interval_trigger_goes_on_until_stopped(spark, rows, files, tmp_path):
+    """With an interval the query stays up, takes what has come since the last tick of the clock, and goes on from its state after a stop."""
+    store, state = str(tmp_path / "store"), str(tmp_path / "state")
+    for _ in range(2):
+        q = st.write_bars(st.clean_ticks(stream(spark, files), "1 hour"), store, state, "7 minutes", interval="200 milliseconds")
+        try:
+            q.processAllAvailable()
+            assert q.isActive
+        finally:
+            q.stop()
+    assert bars_of(st.read_bars(spark, store)) == bars_of(st.tick_bars(spark.createDataFrame(rows, SCHEMA), "7 minutes"))
+
+
 def test_fan_out(spark, rows, files, tmp_path):
     q = st.fan_out(stream(spark, files), str(tmp_path / "store"), str(tmp_path / "audit"), str(tmp_path / "state"))
     assert q.awaitTermination(120)
