@@ -3,7 +3,7 @@
 A document's passages (its lines with a licence word, each paragraph that holds one, and these lines with their neighbours there) and the templates
 are sparse term vectors, weighted by how rare a term is among all documents' passages and the templates. A document is licensed as the nearest
 template of any of its passages if the cosine is high, or as its SPDX tag says. A directory carries
-the licence of its licence file, or else of its first licensed document; documents without a licence of their own take that of the nearest
+the licence of its licence file, while a header speaks for its own document only; documents without a licence of their own take that of the nearest
 ancestor directory which has one, by equi-joins of their ancestors' paths.
 """
 
@@ -51,6 +51,8 @@ TEMPLATES = {
 GENERIC = ["Proprietary"]
 #: Identifiers of an SPDX tag, in capitals, besides the names of the licences themselves.
 SPDX = {"GPL-3.0-ONLY": "GPL-3.0", "GPL-3.0-OR-LATER": "GPL-3.0", "GPL-3.0+": "GPL-3.0"}
+#: Names of licence files, in capitals, with any ending.
+FILES = r"^(LICEN[SC]E|COPYING)([._-].*)?$"
 TAG = r"(?i)SPDX-License-Identifier:[ \t]*([^\r\n]*)"
 
 
@@ -108,8 +110,8 @@ def scan(docs: DataFrame, path: str, templates: dict[str, list[str]] | None = No
 
     origin is ``own``, ``inherited`` (licence_dir is the directory it comes from) or ``none`` (licence null). Ties between templates go to the first by
     name. A null text is empty; a null path is '' (the root) and takes only the root's licence. Rows that are equal in path and text are judged
-    alike; a directory's licence is that of its files named LICENSE, LICENCE or COPYING (first by name), else of its first licensed path, whatever
-    the number of its documents. No rows give no rows.
+    alike; a directory's licence is that of its files named LICENSE, LICENCE or COPYING, with any ending, the first of them by path that is licensed. A
+    directory without one carries nothing, whatever its documents say in their headers. No rows give no rows.
     """
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
@@ -141,8 +143,8 @@ def scan(docs: DataFrame, path: str, templates: dict[str, list[str]] | None = No
     judged = judged.unionByName(rows.where("passages IS NULL").select("doc_id", "path").withColumns(none))  # most documents: they meet nothing
     judged = keep(judged.select("doc_id", "path", F.when(F.col("cosine") >= threshold, F.col("own")).alias("own"), "cosine"), "licence-own")
     parent = F.regexp_replace(F.regexp_replace("path", "[^/]*$", ""), "^/+|/+$", "")
-    named = F.upper(F.regexp_extract("path", "([^/]*)$", 1)).rlike("^(LICEN[SC]E|COPYING)")
-    carried = judged.where("own IS NOT NULL").groupBy(parent.alias("dir")).agg(F.min_by("own", F.struct(~named, "path", "own")).alias("carried"))
+    file = F.upper(F.substring_index("path", "/", -1)).rlike(FILES)
+    carried = judged.where(F.col("own").isNotNull() & file).groupBy(parent.alias("dir")).agg(F.min_by("own", F.struct("path", "own")).alias("carried"))
     above = judged.where("own IS NULL").select("path").distinct().select("path", F.explode(ancestors(F.col("path"))).alias("a")).select("path", "a.*")
     inherited = above.join(carried, "dir").groupBy("path").agg(F.max(F.struct("depth", "dir", "carried")).alias("n")).select("path", F.col("n.dir").alias("dir"), F.col("n.carried").alias("carried"))
     out = judged.join(inherited, "path", "left")

@@ -138,6 +138,8 @@ QUERIES["op5_personal_data"] = op5_personal_data
 
 #: Where a document would lie in a source tree.
 PATH = "concat_ws('/', source, CAST(doc_id DIV 1000 AS STRING), CAST(doc_id DIV 50 AS STRING), concat(CAST(doc_id AS STRING), '.txt'))"
+#: Paths of the licence scan: the same tree, in which a tenth of the documents are licence files, one directory above the other documents.
+FILED = "concat_ws('/', source, CAST(doc_id DIV 1000 AS STRING), CASE WHEN doc_id % 10 = 0 THEN concat('LICENSE-', CAST(doc_id AS STRING)) ELSE concat_ws('/', CAST(doc_id DIV 50 AS STRING), concat(CAST(doc_id AS STRING), '.txt')) END)"
 #: Labelled findings: the tables hold no reviews, so that an assignment to a secret's name stands for one; a quarter of the findings has no label.
 REVIEWED = r"""CASE WHEN pmod(h, 4) <> 0 THEN lead RLIKE '(?i)(token|secret|key|password|passwd|credential)s?\\s*[=:]\\s*["\']?$' END"""
 
@@ -149,7 +151,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence of every document, its own or that of the nearest directory."""
-    return licences.scan(documents(spark, sf_dir), PATH)
+    return licences.scan(documents(spark, sf_dir), FILED)
 
 
 QUERIES |= {"op1_secrets": op1_secrets, "op6_licences": op6_licences}

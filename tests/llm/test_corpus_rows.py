@@ -13,7 +13,7 @@ from barline.llm.exact_dedup import absorb, digest_log, exact_dedup
 from barline.llm.language import language_id
 from barline.llm.mixing import leaf_budgets, mix
 from barline.llm.personal import personal_data, reliabilities
-from barline.llm.queries import PATH, QUERIES, REVIEWED
+from barline.llm.queries import FILED, PATH, QUERIES, REVIEWED
 from barline.llm.shards import shard_by_bytes
 from barline.llm.topk import top_k, whole_numbers
 from barline.session import scratch_path
@@ -118,10 +118,10 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     ]
     out = licences.scan(spark.createDataFrame(rows, "doc_id long, text string, at string").withColumn("own", F.lit(1)).withColumn("lines", F.lit("x")), "at")
     got = Counter((r.doc_id, r.licence, r.origin, r.licence_dir) for r in out.collect())
-    assert got == Counter([(1, "MIT", "own", None), (2, "MIT", "inherited", "a"), (2, "MIT", "inherited", "a"), (3, "Apache-2.0", "own", None), (4, "Apache-2.0", "inherited", "a/b/c"), (5, None, "none", None), (6, None, "none", None), (7, "GPL-3.0", "own", None), (8, "GPL-3.0", "inherited", "q"), (9, None, "none", None)])
+    assert got == Counter([(1, "MIT", "own", None), (2, "MIT", "inherited", "a"), (2, "MIT", "inherited", "a"), (3, "Apache-2.0", "own", None), (4, "Apache-2.0", "inherited", "a/b/c"), (5, None, "none", None), (6, None, "none", None), (7, "GPL-3.0", "own", None), (8, None, "none", None), (9, None, "none", None)])  # the header of q/one is its own
     docs, rows = odd_docs(spark)
-    assert licences.scan(docs, PATH).count() == len(rows)
-    assert licences.scan(no_docs(spark), PATH).count() == 0
+    assert licences.scan(docs, FILED).count() == len(rows)
+    assert licences.scan(no_docs(spark), FILED).count() == 0
 
 
 def test_secret_forest_separates_what_was_reviewed(spark):
