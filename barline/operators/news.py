@@ -156,13 +156,19 @@ def _one_of(value: Column, spec) -> Column:
 
 
 def parse_completions(df: DataFrame, text: str = "completion") -> DataFrame:
-    """Direction, strength and relative label from the outermost braces of the text; defaults when broken."""
-    parsed = _first_object(F.col(text), "direction:string,strength:string,relative_to_spy:string")
+    """Direction, strength, relative label, event type and session from the outermost braces of the text; defaults when broken.
+
+    Event type and session may be any word, in lower case without outer spaces; where they are missing or null they are ``other`` and ``mixed``.
+    """
+    parsed = _first_object(F.col(text), "direction:string,strength:string,relative_to_spy:string,event_type:string,session:string")
+    free = lambda name, default: F.coalesce(F.lower(F.trim(parsed[name])), F.lit(default)).alias(name)
     return df.select(
         *df.columns,
         _one_of(parsed["direction"], DIRECTIONS).alias("direction"),
         _one_of(parsed["strength"], STRENGTHS).alias("strength"),
         _one_of(parsed["relative_to_spy"], RELATIVES).alias("relative"),
+        free("event_type", "other"),
+        free("session", "mixed"),
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -219,30 +219,59 @@ def conditional_means(rows: DataFrame, score: str, fwd: str, keys: Sequence[str]
     return rows.groupBy(*keys, tone.alias("tone")).agg(F.count("*").alias("n"), F.coalesce(F.avg(fwd), F.lit(0.0)).alias("mean_fwd"))
 
 
+def _class_sums(actual: str, predicted: str, labels: Sequence[str], tag: str = "") -> list[Column]:
+    """Sums over rows of (actual, predicted, n): hits, and for each label the rows that have it on both sides, as truth and as prediction."""
+    a, p, n = F.col(actual), F.col(predicted), F.col("n")
+    some = lambda ok, name: F.sum(F.when(ok, n).otherwise(0)).alias(f"_{tag}{name}")
+    out = [some(a == p, "hit")]
+    for i, label in enumerate(labels):
+        out += [some((a == label) & (p == label), f"tp{i}"), some(a == label, f"a{i}"), some(p == label, f"p{i}")]
+    return out
+
+
+def _class_scores(labels: Sequence[str], tag: str = "", prefix: str = "") -> list[Column]:
+    """Accuracy, balanced accuracy and macro precision, recall and F1 from the sums; a zero division is 0."""
+    at = lambda name: F.col(f"_{tag}{name}")
+    safe = lambda num, den: F.when(den > 0, num / den).otherwise(0.0)
+    k = range(len(labels))
+    precision, recall = [safe(at(f"tp{i}"), at(f"p{i}")) for i in k], [safe(at(f"tp{i}"), at(f"a{i}")) for i in k]
+    f1 = [safe(2.0 * at(f"tp{i}"), at(f"a{i}") + at(f"p{i}")) for i in k]
+    present = sum((at(f"a{i}") > 0).cast("int") for i in k)
+    named = {
+        "accuracy": at("hit") / F.col("samples"), "balanced_accuracy": sum(recall) / F.greatest(present, F.lit(1)), "macro_precision": sum(precision) / len(labels),
+        "macro_recall": sum(recall) / len(labels), "macro_f1": sum(f1) / len(labels),
+    }
+    return [c.alias(prefix + name) for name, c in named.items()]
+
+
 def class_metrics(rows: DataFrame, actual: str, predicted: str, labels: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Accuracy, balanced accuracy and macro precision, recall and F1, all from the confusion counts."""
     keys = list(keys)
     table = rows.groupBy(*keys, F.col(actual).alias("a"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
-    hit = F.sum(F.when(F.col("a") == F.col("p"), F.col("n")).otherwise(0))
-    parts = []
-    for i, label in enumerate(labels):
-        parts += [
-            F.sum(F.when((F.col("a") == label) & (F.col("p") == label), F.col("n")).otherwise(0)).alias(f"_tp{i}"),
-            F.sum(F.when(F.col("a") == label, F.col("n")).otherwise(0)).alias(f"_a{i}"),
-            F.sum(F.when(F.col("p") == label, F.col("n")).otherwise(0)).alias(f"_p{i}"),
-        ]
-    grouped = table.groupBy(*keys) if keys else table.groupBy()
-    sums = grouped.agg(F.sum("n").alias("samples"), hit.alias("_hit"), *parts)
-    safe = lambda num, den: F.when(den > 0, num / den).otherwise(0.0)
-    k = range(len(labels))
-    precision = [safe(F.col(f"_tp{i}"), F.col(f"_p{i}")) for i in k]
-    recall = [safe(F.col(f"_tp{i}"), F.col(f"_a{i}")) for i in k]
-    f1 = [safe(2.0 * F.col(f"_tp{i}"), F.col(f"_a{i}") + F.col(f"_p{i}")) for i in k]
-    present = sum((F.col(f"_a{i}") > 0).cast("int") for i in k)
-    return sums.select(
-        *keys, "samples", (F.col("_hit") / F.col("samples")).alias("accuracy"), (sum(recall) / F.greatest(present, F.lit(1))).alias("balanced_accuracy"),
-        (sum(precision) / len(labels)).alias("macro_precision"), (sum(recall) / len(labels)).alias("macro_recall"), (sum(f1) / len(labels)).alias("macro_f1"),
-    )
+    sums = table.groupBy(*keys).agg(F.sum("n").alias("samples"), *_class_sums("a", "p", labels))
+    return sums.select(*keys, "samples", *_class_scores(labels))
+
+
+def joint_metrics(rows: DataFrame, targets: Mapping[str, tuple[str, str, Sequence[str]]], keys: Sequence[str] = ()) -> DataFrame:
+    """Class metrics of several targets of the same rows, the share of rows on which all are right, and how often each label occurs.
+
+    ``targets`` names (actual column, predicted column, labels). Columns: keys, samples, the five metrics of each target with its name in front,
+    joint_accuracy, and for each target the maps ``<name>_actual`` and ``<name>_predicted`` from label to rows. Rows are counted by their
+    combination of labels first, so that a key of any size is a handful of rows when it is brought together. A null label is never right and counts
+    for no label. Without rows a table without keys holds one row of zero samples and null ratios.
+    """
+    keys = list(keys)
+    pairs = [F.col(c).alias(f"_{side}_{name}") for name, t in targets.items() for side, c in zip("ap", t)]
+    table = rows.select(*keys, *pairs).groupBy(*keys, *[f"_{side}_{name}" for name in targets for side in "ap"]).agg(F.count("*").alias("n"))
+    right = F.lit(True)
+    for name in targets:
+        right = right & F.coalesce(F.col(f"_a_{name}") == F.col(f"_p_{name}"), F.lit(False))
+    parts = [c for name, t in targets.items() for c in _class_sums(f"_a_{name}", f"_p_{name}", t[2], f"{name}_")]
+    sums = table.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("samples"), F.sum(F.when(right, F.col("n")).otherwise(0)).alias("_joint"), *parts)
+    out = [c for name, t in targets.items() for c in _class_scores(t[2], f"{name}_", f"{name}_")]
+    seen = lambda name, side, labels: F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), F.array(*[F.col(f"_{name}_{side}{i}") for i in range(len(labels))]))
+    maps = [seen(name, side, t[2]).alias(f"{name}_{word}") for name, t in targets.items() for side, word in (("a", "actual"), ("p", "predicted"))]
+    return sums.select(*keys, "samples", *out, (F.col("_joint") / F.col("samples")).alias("joint_accuracy"), *maps)
 
 
 def signal_quality(rows: DataFrame, taken: Column, actual: str, keys: Sequence[str]) -> DataFrame:

@@ -239,6 +239,42 @@ def class_metrics(spark, d):
     return out.select("symbol", "samples", *r6("accuracy", "balanced_accuracy", "macro_precision", "macro_recall", "macro_f1"))
 
 
+view("judged_both", "bars_h preds", """
+WITH f AS (SELECT * FROM (SELECT symbol, ts, lead(close, 1) OVER (PARTITION BY symbol ORDER BY pos) / close - 1 AS fwd FROM bars_h) WHERE fwd IS NOT NULL),
+m AS (SELECT ts::DATE AS day, round(avg(fwd), 9) AS market FROM f GROUP BY 1)
+SELECT symbol, direction AS pd, relative AS pr, CASE WHEN fwd >= 0.2 THEN 'bullish' WHEN fwd <= -0.2 THEN 'bearish' ELSE 'neutral' END AS ad,
+  CASE WHEN fwd - market >= 0.1::DOUBLE THEN 'outperform' WHEN fwd - market <= -0.1::DOUBLE THEN 'underperform' ELSE 'inline' END AS ar
+FROM f JOIN m ON f.ts::DATE = m.day JOIN preds USING (symbol, ts)""")
+_RELATIVE = ("outperform", "underperform", "inline")
+
+
+def _target_sql(name: str, a: str, p: str, labels) -> str:
+    """The five metrics and the label counts of one target."""
+    count = lambda ok: f"count(*) FILTER ({ok})"
+    tp, na, np = ({c: count(ok.format(c=c)) for c in labels} for ok in (f"{a} = '{{c}}' AND {p} = '{{c}}'", f"{a} = '{{c}}'", f"{p} = '{{c}}'"))
+    recall = " + ".join(_safe(tp[c], na[c]) for c in labels)
+    return f"""round({count(f'{a} = {p}')} / count(*), 6) AS {name}_accuracy, round(({recall}) / greatest({' + '.join(f'({na[c]} > 0)::INT' for c in labels)}, 1), 6) AS {name}_balanced_accuracy,
+  round(({' + '.join(_safe(tp[c], np[c]) for c in labels)}) / 3, 6) AS {name}_macro_precision, round(({recall}) / 3, 6) AS {name}_macro_recall,
+  round(({' + '.join(_safe('2 * ' + tp[c], f'({na[c]} + {np[c]})') for c in labels)}) / 3, 6) AS {name}_macro_f1,
+  concat_ws(',', {', '.join(f"'{c}:' || {na[c]}" for c in labels)}) AS {name}_actual, concat_ws(',', {', '.join(f"'{c}:' || {np[c]}" for c in labels)}) AS {name}_predicted"""
+
+
+@query("joint_metrics", "judged_both", f"""
+SELECT symbol, count(*) AS samples, {_target_sql("direction", "ad", "pd", _LABELS)}, {_target_sql("relative", "ar", "pr", _RELATIVE)},
+  round(count(*) FILTER (ad = pd AND ar = pr) / count(*), 6) AS joint_accuracy FROM judged_both GROUP BY symbol""")
+def joint_metrics(spark, d):
+    """Direction and move against the day's mean, judged together: metrics of both, joint accuracy and label counts of each user."""
+    bars = in_blocks(fx.bars_h(spark, d), lambda r, w: r.withColumn("fwd", ts.forward_return("close", 1, w)), fwd=1)
+    bars = cut(bars.where("fwd IS NOT NULL").withColumn("day", F.to_date("ts")))
+    market = bars.groupBy("day").agg(F.round(F.avg("fwd"), 9).alias("market"))
+    actual = bars.join(market, "day").select("symbol", "ts", direction(F.col("fwd"), F.lit(0.2)).alias("ad"), direction(F.col("fwd") - F.col("market"), F.lit(0.1), _RELATIVE).alias("ar"))
+    targets = {"direction": ("ad", "direction", _LABELS), "relative": ("ar", "relative", _RELATIVE)}
+    out = stats.joint_metrics(fx.preds_of(bars).join(actual, ["symbol", "ts"]), targets, ["symbol"])
+    scores = [f"{t}_{m}" for t in targets for m in ("accuracy", "balanced_accuracy", "macro_precision", "macro_recall", "macro_f1")]
+    counts = [F.array_join(F.transform(F.map_entries(f"{t}_{w}"), lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias(f"{t}_{w}") for t in targets for w in ("actual", "predicted")]
+    return out.select("symbol", "samples", *r6(*scores, "joint_accuracy"), *counts)
+
+
 @query("confusion", "judged", "SELECT actual, predicted, count(*) AS n FROM judged GROUP BY 1, 2")
 def confusion(spark, d):
     return judged(spark, d).groupBy("actual", F.col("direction").alias("predicted")).agg(F.count("*").alias("n"))

@@ -87,8 +87,9 @@ def prompt_hash(spark, d):
 # Model answers: the document as prose around a JSON object whose values come from the document's number.
 view("answers", "", """
 SELECT doc_id, text || chr(10) || '{"direction": "' || CASE doc_id % 4 WHEN 0 THEN 'Bullish' WHEN 1 THEN 'bearish' WHEN 2 THEN ' neutral ' ELSE 'sideways' END
-  || '", "strength": "' || CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'huge' END || '", "relative_to_spy": "' || CASE doc_id % 2 WHEN 0 THEN 'outperform' ELSE 'underperform' END
-  || CASE WHEN lang = 'en' THEN '"}' ELSE '"} Done.' END || CASE WHEN source LIKE '%forum%' THEN ' }' ELSE '' END AS completion FROM documents""")
+  || '", "strength": "' || CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'huge' END || '", "relative_to_spy": "' || CASE doc_id % 2 WHEN 0 THEN 'outperform' ELSE 'underperform' END || '"'
+  || CASE doc_id % 5 WHEN 0 THEN ', "event_type": " Earnings "' WHEN 1 THEN ', "session": "Intraday", "event_type": "merger"' WHEN 2 THEN ', "session": "post_close"' WHEN 3 THEN ', "event_type": null' ELSE '' END
+  || CASE WHEN lang = 'en' THEN '}' ELSE '} Done.' END || CASE WHEN source LIKE '%forum%' THEN ' }' ELSE '' END AS completion FROM documents""")
 
 
 def answers(spark, d):
@@ -96,8 +97,9 @@ def answers(spark, d):
     pick = lambda n, names: F.get(F.array(*[F.lit(x) for x in names]), (i % n).cast("int"))
     body = F.concat(
         F.col("text"), F.lit('\n{"direction": "'), pick(4, ["Bullish", "bearish", " neutral ", "sideways"]), F.lit('", "strength": "'),
-        pick(3, ["high", "medium", "huge"]), F.lit('", "relative_to_spy": "'), pick(2, ["outperform", "underperform"]),
-        F.when(F.col("lang") == "en", '"}').otherwise('"} Done.'), F.when(F.col("source").contains("forum"), " }").otherwise(""),
+        pick(3, ["high", "medium", "huge"]), F.lit('", "relative_to_spy": "'), pick(2, ["outperform", "underperform"]), F.lit('"'),
+        pick(5, [', "event_type": " Earnings "', ', "session": "Intraday", "event_type": "merger"', ', "session": "post_close"', ', "event_type": null', ""]),
+        F.when(F.col("lang") == "en", "}").otherwise("} Done."), F.when(F.col("source").contains("forum"), " }").otherwise(""),
     )
     return fx.table(spark, d, "documents").select("doc_id", body.alias("completion"))
 
@@ -107,9 +109,9 @@ _RAW = "regexp_extract(completion, '(?s)\\{.*\\}')"
 
 @query("parse_completions", "answers", f"""
 WITH r AS (SELECT doc_id, CASE WHEN json_valid({_RAW}) THEN {_RAW} ELSE '{{}}' END AS j FROM answers),
-v AS (SELECT doc_id, lower(trim(j->>'direction')) AS d, lower(trim(j->>'strength')) AS s, lower(trim(j->>'relative_to_spy')) AS r FROM r)
+v AS (SELECT doc_id, lower(trim(j->>'direction')) AS d, lower(trim(j->>'strength')) AS s, lower(trim(j->>'relative_to_spy')) AS r, lower(trim(j->>'event_type')) AS e, lower(trim(j->>'session')) AS n FROM r)
 SELECT doc_id, CASE WHEN d IN ('bullish', 'bearish', 'neutral') THEN d ELSE 'neutral' END AS direction, CASE WHEN s IN ('low', 'medium', 'high') THEN s ELSE 'low' END AS strength,
-  CASE WHEN r IN ('outperform', 'underperform', 'inline') THEN r ELSE 'inline' END AS relative FROM v""")
+  CASE WHEN r IN ('outperform', 'underperform', 'inline') THEN r ELSE 'inline' END AS relative, coalesce(e, 'other') AS event_type, coalesce(n, 'mixed') AS session FROM v""")
 def parse_completions(spark, d):
     return news.parse_completions(answers(spark, d)).drop("completion")
 

@@ -86,10 +86,10 @@ def test_session_label_edges(spark):
 
 
 def test_completions(spark):
-    texts = ['x {"direction": "Bullish ", "strength": "HIGH"} y', "no json", '{"direction": "up"} {"direction": "bearish"}', '{"direction": "bearish", "relative_to_spy": "underperform"}']
+    texts = ['x {"direction": "Bullish ", "strength": "HIGH"} y', "no json", '{"direction": "up"} {"direction": "bearish"}', '{"direction": "bearish", "relative_to_spy": "underperform", "event_type": " Merger", "session": null}']
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, completion string")
     got = [tuple(r)[2:] for r in news.parse_completions(rows).orderBy("i").collect()]
-    assert got == [("bullish", "high", "inline"), ("neutral", "low", "inline"), ("neutral", "low", "inline"), ("bearish", "low", "underperform")]
+    assert got == [("bullish", "high", "inline", "other", "mixed"), ("neutral", "low", "inline", "other", "mixed"), ("neutral", "low", "inline", "other", "mixed"), ("bearish", "low", "underperform", "merger", "mixed")]
     answers = ['{"label": "bearish", "confidence": 0.4}', "Bullish, because", "", "maybe"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(answers)], "i int, answer string")
     assert [tuple(r)[2:] for r in news.parse_sentiment(rows).orderBy("i").collect()] == [("bearish", -0.4), ("bullish", 1.0), ("neutral", 0.0), ("neutral", 0.0)]
