@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from barline.operators import metrics
+from barline.session import cut
+
 
 def gate(metrics: DataFrame, checks: dict[str, Column], kill_unless: list[str]) -> DataFrame:
     """Evaluate named checks; PROMOTED when all hold, KILLED when one of ``kill_unless`` fails, else WATCHLIST."""
@@ -16,7 +21,7 @@ def gate(metrics: DataFrame, checks: dict[str, Column], kill_unless: list[str])
     return table.withColumn("failed_checks", failed).withColumn("status", status)
 
 
-def sleeve_checks(hurdle: float) -> dict[str, Column]:
+def sleeve_checks(hurdle: float | Column) -> dict[str, Column]:
     """Checks of a volatility sleeve against its always-short baseline (columns with prefix ``base_``)."""
     c = F.col
     return {
@@ -29,6 +34,18 @@ def sleeve_checks(hurdle: float) -> dict[str, Column]:
     }
 
 
+def crisis_drawdowns(rows: DataFrame, slices: Mapping[str, tuple[str, str]], key: str = "variant") -> DataFrame:
+    """key, crisis: the worst drawdown inside each named date range as a map; a range without rows is no entry, a key without any no row."""
+    inside = cut(metrics.slice_rows(rows, dict(slices)))
+    per = metrics.return_metrics(inside, [key, "slice"])
+    return per.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slice", F.round("max_drawdown", 9)))).alias("crisis"))  # one entry for each range
+
+
+def crisis_checks(names: Iterable[str], own: str = "crisis", base: str = "base_crisis") -> dict[str, Column]:
+    """A check for each range: a smaller drawdown than the baseline's there. It fails where either has no rows in the range."""
+    return {f"beats_baseline_drawdown_{n}": F.col(own)[n] > F.col(base)[n] for n in names}
+
+
 def lag_sensitivity(a: DataFrame, b: DataFrame, key: str = "variant") -> DataFrame:
     """Metrics of the same sleeves at two signal lags side by side."""
     cols = ["total_return", "sharpe", "max_drawdown"]

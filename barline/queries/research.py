@@ -358,6 +358,44 @@ def gate_checks(spark, d):
     return out.select("variant", F.array_join("failed_checks", ",").alias("failed"), "status")
 
 
+#: Date ranges in which a sleeve must lose less than the baseline.
+CRISES = {"autumn_1997": ("1997-10-01", "1997-11-30"), "autumn_1998": ("1998-08-01", "1998-10-31")}
+_CRISIS_DD = ", ".join(f"min(dd) FILTER (crisis = '{n}') AS {n}" for n in CRISES)
+_FAILS = {
+    "mean_sharpe_at_least_1_0": "v.mean_sharpe >= 1.0", "profitable_windows_at_least_70pct": "v.profitable_fraction >= 0.7", "full_history_worst_dd_within_25pct": "abs(v.max_drawdown) <= 0.25",
+    "clears_multiple_testing_hurdle": "v.mean_sharpe > h.hurdle", "beats_baseline_sharpe_full_history": "v.sharpe > b.sharpe", "beats_baseline_drawdown": "v.max_drawdown > b.max_drawdown",
+} | {f"beats_baseline_drawdown_{n}": f"coalesce(c.{n} > bc.{n}, false)" for n in CRISES}
+_KILLS = ["beats_baseline_sharpe_full_history", *(f"beats_baseline_drawdown_{n}" for n in CRISES)]
+
+
+@query("crisis_gates", "vwin", f"""
+WITH x AS (SELECT variant, crisis, sp, product(1 + net) OVER (PARTITION BY variant, crisis ORDER BY sp) AS eq FROM sleeve_out JOIN (VALUES {', '.join(f"('{n}', DATE '{a}', DATE '{b}')" for n, (a, b) in CRISES.items())}) t(crisis, a, b) ON ts::DATE BETWEEN a AND b),
+y AS (SELECT variant, crisis, round(eq / max(eq) OVER (PARTITION BY variant, crisis ORDER BY sp) - 1, 9) AS dd FROM x), c AS (SELECT variant, {_CRISIS_DD} FROM y GROUP BY variant),
+n AS (SELECT count(DISTINCT variant) AS trials, count(*) / count(DISTINCT variant) AS days FROM sleeve_out),
+h AS (SELECT round(((1 - 0.5772156649::DOUBLE) * ({_normal_quantile_sql('a')}) + 0.5772156649::DOUBLE * ({_normal_quantile_sql('b')})) * sqrt(252.0::DOUBLE / days), 4) AS hurdle
+  FROM (SELECT days, 1 - 1 / trials::DOUBLE AS a, 1 - 1 / (trials * exp(1.0::DOUBLE)) AS b FROM n)),
+k AS (SELECT v.variant, v.mean_sharpe, v.max_drawdown, {', '.join(f"c.{n}" for n in CRISES)}, {', '.join(f"{sql} AS {name}" for name, sql in _FAILS.items())}
+  FROM vwin v LEFT JOIN c USING (variant), (SELECT * FROM vwin WHERE variant = 'slope_00') b, (SELECT * FROM c WHERE variant = 'slope_00') bc, h)
+SELECT variant, round(mean_sharpe, 4) AS mean_sharpe, (SELECT hurdle FROM h) AS hurdle, {', '.join(f"round({n}, 6) AS {n}" for n in CRISES)},
+  array_to_string(list_sort(list_filter([{', '.join(f"CASE WHEN NOT {name} THEN '{name}' END" for name in _FAILS)}], lambda x: x IS NOT NULL)), ',') AS failed,
+  CASE WHEN {' AND '.join(_FAILS)} THEN 'PROMOTED' WHEN NOT ({' AND '.join(_KILLS)}) THEN 'KILLED' ELSE 'WATCHLIST' END AS status,
+  row_number() OVER (ORDER BY variant = 'slope_00', round(mean_sharpe, 9) DESC, abs(max_drawdown), variant) = 1 AS leads FROM k""")
+def crisis_gates(spark, d):
+    """All checks of the sleeves, with a drawdown smaller than the baseline's in every crisis and the hurdle of as many trials; who leads, and who is killed."""
+    rows = cut(run_variants(spark, d).select("variant", "ts", "pos", F.col("net").alias("ret")))
+    full = metrics.return_metrics(rows, ["variant"]).select("variant", "days", F.round("sharpe", 4).alias("sharpe"), F.round("max_drawdown", 6).alias("max_drawdown"))
+    windows = metrics.return_metrics(rows.withColumn("win", F.floor(F.col("pos") / 126)), ["variant", "win"]).where("days = 126")
+    per = windows.groupBy("variant").agg(F.avg("sharpe").alias("mean_sharpe"), F.avg((F.col("total_return") > 0).cast("double")).alias("profitable_fraction"))
+    table = cut(full.join(per, "variant").join(gates.crisis_drawdowns(rows, CRISES), "variant", "left"))
+    base = table.where("variant = 'slope_00'").select(*[F.col(c).alias(f"base_{c}") for c in ("sharpe", "max_drawdown", "crisis")])
+    lead = table.where("variant <> 'slope_00'").agg(F.min_by("variant", F.struct(-F.round("mean_sharpe", 9), F.abs("max_drawdown"), "variant")).alias("variant"))
+    hurdle = table.select(F.round(stats.sharpe_hurdle(F.count(F.lit(1)), F.max("days"))["expected_best"], 4).alias("hurdle"))
+    table = table.withColumns({c: base.select(c).scalar() for c in base.columns} | {"hurdle": hurdle.scalar(), "lead": lead.scalar()})
+    out = gates.gate(table, gates.sleeve_checks(F.col("hurdle")) | gates.crisis_checks(CRISES), _KILLS)
+    crises = [F.round(F.col("crisis")[n], 6).alias(n) for n in CRISES]
+    return out.select("variant", F.round("mean_sharpe", 4).alias("mean_sharpe"), "hurdle", *crises, F.array_join("failed_checks", ",").alias("failed"), "status", (F.col("variant") == F.col("lead")).alias("leads"))
+
+
 def _full_sql(source: str) -> str:
     return f"""SELECT variant, product(1 + net) - 1 AS t, CASE WHEN stddev_pop(net) > 0 THEN avg(net) / stddev_pop(net) * sqrt(252) ELSE 0 END AS s, min(dd) AS d FROM (
   SELECT *, eq / max(eq) OVER (PARTITION BY variant ORDER BY sp) - 1 AS dd FROM (SELECT *, product(1 + net) OVER (PARTITION BY variant ORDER BY sp) AS eq FROM {source})) GROUP BY variant"""
