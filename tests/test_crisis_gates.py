@@ -13,7 +13,7 @@ RANGES = {"first": ("2020-01-02", "2020-01-04"), "second": ("2020-02-01", "2020-
 def rows(spark):
     day = lambda m, d: dt.datetime(2020, m, d)
     calm = [(day(1, 1), -0.5), (day(1, 2), 0.1), (day(1, 3), -0.1), (day(1, 4), -0.1), (day(2, 1), 0.0), (day(2, 2), -0.2)]
-    wild = [(day(1, 2), 0.2), (day(1, 3), -0.5), (day(1, 4), 0.9), (day(2, 2), -0.1), (day(2, 3), 0.3)]
+    wild = [(day(1, 2), 0.2), (day(1, 3), -0.5), (day(1, 4), 0.9), (day(2, 1), 0.0), (day(2, 2), -0.1), (day(2, 3), 0.3)]  # a drawdown is counted from the first equity of the range on
     made = [(v, t, i, r) for v, own in (("calm", calm), ("wild", wild), ("late", [(day(2, 3), 0.1)])) for i, (t, r) in enumerate(own)]
     return spark.createDataFrame(made + [("out", day(5, 5), 0, -0.9)], "variant string, ts timestamp, pos long, ret double")
 
