@@ -29,6 +29,11 @@ def safe_div(a: Column, b) -> Column:
     return F.when(F.abs(b) > 1e-12, a / b)
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b as doubles divide: by zero it is infinite with the sign of ``a``, or NaN where ``a`` is zero too, and never an error."""
+    return F.when(b == 0, a * F.lit(math.inf)).otherwise(a / b)
+
+
 def clip(x: Column, low, high) -> Column:
     return F.least(F.greatest(x, low), high)
 

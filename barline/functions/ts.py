@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from barline.functions.scalar import ratio
+
 
 def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -111,12 +113,12 @@ def ffill(x, limit: int, w) -> Column:
 
 def simple_return(x, w, n: int = 1) -> Column:
     x = _col(x)
-    return x / F.lag(x, n).over(w) - 1
+    return ratio(x, F.lag(x, n).over(w)) - 1
 
 
 def forward_return(x, h: int, w) -> Column:
     x = _col(x)
-    return F.lead(x, h).over(w) / x - 1
+    return ratio(F.lead(x, h).over(w), x) - 1
 
 
 def realized_variance(r, n: int, w, periods: int = 252) -> Column:
