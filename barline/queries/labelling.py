@@ -44,7 +44,8 @@ WITH r AS (SELECT *, coalesce(close / lag(close) OVER (PARTITION BY symbol ORDER
 v AS (SELECT *, greatest(0.01::DOUBLE, stddev_pop(r) OVER {_frame(20)} * sqrt(5) * 0.5::DOUBLE) AS threshold FROM r)
 SELECT symbol, ts, round(fwd, 6) AS fwd, CASE WHEN fwd >= threshold THEN 'bullish' WHEN fwd <= -threshold THEN 'bearish' ELSE 'neutral' END AS direction FROM v WHERE pos >= 20 AND fwd IS NOT NULL""")
 def hourly_labels(spark, d):
-    return labels.band_labels(fx.bars_h(spark, d)).select("symbol", "ts", F.round("fwd", 6).alias("fwd"), "direction")
+    # Rounded on the scaled number, as SQL does it: half of the last digit is told from the binary value, not from its decimals.
+    return labels.band_labels(fx.bars_h(spark, d)).select("symbol", "ts", (F.round(F.col("fwd") * 1e6) / 1e6).alias("fwd"), "direction")
 
 
 @query("triple_barrier", "lab_in bars", """
