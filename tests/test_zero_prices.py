@@ -24,7 +24,7 @@ def zeros(spark, tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["class_metrics", "confusion", "entry_expectancy", "hourly_labels", "joint_metrics"])
+@pytest.mark.parametrize("name", ["class_metrics", "confusion", "entry_expectancy", "hourly_labels", "joint_metrics", "signal_quality"])
 def test_zero_close_matches_sql(spark, zeros, name):
     folder, con = zeros
     compare(spark, con, folder, QUERIES[name], oracle()[name])
