@@ -230,10 +230,9 @@ SELECT symbol, {', '.join(SWEEP)}, trades, round(win_rate, 6) AS win_rate, round
 def threshold_sweep(spark, d):
     """All 432 settings of the rule grid on every candidate of every symbol: trades, win rate, return, profit factor and score of each."""
     bars = cut(sweep_bars(spark, d))
-    asks = {2 * a + w: (F.col("strict") | F.lit(not a)) & ~(F.col("weak") & F.lit(bool(w))) for a in (0, 1) for w in (0, 1)}
-    passages = sweeps.first_passages(bars, SWEEP, EVEN_AT).join(bars.select("symbol", F.col("pos").alias("entry_pos"), "strict", "weak"), ["symbol", "entry_pos"])
-    exits = sweeps.combined_exits(cut(passages), SWEEP, ["symbol", "entry_pos", "entry_price", "strict", "weak"])
-    taken = sweeps.sweep_trades(exits, cut(sweeps.next_candidates(bars, asks)), asks, SWEEP["cooldown"])
+    asks = [(F.col("strict") | F.lit(not a)) & ~(F.col("weak") & F.lit(bool(w))) for a in (0, 1) for w in (0, 1)]
+    passages = cut(sweeps.first_passages(bars, SWEEP, EVEN_AT, keep=["strict", "weak"]))
+    taken = sweeps.walked_trades(passages, SWEEP, asks, SWEEP["cooldown"])
     scored = metrics.trade_metrics(taken.withColumn("trade_ret", F.col("exit_price") / F.col("entry_price") - 1), ["symbol", "eid", "cooldown", "fid"])
     names = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in s.items()]) for s in sweeps.settings(SWEEP, sweeps.EXIT_PARAMS)])
     score = metrics.composite_score(F.col("total_return"), F.lit(0.0), F.col("win_rate"), F.col("profit_factor"))
