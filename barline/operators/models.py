@@ -13,6 +13,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from barline.functions.scalar import choose
 from barline.operators.labels import walk_forward
 from barline.session import cut
 
@@ -32,11 +33,11 @@ def classifier(name: str, n_features: int, n_classes: int = 2, seed: int = 42):
 
 
 def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """Weight rows so that every class counts the same; the class table has one row per class."""
-    sizes = df.groupBy(label).agg(F.count("*").alias("_c"))
-    rows, classes = sizes.agg(F.sum("_c")).scalar(), sizes.agg(F.count("*")).scalar()
-    weights = sizes.select(label, (rows / (classes * F.col("_c"))).alias("weight"))
-    return df.join(weights, label)
+    """Weight rows so that every class counts the same. The weights, one for each class, are literals: a join on the label would deal all rows to as many tasks as there are classes."""
+    sizes = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*")).collect()}
+    rows = sum(sizes.values())
+    weight = choose(F.col(label), {c: rows / (len(sizes) * n) for c, n in sizes.items()}) if sizes else F.lit(None).cast("double")
+    return df.where(F.col(label).isNotNull()).withColumn("weight", weight)
 
 
 def assemble(df: DataFrame, features: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
