@@ -8,6 +8,7 @@ the keys whose own rows are too many for a task, which go by ranges.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -154,6 +155,48 @@ def quantiles(
     return grouped.agg(*aggs, F.max("total").alias("n_values"))
 
 
+def _past_statistics(table: pa.Table, q: float, min_n: int) -> pa.Table:
+    """Both order statistics around the quantile of all earlier rows, for each row of a block; the counts of values are kept in a binary indexed tree."""
+    at, x, n, lower = (table[c].to_numpy(zero_copy_only=False) for c in ("_pos", "_x", "_n", "_lower"))
+    old = table["_pos"].is_null().to_numpy()
+    values, code = np.unique(x, return_inverse=True)
+    size, skipped = len(values), int(lower[old].max()) if old.any() else 0
+    counts = np.zeros(size, np.int64)
+    np.add.at(counts, code[old], n[old])
+    sums = np.concatenate([[0], np.cumsum(counts)])
+    ends = np.arange(1, size + 1)
+    tree, held = [0, *(sums[ends] - sums[ends - (ends & -ends)]).tolist()], counts.tolist()
+    top = 1 << (size.bit_length() - 1)
+
+    def select(k: int) -> tuple[int, int]:
+        i, step = 0, top
+        while step:
+            j = i + step
+            if j <= size and tree[j] <= k:
+                i, k = j, k - tree[j]
+            step >>= 1
+        return i, k
+
+    order = np.flatnonzero(~old)[np.argsort(at[~old], kind="stable")]
+    asked, lows, highs = [], [], []
+    for p, c in zip(at[order].astype(np.int64).tolist(), code[order].tolist()):
+        if p >= min_n:
+            spot = q * (p - 1)
+            low = math.floor(spot)
+            i, left = select(low - skipped)
+            j = i if math.ceil(spot) == low or left + 1 < held[i] else select(low + 1 - skipped)[0]
+            asked.append(p)
+            lows.append(i)
+            highs.append(j)
+        held[c] += 1
+        c += 1
+        while c <= size:
+            tree[c] += 1
+            c += c & -c
+    pick = lambda rows: pa.array(values[np.array(rows, np.int64)])
+    return pa.table({"_pos": pa.array(asked, pa.int64()), "_lo": pick(lows), "_hi": pick(highs)})
+
+
 def expanding_quantile(
     df: DataFrame,
     x: str,
@@ -162,88 +205,33 @@ def expanding_quantile(
     min_n: int = 200,
     name: str = "threshold",
     fan: int = 8,
-    block: int = 4096,
+    block: int = 1 << 17,
 ) -> DataFrame:
     """Interpolated quantile of all values on earlier rows (``pos`` = 0, 1, 2, ..), null before ``min_n`` of them.
 
-    Every row asks for two order statistics of its past. The values are ranked once; the questions then walk
-    down the digits of that rank: at each level a running count per digit, inside the branch already chosen,
-    tells which digit holds the wanted value. Each level is one blocked running sum, so neither a long series
-    nor a popular branch ends up in one task.
+    Rows are cut into blocks of ``block`` positions. Inside a block the wanted order statistic moves by no more places than the block has rows, so a block
+    needs, of all earlier rows, only the values around the statistic at its start: about twice its rows. Counts for each block and bucket of ranks
+    (``block`` / ``fan`` ranks each) tell which buckets hold them; equal values are sent as one with their count.
     """
-    from barline.plans.blocks import running
-    from barline.session import checkpoint_ready
-
-    checkpoint_ready(df.sparkSession)
-    ranked = df.join(value_positions(df, [], x).select(x, F.col("below").alias("_rank")), x).select(
-        F.col(pos).alias("_pos"), F.col("_rank"), F.col(x).alias("_x")
-    )
-    ranked = ranked.checkpoint()
-    size = ranked.agg(F.max("_rank")).first()[0] or 0
-    levels, reach = 1, fan
-    while reach <= size:
-        levels, reach = levels + 1, reach * fan
-    spot = F.lit(q) * (F.col("_pos") - 1)
-    asks = ranked.where(F.col("_pos") >= min_n).select(
-        "_pos",
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("hi"), F.floor(spot).alias("k")),
-                F.struct(F.lit(1).alias("hi"), F.ceil(spot).alias("k")),
-            )
-        ).alias("_a"),
-    ).select("_pos", "_a.hi", F.col("_a.k").alias("_k"), F.lit(0).cast("long").alias("_node"))
-    for level in range(levels):
-        width = fan ** (levels - 1 - level)
-        members = ranked.select(
-            F.floor(F.col("_rank") / (width * fan)).cast("long").alias("_node"),
-            F.struct(F.col("_pos").alias("p"), F.lit(1).alias("s"), F.lit(0).alias("h")).alias("_at"),
-            (F.floor(F.col("_rank") / width) % fan).cast("int").alias("_digit"),
-            F.lit(None).cast("long").alias("_k"),
-        )
-        askers = asks.select(
-            "_node",
-            F.struct(F.col("_pos").alias("p"), F.lit(0).alias("s"), F.col("hi").alias("h")).alias("_at"),
-            F.lit(None).cast("int").alias("_digit"),
-            "_k",
-        )
-        both = members.unionByName(askers)
-        counted = running(
-            both,
-            {f"_d{i}": ("sum", F.when(F.col("_digit") == i, 1).otherwise(0)) for i in range(fan)},
-            keys=["_node"],
-            pos="_at",
-            bucket=F.floor(F.col("_at.p") / block),
-        ).where(F.col("_k").isNotNull())
-        counts = F.array(*[F.col(f"_d{i}") for i in range(fan)])
-        walk = F.aggregate(
-            counts,
-            F.struct(F.lit(0).alias("digit"), F.col("_k").alias("left"), F.lit(False).alias("done")),
-            lambda a, n: F.when(a["done"], a)
-            .when(a["left"] < n, F.struct(a["digit"].alias("digit"), a["left"].alias("left"), F.lit(True).alias("done")))
-            .otherwise(
-                F.struct((a["digit"] + 1).alias("digit"), (a["left"] - n).alias("left"), F.lit(False).alias("done"))
-            ),
-        )
-        asks = (
-            counted.select(F.col("_at.p").alias("_pos"), F.col("_at.h").alias("hi"), "_node", walk.alias("_w"))
-            .select(
-                "_pos",
-                "hi",
-                F.col("_w.left").alias("_k"),
-                (F.col("_node") * fan + F.col("_w.digit")).alias("_node"),
-            )
-            .checkpoint()
-        )
-    values = ranked.groupBy("_rank").agg(F.first("_x").alias("_v"))
-    found = (
-        asks.join(values, asks["_node"] == values["_rank"])
-        .groupBy("_pos")
-        .agg(
-            F.max(F.when(F.col("hi") == 0, F.col("_v"))).alias("_lo"),
-            F.max(F.when(F.col("hi") == 1, F.col("_v"))).alias("_hi"),
-        )
-    )
+    ranked = written(df.join(value_positions(df, [], x).select(x, F.col("below").alias("_rank")), x).select(
+        F.col(pos).alias("_pos"), F.col(x).cast("double").alias("_x"),
+        F.floor(F.col(pos) / F.lit(block)).alias("_b"), F.floor(F.col("_rank") / F.lit(max(1, block // fan))).alias("_u"),
+    ), "ranked")
+    blocks, buckets = (m or 0 for m in ranked.agg(F.max("_b") + 1, F.max("_u") + 1).first())
+    cells = df.sparkSession.range(blocks * buckets).select(F.floor(F.col("id") / max(1, buckets)).alias("_b"), (F.col("id") % max(1, buckets)).alias("_u"))
+    held = cells.join(ranked.groupBy("_b", "_u").agg(F.count("*").alias("_n")), ["_b", "_u"], "left")
+    past = held.withColumn("_n", F.coalesce(F.sum("_n").over(Window.partitionBy("_u").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    upto = past.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_b").orderBy("_u")))
+    start = F.col("_b") * block
+    near = (F.col("_n") > 0) & (F.col("_upto") > q * start - block - 3) & (F.col("_upto") - F.col("_n") <= q * (start + block) + 3)
+    needed = upto.where(near).select("_u", F.col("_b").alias("_for"), (F.col("_upto") - F.col("_n")).alias("_lower"))
+    skipped = needed.groupBy("_for").agg(F.min("_lower").alias("_lower"))
+    earlier = needed.drop("_lower").join(ranked.groupBy("_u", "_b", "_x").agg(F.count("*").alias("_n")), "_u").where(F.col("_b") < F.col("_for"))
+    around = earlier.groupBy("_for", "_x").agg(F.sum("_n").alias("_n")).join(skipped, "_for")
+    sent = around.select(F.col("_for").alias("_b"), F.lit(None).cast("long").alias("_pos"), "_x", "_n", "_lower").unionByName(
+        ranked.select("_b", F.col("_pos").cast("long").alias("_pos"), "_x", F.lit(1).cast("long").alias("_n"), F.lit(0).cast("long").alias("_lower")))
+    walk = lambda table: _past_statistics(table, q, min_n)
+    found = sent.groupBy("_b").applyInArrow(walk, "_pos long, _lo double, _hi double")
     share = F.lit(q) * (F.col(pos) - 1) - F.floor(F.lit(q) * (F.col(pos) - 1))
     return df.join(found.withColumnRenamed("_pos", pos), pos, "left").select(
         *df.columns, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share).alias(name)
