@@ -1,45 +1,49 @@
-"""Ready factor shapes. Each takes the ordered block window and returns the value that is then ranked per time."""
+"""Ready factor shapes. Each takes the series of a block as arrays and returns the value that is then ranked per time."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
 
-from barline.functions import ts
-from barline.functions.scalar import safe_div
+from pyspark.sql import DataFrame
 
-C = F.col
-REACH = 64  # the widest shape looks 61 rows back
-
-
-def _volume_ratio(w) -> Column:
-    return safe_div(C("volume"), ts.ts_mean("volume", 20, w))
+from barline.plans.arrays import Series, in_arrays
 
+REACH = 64  # the widest shape looks 61 rows back
+INPUTS = ("open", "high", "low", "close", "volume")
 
 LIBRARY = {
-    "reversal_5": lambda w: -ts.delta("close", 5, w),
-    "reversal_1": lambda w: -C("ret"),
-    "reversal_sum_5": lambda w: -ts.ts_sum("ret", 5, w),
-    "momentum_20": lambda w: ts.delta("close", 20, w),
-    "momentum_60": lambda w: safe_div(C("close"), ts.delay("close", 60, w)),
-    "mean_return_20": lambda w: ts.ts_mean("ret", 20, w),
-    "volume_ratio_20": _volume_ratio,
-    "price_volume_corr_10": lambda w: -ts.ts_corr("close", "volume", 10, w),
-    "volume_price_move_5": lambda w: ts.delta("volume", 5, w) * ts.delta("close", 5, w),
-    "close_in_range": lambda w: safe_div(C("close") - C("low"), C("high") - C("low")),
-    "low_volatility_20": lambda w: -ts.ts_std("ret", 20, w),
-    "volatility_ratio": lambda w: safe_div(ts.ts_std("ret", 5, w), ts.ts_std("ret", 60, w)),
-    "range_position_20": lambda w: safe_div(
-        C("close") - ts.ts_min("low", 20, w), ts.ts_max("high", 20, w) - ts.ts_min("low", 20, w)
-    ),
-    "vwap_gap": lambda w: C("vwap") - C("close"),
-    "reversal_rank_20": lambda w: -ts.ts_rank("close", 20, w),
-    "decayed_return_10": lambda w: ts.decay_linear("ret", 10, w),
-    "return_volume_cov_10": lambda w: -ts.ts_cov("ret", "_vr", 10, w),
+    "reversal_5": lambda s: s["close"].lag(5) - s["close"],
+    "reversal_1": lambda s: -s["ret"],
+    "reversal_sum_5": lambda s: -s["ret"].sum(5),
+    "momentum_20": lambda s: s["close"] - s["close"].lag(20),
+    "momentum_60": lambda s: s["close"].safe_div(s["close"].lag(60)),
+    "mean_return_20": lambda s: s["ret"].mean(20),
+    "volume_ratio_20": lambda s: s["vr"],
+    "price_volume_corr_10": lambda s: -s["close"].corr(s["volume"], 10),
+    "volume_price_move_5": lambda s: (s["volume"] - s["volume"].lag(5)) * (s["close"] - s["close"].lag(5)),
+    "close_in_range": lambda s: (s["close"] - s["low"]).safe_div(s["high"] - s["low"]),
+    "low_volatility_20": lambda s: -s["ret"].std(20),
+    "volatility_ratio": lambda s: s["ret"].std(5).safe_div(s["ret"].std(60)),
+    "range_position_20": lambda s: (s["close"] - s["low"].min(20)).safe_div(s["high"].max(20) - s["low"].min(20)),
+    "vwap_gap": lambda s: s["vwap"] - s["close"],
+    "reversal_rank_20": lambda s: -s["close"].percentile(20, 20),
+    "decayed_return_10": lambda s: s["ret"].decay(10),
+    "return_volume_cov_10": lambda s: -s["ret"].cov(s["vr"], 10),
 }
 
 
-def with_factors(rows: DataFrame, w, names=None) -> DataFrame:
-    """Add factor columns; ``rows`` needs ret and vwap. The volume ratio is a column so that a window can use it."""
+def with_factors(bars: DataFrame, names: Sequence[str] | None = None, horizon: int = 5, digits: int | None = None) -> DataFrame:
+    """The bars with ret, vwap, fwd{horizon} and factor columns, the factors rounded to ``digits`` so that ties are the same everywhere."""
     names = list(names or LIBRARY)
-    rows = rows.withColumn("_vr", _volume_ratio(w))
-    return rows.withColumns({n: LIBRARY[n](w) for n in names}).drop("_vr")
+
+    def made(s: dict[str, Series]) -> dict[str, Series]:
+        close = s["close"]
+        s = s | {"ret": close.ratio(close.lag()) - 1, "vr": s["volume"].safe_div(s["volume"].mean(20))}
+        total = s["high"] + s["low"] + close
+        s["vwap"] = total.like(total.v / 3)
+        values = {n: LIBRARY[n](s) for n in names}
+        if digits is not None:
+            values = {n: x.round(digits) for n, x in values.items()}
+        return values | {"ret": s["ret"], "vwap": s["vwap"], f"fwd{horizon}": close.lead(horizon).ratio(close) - 1}
+
+    return in_arrays(bars, made, INPUTS, ["ret", "vwap", f"fwd{horizon}", *names], back=REACH, fwd=horizon)

@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barline.functions.scalar import clip, corr_of
-from barline.plans.blocks import in_blocks, number_rows
-from barline.plans.ranks import average_rank, average_ranks, quantiles
+from barline.plans.arrays import Series, in_arrays
+from barline.plans.blocks import number_rows
+from barline.plans.ranks import KEY_ROWS, average_rank, average_ranks, groups, quantiles, whole_groups
 from barline.session import written
 
 PERIODS = 252.0
@@ -51,13 +52,12 @@ def rank_ensemble(df: DataFrame, signs: dict[str, float], name: str = "ensemble"
 def ranked_with(df: DataFrame, factors: Sequence[str], fwd: str, keys: Sequence[str] = ("ts",)) -> DataFrame:
     """symbol, keys and for factor i: _x{i}, _y{i}, the ranks of the factor and of ``fwd`` over the rows that have both, and _n{i}, their number.
 
-    All factors are ranked wide: one shuffle of the rows on the keys serves them all.
+    All factors are ranked wide: one shuffle of the rows on the keys serves them all. ``df`` is a table already written.
     """
-    both = [F.col(f).isNotNull() & F.col(fwd).isNotNull() for f in factors]
-    pairs = [c for i, (f, ok) in enumerate(zip(factors, both)) for c in (F.when(ok, F.col(f)).alias(f"_f{i}"), F.when(ok, F.col(fwd)).alias(f"_g{i}"))]
-    names = {f"_{r}{i}": f"_{v}{i}" for i in range(len(factors)) for r, v in (("x", "f"), ("y", "g"))}
-    ranked = average_ranks(df.select("symbol", *keys, *pairs), list(keys), names, pct=False, sizes={f"_n{i}": f"_f{i}" for i in range(len(factors))})
-    return ranked.drop(*names.values())
+    values = df.select("symbol", *keys, F.col(fwd).alias("_fwd"), *[F.when(F.col(fwd).isNotNull(), F.col(f)).alias(f"_f{i}") for i, f in enumerate(factors)])
+    names = {f"_{r}{i}": f"_f{i}" if r == "x" else ("_fwd", f"_f{i}") for i in range(len(factors)) for r in "xy"}
+    ranked = average_ranks(values, list(keys), names, pct=False, cheap=True, sizes={f"_n{i}": f"_f{i}" for i in range(len(factors))})
+    return ranked.drop("_fwd", *[f"_f{i}" for i in range(len(factors))])
 
 
 def _by_factor(wide: DataFrame, keys: Sequence[str], factors: Sequence[str], columns: dict[str, str]) -> DataFrame:
@@ -67,21 +67,51 @@ def _by_factor(wide: DataFrame, keys: Sequence[str], factors: Sequence[str], col
 
 
 def ic_series(ranked: DataFrame, factors: Sequence[str], min_symbols: int, keys: Sequence[str] = ("ts",)) -> DataFrame:
-    """factor, keys, ic, n: rank correlation with the forward return at each time with enough symbols; from :func:`ranked_with`."""
-    long = _by_factor(ranked, keys, factors, {"x": "_x", "y": "_y"}).where("x IS NOT NULL")
-    return long.groupBy("factor", *keys).agg(corr_of(F.col("x"), F.col("y")).alias("ic"), F.count("*").alias("n")).where(F.col("n") >= min_symbols)
+    """factor, keys, ic, n: rank correlation with the forward return at each time with enough symbols; from :func:`ranked_with`.
+
+    Ranks are taken from their mean, (n + 1) / 2, so that a column of ties adds exactly nothing. Each batch of rows is reduced to four sums per time and factor.
+    """
+    columns = [f"_{c}{i}" for c in "xyn" for i in range(len(factors))]
+    wide = ranked.select(*keys, F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
+    schema = wide.select(*keys, F.lit(0).alias("i"), *[F.lit(None).cast("double").alias(c) for c in ("n", "xx", "yy", "xy")]).schema
+    sums = wide.mapInArrow(lambda batches: _ic_sums(batches, len(keys), len(factors)), schema)
+    total = sums.groupBy("i", *keys).agg(*[F.sum(c).alias(c) for c in ("n", "xx", "yy", "xy")])
+    ic = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
+    name = F.element_at(F.array(*map(F.lit, factors)), F.col("i") + 1)
+    return total.select(name.alias("factor"), *keys, ic.alias("ic"), F.col("n").cast("long").alias("n")).where(F.col("n") >= min_symbols)
+
+
+def _ic_sums(batches: Iterator[pa.RecordBatch], n_keys: int, size: int) -> Iterator[pa.RecordBatch]:
+    """For each time and factor of a batch: its rows with both ranks, and the sums of squares and products of the centred ranks."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = pa.Table.from_arrays([*batch.columns[:n_keys], pa.array(np.arange(batch.num_rows))], [*batch.schema.names[:n_keys], "_row"])
+        first = keys.group_by(keys.column_names[:-1]).aggregate([("_row", "list")])
+        rows = first.column("_row_list").combine_chunks()
+        code = np.empty(batch.num_rows, np.int64)
+        code[rows.flatten().to_numpy()] = np.repeat(np.arange(len(rows)), np.diff(rows.offsets.to_numpy()))
+        x, y, n = batch.column(n_keys).flatten().to_numpy(zero_copy_only=False).reshape(-1, 3, size).transpose(1, 2, 0)
+        for i in range(size):
+            ok = ~np.isnan(x[i])
+            p, q = x[i][ok] - (n[i][ok] + 1) / 2, y[i][ok] - (n[i][ok] + 1) / 2
+            made = [np.bincount(code[ok], w, len(rows)) for w in (np.ones(len(p)), p * p, q * q, p * q)]
+            own = np.flatnonzero(made[0])
+            if len(own):
+                held = [first.column(c).combine_chunks().take(pa.array(own)) for c in keys.column_names[:-1]]
+                yield pa.RecordBatch.from_arrays([*held, pa.array(np.full(len(own), i, np.int32)), *(pa.array(m[own]) for m in made)], [*keys.column_names[:-1], "i", "n", "xx", "yy", "xy"])
 
 
 def rank_turnover(ranked: DataFrame, cal: DataFrame, factors: Sequence[str]) -> DataFrame:
     """factor, turnover: mean absolute change of the percentile rank between consecutive times, averaged per time first."""
-    shares = [(F.col(f"_x{i}") / F.col(f"_n{i}")).alias(f"_p{i}") for i in range(len(factors))]
-    placed = ranked.select("symbol", "ts", *shares).join(cal, "ts")
+    shares = {f"_m{i}": f"_p{i}" for i in range(len(factors))}
+    placed = ranked.select("symbol", "ts", *[(F.col(f"_x{i}") / F.col(f"_n{i}")).alias(f"_p{i}") for i in range(len(factors))]).join(cal, "ts")
 
-    def change(rows: DataFrame, w) -> DataFrame:
-        follows = F.lag("ci").over(w) == F.col("ci") - 1
-        return rows.select("ci", "_blk", *[F.when(follows, F.abs(F.col(f"_p{i}") - F.lag(f"_p{i}").over(w))).alias(f"_m{i}") for i in range(len(factors))])
+    def change(s: dict[str, Series]) -> dict[str, Series]:
+        follows = s["ci"].lag().v == s["ci"].v - 1
+        return {m: (s[p] - s[p].lag()).abs().where(follows) for m, p in shares.items()}
 
-    moved = in_blocks(placed, change, back=1, pos="ci")
+    moved = in_arrays(placed.drop("ts"), change, ["ci", *shares.values()], list(shares), back=1, pos="ci")
     daily = moved.groupBy("ci").agg(*[F.avg(f"_m{i}").alias(f"_t{i}") for i in range(len(factors))])
     return _by_factor(daily.agg(*[F.avg(f"_t{i}").alias(f"_t{i}") for i in range(len(factors))]), [], factors, {"turnover": "_t"})
 
@@ -95,14 +125,15 @@ def factor_ic(
     min_coverage: float = 0.5,
     periods: float = PERIODS,
     direction: float = 1.0,
+    cheap: bool = False,
 ) -> DataFrame:
     """Score factors by their daily rank correlation with the forward return.
 
     ``df`` has symbol, ts, ``fwd`` and a column for each factor. Returns factor, rank_ic, icir (annualised, population std), ic_positive, turnover,
     coverage and days; factors with too few days or too little coverage are dropped. The rows stay wide: they are shuffled once for all ranks and
-    once for all turnovers.
+    once for all turnovers. ``cheap`` says that ``df`` is a table already written.
     """
-    df = written(df.select("symbol", "ts", fwd, *factors), "factors")
+    df = df if cheap else written(df.select("symbol", "ts", fwd, *factors), "factors")
     ranked = written(ranked_with(df, factors, fwd), "factor-ranks")
     series = ic_series(ranked, factors, min_symbols)
     cal = number_rows(df.select("ts").distinct(), [], ["ts"], pos="ci")
@@ -125,15 +156,81 @@ def factor_ic(
     )
 
 
-def factor_corr(df: DataFrame, factors: Sequence[str], min_days: int = 30) -> DataFrame:
+def factor_corr(df: DataFrame, factors: Sequence[str], min_days: int = 30, cheap: bool = False, key_rows: int = KEY_ROWS) -> DataFrame:
     """a, b, corr: mean per-time rank correlation of every pair of factors, each pair ranked over the rows that have both.
 
+    A task gets the rows of one time at a time and works out all of its pairs in arrays; times with more rows than ``key_rows`` go by ranges.
+    ``cheap`` says that ``df`` is a table already written.
+    """
+    df = df.select("symbol", "ts", *factors)
+    df = df if cheap else written(df, "factors")
+    counts = df.groupBy("ts").agg(F.count("*").alias("_n"))
+    large = counts.where(F.col("_n") > key_rows).select("ts")  # few: each stands for more than key_rows rows
+    some = not large.isEmpty()
+    small = df.join(large, "ts", "left_anti") if some else df
+    dealt = small.select("ts", *factors).repartition("ts").sortWithinPartitions("ts")
+    every = dealt.mapInArrow(lambda batches: _pairs(batches, list(factors)), "a string, b string, c double")
+    if some:
+        every = every.unionByName(_pairs_by_ranges(df.join(large, "ts", "left_semi"), factors, key_rows))
+    return every.groupBy("a", "b").agg(F.when(F.count("*") < min_days, 0.0).otherwise(F.coalesce(F.avg("c"), F.lit(0.0))).alias("corr"))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], factors: list[str]) -> Iterator[pa.RecordBatch]:
+    """a, b, c: the rank correlation of each pair of factors at each time, null where one side is constant; batches are sorted by time."""
+    schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("c", pa.float64())])
+    for table in whole_groups(batches, ["ts"]):
+        group = groups(table, ["ts"])
+        edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+        for begin, end in zip(edges, edges[1:]):
+            yield pa.RecordBatch.from_pylist(_time_pairs(table.slice(begin, end - begin), factors), schema=schema)
+
+
+def _time_pairs(table: pa.Table, factors: list[str]) -> list[dict]:
+    """Factors with values on the same rows are ranked once and multiplied together; for others each is ranked on the rows common to both."""
+    columns = [table.column(f).combine_chunks() for f in factors]
+    known = [c.is_valid().to_numpy(zero_copy_only=False) for c in columns]
+    alike: dict[bytes, list[int]] = {}
+    for i, ok in enumerate(known):
+        alike.setdefault(np.packbits(ok).tobytes(), []).append(i)
+    sets, ranks = list(alike.values()), {}
+
+    def ranked(own: int, rows: np.ndarray) -> np.ndarray:
+        """Centred ranks over the rows, scaled to length one; NaN where all are equal."""
+        at = (own, np.packbits(rows).tobytes())
+        if at not in ranks:
+            out = []
+            for i in sets[own]:
+                _, code, ties = np.unique(columns[i].to_numpy(zero_copy_only=False)[rows], return_inverse=True, return_counts=True)
+                r = (np.cumsum(ties) - (ties - 1) / 2)[code] - (len(code) + 1) / 2
+                size = r @ r
+                out.append(r / np.sqrt(size) if size > 0 else r * np.nan)
+            ranks[at] = np.array(out)
+        return ranks[at]
+
+    made = []
+    for m in range(len(sets)):
+        for n in range(m, len(sets)):
+            rows = known[sets[m][0]] & known[sets[n][0]]
+            if not rows.any():
+                continue
+            c = ranked(m, rows) @ ranked(n, rows).T
+            for p, i in enumerate(sets[m]):
+                for q, j in enumerate(sets[n]):
+                    if m != n or i < j:
+                        a, b = sorted((i, j))
+                        made.append({"a": factors[a], "b": factors[b], "c": None if np.isnan(c[p, q]) else float(c[p, q])})
+    return made
+
+
+def _pairs_by_ranges(df: DataFrame, factors: Sequence[str], key_rows: int) -> DataFrame:
+    """Like :func:`_pairs` for times with more rows than a task holds.
+
     One pass ranks every factor over its own rows and adds up, for each time, the products of all ranks (a Gram matrix). Where both factors of a
     pair have values on the same rows, its correlation follows from these sums; the other (time, pair)s are ranked again on their common rows.
     """
-    df = written(df.select("symbol", "ts", *factors), "factors")
+    df = written(df, "factors")
     size = len(factors)
-    ranked = average_ranks(df, ["ts"], {f"_x{i}": f for i, f in enumerate(factors)}, pct=False, cheap=True)
+    ranked = average_ranks(df, ["ts"], {f"_x{i}": f for i, f in enumerate(factors)}, pct=False, cheap=True, key_rows=key_rows)
     sums = ranked.select("ts", F.array(*[F.col(f"_x{i}") for i in range(size)]).alias("x")).mapInArrow(lambda batches: _gram(batches, size), "ts timestamp, s array<double>")
     # Partial sums of a time: one row for each batch that holds some of its rows.
     total = sums.select("ts", F.posexplode("s").alias("i", "v")).groupBy("ts", "i").agg(F.sum("v").alias("v"))
@@ -154,10 +251,9 @@ def factor_corr(df: DataFrame, factors: Sequence[str], min_days: int = 30) -> Da
     value = lambda name: F.coalesce(*[F.when(F.col(name) == f, F.col(f)) for f in factors])
     rows = df.join(again, "ts").select("symbol", "ts", F.explode("p").alias("p"), *factors).withColumns({"a": F.col("p.a"), "b": F.col("p.b")})
     rows = rows.select("symbol", "ts", "a", "b", value("a").alias("x"), value("b").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    rows = average_ranks(rows, ["a", "b", "ts"], {"_rx": "x", "_ry": "y"}, pct=False)
+    rows = average_ranks(rows, ["a", "b", "ts"], {"_rx": "x", "_ry": "y"}, pct=False, key_rows=key_rows)
     rows = rows.groupBy("a", "b", "ts").agg(corr_of(F.col("_rx"), F.col("_ry")).alias("c"))
-    every = found.where("same").select("a", "b", "c").unionByName(rows.select("a", "b", "c"))
-    return every.groupBy("a", "b").agg(F.when(F.count("*") < min_days, 0.0).otherwise(F.coalesce(F.avg("c"), F.lit(0.0))).alias("corr"))
+    return found.where("same").select("a", "b", "c").unionByName(rows.select("a", "b", "c"))
 
 
 def _gram(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:

@@ -42,9 +42,10 @@ def average_rank(df: DataFrame, keys: Sequence[str], x: str, name: str, pct: boo
 
 
 def average_ranks(
-    df: DataFrame, keys: Sequence[str], names: dict[str, str], pct: bool = True, rows: int = RANGE_ROWS, key_rows: int = KEY_ROWS, cheap: bool = False, sizes: dict[str, str] | None = None
+    df: DataFrame, keys: Sequence[str], names: dict[str, str | tuple[str, str]], pct: bool = True, rows: int = RANGE_ROWS, key_rows: int = KEY_ROWS, cheap: bool = False, sizes: dict[str, str] | None = None
 ) -> DataFrame:
-    """Like :func:`average_rank` for several columns of one table: ``names`` maps result column to input column.
+    """Like :func:`average_rank` for several columns of one table: ``names`` maps result column to input column, or to a pair
+    of columns: the first is then ranked over the rows on which the second is not null either.
 
     The table is read more than once, so it is written out first unless the caller knows that it is ``cheap`` to read again (a filter or projection
     of a table already written). ``sizes`` maps further result columns to input columns whose non-null values in the group are counted.
@@ -59,6 +60,10 @@ def average_ranks(
     split = df.join(large, keys, "left_semi") if keys else df
     out, counted = split, {}
     for name, x in names.items():
+        if isinstance(x, tuple):
+            own, (x, other) = f"_own_{name}", x
+            split, out = (t.withColumn(own, F.when(F.col(other).isNotNull(), F.col(x))) for t in (split, out))
+            x = own
         rank = F.col("below") + (F.col("cnt") + 1) / 2
         positions = value_positions(split, keys, x, rows)
         out = out.join(positions.select(*keys, x, (rank / F.col("total") if pct else rank).alias(name)), [*keys, x], "left")
@@ -69,31 +74,42 @@ def average_ranks(
     return out.unionByName(_wide_ranks(df.join(large, keys, "left_anti"), keys, names, pct, sizes)) if keys else out
 
 
-def _wide_ranks(df: DataFrame, keys: list[str], names: dict[str, str], pct: bool, sizes: dict[str, str]) -> DataFrame:
+def _wide_ranks(df: DataFrame, keys: list[str], names: dict[str, str | tuple[str, str]], pct: bool, sizes: dict[str, str]) -> DataFrame:
     """All columns in one shuffle on the keys. A task holds the rows of one key at a time, and all of its columns are ranked in arrays."""
     dealt = df.repartition(*keys).sortWithinPartitions(*keys) if keys else df.repartition(1)
     columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            waiting.append(batch)
-            group = _groups(pa.Table.from_batches([batch]), keys)
-            if group[0] != group[-1]:  # every key but the last one is complete
-                table = pa.Table.from_batches(waiting)
-                edge = table.num_rows - int((group == group[-1]).sum())
-                yield from _ranked(table.slice(0, edge), keys, names, pct, sizes)
-                waiting = table.slice(edge).to_batches()
-        if waiting:
-            yield from _ranked(pa.Table.from_batches(waiting), keys, names, pct, sizes)
+        for table in whole_groups(batches, keys):
+            yield from _ranked(table, keys, names, pct, sizes)
 
     schema = df.select(*columns, *[F.lit(None).cast("double").alias(n) for n in names], *[F.lit(None).cast("long").alias(n) for n in sizes]).schema
     return dealt.mapInArrow(run, schema)
 
 
-def _groups(table: pa.Table, keys: list[str]) -> np.ndarray:
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Batches of rows sorted by ``keys`` as tables that hold all rows of their keys."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        waiting.append(batch)
+        edge = 0
+        group = groups(pa.Table.from_batches([batch]), keys)
+        if group[0] != group[-1]:  # every key but the last one is complete
+            table = pa.Table.from_batches(waiting)
+            edge = table.num_rows - int((group == group[-1]).sum())
+        elif len(waiting) > 1 and groups(pa.Table.from_batches([waiting[-2].slice(waiting[-2].num_rows - 1), batch.slice(0, 1)]), keys)[-1]:
+            table = pa.Table.from_batches(waiting)  # a batch of one key begins a new one
+            edge = table.num_rows - batch.num_rows
+        if edge:
+            yield table.slice(0, edge)
+            waiting = table.slice(edge).to_batches()
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def groups(table: pa.Table, keys: list[str]) -> np.ndarray:
     """A number for each row that rises where a key begins; rows of one key lie together."""
     changed = np.zeros(table.num_rows, bool)
     for key in keys:
@@ -102,16 +118,16 @@ def _groups(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.cumsum(changed)
 
 
-def _ranked(table: pa.Table, keys: list[str], names: dict[str, str], pct: bool, sizes: dict[str, str]) -> Iterator[pa.RecordBatch]:
+def _ranked(table: pa.Table, keys: list[str], names: dict[str, str | tuple[str, str]], pct: bool, sizes: dict[str, str]) -> Iterator[pa.RecordBatch]:
     """The rows with tie-averaged ranks within their keys; all rows of a key are there."""
-    group = _groups(table, keys)
-    known, out = {}, list(table.columns)
-    for x in {*names.values(), *sizes.values()}:
-        known[x] = table.column(x).is_valid().combine_chunks().to_numpy(zero_copy_only=False)
+    group = groups(table, keys)
+    out = list(table.columns)
+    valid = lambda x: table.column(x).is_valid().combine_chunks().to_numpy(zero_copy_only=False)
+    known = {x: valid(x[0]) & valid(x[1]) if isinstance(x, tuple) else valid(x) for x in {*names.values(), *sizes.values()}}
     count = {x: np.bincount(group, weights=ok, minlength=group[-1] + 1 if len(group) else 0) for x, ok in known.items()}
     for x in names.values():
         rows = np.flatnonzero(known[x])
-        value = table.column(x).combine_chunks().to_numpy(zero_copy_only=False)[rows]
+        value = table.column(x[0] if isinstance(x, tuple) else x).combine_chunks().to_numpy(zero_copy_only=False)[rows]
         order = np.lexsort((value, group[rows]))
         own, value = group[rows][order], value[order]
         same = (value[1:] == value[:-1]) | ((value[1:] != value[1:]) & (value[:-1] != value[:-1]))  # a NaN ties with a NaN

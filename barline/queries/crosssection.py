@@ -95,15 +95,9 @@ SELECT symbol, ts, round(avg(CASE f WHEN 'momentum_20' THEN r ELSE -r END), 9) A
 SIGNS = {"momentum_20": 1.0, "reversal_5": -1.0, "vwap_gap": -1.0}
 
 
-def factor_values(spark, d, names=None):
+def factor_values(spark, d, names=None, digits=None):
     """Bars with factor columns and the forward return over five bars."""
-
-    def add(rows, w):
-        rows = with_returns(rows, w).withColumn("fwd5", ts.forward_return("close", 5, w))
-        return factors.with_factors(rows, w, names)
-
-    # The bars are written once: the many windows then start from a short plan.
-    return in_blocks(cut(fx.bars(spark, d)), add, back=factors.REACH, fwd=5)
+    return factors.with_factors(fx.bars(spark, d), names, 5, digits)
 
 
 @query("rank_ensemble", "ens", "SELECT symbol, ts, round(x, 6) AS ensemble FROM ens")
@@ -205,7 +199,7 @@ def factor_library(spark, d):
 
 def rounded_values(spark, d, names):
     """Factor columns, rounded so that ties are the same everywhere."""
-    return factor_values(spark, d, names).select("symbol", "ts", "fwd5", *[F.round(n, 9).alias(n) for n in names])
+    return factor_values(spark, d, names, 9).select("symbol", "ts", "fwd5", *names)
 
 
 def _ic_sql(source: str, keys: str, min_symbols: int, min_days: int, coverage: float) -> str:
@@ -283,8 +277,9 @@ SELECT factor, place::INTEGER AS place, strong, list_contains((SELECT kept FROM
 def accepted_factors(spark, d):
     """Greedy choice of strong factors that are not correlated with a stronger one."""
     names = list(factors.LIBRARY)
-    corr = xs.factor_corr(rounded_values(spark, d, names), names).withColumn("corr", F.round("corr", 6))
-    return xs.accepted_factors(library_scores(spark, d), corr, **ACCEPT)
+    values = written(rounded_values(spark, d, names), "factors")
+    corr = xs.factor_corr(values, names, cheap=True).withColumn("corr", F.round("corr", 6))
+    return xs.accepted_factors(xs.factor_ic(values, names, "fwd5", min_symbols=5, min_coverage=0.3, cheap=True), corr, **ACCEPT)
 
 
 view("period_long", "all_long wcal", """
