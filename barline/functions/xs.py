@@ -49,14 +49,14 @@ def rank_ensemble(df: DataFrame, signs: dict[str, float], name: str = "ensemble"
     return ranked.select("symbol", "ts", (total / len(signs)).alias(name))
 
 
-def ranked_with(df: DataFrame, factors: Sequence[str], fwd: str, keys: Sequence[str] = ("ts",)) -> DataFrame:
+def ranked_with(df: DataFrame, factors: Sequence[str], fwd: str, keys: Sequence[str] = ("ts",), key_rows: int = KEY_ROWS) -> DataFrame:
     """symbol, keys and for factor i: _x{i}, _y{i}, the ranks of the factor and of ``fwd`` over the rows that have both, and _n{i}, their number.
 
     All factors are ranked wide: one shuffle of the rows on the keys serves them all. ``df`` is a table already written.
     """
     values = df.select("symbol", *keys, F.col(fwd).alias("_fwd"), *[F.when(F.col(fwd).isNotNull(), F.col(f)).alias(f"_f{i}") for i, f in enumerate(factors)])
     names = {f"_{r}{i}": f"_f{i}" if r == "x" else ("_fwd", f"_f{i}") for i in range(len(factors)) for r in "xy"}
-    ranked = average_ranks(values, list(keys), names, pct=False, cheap=True, sizes={f"_n{i}": f"_f{i}" for i in range(len(factors))})
+    ranked = average_ranks(values, list(keys), names, pct=False, key_rows=key_rows, cheap=True, sizes={f"_n{i}": f"_f{i}" for i in range(len(factors))})
     return ranked.drop("_fwd", *[f"_f{i}" for i in range(len(factors))])
 
 
@@ -69,16 +69,25 @@ def _by_factor(wide: DataFrame, keys: Sequence[str], factors: Sequence[str], col
 def ic_series(ranked: DataFrame, factors: Sequence[str], min_symbols: int, keys: Sequence[str] = ("ts",)) -> DataFrame:
     """factor, keys, ic, n: rank correlation with the forward return at each time with enough symbols; from :func:`ranked_with`.
 
-    Ranks are taken from their mean, (n + 1) / 2, so that a column of ties adds exactly nothing. Each batch of rows is reduced to four sums per time and factor.
+    Ranks are taken from their mean, (n + 1) / 2, so that a column of ties adds exactly nothing. Each batch is reduced to four sums for each time and factor.
     """
     columns = [f"_{c}{i}" for c in "xyn" for i in range(len(factors))]
+    return _ic_of(ic_sums(ranked, factors, keys), keys, factors, min_symbols)
+
+
+def ic_sums(ranked: DataFrame, factors: Sequence[str], keys: Sequence[str] = ("ts",)) -> DataFrame:
+    """keys, i, n, xx, yy, xy: for factor i its rows, and the sums of squares and products of the centred ranks."""
+    columns = [f"_{c}{i}" for c in "xyn" for i in range(len(factors))]
     wide = ranked.select(*keys, F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
     schema = wide.select(*keys, F.lit(0).alias("i"), *[F.lit(None).cast("double").alias(c) for c in ("n", "xx", "yy", "xy")]).schema
     sums = wide.mapInArrow(lambda batches: _ic_sums(batches, len(keys), len(factors)), schema)
-    total = sums.groupBy("i", *keys).agg(*[F.sum(c).alias(c) for c in ("n", "xx", "yy", "xy")])
+    return sums.groupBy("i", *keys).agg(*[F.sum(c).alias(c) for c in ("n", "xx", "yy", "xy")])
+
+
+def _ic_of(sums: DataFrame, keys: Sequence[str], factors: Sequence[str], min_symbols: int) -> DataFrame:
     ic = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
     name = F.element_at(F.array(*map(F.lit, factors)), F.col("i") + 1)
-    return total.select(name.alias("factor"), *keys, ic.alias("ic"), F.col("n").cast("long").alias("n")).where(F.col("n") >= min_symbols)
+    return sums.select(name.alias("factor"), *keys, ic.alias("ic"), F.col("n").cast("long").alias("n")).where(F.col("n") >= min_symbols)
 
 
 def _ic_sums(batches: Iterator[pa.RecordBatch], n_keys: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -102,10 +111,82 @@ def _ic_sums(batches: Iterator[pa.RecordBatch], n_keys: int, size: int) -> Itera
                 yield pa.RecordBatch.from_arrays([*held, pa.array(np.full(len(own), i, np.int32)), *(pa.array(m[own]) for m in made)], [*keys.column_names[:-1], "i", "n", "xx", "yy", "xy"])
 
 
-def rank_turnover(ranked: DataFrame, cal: DataFrame, factors: Sequence[str]) -> DataFrame:
+def scored_times(df: DataFrame, factors: Sequence[str], fwd: str, shares: bool = True, key_rows: int = KEY_ROWS) -> DataFrame:
+    """ts, s and, with ``shares``, symbol and _p{i}: the percentile rank of factor i over the rows that have both it and ``fwd``.
+
+    ``s`` is set on one row of a time and holds what :func:`ic_from` needs. A task gets the rows of one time at a time; times with more rows than
+    ``key_rows`` go by ranges. ``df`` is a table already written.
+    """
+    size = len(factors)
+    counts = df.groupBy("ts").agg(F.count("*").alias("_n"))
+    large = counts.where(F.col("_n") > key_rows).select("ts")  # few: each stands for more than key_rows rows
+    some = not large.isEmpty()
+    small = df.join(large, "ts", "left_anti") if some else df
+    parts = [f"_p{i}" for i in range(size)]
+    dealt = small.select(*(["symbol"] if shares else []), "ts", F.col(fwd).alias("_fwd"), *[F.col(f).alias(p) for f, p in zip(factors, parts)])
+    kind = df.schema["ts"].dataType.simpleString()
+    rows = "".join(f", {p} double" for p in ("symbol string", *parts)).replace("symbol string double", "symbol string") if shares else ""
+    dealt = dealt.repartition("ts").sortWithinPartitions("ts")
+    out = dealt.mapInArrow(lambda batches: _scored(batches, parts, shares), f"ts {kind}, s array<double>{rows}")
+    if some:
+        ranked = written(ranked_with(df.join(large, "ts", "left_semi"), factors, fwd, key_rows=key_rows), "factor-ranks")
+        sums = ic_sums(ranked, factors).groupBy("ts").agg(F.sort_array(F.collect_list(F.struct("i", "n", "xx", "yy", "xy"))).alias("_l"))  # a row for each factor
+        held = F.flatten(F.transform("_l", lambda x: F.array(x["i"].cast("double"), x["n"], x["xx"], x["yy"], x["xy"])))
+        own = [F.lit(None).cast("string").alias("symbol"), *[F.lit(None).cast("double").alias(p) for p in parts]] if shares else []
+        out = out.unionByName(sums.select("ts", held.alias("s"), *own))
+        if shares:
+            placed = [(F.col(f"_x{i}") / F.col(f"_n{i}")).alias(p) for i, p in enumerate(parts)]
+            out = out.unionByName(ranked.select("ts", F.lit(None).cast("array<double>").alias("s"), "symbol", *placed))
+    return out
+
+
+def _scored(batches: Iterator[pa.RecordBatch], parts: list[str], shares: bool) -> Iterator[pa.RecordBatch]:
+    for table in whole_groups(batches, ["ts"]):
+        group = groups(table, ["ts"])
+        edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+        for begin, end in zip(edges, edges[1:]):
+            own = table.slice(begin, end - begin)
+            fwd, sums, out = own.column("_fwd").combine_chunks(), [], []
+            scored, ranks = fwd.is_valid().to_numpy(zero_copy_only=False), {}
+            for i, p in enumerate(parts):
+                x = own.column(p).combine_chunks()
+                both = scored & x.is_valid().to_numpy(zero_copy_only=False)
+                n, at = int(both.sum()), np.packbits(both).tobytes()
+                if at not in ranks:
+                    ranks[at] = _tied_ranks(fwd.to_numpy(zero_copy_only=False)[both])
+                r, middle = _tied_ranks(x.to_numpy(zero_copy_only=False)[both]), (n + 1) / 2
+                a, b = r - middle, ranks[at] - middle
+                if n:
+                    sums += [float(i), float(n), float(a @ a), float(b @ b), float(a @ b)]
+                if shares:
+                    share = np.zeros(len(both))
+                    share[both] = r / max(n, 1)
+                    out.append(pa.array(share, mask=~both))
+            size = own.num_rows if shares else 1
+            held = pa.array([sums] + [None] * (size - 1), pa.list_(pa.float64()))
+            when = own.column("ts").combine_chunks().slice(0, size)
+            columns = [when, held, *([own.column("symbol").combine_chunks(), *out] if shares else [])]
+            made = pa.Table.from_arrays(columns, ["ts", "s", *(["symbol", *parts] if shares else [])])
+            yield from made.to_batches(max_chunksize=10_000)
+
+
+def _tied_ranks(x: np.ndarray) -> np.ndarray:
+    """Tie-averaged ranks from 1; NaN is the largest."""
+    _, code, ties = np.unique(x, return_inverse=True, return_counts=True)
+    return (np.cumsum(ties) - (ties - 1) / 2)[code]
+
+
+def ic_from(scored: DataFrame, factors: Sequence[str], min_symbols: int) -> DataFrame:
+    """factor, ts, ic, n from the sums of :func:`scored_times`."""
+    item = F.transform(F.sequence(F.lit(0).cast("long"), F.floor(F.size("s") / 5) - 1), lambda k: F.struct(*[F.get("s", (k * 5 + j).cast("int")).alias(c) for j, c in enumerate(("i", "n", "xx", "yy", "xy"))]))
+    sums = scored.where(F.size("s") > 0).select("ts", F.explode(item).alias("_i")).select("ts", "_i.*").withColumn("i", F.col("i").cast("int"))
+    return _ic_of(sums, ["ts"], factors, min_symbols)
+
+
+def rank_turnover(scored: DataFrame, cal: DataFrame, factors: Sequence[str]) -> DataFrame:
     """factor, turnover: mean absolute change of the percentile rank between consecutive times, averaged per time first."""
     shares = {f"_m{i}": f"_p{i}" for i in range(len(factors))}
-    placed = ranked.select("symbol", "ts", *[(F.col(f"_x{i}") / F.col(f"_n{i}")).alias(f"_p{i}") for i in range(len(factors))]).join(cal, "ts")
+    placed = scored.where("symbol IS NOT NULL").select("symbol", "ts", *shares.values()).join(cal, "ts")
 
     def change(s: dict[str, Series]) -> dict[str, Series]:
         follows = s["ci"].lag().v == s["ci"].v - 1
@@ -126,6 +207,7 @@ def factor_ic(
     periods: float = PERIODS,
     direction: float = 1.0,
     cheap: bool = False,
+    key_rows: int = KEY_ROWS,
 ) -> DataFrame:
     """Score factors by their daily rank correlation with the forward return.
 
@@ -134,8 +216,8 @@ def factor_ic(
     once for all turnovers. ``cheap`` says that ``df`` is a table already written.
     """
     df = df if cheap else written(df.select("symbol", "ts", fwd, *factors), "factors")
-    ranked = written(ranked_with(df, factors, fwd), "factor-ranks")
-    series = ic_series(ranked, factors, min_symbols)
+    scored = written(scored_times(df, factors, fwd, key_rows=key_rows), "factor-scores")
+    series = ic_from(scored, factors, min_symbols)
     cal = number_rows(df.select("ts").distinct(), [], ["ts"], pos="ci")
     ic = F.col("ic") * direction
     scores = series.groupBy("factor").agg(
@@ -147,7 +229,7 @@ def factor_ic(
         F.avg("n").alias("_n"),
     )
     symbols = df.select("symbol").distinct().agg(F.count("*")).scalar()
-    out = scores.join(rank_turnover(ranked, cal, factors), "factor", "left")
+    out = scores.join(rank_turnover(scored, cal, factors), "factor", "left")
     icir = F.when(F.col("_sd") > 0, F.col("rank_ic") / F.col("_sd") * math.sqrt(periods)).otherwise(0.0)
     return (
         out.withColumn("coverage", F.col("_n") / F.greatest(symbols, F.lit(1)))

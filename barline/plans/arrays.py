@@ -99,6 +99,41 @@ class Series:
         cov = self.cov(other, n, 0)
         return self.like(cov.v / spread, cov.ok & self.moves(n) & other.moves(n) & (spread != 0))
 
+    def _present(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The values n - 1, .., 0 rows back and whether they are in the block and not null."""
+        ok = _behind(self.ok, n - 1, False)
+        return [(v, o & (self.at >= back)) for v, o, back in zip(self._frames(n), ok, range(n - 1, -1, -1))]
+
+    def held(self, n: int) -> np.ndarray:
+        return sum(o.astype(np.int64) for _, o in self._present(n))
+
+    def some_mean(self, n: int) -> "Series":
+        """Mean of the values there are in the frame."""
+        held = self.held(n)
+        return self.like(sum(np.where(o, v, 0.0) for v, o in self._present(n)) / np.maximum(held, 1), held > 0)
+
+    def some_std(self, n: int) -> "Series":
+        """Population standard deviation of the values there are in the frame."""
+        mean = self.some_mean(n)
+        squares = sum(np.where(o, (v - mean.v) ** 2, 0.0) for v, o in self._present(n))
+        return self.like(np.sqrt(squares / np.maximum(self.held(n), 1)), mean.ok)
+
+    def some_max(self, n: int) -> "Series":
+        return self.like(_fold(np.maximum, [np.where(o, v, -np.inf) for v, o in self._present(n)]), self.held(n) > 0)
+
+    def some_min(self, n: int) -> "Series":
+        return self.like(_fold(np.fmin, [np.where(o, v, np.nan) for v, o in self._present(n)]), self.held(n) > 0)
+
+    def above(self, other) -> np.ndarray:
+        """Whether both are there and this one is larger; a NaN is larger than any number."""
+        a, b, ok = (self.v, other.v, self.ok & other.ok) if isinstance(other, Series) else (self.v, other, self.ok)
+        return ok & ((a > b) | (np.isnan(a) & ~np.isnan(b)))
+
+    def gap(self, reference: "Series", both: bool = False) -> "Series":
+        """This over the reference less one; 0 where the reference (or, with ``both``, one of them) is not positive."""
+        there = reference.above(0.0) & (self.above(0.0) if both else True)
+        return self.like(np.where(there, self.v / reference.v - 1, 0.0), self.ok | ~there)
+
     def decay(self, n: int) -> "Series":
         total = n * (n + 1) / 2
         return self.like(sum(v * ((k + 1) / total) for k, v in reversed(list(enumerate(self._frames(n))))), self.full(n))

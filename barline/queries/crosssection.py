@@ -298,7 +298,7 @@ def ic_decay(spark, d):
 
     names = list(factors.LIBRARY)
     values = written(rounded_values(spark, d, names), "factors")
-    series = xs.ic_series(xs.ranked_with(values, names, "fwd5"), names, 5)
+    series = xs.ic_from(xs.scored_times(values, names, "fwd5", shares=False), names, 5)
     series = series.join(period_of(week_calendar(values), "ci").select("ts", "period"), "ts")
     scored = series.groupBy("factor", "period").agg(F.avg("ic").alias("rank_ic"), F.count("ic").alias("days")).where("days >= 20")
     wide = scored.groupBy("factor").agg(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barline.functions import factors, ts, xs
 from barline.functions.scalar import ratio, safe_div
-from barline.operators import bars as ob
+from barline.operators import bars as ob, labels
 from barline.plans.arrays import in_arrays
 from barline.plans.blocks import in_blocks
 
@@ -26,6 +26,11 @@ PAIRS = {
     "pct": (lambda w: ts.rolling_percentile("x", 9, w, 4), lambda s: s["x"].percentile(9, 4)),
     "delta": (lambda w: ts.delta("x", 4, w), lambda s: s["x"] - s["x"].lag(4)),
     "next": (lambda w: ratio(F.lead("x", 2).over(w), F.col("x")) - 1, lambda s: s["x"].lead(2).ratio(s["x"]) - 1),
+    "some_mean": (lambda w: F.avg("x").over(w.rowsBetween(-4, 0)), lambda s: s["x"].some_mean(5)),
+    "some_std": (lambda w: F.stddev_pop("x").over(w.rowsBetween(-4, 0)), lambda s: s["x"].some_std(5)),
+    "some_max": (lambda w: F.max("x").over(w.rowsBetween(-4, 0)), lambda s: s["x"].some_max(5)),
+    "some_min": (lambda w: F.min("x").over(w.rowsBetween(-4, 0)), lambda s: s["x"].some_min(5)),
+    "gap": (lambda w: F.when(F.lag("x").over(w) > 0, F.col("x") / F.lag("x").over(w) - 1).otherwise(0.0), lambda s: s["x"].gap(s["x"].lag())),
     "share": (lambda w: safe_div(F.col("y"), F.col("x")), lambda s: s["y"].safe_div(s["x"])),
 }
 
@@ -89,3 +94,34 @@ def test_pairs_of_factors_on_different_rows(spark):
         got = {(r["a"], r["b"]): r["corr"] for r in xs.factor_corr(df, names, key_rows=key_rows).collect()}
         assert got.keys() == want.keys()
         np.testing.assert_allclose([got[p] for p in want], list(want.values()))
+
+
+def test_scores_of_factors_by_ranges(spark):
+    """Times worked out in a task and times that go by ranges give the same scores; one factor is constant, one has gaps."""
+    rng = np.random.default_rng(12)
+    x = pd.DataFrame({"symbol": [f"s{i % 30}" for i in range(3000)], "ts": np.repeat(pd.date_range("2024-01-01", periods=100), 30), "f": rng.integers(0, 9, 3000) * 1.0, "g": rng.normal(size=3000), "k": 1.0, "fwd": rng.normal(size=3000)})
+    df = spark.createDataFrame(x).withColumns({"g": F.when(F.hash("symbol", "ts") % 5 != 0, F.col("g")), "fwd": F.when(F.hash("ts", "symbol") % 9 != 0, F.col("fwd"))}).cache()
+    scores = [xs.factor_ic(df, ["f", "g", "k"], "fwd", min_days=0, min_coverage=0.0, key_rows=n).toPandas().sort_values("factor").reset_index(drop=True) for n in (1 << 20, 20)]
+    pd.testing.assert_frame_equal(*scores)
+    data = df.toPandas()
+    both = data[data["g"].notna() & data["fwd"].notna()]
+    ics = [d["g"].rank().corr(d["fwd"].rank()) for _, d in both.groupby("ts") if len(d) >= 20]
+    got = scores[0].set_index("factor").loc["g"]
+    np.testing.assert_allclose(got["rank_ic"], np.mean(ics))
+    share = both.assign(p=both.groupby("ts")["g"].rank(pct=True)).pivot(index="ts", columns="symbol", values="p")
+    np.testing.assert_allclose(got["turnover"], share.diff().abs().mean(axis=1).mean())
+
+
+def test_features_need_no_window_frames(spark):
+    rows = [("a", i, datetime.datetime(2024, 1, 1) + datetime.timedelta(days=i), 11.0, 9.0, 10.0 + i % 3, 5.0) for i in range(40)]
+    bars = spark.createDataFrame(rows, "symbol string, pos long, ts timestamp, high double, low double, close double, volume double")
+    out = labels.technical_features(bars)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 19
+
+
+def test_features_after_a_close_of_zero(spark):
+    """A return on a zero close is infinite; it used to fail the query."""
+    rows = [("a", i, datetime.datetime(2024, 1, 1) + datetime.timedelta(days=i), 11.0, 9.0, 0.0 if i == 25 else 10.0, 5.0) for i in range(40)]
+    bars = spark.createDataFrame(rows, "symbol string, pos long, ts timestamp, high double, low double, close double, volume double")
+    got = {r["pos"]: r for r in labels.technical_features(bars).collect()}
+    assert got[26]["ret_1"] == 0.0 and np.isnan(got[26]["vol_5"]) and got[35]["vol_5"] == 0.0 and len(got) == 19
