@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barline.functions import ts
 from barline.functions.scalar import choose
+from barline.plans.arrays import Series, in_arrays
 from barline.plans.blocks import in_blocks
 from barline.plans.ranks import quantiles
 
@@ -114,41 +116,42 @@ TECHNICAL = [
 ]
 
 
-def add_technical(rows: DataFrame, w) -> DataFrame:
+def _technical(s: dict[str, Series]) -> dict[str, Series]:
     """The 16 technical features and the next-bar-up label; looks 21 rows back and one ahead."""
-    c, v = F.col("close"), F.col("volume")
-    last = lambda n: w.rowsBetween(-(n - 1), 0)
-    rows = rows.withColumns({"_r1": c / F.lag(c).over(w) - 1, "_rg": _gap(F.col("high"), F.col("low"))})
-    made = {f"ret_{n}": _gap(c, F.lag(c, n).over(w)) for n in (1, 3, 5, 10, 20)}
-    made |= {f"sma_gap_{n}": _gap(c, F.avg(c).over(last(n))) for n in (5, 10, 20)}
-    made |= {f"vol_{n}": F.stddev_pop("_r1").over(last(n)) for n in (5, 10)}
-    made |= {
-        "range_1": F.col("_rg"),
-        "range_5_avg": F.avg("_rg").over(last(5)),
-        "close_vs_high_20": _gap(c, F.max("high").over(last(20))),
-        "close_vs_low_20": _gap(c, F.min("low").over(last(20))),
-        "volume_ratio_5": _ratio(v, F.avg(v).over(last(5))),
-        "volume_ratio_20": _ratio(v, F.avg(v).over(last(20))),
-        "label": F.when(F.lead(c).over(w).isNotNull(), (F.lead(c).over(w) > c).cast("int")),
+    c, v = s["close"], s["volume"]
+    r, span, after = c.ratio(c.lag()) - 1, s["high"].gap(s["low"]), c.lead()
+    return {
+        **{f"ret_{n}": c.gap(c.lag(n)) for n in (1, 3, 5, 10, 20)},
+        **{f"sma_gap_{n}": c.gap(c.some_mean(n)) for n in (5, 10, 20)},
+        **{f"vol_{n}": r.some_std(n) for n in (5, 10)},
+        "range_1": span,
+        "range_5_avg": span.some_mean(5),
+        "close_vs_high_20": c.gap(s["high"].some_max(20)),
+        "close_vs_low_20": c.gap(s["low"].some_min(20)),
+        "volume_ratio_5": v.gap(v.some_mean(5), both=True),
+        "volume_ratio_20": v.gap(v.some_mean(20), both=True),
+        "label": after.like(after.above(c).astype(float), after.ok & c.ok),
     }
-    return rows.withColumns(made).drop("_r1", "_rg")
+
+
+def add_technical(bars: DataFrame) -> DataFrame:
+    out = in_arrays(bars, _technical, ["high", "low", "close", "volume"], [*TECHNICAL, "label"], back=21, fwd=1)
+    return out.withColumn("label", F.col("label").cast("int"))
 
 
 def technical_features(bars: DataFrame) -> DataFrame:
-    rows = in_blocks(bars, add_technical, back=21, fwd=1)
-    return rows.where((F.col("pos") >= 20) & F.col("label").isNotNull()).select("symbol", "ts", "pos", *TECHNICAL, "label")
+    return add_technical(bars).where((F.col("pos") >= 20) & F.col("label").isNotNull()).select("symbol", "ts", "pos", *TECHNICAL, "label")
 
 
 def sequence_windows(bars: DataFrame, length: int = 24) -> DataFrame:
     """The last ``length`` feature vectors per bar as one nested array."""
 
     def add(rows: DataFrame, w) -> DataFrame:
-        rows = add_technical(rows, w)
         ready = (F.col("pos") >= 20) & F.col("label").isNotNull()
         rows = rows.withColumn("_vec", F.when(ready, F.array(*TECHNICAL)))
         return rows.withColumn("sequence", F.collect_list("_vec").over(w.rowsBetween(-(length - 1), 0)))
 
-    rows = in_blocks(bars, add, back=21 + length, fwd=1)
+    rows = in_blocks(add_technical(bars), add, back=length)
     return rows.where((F.size("sequence") == length) & F.col("label").isNotNull()).select("symbol", "ts", "sequence", "label")
 
 
@@ -157,22 +160,24 @@ def news_price_features(
 ) -> DataFrame:
     """Price features plus one-hot news features and the excess-return target, rows 20 .. n-h."""
 
-    def add(rows: DataFrame, w) -> DataFrame:
-        c, v = F.col("close"), F.col("volume")
-        last = lambda n: w.rowsBetween(-(n - 1), 0)
-        rows = rows.withColumn("_r1", F.coalesce(c / F.lag(c).over(w) - 1, F.lit(0.0)))
-        sd = F.stddev_pop(v).over(last(20))
-        made = {f"ret_{n}": _gap(c, F.lag(c, n).over(w)) for n in (1, 3, 5, 10, 20)}
-        made |= {f"dist_sma_{n}": _gap(c, F.avg(c).over(last(n))) for n in (10, 20)}
-        made |= {
-            "vol_20": F.stddev_pop("_r1").over(last(20)),
-            "volume_z": F.when(F.min(v).over(last(20)) < F.max(v).over(last(20)), F.try_divide(v - F.avg(v).over(last(20)), sd)).otherwise(0.0),
-            "fwd": ts.forward_return("close", h, w),
-            "end_ts": F.lead("ts", h).over(w),
+    prices = ["ret_1", "ret_3", "ret_5", "ret_10", "ret_20", "dist_sma_10", "dist_sma_20", "vol_20", "volume_z"]
+
+    def made(s: dict[str, Series]) -> dict[str, Series]:
+        c, v = s["close"], s["volume"]
+        r = (c.ratio(c.lag()) - 1).or_else(0.0)
+        moves = v.some_max(20).above(v.some_min(20))
+        score = (v.v - v.some_mean(20).v) / v.some_std(20).v
+        return {
+            **{f"ret_{n}": c.gap(c.lag(n)) for n in (1, 3, 5, 10, 20)},
+            **{f"dist_sma_{n}": c.gap(c.some_mean(n)) for n in (10, 20)},
+            "vol_20": r.some_std(20),
+            "volume_z": v.like(np.where(moves, score, 0.0), v.ok | ~moves),
+            "fwd": c.lead(h).ratio(c) - 1,
+            "_end": s["_time"].lead(h),  # microseconds, whole numbers as doubles
         }
-        return rows.withColumns(made).drop("_r1")
 
-    rows = in_blocks(bars, add, back=21, fwd=h).where((F.col("pos") >= 20) & F.col("fwd").isNotNull())
+    rows = in_arrays(bars.withColumn("_time", F.unix_micros("ts").cast("double")), made, ["close", "volume", "_time"], [*prices, "fwd", "_end"], back=21, fwd=h)
+    rows = rows.withColumn("end_ts", F.timestamp_micros(F.col("_end").cast("long"))).where((F.col("pos") >= 20) & F.col("fwd").isNotNull())
     start = bench.select("ts", F.col("close").alias("_b0"))
     end = bench.select(F.col("ts").alias("end_ts"), F.col("close").alias("_b1"))
     rows = rows.join(start, "ts", "left").join(end, "end_ts", "left").join(outputs, ["symbol", "ts"], "left")
@@ -183,7 +188,6 @@ def news_price_features(
     session = F.coalesce(F.col("session"), F.lit("mixed"))
     events = ["earnings", "guidance", "analyst", "mna", "regulatory", "litigation", "product", "macro", "other"]
     sessions = ["pre_market", "intraday", "post_close", "mixed"]
-    prices = ["ret_1", "ret_3", "ret_5", "ret_10", "ret_20", "dist_sma_10", "dist_sma_20", "vol_20", "volume_z"]
     hot = lambda x, v: (x == v).cast("double")
     return rows.select(
         "symbol", "ts", *prices, label.alias("label_score"), power.alias("strength_score"),
