@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from barline.functions import ts
+from barline.plans.arrays import in_arrays
 from barline.plans.blocks import in_blocks, running
 from barline.plans.ranks import expanding_quantile
 from barline.queries import fixtures as fx
@@ -84,15 +85,13 @@ for _name, (_expr, _back, _sql) in ROLLING.items():
 
 @query("ts_rank", "bars_r", _rank_sql("close", 20, 20))
 def ts_rank(spark, d):
-    out = in_blocks(fx.bars(spark, d), lambda r, w: r.withColumn("value", ts.ts_rank("close", 20, w)), back=19)
+    out = in_arrays(fx.bars(spark, d).select("symbol", "ts", "pos", "close"), lambda s: {"value": s["close"].percentile(20, 20)}, ["close"], ["value"], back=19)
     return out.select("symbol", "ts", F.round("value", 6).alias("value"))
 
 
 @query("rolling_pct", "bars_r", _rank_sql("close", 252, 63))
 def rolling_pct(spark, d):
-    out = in_blocks(
-        fx.bars(spark, d), lambda r, w: r.withColumn("value", ts.rolling_percentile("close", 252, w)), back=251
-    )
+    out = in_arrays(fx.bars(spark, d).select("symbol", "ts", "pos", "close"), lambda s: {"value": s["close"].percentile(252, 63)}, ["close"], ["value"], back=251)
     return out.select("symbol", "ts", F.round("value", 6).alias("value"))
 
 
