@@ -134,13 +134,14 @@ def _technical(s: dict[str, Series]) -> dict[str, Series]:
     }
 
 
-def add_technical(bars: DataFrame) -> DataFrame:
-    out = in_arrays(bars, _technical, ["high", "low", "close", "volume"], [*TECHNICAL, "label"], back=21, fwd=1)
+def add_technical(bars: DataFrame, digits: int | None = None) -> DataFrame:
+    made = _technical if digits is None else lambda s: {n: x.round(digits) for n, x in _technical(s).items()}
+    out = in_arrays(bars, made, ["high", "low", "close", "volume"], [*TECHNICAL, "label"], back=21, fwd=1)
     return out.withColumn("label", F.col("label").cast("int"))
 
 
-def technical_features(bars: DataFrame) -> DataFrame:
-    return add_technical(bars).where((F.col("pos") >= 20) & F.col("label").isNotNull()).select("symbol", "ts", "pos", *TECHNICAL, "label")
+def technical_features(bars: DataFrame, digits: int | None = None) -> DataFrame:
+    return add_technical(bars, digits).where((F.col("pos") >= 20) & F.col("label").isNotNull()).select("symbol", "ts", "pos", *TECHNICAL, "label")
 
 
 def sequence_windows(bars: DataFrame, length: int = 24) -> DataFrame:

@@ -190,11 +190,11 @@ view("fac_long", "fac", "SELECT symbol, ts, fwd5, factor, x FROM (FROM fac) UNPI
 SELECT symbol, ts, factor, round({_avg_rank('x', 'factor, ts')} / count(*) OVER (PARTITION BY factor, ts), 4) AS value
 FROM (SELECT symbol, ts, factor, round(x, 9) AS x FROM fac_long WHERE x IS NOT NULL)""")
 def factor_library(spark, d):
-    """Percentile rank per week of every library factor (values rounded so that ties are the same everywhere)."""
+    """Percentile rank per week of every library factor (values rounded so that ties are the same everywhere); shares are positive, so that a floor rounds them."""
     names = list(factors.LIBRARY)
     ranked = average_ranks(rounded_values(spark, d, names), ["ts"], {f"r_{n}": n for n in names})
     values = [F.struct(F.lit(n).alias("factor"), F.col(f"r_{n}").alias("value")) for n in names]
-    return ranked.select("symbol", "ts", F.explode(F.array(*values)).alias("v")).where("v.value IS NOT NULL").select("symbol", "ts", "v.factor", F.round("v.value", 4).alias("value"))
+    return ranked.select("symbol", "ts", F.explode(F.array(*values)).alias("v")).where("v.value IS NOT NULL").select("symbol", "ts", "v.factor", (F.floor(F.col("v.value") * 10000.0 + 0.5) / 10000.0).alias("value"))
 
 
 def rounded_values(spark, d, names):

@@ -86,7 +86,7 @@ SELECT * FROM (SELECT symbol, ts, pos, {', '.join(f'{e} AS {n}' for n, e in _TEC
 
 @query("tech_features", "tech", f"SELECT symbol, ts, {', '.join(f'round({n}, 6) AS {n}' for n in _TECH_SQL)}, label FROM tech")
 def tech_features(spark, d):
-    return labels.technical_features(fx.bars(spark, d)).select("symbol", "ts", *r6(*labels.TECHNICAL), "label")
+    return labels.technical_features(fx.bars(spark, d), 6).select("symbol", "ts", *labels.TECHNICAL, "label")
 
 
 _VEC = ", ".join(f"round({n}, 4)" for n in labels.TECHNICAL)
