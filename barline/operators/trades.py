@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barline.functions.scalar import hash_unit
 from barline.plans.blocks import BLOCK, in_blocks, running
 from barline.plans.chain import reachable
-from barline.session import checkpoint_ready
+from barline.plans.ranks import KEY_ROWS, groups, whole_groups
+from barline.session import checkpoint_ready, cut
 
 HORIZON = 32
 
@@ -231,11 +234,12 @@ def chain_trades(
     day: Column | None = None,
     exit_days: DataFrame | None = None,
     block: int = BLOCK,
+    key_rows: int = KEY_ROWS,
 ) -> DataFrame:
     """The trades actually taken: first candidate, then the first candidate after each exit (and cool-down).
 
-    The next candidate comes from one backwards running value, the chain from pointer doubling. An open
-    candidate has no successor, so it ends its chain. With ``no_same_day`` a candidate on the day of the previous
+    A task walks the candidates of one key at a time. For keys with more than ``key_rows`` of them the next candidate comes from one backwards running
+    value and the chain from pointer doubling. An open candidate has no successor, so it ends its chain. With ``no_same_day`` a candidate on the day of the previous
     exit is skipped: ``day`` is the entry day and ``exit_days`` maps (keys, exit_pos) to the last position of that day.
     """
     keys = list(keys)
@@ -244,10 +248,40 @@ def chain_trades(
     if no_same_day:
         nodes = nodes.join(exit_days, [*keys, "exit_pos"], "left")
         after = F.greatest(after, F.col("day_last"))
+    counts = exits.groupBy(*keys).agg(F.count("*").alias("_n"))
+    large = cut(counts.where(F.col("_n") > key_rows).select(*keys))  # few: each stands for more than key_rows rows
+    some = not large.isEmpty()
+    nodes = nodes.withColumn("_after", F.when(F.col("exit_pos").isNotNull(), after).cast("long")).select(*exits.columns, "_after")
+    walked = nodes.join(large, keys, "left_anti") if some else nodes
+    dealt = walked.repartition(*keys).sortWithinPartitions(*keys, "entry_pos")
+    columns = exits.columns
+    taken = dealt.mapInArrow(lambda batches: _walk(batches, keys, columns), walked.select(*columns).schema)
+    return taken.unionByName(_chain_by_doubling(nodes.join(large, keys, "left_semi"), keys, block).select(*columns)) if some else taken
+
+
+def _walk(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The candidates met on the walk from the first one of each key; rows are sorted by keys and entry position."""
+    for table in whole_groups(batches, keys):
+        group = groups(table, keys)
+        entry = table.column("entry_pos").to_numpy().astype(np.int64)
+        leaves = table.column("_after").combine_chunks()
+        after = np.where(leaves.is_valid().to_numpy(zero_copy_only=False), leaves.fill_null(0).to_numpy(), np.iinfo(np.int64).max)
+        edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])).tolist()
+        taken = []
+        for begin, end in zip(edges, edges[1:]):
+            following = (begin + np.searchsorted(entry[begin:end], after[begin:end], side="right")).tolist()
+            at = begin
+            while at < end:
+                taken.append(at)
+                at = following[at - begin]
+        yield from table.select(columns).take(pa.array(taken, pa.int64())).to_batches(max_chunksize=10_000)
+
+
+def _chain_by_doubling(nodes: DataFrame, keys: list[str], block: int) -> DataFrame:
     cand = nodes.select(*keys, F.struct(F.col("entry_pos").alias("p"), F.lit(1).alias("s")).alias("_at"),
                         F.col("entry_pos").alias("_cand"), F.lit(None).cast("long").alias("_from"))
-    asks = nodes.where(F.col("exit_pos").isNotNull()).select(
-        *keys, F.struct((after + 1).alias("p"), F.lit(0).alias("s")).alias("_at"),
+    asks = nodes.where(F.col("_after").isNotNull()).select(
+        *keys, F.struct((F.col("_after") + 1).alias("p"), F.lit(0).alias("s")).alias("_at"),
         F.lit(None).cast("long").alias("_cand"), F.col("entry_pos").alias("_from"),
     )
     # Several candidates may ask from the same place, so the order needs the asker as a tie-break.
@@ -256,9 +290,9 @@ def chain_trades(
         both, {"next_pos": ("next", F.col("_cand"))}, keys=keys, pos="_at", bucket=F.floor(F.col("_at.p") / block)
     )
     pointers = found.where(F.col("_from").isNotNull()).select(*keys, F.col("_from").alias("entry_pos"), "next_pos")
-    graph = exits.select(*keys, "entry_pos").join(pointers, [*keys, "entry_pos"], "left")
+    graph = nodes.select(*keys, "entry_pos").join(pointers, [*keys, "entry_pos"], "left")
     taken = reachable(graph, keys, "entry_pos", "next_pos")
-    return exits.join(taken, [*keys, "entry_pos"], "left_semi")
+    return nodes.join(taken, [*keys, "entry_pos"], "left_semi")
 
 
 def fill_costs(orders: DataFrame, a: dict[str, float]) -> DataFrame:
