@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,27 @@ def keep(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFra
     return spark.read.parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on for the next task, and its allocators keep what they have freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, after which the worker keeps no more memory than it had before."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def whole_text(text: str | Column) -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import unit
+from barline.llm.common import released, unit
 
 #: Bound of the fitting sample: about SAMPLE texts for each language, none longer than LONGEST code points; DICTIONARY bytes of them are used.
 SAMPLE, LONGEST, DICTIONARY = 240, 20_000, 64 << 10
@@ -104,7 +104,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
             no = pa.array([x == "und" or y < margin for x, y in found], pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns, lang, score, no], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(judge, schema)
+    return docs.mapInArrow(released(judge), schema)
 
 
 def language_id(docs: DataFrame, learn: DataFrame | None = None, margin: float = MARGIN) -> DataFrame:

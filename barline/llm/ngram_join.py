@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import keep
+from barline.llm.common import keep, released
 
 #: Bytes of text that are hashed at once; counters of frequent shingles for each task; most frequent shingles that are put last in the order.
 CHUNK, COUNTERS, FREQUENT = 256 << 10, 50_000, 65_536
@@ -194,7 +194,7 @@ def shingle_counts(docs: DataFrame, rule: Rule, counters: int = COUNTERS) -> Dat
             ["shingle", "n", "exact"],
         )
 
-    return docs.select("text").mapInArrow(count, "shingle long, n long, exact boolean").groupBy("shingle", "exact").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(released(count), "shingle long, n long, exact boolean").groupBy("shingle", "exact").agg(F.sum("n").alias("n"))
 
 
 def light_limit(rule: Rule, mean_list: float) -> int:
@@ -282,7 +282,7 @@ def signatures(docs: DataFrame, rule: Rule, frequent: np.ndarray, light: int) ->
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(c, k) for c, k in zip(rows, kinds))], ["doc_id", "n", "k1", "k2", "lists", "subsets", "sketch", "short"])
 
-    return docs.mapInArrow(sign, SIGNED)
+    return docs.mapInArrow(released(sign), SIGNED)
 
 
 def by_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -323,7 +323,7 @@ def shared_lists(entries: DataFrame, rule: Rule) -> DataFrame:
         if last is not None and last_kept:
             yield last
 
-    return entries.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(share, entries.schema)
+    return entries.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(released(share), entries.schema)
 
 
 def paired(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -356,7 +356,7 @@ def neighbours(shared: DataFrame, rule: Rule) -> DataFrame:
             carry = (key[-1], group[-1], n[-1], doc[-1], first_n[-1], first_doc[-1])
             yield paired(np.concatenate((prev_doc[near], first_doc[far])), np.concatenate((doc[near], doc[far])))
 
-    return shared.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(pair, "a long, b long").distinct()
+    return shared.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(released(pair), "a long, b long").distinct()
 
 
 def across(shared: DataFrame, labels: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -396,7 +396,7 @@ def across(shared: DataFrame, labels: DataFrame, classes: DataFrame, rule: Rule)
     rows = rows.join(several, "key", "left_semi").join(sketches, "doc_id", "left")
     none = F.lit(bytes(SHORT // 8))
     rows = rows.select("key", "n", "doc_id", "pos", "label", F.coalesce("short", none).alias("short"), F.col("short").isNotNull().alias("known"))
-    return rows.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(pair, "a long, b long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(released(pair), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
@@ -410,7 +410,7 @@ def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, rule: Rule) -
             stay = [x is None or y is None or sketch_distance(x, y) <= m + n - 2 * rule.overlap(m, n) for m, n, x, y in zip(*rows)]
             yield batch.select(["a", "b"]).filter(pa.array(stay, pa.bool_()))
 
-    likely = keep(pairs.join(first, "a").join(second, "b").mapInArrow(near, "a long, b long"), "ngram-likely").distinct()
+    likely = keep(pairs.join(first, "a").join(second, "b").mapInArrow(released(near), "a long, b long"), "ngram-likely").distinct()
     wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,7 +419,7 @@ def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, rule: Rule) -
                 piece = batch.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([x.tobytes() for x in sets_of(piece.column(1), rule.words)], pa.binary())], ["doc_id", "own"])
 
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(build, "doc_id long, own binary")
+    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(released(build), "doc_id long, own binary")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -431,7 +431,7 @@ def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, rule: Rule) -
                 stay.append(common > 0 and common >= rule.overlap(len(x), len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(stay, pa.bool_()))
 
-    return likely.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").mapInArrow(link, "a long, b long").distinct()
+    return likely.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").mapInArrow(released(link), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barline.llm.common import keep
+from barline.llm.common import keep, released
 
 SEQUENCE = 2048
 SPECIAL = "<|endoftext|>"
@@ -85,7 +85,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, ranks: tuple[str, str] | None =
             kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def reduce_dominated(counts: dict[int, int], sequence: int) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
@@ -214,4 +214,4 @@ def pack(docs: DataFrame, tokenizer: str, ranks: tuple[str, str] | None = None,
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(sequence_id), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
     numbered = ranked(pieces, sum(counts.values()))
-    return numbered.mapInArrow(seat, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered.mapInArrow(released(seat), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
