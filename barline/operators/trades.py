@@ -155,28 +155,8 @@ def label_exits(
     fixed = {k: F.lit(v) for k, v in params.items()} if isinstance(params, dict) else {k: F.col(k) for k in params}
     own = [] if isinstance(params, dict) else list(params)
     bar = F.struct("pos", "low", "high", "close", "signal", "block")
-
-    def frames(r: DataFrame, w) -> DataFrame:
-        return r.withColumn("_next", F.collect_list(bar).over(w.rowsBetween(1, horizon)))
-
-    wanted = (F.col("signal") == 1) & ~F.col("barred")
-    start = F.struct(
-        F.greatest("high", "close").alias("mark") if mode == "intrabar" else F.col("close").alias("mark"),
-        F.lit(0).alias("held"),
-        F.lit(False).alias("even"),
-        F.lit(False).alias("locked"),
-        F.lit(None).alias("exit_pos"),
-        F.lit(None).alias("exit_price"),
-        F.lit(None).alias("reason"),
-    ).cast(_STATE)
     keep = [*keys, "pos", "ts", "close", *own, *carry]
-    framed = in_blocks(rows, frames, fwd=horizon, keys=keys, block=block).where(wanted)
-    first = framed.select(
-        *keep,
-        _fold(F.col("_next"), start, F.col("close"), fixed, mode).alias("_s"),
-        (F.col("pos") + F.size("_next")).alias("_seen"),
-        (F.size("_next") == horizon).alias("_more"),
-    )
+    first = _walked_exits(rows, params, keep, keys, mode, horizon, block)
     settled = _go_on(rows, first, keys, fixed, mode, horizon, bar)
     return settled.select(
         *keys,
@@ -191,6 +171,103 @@ def label_exits(
     )
 
 
+def _walked_exits(rows: DataFrame, params: dict[str, float] | Sequence[str], keep: list[str], keys: list[str], mode: str, horizon: int, block: int) -> DataFrame:
+    """Candidates (``keep``) with their state _s, the last position _seen and whether there may be _more bars.
+
+    The rule of :func:`_fold`, worked out for all candidates of a block at once, one bar ahead at a time; each goes on until it exits or its block
+    with the next ``horizon`` bars ends. A null price is minus infinity as a mark or stop, which no price reaches.
+    """
+    blocks = [*keys, "_blk"]
+    first = F.floor(F.greatest(F.col("pos") - F.lit(horizon), F.lit(0)) / F.lit(block))
+    own = F.col("_blk") == F.floor(F.col("pos") / F.lit(block))
+    spread = rows.withColumn("_blk", F.explode(F.sequence(first, F.floor(F.col("pos") / F.lit(block)))))
+    settings = params if isinstance(params, dict) else {k: k for k in params}
+    numbers = {f"_{c}": F.col(c).cast("double") for c in ("low", "high", "close", *(x for x in settings.values() if isinstance(x, str)))}
+    flags = {"_on": F.col("signal") == 1, "_off": F.col("signal") == 0, "_bad": F.col("block")}
+    wanted = F.coalesce(own & (F.col("signal") == 1) & ~F.col("barred"), F.lit(False))
+    columns = [*keep, *(c for c in keys if c not in keep), "_blk"]
+    spread = spread.select(*dict.fromkeys(columns), *[c.alias(n) for n, c in (numbers | flags | {"_wanted": wanted}).items()])
+    dealt = spread.repartition(*blocks).sortWithinPartitions(*blocks, "pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, blocks):
+            with np.errstate(all="ignore"):
+                made = _exits_of(table, blocks, settings, mode, horizon)
+            yield from pa.Table.from_arrays([*(made[0].column(c) for c in keep), *made[1]], [*keep, *_WALKED]).to_batches(max_chunksize=10_000)
+
+    kinds = spread.select(*keep, *[F.lit(None).cast(kind).alias(n) for n, kind in _WALKED.items()]).schema
+    walked = dealt.mapInArrow(run, kinds)
+    held = F.struct(*[F.col(f"_{c}").alias(c) for c in ("mark", "held", "even", "locked", "exit_pos", "exit_price", "reason")]).cast(_STATE)
+    return walked.select(*keep, held.alias("_s"), "_seen", "_more")
+
+
+_WALKED = {
+    "_mark": "double", "_held": "int", "_even": "boolean", "_locked": "boolean", "_exit_pos": "long", "_exit_price": "double", "_reason": "string", "_seen": "long", "_more": "boolean",
+}
+
+
+def _exits_of(table: pa.Table, blocks: list[str], settings: dict[str, float | str], mode: str, horizon: int) -> tuple[pa.Table, list[pa.Array]]:
+    """The candidates of whole blocks and their states, as arrays in the order of ``_WALKED``."""
+
+    def column(name: str) -> tuple[np.ndarray, np.ndarray]:
+        x = table.column(name).combine_chunks()
+        ok = x.is_valid().to_numpy(zero_copy_only=False)
+        return np.where(ok, x.fill_null(False if pa.types.is_boolean(x.type) else 0.0).to_numpy(zero_copy_only=False), False if pa.types.is_boolean(x.type) else -np.inf), ok
+
+    def at_least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.isnan(a) | (a >= b)  # a NaN is larger than any number
+
+    group = groups(table, blocks)
+    size = np.bincount(group, minlength=1)
+    left = (np.cumsum(size)[group] - 1 - np.arange(len(group))) if len(group) else np.zeros(0, np.int64)
+    (low, low_ok), (high, _), (close, close_ok) = column("_low"), column("_high"), column("_close")
+    (off, known), (bad, _) = column("_off"), column("_bad")
+    pos = table.column("pos").to_numpy().astype(np.int64)
+    at = np.flatnonzero(column("_wanted")[0])
+    p = {k: np.full(len(at), float(v)) if not isinstance(v, str) else column(f"_{v}")[0][at] for k, v in settings.items()}
+    entry, entry_ok = close[at], close_ok[at]
+    mark = np.maximum(high[at], entry) if mode == "intrabar" else entry.copy()
+    base = np.where(entry_ok, entry * (1 - p["stop_loss"]), -np.inf)
+    held, even, locked = np.zeros(len(at), np.int32), np.zeros(len(at), bool), np.zeros(len(at), bool)
+    exit_row, price, price_ok, reason = np.full(len(at), -1), np.zeros(len(at)), np.zeros(len(at), bool), np.zeros(len(at), np.int8)
+    live, ahead = np.flatnonzero(left[at] > 0), 0
+    while len(live):
+        ahead += 1
+        b = at[live] + ahead
+        prior = np.maximum(mark[live], entry[live])
+        fixed = np.where(even[live], np.maximum(base[live], entry[live]), base[live])
+        if mode == "close":
+            prior = np.maximum(prior, close[b])
+        share = p["trailing"][live] if mode == "close" else np.where(locked[live], p["lock_trail"][live], p["trailing"][live])
+        stop = np.maximum(fixed, np.where(np.isneginf(prior), prior, prior * (1 - share)))
+        tested, there = (close[b], close_ok[b]) if mode == "close" else (low[b], low_ok[b])
+        hit = there & ~np.isneginf(stop) & at_least(stop, tested)
+        held[live] += 1
+        timed = held[live] >= p["time_stop"][live]
+        leave = hit | timed | off[b] | bad[b]
+        same = (stop == fixed) | (np.isnan(stop) & np.isnan(fixed))
+        why = np.select(
+            [hit & (mode == "close"), hit & same, hit, timed, bad[b] & known[b] & ~off[b], off[b] & (mode == "close"), off[b]], [1, 2, 3, 4, 5, 6, 7], 0
+        )
+        gone = live[leave]
+        exit_row[gone], reason[gone] = b[leave], why[leave]
+        price[gone] = np.where(hit, close[b] if mode == "close" else stop, close[b])[leave]
+        price_ok[gone] = (close_ok[b] | (hit & (mode != "close")))[leave]
+        mark[live] = prior if mode == "close" else np.maximum(prior, np.maximum(high[b], close[b]))
+        rises = entry_ok[live] & close_ok[b]
+        even[live] |= rises & at_least(close[b], entry[live] * (1 + p["even_at"][live]))
+        locked[live] |= rises & at_least(close[b], entry[live] * (1 + p["lock_at"][live]))
+        live = live[~leave & (left[at[live]] > ahead)]
+    done = exit_row >= 0
+    seen = np.where(done, exit_row, at + left[at])
+    names = pa.array([None, "risk_exit", "stop_loss", "trailing_stop", "time_stop", "llm_exit", "prediction_exit", "signal_exit"], pa.string())
+    return table.take(pa.array(at, pa.int64())), [
+        pa.array(mark, pa.float64(), mask=np.isneginf(mark)), pa.array(held, pa.int32()), pa.array(even), pa.array(locked),
+        pa.array(pos[np.maximum(exit_row, 0)] if len(pos) else exit_row, pa.int64(), mask=~done), pa.array(price, pa.float64(), mask=~(done & price_ok)), names.take(pa.array(reason, pa.int64())),
+        pa.array(pos[seen] if len(pos) else seen, pa.int64()), pa.array(~done & (left[at] >= horizon)),
+    ]
+
+
 def _go_on(rows, first, keys, fixed, mode, horizon, bar) -> DataFrame:
     """Continue candidates that are still open while there are more bars."""
     spark = rows.sparkSession
