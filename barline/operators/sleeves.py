@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barline.plans.blocks import in_blocks, islands
+from barline.plans.blocks import BLOCK, in_blocks, islands, running
+from barline.session import written
 
 
 def flag_sleeve(df: DataFrame, flag: str, bps: float, keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -73,18 +74,31 @@ def gap_stress(df: DataFrame, keys: Sequence[str], shock: float = -0.6, ret: str
     ).drop("_worst")
 
 
-def book_trades(signals: DataFrame, notional: Column, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Virtual book trades: buy at the first bar of each long run, sell at the first flat bar after it."""
-    runs = islands(signals, F.col("signal") == 1, keys=keys)
+def book_trades(signals: DataFrame, notional: Column, keys: Sequence[str] = ("symbol",), block: int = BLOCK) -> DataFrame:
+    """Virtual book trades: buy at the first bar of each long run, sell at the first flat bar after it.
 
-    def add(rows: DataFrame, w) -> DataFrame:
-        return rows.withColumns({"_exit": F.lead("close").over(w), "_exit_ts": F.lead("ts").over(w)})
+    The rows are dealt out once: a block adds its rows up to pieces of runs, and only the pieces are numbered and joined across blocks.
+    """
+    keys = list(keys)
 
-    rows = in_blocks(runs, add, fwd=1, keys=keys).where(F.col("signal") == 1)
-    trades = rows.groupBy(*keys, "run_id").agg(
-        F.min_by("ts", "pos").alias("entry_ts"), F.min_by("close", "pos").alias("entry_price"),
-        F.max_by("_exit_ts", "pos").alias("exit_ts"), F.max_by("_exit", "pos").alias("exit_price"), F.max_by("close", "pos").alias("last_price"),
+    def add(rows: DataFrame, w) -> DataFrame:
+        flag = F.col("signal") == 1
+        rows = rows.withColumns({
+            "_exit": F.lead("close").over(w), "_exit_ts": F.lead("ts").over(w), "_in": F.col("_blk"),
+            "_new": F.when(F.lag(flag).over(w).eqNullSafe(flag), 0).otherwise(1),
+        })
+        return rows.withColumn("_piece", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    rows = in_blocks(signals.select(*keys, "pos", "ts", "close", "signal"), add, back=1, fwd=1, keys=keys, block=block).where(F.col("signal") == 1)
+    first, last = (lambda c, by="pos": F.min_by(c, by)), (lambda c, by="pos": F.max_by(c, by))
+    pieces = rows.groupBy(*keys, "_in", "_piece").agg(
+        first("_new").alias("_new"), first("ts").alias("entry_ts"), first("close").alias("entry_price"),
+        last("_exit_ts").alias("exit_ts"), last("_exit").alias("exit_price"), last("close").alias("last_price"), F.min("pos").alias("pos"),
     )
+    runs = running(written(pieces.drop("_in", "_piece"), "run-pieces"), {"run_id": ("sum", F.col("_new"))}, keys=keys, block=block)
+    trades = runs.groupBy(*keys, "run_id").agg(*[fn(c).alias(c) for fn, c in (
+        (first, "entry_ts"), (first, "entry_price"), (last, "exit_ts"), (last, "exit_price"), (last, "last_price"),
+    )])
     return trades.withColumn("qty", notional / F.col("entry_price")).drop("run_id")
 
 
