@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from barline.functions.scalar import choose
 from barline.operators.labels import walk_forward
+from barline.operators.networks import fit_network
 from barline.session import cut
 
 THRESHOLD = 0.55
@@ -74,13 +75,14 @@ def walk_forward_fit(
     return out.withColumn("signal", (F.col("probability") >= THRESHOLD).cast("int"))
 
 
-def fit_meta(train: DataFrame, features: Sequence[str], label: str = "label", seed: int = 42):
+def fit_meta(train: DataFrame, features: Sequence[str], label: str = "label", seed: int = 42, order: Sequence[str] = ("symbol", "ts")):
     """Meta-model on a feature map laid out in name order, missing features = 0."""
     rows = assemble(train, features)
     net = MultilayerPerceptronClassifier(
         layers=[len(features), 64, 32, 2], maxIter=60, seed=seed, featuresCol="features", labelCol=label, probabilityCol="probability"
     )
-    return fit_scaled(rows, net)
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(rows)
+    return PipelineModel([scaler, fit_network(scaler.transform(rows), net, list(order))])
 
 
 def predict_meta(model, df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -195,7 +195,9 @@ def in_arrays(
     spread = spread.withColumn("_own", F.col("_blk") == F.floor(F.col(pos) / F.lit(block)))
     held = {c: c if kind == "double" else f"_in_{c}" for c, kind in df.select(*inputs).dtypes}
     spread = spread.withColumns({n: F.col(c).cast("double") for c, n in held.items() if n != c})
-    dealt = spread.repartition(*keys).sortWithinPartitions(*keys, pos)
+    # As many tasks as the session says: left to Spark, shuffles are joined into one more than there are cores, and that one takes a second round.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = spread.repartition(parts, *keys).sortWithinPartitions(*keys, pos)
 
     def worked(table: pa.Table) -> Iterator[pa.RecordBatch]:
         group, row = groups(table, keys), np.arange(table.num_rows)

@@ -9,7 +9,7 @@ from barline.operators import labels, models
 from barline.queries import fixtures as fx
 from barline.queries.registry import query, view
 from barline.queries.tables import r6
-from barline.session import cut
+from barline.session import cut, written
 
 
 @query("wf_logreg")
@@ -24,9 +24,9 @@ def meta_model(spark, d):
     """Feed-forward meta-model trained on the first 60 % of weeks and applied to the rest."""
     from barline.queries.crosssection import week_calendar
 
-    rows = labels.technical_features(fx.bars(spark, d))
+    rows = written(labels.technical_features(fx.bars(spark, d)), "features")
     period = labels.period_of(week_calendar(rows)).select("ts", "period")
-    rows = cut(rows.join(period, "ts"))
+    rows = rows.join(period, "ts")
     model = models.fit_meta(rows.where("period = 'train'"), labels.TECHNICAL)
     out = models.predict_meta(model, rows.where("period <> 'train'"), labels.TECHNICAL)
     return out.select("symbol", "ts", "label", F.round("probability", 4).alias("probability"))
