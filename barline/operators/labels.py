@@ -12,7 +12,7 @@ from barline.functions import ts
 from barline.functions.scalar import choose
 from barline.plans.arrays import Series, in_arrays
 from barline.plans.blocks import in_blocks
-from barline.plans.ranks import quantiles
+from barline.plans.ranks import order_statistics
 
 
 def period_of(cal: DataFrame, ci: str = "ci", train: float = 0.6, validation: float = 0.2, name: str = "period") -> DataFrame:
@@ -200,6 +200,15 @@ def news_price_features(
     )
 
 
+def forward_returns(horizons: Sequence[int]):
+    """Close that many bars ahead over the close less one, for :func:`barline.plans.arrays.in_arrays`."""
+
+    def made(s: dict[str, Series]) -> dict[str, Series]:
+        return {f"f{h}": s["close"].lead(h).ratio(s["close"]) - 1 for h in horizons}
+
+    return made
+
+
 def balanced_sample(rows: DataFrame, label: str, order: Sequence[str], limit: int, classes: int = 3) -> DataFrame:
     """Up to ``limit`` rows with equal shares per class, filled up in order from what is left."""
     from barline.operators.news import first_k
@@ -215,7 +224,7 @@ def balanced_sample(rows: DataFrame, label: str, order: Sequence[str], limit: in
 def sector_thresholds(rows: DataFrame, value: str, keys: Sequence[str], band: float, default: float = 0.01, min_n: int = 10) -> DataFrame:
     """Lower and upper order statistics of the train rows per key; +-default below ``min_n`` rows."""
     low = (1.0 - band) / 2.0
-    found = quantiles(rows, list(keys), value, {"lower": low, "upper": 1.0 - low}, order_stat=True)
+    found = order_statistics(rows, list(keys), value, {"lower": low, "upper": 1.0 - low})
     few = F.col("n_values") < min_n
     return found.select(
         *keys,

@@ -171,6 +171,42 @@ def quantiles(
     return grouped.agg(*aggs, F.max("total").alias("n_values"))
 
 
+def order_statistics(df: DataFrame, keys: Sequence[str], x: str, qs: dict[str, float], rows: int = RANGE_ROWS, width: float = 1e-3) -> DataFrame:
+    """The value at ``floor(q * (n - 1))`` of each key, exact, in two passes without sorting the values; for few large keys of a table that is cheap to read again.
+
+    The first pass finds an approximate quantile on either side of each wanted one; the second counts the values below that bracket and keeps those inside,
+    about 2 ``width`` of the key each. Whether the wanted place lies inside is checked by the counts; a key where it does not is sorted as a whole.
+    """
+    keys, names = list(keys), list(qs)
+    values = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).alias("_x"))
+    shares = [min(max(qs[n] + side, 0.0), 1.0) for n in names for side in (-width, width)]
+    bounds = written(values.groupBy(*keys).agg(F.percentile_approx("_x", shares, round(2 / width) if width else 10_000).alias("_b"), F.count("*").alias("_n")), "bounds")
+    held = values.join(bounds, keys)
+    low, high = ([F.get("_b", F.lit(2 * i + side)) for i in range(len(names))] for side in (0, 1))
+    spots = [F.when((F.col("_x") >= a) & (F.col("_x") <= b), F.lit(i)) for i, (a, b) in enumerate(zip(low, high))]
+    lower = held.groupBy(*keys).agg(*[F.count(F.when(F.col("_x") < a, 1)).alias(f"_l{i}") for i, a in enumerate(low)])
+    inside = held.select(*keys, "_x", F.explode(F.array_compact(F.array(*spots))).alias("_q")).groupBy(*keys, "_q", "_x").agg(F.count("*").alias("_c"))
+    upto = inside.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_q").orderBy("_x")))
+    known = bounds.select(*keys, "_n").join(lower, keys)
+    placed = upto.join(known, keys)
+    found = []
+    for i, (name, q) in enumerate(qs.items()):
+        left = F.floor(F.lit(q) * (F.col("_n") - 1)) - F.col(f"_l{i}")  # values of the bracket before the wanted one
+        here = (F.col("_q") == i) & (F.col("_upto") - F.col("_c") <= left) & (left < F.col("_upto"))
+        found += [F.max(F.when(here, F.col("_x"))).alias(name), F.max(here).alias(f"_ok{i}")]
+    out = written(known.select(*keys, F.col("_n").alias("n_values")).join(placed.groupBy(*keys).agg(*found), keys, "left"), "found")
+    sure = F.lit(True)
+    for i in range(len(names)):
+        sure = sure & F.coalesce(F.col(f"_ok{i}"), F.lit(False))
+    exact, open_ = out.where(sure).select(*keys, *names, "n_values"), out.where(~sure).select(*keys)
+    if open_.isEmpty():
+        return exact
+    rest = value_positions(df.select(*keys, x).join(open_, keys, "left_semi"), keys, x, rows)
+    last, place = F.col("below") + F.col("cnt") - 1, {n: F.floor(F.lit(q) * (F.col("total") - 1)) for n, q in qs.items()}
+    slow = rest.groupBy(*keys).agg(*[F.max(F.when((F.col("below") <= p) & (p <= last), F.col(x))).alias(n) for n, p in place.items()], F.max("total").alias("n_values"))
+    return exact.unionByName(slow)
+
+
 def _past_statistics(table: pa.Table, q: float, min_n: int) -> pa.Table:
     """Both order statistics around the quantile of all earlier rows, for each row of a block; the counts of values are kept in a binary indexed tree."""
     at, x, n, lower = (table[c].to_numpy(zero_copy_only=False) for c in ("_pos", "_x", "_n", "_lower"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barline.functions import ts
 from barline.operators import labels, metrics
 from barline.operators.joins import with_params
+from barline.plans.arrays import in_arrays
 from barline.plans.blocks import in_blocks, number_rows
 from barline.queries import fixtures as fx
 from barline.queries.crosssection import week_calendar
@@ -14,7 +15,7 @@ from barline.queries.registry import query, view
 from barline.queries.reports import metric_columns, splits
 from barline.queries.tables import index_returns, r6
 from barline.queries.timeseries import _frame
-from barline.session import cut
+from barline.session import cut, written
 
 view("level", "bars", "SELECT ts, avg(close) AS level FROM bars GROUP BY ts")
 view("lab_in", "bars level", f"""
@@ -163,16 +164,15 @@ t AS (SELECT sector, h, CASE WHEN max(n) < 10 THEN -0.01 ELSE max(fwd) FILTER (i
 SELECT symbol, ts, h AS horizon, round(lo, 6) AS lower, round(hi, 6) AS upper, CASE WHEN fwd <= lo THEN 'bearish' WHEN fwd >= hi THEN 'bullish' ELSE 'neutral' END AS target FROM sector_in JOIN t USING (sector, h)""")
 def sector_labels(spark, d):
     """Labels per horizon from order statistics of the sector's train rows; the sector is the supplier's nation."""
-    bars = cut(fx.bars(spark, d))
+    bars = fx.bars(spark, d)
     sector = fx.suppliers(spark, d).select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("symbol"), F.col("n_name").alias("sector"))
     horizons = (1, 3, 5)
-    wide = in_blocks(bars, lambda r, w: r.withColumns({f"f{h}": ts.forward_return("close", h, w) for h in horizons}), fwd=5)
+    ahead = in_arrays(bars.select("symbol", "ts", "close", "pos"), labels.forward_returns(horizons), ["close"], [f"f{h}" for h in horizons], fwd=5)
+    period = written(labels.period_of(week_calendar(bars)).select("ts", "period"), "period")
+    wide = written(ahead.join(sector, "symbol").join(period, "ts").drop("close", "pos"), "ahead")  # one row a bar; horizons are laid out where they are read
     item = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"f{h}").alias("fwd")) for h in horizons])
-    period = labels.period_of(week_calendar(bars)).select("ts", "period")
-    rows = cut(
-        wide.select("symbol", "ts", F.explode(item).alias("x")).select("symbol", "ts", "x.*").where("fwd IS NOT NULL").join(sector, "symbol").join(period, "ts")
-    )
-    edges = labels.sector_thresholds(rows.where("period = 'train'"), "fwd", ["sector", "horizon"], 0.3)
+    rows = wide.select("symbol", "ts", "sector", "period", F.explode(item).alias("x")).select("symbol", "ts", "sector", "period", "x.*").where("fwd IS NOT NULL")
+    edges = written(labels.sector_thresholds(rows.where("period = 'train'"), "fwd", ["sector", "horizon"], 0.3), "edges")
     target = F.when(F.col("fwd") <= F.col("lower"), "bearish").when(F.col("fwd") >= F.col("upper"), "bullish").otherwise("neutral")
     return rows.join(edges, ["sector", "horizon"]).select("symbol", "ts", "horizon", *r6("lower", "upper"), target.alias("target"))
 

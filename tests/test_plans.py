@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from barline.functions import ts
+from barline.operators.labels import sector_thresholds
 from barline.plans.asof import asof
 from barline.plans.blocks import in_blocks, islands, number_rows, running
 from barline.plans.chain import reachable
-from barline.plans.ranks import average_rank, expanding_quantile, quantiles
+from barline.plans.ranks import average_rank, expanding_quantile, order_statistics, quantiles
 
 
 @pytest.fixture(scope="module")
@@ -161,3 +162,27 @@ def test_chain(spark):
 def test_window_below_two_is_rejected():
     with pytest.raises(ValueError):
         ts.check_window(1)
+
+
+@pytest.mark.parametrize("width", [1e-3, 0.0, 0.3])
+def test_order_statistics_by_brackets(spark, width):
+    """Brackets that miss the wanted place, that hold it, ties, a NaN, a null and groups of one row; none of the values is sorted as a whole where the bracket holds."""
+    rng = np.random.default_rng(8)
+    parts = {"a": np.round(rng.normal(size=3000), 2), "b": rng.normal(size=7), "c": np.array([4.0]), "d": np.full(500, -1.5), "e": np.append(rng.normal(size=40), np.nan)}
+    rows = [(k, float(v)) for k, x in parts.items() for v in x] + [("a", None), ("f", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    got = {r["k"]: r for r in order_statistics(df, ["k"], "x", {"lo": 0.35, "hi": 0.65, "all": 1.0}, rows=11, width=width).collect()}
+    assert sorted(got) == sorted(parts)
+    for k, x in parts.items():
+        x = np.sort(x)
+        want = [x[int(np.floor(q * (len(x) - 1)))] for q in (0.35, 0.65, 1.0)]
+        np.testing.assert_equal([got[k]["lo"], got[k]["hi"], got[k]["all"], got[k]["n_values"]], [*want, len(x)])
+
+
+def test_order_statistics_sort_no_whole_key(spark, monkeypatch):
+    """A large key needs its bracket alone; before, every value was dealt out and sorted."""
+    df = spark.range(20_000).select(F.lit("a").alias("k"), (F.col("id") * 7919 % 20_011).cast("double").alias("x"))
+    monkeypatch.setattr("barline.plans.ranks.value_positions", lambda *a, **b: pytest.fail("sorted as a whole"))
+    x = np.sort(np.arange(20_000) * 7919 % 20_011)
+    got = sector_thresholds(df, "x", ["k"], 0.3).first()
+    assert (got["lower"], got["upper"]) == (x[int(np.floor(0.35 * 19_999))], x[int(np.floor(0.65 * 19_999))])
