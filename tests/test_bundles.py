@@ -4,6 +4,7 @@ import datetime
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from barline.operators import news
 
@@ -39,3 +40,25 @@ def test_bundles_of_shared_texts(spark, rows, size):
         assert r.text == plain(first, {t: rest for t, *rest in TEXTS})
         hits = [name for name, words in news.EVENT_KEYWORDS if any(w in (r.text or "").lower() for w in words)]
         assert r.event_type == (hits or ["other"])[0]
+
+
+def test_more_articles_of_the_same_texts_make_no_more_copies(spark, monkeypatch):
+    monkeypatch.setattr(news, "LEAST_ROWS", 1)
+    at, day, cores = datetime.datetime(2024, 1, 3, 15), datetime.date(2024, 1, 3), spark.sparkContext.defaultParallelism
+    texts = spark.createDataFrame([(i, f"h{i}", "t") for i in range(3)], "text_id long, headline string, summary string")
+    for articles, words in ((20 * cores, 1), (40 * cores, 1), (40 * cores, 9)):
+        rows = [(f"S{i}", at, i, i % 3, f" {i // 3 % words}", day) for i in range(articles)]
+        stamps = spark.createDataFrame(rows, "symbol string, created_at timestamp, article_id long, text_id long, added string, trading_day date")
+        done = news.bundle_news(stamps, texts, ["symbol", "trading_day"], rows=8)
+        chunks = done.select("article_ids", "text", F.spark_partition_id().alias("chunk")).collect()
+        assert {(r.article_ids[0], r.text) for r in chunks} == {(i, f"1. h{t}{w} Summary: t") for _, _, i, t, w, _ in rows}
+        # a chunk for each core; only where a text has more than 8 different lines, chunks of 8 articles
+        most = cores if words == 1 else articles // 8
+        assert max(r.chunk for r in chunks) < most and (words == 1 or max(r.chunk for r in chunks) >= cores)
+
+
+def test_texts_beyond_the_memory_limit_lie_in_a_file():
+    texts = news._Texts(1000)
+    for i in range(50):
+        texts.add(i, b"h" * i, None if i % 7 == 0 else b"t" * 100, {b" w": i})
+    assert texts.packed._rolled and all(texts.get(i) == (b"h" * i, None if i % 7 == 0 else b"t" * 100, {b" w": i}) for i in (49, 0, 7, 31, 49))
